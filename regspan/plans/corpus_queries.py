@@ -133,7 +133,7 @@ def _(fx):
 
 @query("scan_source_map", "SELECT grp, subtype, sample, cell_id, chrom, r_start, r_end, tag FROM source_tags")
 def _(fx):
-    return fx.source_tags()
+    return S.scan_source_map(**fx.source_rows())
 
 
 @query("sink_parquet", """
@@ -211,7 +211,7 @@ def _(fx):
 
 
 def _region_types(fx):
-    return fx.source_tags().select("chrom", "r_start", "r_end", "tag").distinct().groupBy(
+    return fx.source_tags.select("chrom", "r_start", "r_end", "tag").distinct().groupBy(
         "chrom", "r_start", "r_end").agg(F.array_join(F.sort_array(F.collect_set("tag")), ";").alias("region_type"))
 
 
