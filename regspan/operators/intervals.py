@@ -60,21 +60,23 @@ def join_interval(left: DataFrame, right: DataFrame, left_span: tuple[str, str],
 
 
 def join_interval_exists(left: DataFrame, right: DataFrame, left_span: tuple[str, str],
-                         right_span: tuple[str, str], bin_size: int = BIN, keep: str = "left_semi") -> DataFrame:
-    """Left rows that meet any right span.
+                         right_span: tuple[str, str], bin_size: int = BIN, keep: str = "left_semi",
+                         on: tuple[str, ...] = ("chrom",)) -> DataFrame:
+    """Left rows that meet any right span with equal ``on`` columns.
 
     A right span that starts exactly where the left one ends counts as met, so
     the left side is binned up to and including its end. ``keep="left_anti"``
     gives the rows that meet none.
     """
     (ls, le), (rs, re) = left_span, right_span
-    spans = left.select("chrom", ls, le).distinct()
-    b = right.select("chrom", F.col(rs).alias("_rs"), F.col(re).alias("_re")).distinct()
+    on = list(on)
+    spans = left.select(*on, ls, le).distinct()
+    b = right.select(*on, F.col(rs).alias("_rs"), F.col(re).alias("_re")).distinct()
     a = _binned(spans, F.col(ls), F.col(le), bin_size)
     b = _binned(b, F.col("_rs"), F.greatest(F.col("_rs"), F.col("_re") - 1), bin_size)
-    met = a.join(b, ["chrom", "_bin"]).where(
-        (F.col("_rs") <= F.col(le)) & (F.col("_re") > F.col(ls))).select("chrom", ls, le).distinct()
-    return left.join(met, ["chrom", ls, le], keep)
+    met = a.join(b, [*on, "_bin"]).where(
+        (F.col("_rs") <= F.col(le)) & (F.col("_re") > F.col(ls))).select(*on, ls, le).distinct()
+    return left.join(met, [*on, ls, le], keep)
 
 
 def point_in_interval(points: DataFrame, spans: DataFrame, pos: str, span: tuple[str, str],
@@ -93,26 +95,26 @@ def point_in_interval(points: DataFrame, spans: DataFrame, pos: str, span: tuple
     return j.select(*[p[c] for c in points.columns], *[s[c] for c in spans.columns if c != "chrom"])
 
 
-def tss_territories(genes: DataFrame) -> DataFrame:
-    """The stretch of a chromosome nearest to each TSS; a tie belongs to the lower TSS.
+def tss_territories(genes: DataFrame, first_by: str = "gene_name", shared_edges: bool = False) -> DataFrame:
+    """The stretch of a chromosome nearest to each TSS.
 
-    Genes are a dimension (one row per gene), so a window per chromosome is small.
-    Of genes that share a TSS the first by name stands for all.
+    A point halfway between two TSS belongs to the lower one, or to both with
+    ``shared_edges``. Genes are a dimension (one row per gene), so a window per
+    chromosome is small. Of genes that share a TSS the first by ``first_by``
+    stands for all.
     """
-    one = genes.groupBy("chrom", "tss").agg(F.min_by(F.struct("gene_name", "gene_type"), "gene_name").alias("_g"))
+    fields = F.struct("gene_name", "gene_type", "gene_start")
+    one = genes.groupBy("chrom", "tss").agg(F.min_by(fields, F.struct(first_by, "gene_name")).alias("_g"))
     w = W.partitionBy("chrom").orderBy("tss")
-    prev, nxt = F.lag("tss").over(w), F.lead("tss").over(w)
-    return one.select(
-        "chrom", F.col("tss").alias("near_tss"), F.col("_g.gene_name").alias("near_gene"),
-        F.col("_g.gene_type").alias("near_type"),
-        prev.alias("_prev"), nxt.alias("_next"),
-    ).select(
-        "chrom", "near_tss", "near_gene", "near_type",
-        F.when(F.col("_prev").isNull(), F.lit(-(2 ** 40))).otherwise(
-            F.floor((F.col("_prev") + F.col("near_tss")) / 2) + 1).cast("bigint").alias("_lo"),
-        F.when(F.col("_next").isNull(), F.lit(2 ** 40)).otherwise(
-            F.floor((F.col("near_tss") + F.col("_next")) / 2)).cast("bigint").alias("_hi"),
-    )
+    edge = 0 if shared_edges else 1
+    d = one.select("chrom", F.col("tss").alias("near_tss"), F.col("_g.gene_name").alias("near_gene"),
+                   F.col("_g.gene_type").alias("near_type"), F.col("_g.gene_start").alias("near_start"),
+                   F.lag("tss").over(w).alias("_prev"), F.lead("tss").over(w).alias("_next"))
+    below = F.expr("(_prev + near_tss) div 2") + (F.expr("(_prev + near_tss) % 2") if shared_edges else F.lit(edge))
+    return d.select(
+        "chrom", "near_tss", "near_gene", "near_type", "near_start",
+        F.coalesce(below, F.lit(-(2 ** 40))).cast("bigint").alias("_lo"),
+        F.coalesce(F.expr("(near_tss + _next) div 2"), F.lit(2 ** 40)).cast("bigint").alias("_hi"))
 
 
 def with_tss(genes: DataFrame) -> DataFrame:
@@ -156,8 +158,10 @@ def join_locus_genes(loci: DataFrame, genes: DataFrame) -> DataFrame:
     touch = join_interval(loci, g, ("l_start", "l_end"), ("gene_start", "gene_end"), closed=True)
     named = touch.groupBy("locus").agg(F.array_join(F.sort_array(F.collect_set("gene_name")), ",").alias("genes"))
     mids = loci.select("locus", "chrom", F.expr("(l_start + l_end) div 2").alias("mid"))
-    near = point_in_interval(mids, tss_territories(pc), "mid", ("_lo", "_hi"), how="left").select(
-        "locus", F.col("near_gene").alias("nearest_gene"), F.abs(F.col("mid") - F.col("near_tss")).alias("distance"))
+    near = point_in_interval(mids, tss_territories(pc, "gene_start", True), "mid", ("_lo", "_hi"), how="left").select(
+        "locus", "near_gene", "near_start", F.abs(F.col("mid") - F.col("near_tss")).alias("d"))
+    near = near.groupBy("locus").agg(F.min_by("near_gene", F.struct("d", "near_start", "near_gene")).alias(
+        "nearest_gene"), F.min("d").alias("distance"))
     return loci.join(named, "locus", "left").join(near, "locus", "left").select(
         "locus", "chrom", "l_start", "l_end", F.coalesce("genes", F.lit("")).alias("genes"),
         "nearest_gene", "distance")

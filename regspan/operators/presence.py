@@ -78,16 +78,19 @@ def agg_presence_sample(peaks: DataFrame) -> DataFrame:
     return cnt.join(total, same).drop("s", "t", "f").withColumn("pct", F.col("cnt") * 100.0 / F.col("n_cells"))
 
 
-def agg_pct_metrics(counts: DataFrame, sizes: DataFrame, pseudo: float = PSEUDO) -> DataFrame:
+def agg_pct_metrics(counts: DataFrame, sizes: DataFrame, pseudo: float = PSEUDO,
+                    key: list[str] | None = None) -> DataFrame:
     """Max, min, difference, log2 ratio, leading and exclusive subtype of each region.
 
     Subtypes without a row are zeros: the minimum is zero as soon as one is
-    absent. Equal leaders give the first subtype in order.
+    absent. Equal leaders give the first subtype in order. ``key`` names the
+    region columns when there are more than the usual ones.
     """
     k = sizes.select("grp", "subtype", "ord", "n_subtypes")
     d = counts.join(k, ["grp", "subtype"])
-    m = d.groupBy(*REGION).agg(
-        F.first("region_type").alias("region_type"), F.max("pct").alias("max_pct"),
+    key = key or [*REGION, "region_type"]
+    m = d.groupBy(*key).agg(
+        F.max("pct").alias("max_pct"),
         F.when(F.count("*") < F.max("n_subtypes"), 0.0).otherwise(F.min("pct")).alias("min_pct"),
         (F.sum("pct") / F.max("n_subtypes")).alias("mean_pct"),
         F.max_by("subtype", F.struct("pct", -F.col("ord"))).alias("max_subtype"),

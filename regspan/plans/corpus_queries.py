@@ -433,7 +433,7 @@ WITH loci AS (SELECT chrom || ':' || ann_start || '-' || ann_end AS locus, chrom
                      ann_end AS l_end FROM (SELECT DISTINCT chrom, ann_start, ann_end FROM annotations)),
 pc AS (SELECT * FROM genes_tss WHERE gene_type = 'protein_coding'),
 n AS (SELECT locus, gene_name, abs((l_start + l_end) // 2 - tss) AS d, row_number() OVER (
-        PARTITION BY locus ORDER BY abs((l_start + l_end) // 2 - tss), tss) AS rn
+        PARTITION BY locus ORDER BY abs((l_start + l_end) // 2 - tss), gene_start, gene_name) AS rn
       FROM loci l JOIN pc ON l.chrom = pc.chrom),
 t AS (SELECT locus, string_agg(DISTINCT gene_name, ',' ORDER BY gene_name) AS genes FROM loci l JOIN pc
       ON l.chrom = pc.chrom AND gene_start <= l_end AND gene_end >= l_start GROUP BY 1)

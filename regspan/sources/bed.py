@@ -75,7 +75,7 @@ def gtf_gene_rows(raw: DataFrame) -> DataFrame:
     attr = lambda name: F.nullif(F.regexp_extract("attrs", f'{name} "([^"]+)"', 1), F.lit(""))
     g = raw.where(F.col("feature") == "gene").select(
         "chrom", whole("start").alias("gene_start"), whole("stop").alias("gene_end"), "strand",
-        F.substring_index(attr("gene_id"), ".", 1).alias("gene_id"), attr("gene_name").alias("gene_name"),
-        attr("gene_type").alias("gene_type"))
+        F.substring_index(attr("gene_id"), ".", 1).alias("gene_id"), F.coalesce(attr("gene_name"), F.lit("NA")).alias("gene_name"),
+        F.coalesce(attr("gene_type"), F.lit("NA")).alias("gene_type"))
     tss = F.when(F.col("strand") == "+", F.col("gene_start")).otherwise(F.col("gene_end"))
     return g.dropna(subset=["gene_start", "gene_end"]).withColumn("tss", tss)
