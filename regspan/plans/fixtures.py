@@ -187,6 +187,10 @@ class Fixtures:
         """The same rows as a single group of subtypes."""
         return df.withColumn("grp", F.lit("ALL"))
 
+    def one_group_of_labels(self, df: DataFrame) -> DataFrame:
+        """A single group in which every (group, subtype) is a subtype of its own."""
+        return df.withColumn("subtype", F.concat("grp", F.lit("__"), "subtype")).withColumn("grp", F.lit("ALL"))
+
     def peak_labels(self) -> DataFrame:
         """Overlap rows of footprint peaks with typed annotations and genes, in the corpus schema."""
         from regspan.operators.intervals import join_interval

@@ -21,10 +21,10 @@ LEAD = """CASE WHEN c_enh >= greatest(c_sil, c_dual, c_neither) THEN 'enhancer'
 NOVEL_CLASS = """CASE consensus_category WHEN 'enhancer' THEN 'novel|enhancer' WHEN 'silencer' THEN 'novel|silencer'
   WHEN 'enhancer_silencer' THEN 'novel|dual' ELSE 'novel|nonregulatory' END"""
 TOP = 100
-LOW = {"_all": 10, "_grp": 2}
+LOW = {"_all": 10, "_grp": 2, "_lab": 2}
 
 
-def _views(sfx: str, grp: str) -> dict[str, str]:
+def _views(sfx: str, grp: str, sub: str = "subtype") -> dict[str, str]:
     novel = lambda how: f"""
 SELECT p.grp, p.chrom, p.bin, subtype, cnt, pct, r_start, r_end, mean_p_enhancer, mean_p_silencer, mean_n_tfs,
        consensus_category, {NOVEL_CLASS} AS region_class
@@ -44,7 +44,7 @@ JOIN (SELECT *, {LEAD} AS consensus_category FROM (
     return {
         f"bins{sfx}": f"""
 SELECT b.*, n_cells * 100.0::DOUBLE / n_all AS pct, {LEAD} AS consensus_category
-FROM (SELECT {grp} AS grp, subtype, chrom, (peak_start + peak_end) // 2 // 1000 AS bin, MIN(peak_start) AS r_start,
+FROM (SELECT {grp} AS grp, {sub} AS subtype, chrom, (peak_start + peak_end) // 2 // 1000 AS bin, MIN(peak_start) AS r_start,
              MAX(peak_end) AS r_end, COUNT(DISTINCT cell_id) AS n_cells,
              COUNT(*) FILTER (category = 'enhancer') AS c_enh, COUNT(*) FILTER (category = 'silencer') AS c_sil,
              COUNT(*) FILTER (category = 'enhancer_silencer') AS c_dual,
@@ -76,7 +76,7 @@ FROM joint{sfx} j JOIN jtop{sfx} t ON t.grp = j.grp AND t.chrom = j.chrom AND t.
     }
 
 
-add_views(_views("_all", "'ALL'") | _views("_grp", "grp"))
+add_views(_views("_all", "'ALL'") | _views("_grp", "grp") | _views("_lab", "'ALL'", "grp || '__' || subtype"))
 add_views({
     "novel_rows_all": """
 SELECT r.grp, r.chrom, r.r_start, r.r_end, r.region_class, p.a, p.b, p.na, p.nb, COALESCE(u.cnt, 0) AS ca,
@@ -95,11 +95,11 @@ WHERE COALESCE(u.cnt, 0) + COALESCE(v.cnt, 0) > 0""",
 class Joint(Presence):
     """Known counts, novel loci and their stack for one fixture."""
 
-    def __init__(self, fx, by_group: bool = False):
-        super().__init__(fx, by_group)
-        preds = fx.predictions if by_group else fx.one_group(fx.predictions)
+    def __init__(self, fx, view: str = "all"):
+        super().__init__(fx, view)
+        preds = self.pick(fx.predictions)
         self.predictions = preds
-        self.min_cells = LOW["_grp" if by_group else "_all"]
+        self.min_cells = LOW[f"_{view}"]
         self.loci = J.agg_bin_consensus(preds, self.sizes)
 
     def novel(self, how="sum"):
@@ -171,7 +171,7 @@ SELECT grp, basket, region_class, COUNT(*) AS n_regions,
        round(COUNT(*) * 100.0::DOUBLE / SUM(COUNT(*)) OVER (PARTITION BY grp), 9) AS pct_of_group
 FROM jmaster_grp GROUP BY 1, 2, 3""")
 def _(fx):
-    return rounded(J.agg_composition(Joint(fx, True).master), ["pct_of_group"])
+    return rounded(J.agg_composition(Joint(fx, "grp").master), ["pct_of_group"])
 
 
 @query("agg_rediscovery", """
@@ -182,7 +182,7 @@ FROM (SELECT n.*, EXISTS (SELECT 1 FROM jmaster_grp k WHERE k.basket = 'known' A
       FROM jmaster_grp n WHERE basket = 'novel' AND region_class <> 'novel|nonregulatory') n
 WHERE n.grp IN (SELECT grp FROM jmaster_grp WHERE basket = 'known') GROUP BY 1""")
 def _(fx):
-    return rounded(J.agg_rediscovery(Joint(fx, True).master), ["pct_rediscovered"])
+    return rounded(J.agg_rediscovery(Joint(fx, "grp").master), ["pct_rediscovered"])
 
 
 @query("win_topn_novel", """
@@ -190,7 +190,7 @@ SELECT grp, region_id, round(diff_pct, 9) AS diff_pct, max_subtype, CAST(rank AS
   SELECT *, row_number() OVER (PARTITION BY grp ORDER BY diff_pct DESC, region_id) AS rank FROM jmaster_grp
   WHERE basket = 'novel' AND region_class <> 'novel|nonregulatory') WHERE rank <= 15""")
 def _(fx):
-    m = Joint(fx, True).master
+    m = Joint(fx, "grp").master
     novel = m.where(F.col("region_class").isin(J.REGULATORY))
     return rounded(P.win_topn_per_group(novel, ["grp"], "diff_pct", 15, ["region_id"]).select(
         "grp", "region_id", "diff_pct", "max_subtype", "rank"), ["diff_pct"])
@@ -231,7 +231,7 @@ SELECT p.grp, p.subtype, p.cell_id, p.chrom, p.peak_start, p.peak_end, p.categor
 FROM predictions p JOIN k ON k.grp = p.grp AND k.chrom = p.chrom AND k.bin = (peak_start + peak_end) // 2 // 1000
 WHERE category <> 'neither'""")
 def _(fx):
-    j = Joint(fx, True)
+    j = Joint(fx, "grp")
     return J.join_bin_class(j.predictions, j.master).select(
         "grp", "subtype", "cell_id", "chrom", "peak_start", "peak_end", "category", "basket")
 
@@ -244,7 +244,7 @@ SELECT p.grp, p.subtype, p.cell_id, COUNT(*) AS n_reg_peaks,
 FROM predictions p JOIN k ON k.grp = p.grp AND k.chrom = p.chrom AND k.bin = (peak_start + peak_end) // 2 // 1000
 WHERE category <> 'neither' GROUP BY 1, 2, 3 HAVING COUNT(*) >= 5""")
 def _(fx):
-    j = Joint(fx, True)
+    j = Joint(fx, "grp")
     return rounded(J.percell_novel_burden(J.join_bin_class(j.predictions, j.master)), ["novel_pct"])
 
 
@@ -300,7 +300,7 @@ _SEL, _RANKED = spearman_sql("prof_grp", "(SELECT DISTINCT grp || '__' || subtyp
 
 @query("div_spearman", f"WITH {_RANKED.strip()} SELECT a, b, round(divergence, 8) AS divergence FROM ({_SEL})")
 def _(fx):
-    j = Joint(fx, True)
+    j = Joint(fx, "grp")
     return rounded(X.div_spearman(j.prof, j.members, X.count_elements(j.top)), ["divergence"], 8)
 
 
@@ -332,7 +332,7 @@ WITH {_RANKED.strip()}, d AS ({_SEL})
 SELECT split_part(a, '__', 1) = split_part(b, '__', 1) AS same_group, COUNT(*) AS n_pairs,
        round(AVG(divergence), 8) AS mean_divergence FROM d GROUP BY 1""")
 def _(fx):
-    j = Joint(fx, True)
+    j = Joint(fx, "grp")
     d = X.div_intra_inter(X.div_spearman(j.prof, j.members, X.count_elements(j.top)), j.members)
     return d.groupBy((F.col("pair_type") == "intra").alias("same_group")).agg(
         F.count("*").alias("n_pairs"), F.round(F.avg("divergence"), 8).alias("mean_divergence"))
@@ -340,7 +340,7 @@ def _(fx):
 
 @query("reduce_pca")
 def _(fx):
-    j = Joint(fx, True)
+    j = Joint(fx, "grp")
     return X.reduce_pca(j.prof, j.members).join(j.members.select("member", "grp"), "member")
 
 
@@ -349,7 +349,7 @@ SELECT s.grp, s.subtype, region_class, n, round(pct, 9) AS pct FROM sizes_grp s
   SELECT grp, region_class, COUNT(*) AS n, COUNT(*) * 100.0::DOUBLE / SUM(COUNT(*)) OVER (PARTITION BY grp) AS pct
   FROM jmaster_grp GROUP BY 1, 2) USING (grp)""")
 def _(fx):
-    j = Joint(fx, True)
+    j = Joint(fx, "grp")
     return rounded(X.comp_class_pct(j.master, j.sizes), ["pct"])
 
 
@@ -367,7 +367,7 @@ WHERE region_class IN {_SIX} GROUP BY 1, 2, 3"""
 
 @query("comp_active_classes", f"SELECT * REPLACE (round(pct, 9) AS pct) FROM ({_active_sql()})")
 def _(fx):
-    return rounded(X.comp_active_classes(Presence(fx, True).kept), ["pct"])
+    return rounded(X.comp_active_classes(Presence(fx, "grp").kept), ["pct"])
 
 
 @query("div_shannon", """
@@ -376,7 +376,7 @@ WITH c AS (SELECT grp, region_class, COUNT(*) AS n, COUNT(*)::DOUBLE / SUM(COUNT
 SELECT s.grp, s.subtype, round(-SUM(p * ln(p)), 8) AS shannon, CAST(SUM(n) AS BIGINT) AS n_regions
 FROM sizes_grp s JOIN c USING (grp) GROUP BY 1, 2""")
 def _(fx):
-    j = Joint(fx, True)
+    j = Joint(fx, "grp")
     return rounded(X.div_shannon(X.comp_class_pct(j.master, j.sizes)), ["shannon"], 8)
 
 
@@ -384,7 +384,7 @@ def _(fx):
 SELECT grp, subtype, round(-SUM(pct / 100 * log2(pct / 100)), 8) AS shannon, CAST(SUM(n) AS BIGINT) AS n_regions
 FROM ({_active_sql()}) GROUP BY 1, 2""")
 def _(fx):
-    return rounded(X.div_shannon(X.comp_active_classes(Presence(fx, True).kept), 2.0), ["shannon"], 8)
+    return rounded(X.div_shannon(X.comp_active_classes(Presence(fx, "grp").kept), 2.0), ["shannon"], 8)
 
 
 @query("complexity_index", f"""
@@ -398,7 +398,7 @@ SELECT s.grp, s.subtype, s.n_cells, COALESCE(e.n, 0) AS total_active_regions, ro
 FROM sizes_grp s JOIN m ON m.grp = s.grp AND m.subtype = s.subtype
 LEFT JOIN e ON e.grp = s.grp AND e.subtype = s.subtype GROUP BY 1, 2, 3, 4, 5""")
 def _(fx):
-    j = Joint(fx, True)
+    j = Joint(fx, "grp")
     c = X.complexity_index(j.kept, j.prof, j.top, j.sizes)
     return rounded(c, ["shannon", "mean_presence_pct", "median_presence_pct"], 8)
 
@@ -414,26 +414,26 @@ SELECT {case} AS category, COUNT(*) AS n_regions FROM b, k GROUP BY 1"""
 @query("conserved_classes", _conserved_sql(
     "CASE WHEN n > 0.8 * k THEN 'universal' WHEN n < 0.2 * k THEN 'specific' ELSE 'shared' END"))
 def _(fx):
-    j = Joint(fx, True)
+    j = Joint(fx, "grp")
     return X.conserved_classes(j.prof, j.top, j.members.count())
 
 
 @query("conserved_classes_whole", _conserved_sql(
     "CASE WHEN n >= floor(0.8 * k) THEN 'universal' WHEN n < floor(0.2 * k) THEN 'specific' ELSE 'shared' END"))
 def _(fx):
-    j = Joint(fx, True)
+    j = Joint(fx, "grp")
     return X.conserved_classes(j.prof, j.top, j.members.count(), whole_bounds=True)
 
 
 @query("novel_fraction", """
 SELECT grp, round(COUNT(*) FILTER (basket = 'novel') / COUNT(*)::DOUBLE, 9) AS novel_fraction FROM jtop_grp GROUP BY 1""")
 def _(fx):
-    return rounded(X.novel_fraction(Joint(fx, True).top), ["novel_fraction"])
+    return rounded(X.novel_fraction(Joint(fx, "grp").top), ["novel_fraction"])
 
 
 @query("fingerprint_composition", "SELECT grp, region_class, COUNT(*) AS n_regions FROM jtop_grp GROUP BY 1, 2")
 def _(fx):
-    return X.fingerprint_composition(Joint(fx, True).top)
+    return X.fingerprint_composition(Joint(fx, "grp").top)
 
 
 @query("win_cumulative_novel", """
@@ -442,18 +442,18 @@ SELECT grp, CAST(rank AS INT) AS rank, round(SUM(CASE basket WHEN 'novel' THEN 1
 FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY diff_pct DESC, region_id) AS rank FROM jmaster_grp)
 WHERE rank <= 2000""")
 def _(fx):
-    return rounded(X.win_cumulative_novel(Joint(fx, True).master), ["cumulative_novel_pct"])
+    return rounded(X.win_cumulative_novel(Joint(fx, "grp").master), ["cumulative_novel_pct"])
 
 
-@query("sig_region_union", "SELECT DISTINCT grp, chrom, r_start, r_end FROM tested_grp WHERE p_value < 0.2")
+@query("sig_region_union", "SELECT DISTINCT grp, chrom, r_start, r_end FROM tested_grp WHERE p_value < 0.21")
 def _(fx):
-    t = Presence(fx, True).tested().withColumn("fdr", F.round("p_value", 9))
-    return T.sig_region_union(t, 0.2)
+    t = Presence(fx, "grp").tested().withColumn("fdr", F.col("p_value"))
+    return T.sig_region_union(t, 0.21)
 
 
 @query("set_concordance", """
-WITH s AS (SELECT DISTINCT grp, chrom, r_start, r_end FROM tested_grp WHERE p_value < 0.2)
+WITH s AS (SELECT DISTINCT grp, chrom, r_start, r_end FROM tested_grp WHERE p_value < 0.21)
 SELECT x.grp AS a, y.grp AS b, COUNT(*) AS n_shared FROM s x JOIN s y USING (chrom, r_start, r_end) GROUP BY 1, 2""")
 def _(fx):
-    t = Presence(fx, True).tested().withColumn("fdr", F.round("p_value", 9))
-    return X.set_concordance(T.sig_region_union(t, 0.2))
+    t = Presence(fx, "grp").tested().withColumn("fdr", F.col("p_value"))
+    return X.set_concordance(T.sig_region_union(t, 0.21))

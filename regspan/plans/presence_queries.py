@@ -17,17 +17,16 @@ SIMPLE = """CASE WHEN region_type LIKE '%uncharacterized%' THEN 'uncharacterized
   ELSE 'other_regulatory' END"""
 
 
-def _presence_views(suffix: str, grp: str) -> dict[str, str]:
+def _presence_views(suffix: str, grp: str, sub: str = "subtype") -> dict[str, str]:
     return {
         f"sizes{suffix}": f"""
-SELECT {grp} AS grp, subtype, COUNT(*) AS n_cells, row_number() OVER (PARTITION BY {grp} ORDER BY subtype) AS ord,
-       COUNT(*) OVER (PARTITION BY {grp}) AS n_subtypes
-FROM cells GROUP BY 1, 2""",
+SELECT *, row_number() OVER (PARTITION BY grp ORDER BY subtype) AS ord, COUNT(*) OVER (PARTITION BY grp) AS n_subtypes
+FROM (SELECT {grp} AS grp, {sub} AS subtype, COUNT(*) AS n_cells FROM cells GROUP BY 1, 2)""",
         f"presence{suffix}": f"""
 SELECT c.grp, c.subtype, chrom, r_start, r_end, cnt, CAST(SUM(cnt) OVER (
          PARTITION BY c.grp, chrom, r_start, r_end) AS BIGINT) AS global_count, region_type, n_cells,
        cnt * 100.0::DOUBLE / n_cells AS pct
-FROM (SELECT {grp} AS grp, subtype, chrom, r_start, r_end, COUNT(DISTINCT cell_id) AS cnt FROM source_tags
+FROM (SELECT {grp} AS grp, {sub} AS subtype, chrom, r_start, r_end, COUNT(DISTINCT cell_id) AS cnt FROM source_tags
       GROUP BY 1, 2, 3, 4, 5) c
 JOIN region_types USING (chrom, r_start, r_end) JOIN sizes{suffix} s ON s.grp = c.grp AND s.subtype = c.subtype""",
     }
@@ -73,10 +72,12 @@ FROM {rows} r JOIN (
   GROUP BY 1, 2, 3, 4) t ON t.na = r.na AND t.nb = r.nb AND t.ca = r.ca AND t.cb = r.cb))"""
 
 
-add_views(_presence_views("_all", "'ALL'") | _presence_views("_grp", "grp"))
+add_views(_presence_views("_all", "'ALL'") | _presence_views("_grp", "grp")
+          | _presence_views("_lab", "'ALL'", "grp || '__' || subtype"))
 add_views({
     "kept_all": "SELECT * FROM presence_all WHERE global_count >= 10",
     "kept_grp": "SELECT * FROM presence_grp WHERE global_count >= 4",
+    "kept_lab": "SELECT * FROM presence_lab WHERE global_count >= 10",
 })
 add_views(_test_views("_all", "kept_all") | _test_views("_grp", "kept_grp"))
 
@@ -96,14 +97,18 @@ add_views(_metrics_view("_all") | _metrics_view("_grp"))
 
 
 class Presence:
-    """Counts and sizes of one fixture, as a single group or by its groups."""
+    """Counts and sizes of one fixture.
 
-    def __init__(self, fx, by_group: bool = False):
-        pick = (lambda d: d) if by_group else fx.one_group
-        self.tags = pick(fx.source_tags)
-        self.sizes = P.group_sizes(pick(fx.cells))
+    ``view``: ``all`` is one group of subtypes, ``grp`` keeps the groups, ``lab``
+    is one group in which every (group, subtype) is a subtype of its own.
+    """
+
+    def __init__(self, fx, view: str = "all"):
+        self.pick = {"all": fx.one_group, "grp": lambda d: d, "lab": fx.one_group_of_labels}[view]
+        self.tags = self.pick(fx.source_tags)
+        self.sizes = P.group_sizes(self.pick(fx.cells))
         self.counts = P.agg_presence_counts(self.tags, self.sizes)
-        self.kept = P.filter_min_cells(self.counts, 4 if by_group else P.MIN_CELLS)
+        self.kept = P.filter_min_cells(self.counts, 4 if view == "grp" else P.MIN_CELLS)
 
     def metrics(self):
         return P.agg_pct_metrics(self.kept, self.sizes)
@@ -216,7 +221,7 @@ def _(fx):
 SELECT grp, exclusive_subtype AS subtype, {SIMPLE} AS simple_type, COUNT(*) AS n_regions
 FROM metrics_grp WHERE exclusive_subtype <> '' GROUP BY 1, 2, 3""")
 def _(fx):
-    return P.agg_exclusive_by_type(Presence(fx, True).metrics())
+    return P.agg_exclusive_by_type(Presence(fx, "grp").metrics())
 
 
 @query("sim_jaccard_subtypes", """
@@ -234,7 +239,7 @@ SELECT grp, chrom, r_start, r_end, round(diff_pct, 9) AS diff_pct, CAST(rank AS
   SELECT *, row_number() OVER (PARTITION BY grp ORDER BY round(diff_pct, 9) DESC, chrom, r_start, r_end) AS rank
   FROM metrics_grp) WHERE rank <= 50""")
 def _(fx):
-    m = rounded(Presence(fx, True).metrics(), ["diff_pct"])
+    m = rounded(Presence(fx, "grp").metrics(), ["diff_pct"])
     return P.win_topn_per_group(m, ["grp"], "diff_pct", 50, P.SPAN).select(*P.REGION, "diff_pct", "rank")
 
 
