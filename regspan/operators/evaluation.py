@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from regspan.functions import recode as R
-from regspan.operators.scale import checked_broadcast, running_totals, unit_bucket
+from regspan.operators.scale import checked_broadcast, hashed_places, running_totals, unit_bucket
 
 HEAD = ["head"]
 THRESHOLDS = [float(t) for t in np.linspace(0.05, 0.95, 19)]
@@ -252,20 +252,13 @@ def sample_balanced(rows: DataFrame, label: str, key: Sequence[str], draws: int,
     """``draws`` rows with replacement: a class drawn evenly, then a row drawn evenly inside it.
 
     Every draw is a hash of its number and the seed. Rows get a position in
-    their class from 256 key buckets and bucket totals, so a large class is not
-    numbered by one task.
+    their class from buckets of a key digest, so a large class is not numbered
+    by one task.
     """
     spark = rows.sparkSession
     mix = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in key]))
-    d = rows.withColumn("_h", mix).withColumn("_b", F.substring("_h", 1, 2))
-    size = d.groupBy(label, "_b").agg(F.count("*").alias("m"))
-    before = W.partitionBy(label).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    size = size.select(label, "_b", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("_o"),
-                       F.sum("m").over(W.partitionBy(label)).alias("n_class"))
-    place = F.row_number().over(W.partitionBy(label, "_b").orderBy("_h", *key)) - 1
-    pool = d.withColumn("_r", place).join(size, [label, "_b"]).withColumn("_pos", F.col("_r") + F.col("_o")).drop(
-        "_r", "_o", "_b", "_h", "n_class")
-    classes = size.groupBy(label).agg(F.max("n_class").alias("n_class"))
+    pool = hashed_places(rows.withColumn("_h", mix), [label], "_h", *key).withColumnRenamed("place", "_pos").drop("_h")
+    classes = rows.groupBy(label).agg(F.count("*").alias("n_class"))
     classes = checked_broadcast(classes.select(
         label, "n_class", (F.row_number().over(W.partitionBy(F.lit(0)).orderBy(label)) - 1).alias("_c"),
         F.count("*").over(W.partitionBy(F.lit(0))).alias("_k")))

@@ -30,12 +30,16 @@ def _binned(df: DataFrame, lo: Column, hi: Column, width: int) -> DataFrame:
 
 
 def _salt_left(df: DataFrame, salts: int) -> DataFrame:
+    if salts == 1:
+        return df
     # the partition id spreads exact copies of one row too
     spread = F.xxhash64(*df.columns, F.spark_partition_id())
     return df.withColumn("_salt", F.pmod(spread, F.lit(salts)).cast("int"))
 
 
 def _salt_right(df: DataFrame, salts: int) -> DataFrame:
+    if salts == 1:
+        return df
     return df.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
 
 
@@ -50,7 +54,7 @@ def join_interval(left: DataFrame, right: DataFrame, left_span: tuple[str, str],
     edge = 0 if closed else 1
     a = _salt_left(_binned(left, F.col(ls), F.col(le) - edge, bin_size), salts)
     b = _salt_right(_binned(right, F.col(rs), F.col(re) - edge, bin_size), salts)
-    j = a.join(b, ["chrom", "_bin", "_salt"])
+    j = a.join(b, ["chrom", "_bin"] + (["_salt"] if salts > 1 else []))
     if closed:
         meet = (F.col(ls) <= F.col(re)) & (F.col(rs) <= F.col(le))
     else:
@@ -89,7 +93,7 @@ def point_in_interval(points: DataFrame, spans: DataFrame, pos: str, span: tuple
         F.least(F.expr(f"greatest({lo}, 0) div {bin_size}"), F.lit(last)),
         F.least(F.expr(f"greatest({hi}, 0) div {bin_size}"), F.lit(last)))))
     s = _salt_right(cut, salts)
-    same = [p[c].eqNullSafe(s[c]) if how != "inner" else p[c] == s[c] for c in ("chrom", "_bin", "_salt")]
+    same = [p[c] == s[c] for c in ["chrom", "_bin"] + (["_salt"] if salts > 1 else [])]
     inside = (p[pos] >= s[lo]) & (p[pos] <= s[hi])
     j = p.join(s, same + [inside], how)
     return j.select(*[p[c] for c in points.columns], *[s[c] for c in spans.columns if c != "chrom"])

@@ -68,19 +68,23 @@ def agg_novel_merge(loci: DataFrame, sizes: DataFrame, how: str = "max", min_cel
     """
     d = _rebinned(loci, min_cells, bin_size)
     key = ["grp", "chrom", "bin"]
+    means = ["mean_p_enhancer", "mean_p_silencer", "mean_n_tfs"]
     w = F.col("n_cells")
-    mean = lambda c: (F.sum(F.col(c) * w) / F.sum(w)).alias(c)
     votes = [F.sum(F.when(F.col("consensus_category") == cat, w).otherwise(0)).alias(c) for cat, c in COUNTS.items()]
-    locus = d.groupBy(*key).agg(F.min("r_start").alias("r_start"), F.max("r_end").alias("r_end"), *votes,
-                                mean("mean_p_enhancer"), mean("mean_p_silencer"), mean("mean_n_tfs"))
-    locus = locus.withColumn("consensus_category", _leading(COUNTS)).drop(*COUNTS.values())
-    if how == "max":
-        per = d.groupBy(*key, "subtype").agg(F.max("n_cells").alias("cnt"), F.max("pct").alias("pct"))
-    else:
-        per = d.groupBy(*key, "subtype").agg(F.sum("n_cells").alias("cnt")).join(
-            sizes.select("grp", "subtype", F.col("n_cells").alias("_n")), ["grp", "subtype"]).withColumn(
-            "pct", F.col("cnt") * 100.0 / F.col("_n")).drop("_n")
-    return per.join(locus, key).withColumn("region_class", R.novel_class("consensus_category"))
+    cnt = F.max(w) if how == "max" else F.sum(w)
+    per = d.groupBy(*key, "subtype").agg(
+        F.min("r_start").alias("r_start"), F.max("r_end").alias("r_end"), F.sum(w).alias("w"), cnt.alias("cnt"),
+        F.max("pct").alias("pct"), *votes, *[F.sum(F.col(m) * w).alias(m) for m in means])
+    if how != "max":
+        per = per.join(sizes.select("grp", "subtype", F.col("n_cells").alias("_n")), ["grp", "subtype"]).withColumn(
+            "pct", F.col("cnt") * 100.0 / F.col("_n"))
+    # subtypes of a locus are few, so they travel as a short array while the locus is summed
+    locus = per.groupBy(*key).agg(
+        F.min("r_start").alias("r_start"), F.max("r_end").alias("r_end"), *[F.sum(c).alias(c) for c in COUNTS.values()],
+        *[(F.sum(m) / F.sum("w")).alias(m) for m in means],
+        F.collect_list(F.struct("subtype", "cnt", "pct")).alias("subtypes"))
+    return locus.select(*key, "r_start", "r_end", *means, _leading(COUNTS).alias("consensus_category"),
+                        F.inline("subtypes")).withColumn("region_class", R.novel_class("consensus_category"))
 
 
 def join_known_novel(known: DataFrame, novel: DataFrame) -> DataFrame:

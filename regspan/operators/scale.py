@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 # A dimension is broadcast only when it is seen to hold no more rows than this.
 BROADCAST_ROWS = 20_000
-SALTS = 8
+SALTS = 4
 
 
 def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -66,11 +66,32 @@ def running_totals(df: DataFrame, by: Sequence[str], order: str, bucket: Column,
 
 
 def unit_bucket(x: str | Column) -> Column:
-    """Buckets of a value in [0, 1] that rise with it: octaves below 2^-10, then 1/1024 steps."""
+    """Buckets of a value in [0, 1] that rise with it.
+
+    Each halving of the distance to 0, and above one half to 1, is cut into 64
+    steps. Even scores that crowd towards 0 or 1 spread over many buckets.
+    """
     c = F.col(x) if isinstance(x, str) else x
-    return (F.when(c >= 2.0 ** -10, F.lit(2000) + F.floor(c * 1024))
-            .when(c > 0, F.greatest(F.lit(1), F.lit(1100) + F.floor(F.log2(c))))
-            .otherwise(F.lit(0)).cast("int"))
+    end = F.lit(64 * 1100)
+    low = F.greatest(F.floor(F.log2(c) * 64), -end)
+    high = F.least(F.floor(-F.log2(F.lit(1.0) - c) * 64), end)
+    return F.when(c <= 0, -end).when(c >= 1, end).when(c <= 0.5, low).otherwise(high).cast("int")
+
+
+def hashed_places(df: DataFrame, by: Sequence[str], mix: str, *tie: str) -> DataFrame:
+    """Zero-based ``place`` of each row in the order of a hex digest, within ``by``.
+
+    Rows are numbered inside 256 digest buckets and bucket totals carry the
+    offset, so one group is never numbered by a single task.
+    """
+    by = list(by)
+    d = df.withColumn("_b", F.substring(mix, 1, 2))
+    size = d.groupBy(*by, "_b").agg(F.count("*").alias("_m"))
+    before = W.partitionBy(*by).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    size = size.select(*by, "_b", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_o"))
+    inside = F.row_number().over(W.partitionBy(*by, "_b").orderBy(mix, *tie)) - 1
+    return d.withColumn("_r", inside).join(size, [*by, "_b"]).select(
+        *df.columns, (F.col("_r") + F.col("_o")).alias("place"))
 
 
 def constant_key(df: DataFrame) -> DataFrame:

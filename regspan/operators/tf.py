@@ -14,7 +14,7 @@ from regspan.functions.coords import tf_short
 from regspan.functions.stats import mann_whitney_p
 from regspan.operators.pairwise import fdr_bh
 from regspan.operators.presence import win_topn_per_group
-from regspan.operators.scale import checked_broadcast, salted_join
+from regspan.operators.scale import checked_broadcast, hashed_places, salted_join
 from regspan.session import durable
 
 NUCLEUS = ["grp", "subtype", "nucleus"]
@@ -209,7 +209,7 @@ def permuted_labels(nuclei: DataFrame, perms: int, seed: int) -> DataFrame:
 
     Nuclei of a group are put in an order that depends on a hash of nucleus,
     permutation and seed; the first places take the first label, and so on.
-    Each (group, permutation) is its own window, so no task sees all rows.
+    Places are found bucket by bucket, so no task orders all nuclei of a group.
     """
     size = nuclei.groupBy("grp", "subtype").agg(F.count("*").alias("n"))
     upto = W.partitionBy("grp").orderBy("subtype").rowsBetween(W.unboundedPreceding, 0)
@@ -217,9 +217,8 @@ def permuted_labels(nuclei: DataFrame, perms: int, seed: int) -> DataFrame:
         F.sort_array(F.collect_list("hi")).alias("bounds")))
     spread = nuclei.select("grp", "nucleus", F.explode(F.sequence(F.lit(1), F.lit(perms))).alias("perm"))
     mixed = F.md5(F.concat_ws("|", F.col("nucleus").cast("string"), F.col("perm").cast("string"), F.lit(str(seed))))
-    place = F.row_number().over(W.partitionBy("grp", "perm").orderBy("mix", "nucleus"))
-    d = spread.withColumn("mix", mixed).withColumn("place", place).join(bounds, "grp")
-    lab = F.size(F.filter("bounds", lambda upper_bound: upper_bound < F.col("place")))
+    d = hashed_places(spread.withColumn("mix", mixed), ["grp", "perm"], "mix", "nucleus").join(bounds, "grp")
+    lab = F.size(F.filter("bounds", lambda upper_bound: upper_bound <= F.col("place")))
     return d.select("grp", "nucleus", "perm", lab.alias("label"))
 
 

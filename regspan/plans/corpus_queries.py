@@ -339,12 +339,10 @@ def _(fx):
 
 @query("join_interval_exists", """
 SELECT DISTINCT p.chrom, p.r_start, p.r_end FROM (SELECT DISTINCT chrom, r_start, r_end FROM peaks) p
-WHERE EXISTS (SELECT 1 FROM annotations a WHERE a.chrom = p.chrom AND ann_class = 'enhancer'
-              AND ann_start <= r_end AND ann_end > r_start)""")
+WHERE EXISTS (SELECT 1 FROM annotations a WHERE a.chrom = p.chrom AND ann_start <= r_end AND ann_end > r_start)""")
 def _(fx):
     sites = fx.peaks.select("chrom", "r_start", "r_end").distinct()
-    return I.join_interval_exists(sites, fx.annotations.where("ann_class = 'enhancer'"), ("r_start", "r_end"),
-                                  ("ann_start", "ann_end"))
+    return I.join_interval_exists(sites, fx.annotations, ("r_start", "r_end"), ("ann_start", "ann_end"))
 
 
 ANNOTATED = """

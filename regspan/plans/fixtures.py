@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from regspan.functions import recode as R
-from regspan.functions.coords import midpoint
+from regspan.session import durable
 
 
 class Fixtures:
@@ -142,10 +142,10 @@ class Fixtures:
 
     @cached_property
     def peaks(self) -> DataFrame:
-        """Peaks seen in each cell."""
-        return self.footprints.select("grp", "subtype", "sample", "cell_id", "chrom",
-                                      F.col("peak_start").alias("r_start"),
-                                      F.col("peak_end").alias("r_end")).distinct()
+        """Peaks seen in each cell, kept as a stage because many counts start from it."""
+        return durable(self.footprints.select(
+            "grp", "subtype", "sample", "cell_id", "chrom", F.col("peak_start").alias("r_start"),
+            F.col("peak_end").alias("r_end")).distinct())
 
     @cached_property
     def classified_peaks(self) -> DataFrame:
@@ -153,13 +153,13 @@ class Fixtures:
         from regspan.operators.intervals import join_interval
 
         sites = self.peaks.select("chrom", "r_start", "r_end").distinct()
-        ann = join_interval(sites, self.annotations, ("r_start", "r_end"), ("ann_start", "ann_end"))
+        # sites are distinct, so no bin is hot
+        ann = join_interval(sites, self.annotations, ("r_start", "r_end"), ("ann_start", "ann_end"), salts=1)
         gene = join_interval(sites, self.genes.select("chrom", (F.col("gene_start") - 1).alias("g0"), "gene_end"),
-                             ("r_start", "r_end"), ("g0", "gene_end"))
+                             ("r_start", "r_end"), ("g0", "gene_end"), salts=1)
         key = ["chrom", "r_start", "r_end"]
-        tags = ann.select(*key, F.col("ann_class").alias("raw")).union(
-            gene.select(*key, F.lit("gene_body").alias("raw"))).distinct()
-        return tags
+        return durable(ann.select(*key, F.col("ann_class").alias("raw")).union(
+            gene.select(*key, F.lit("gene_body").alias("raw"))).distinct())
 
     def source_rows(self) -> dict[str, DataFrame]:
         """The five per-cell sources that presence counting reads."""
@@ -203,6 +203,3 @@ class Fixtures:
         cols = ["chrom", "peak_start", "peak_end", "tf_motif", "motif_score", "fp_score"]
         return ann.select(*cols, R.recode_regulome("ann_class").alias("label")).unionByName(
             gene.select(*cols, F.lit("genic").alias("label")))
-
-    def mid_predictions(self) -> DataFrame:
-        return self.predictions.withColumn("mid", midpoint("peak_start", "peak_end"))

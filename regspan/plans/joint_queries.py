@@ -20,7 +20,7 @@ LEAD = """CASE WHEN c_enh >= greatest(c_sil, c_dual, c_neither) THEN 'enhancer'
   ELSE 'neither' END"""
 NOVEL_CLASS = """CASE consensus_category WHEN 'enhancer' THEN 'novel|enhancer' WHEN 'silencer' THEN 'novel|silencer'
   WHEN 'enhancer_silencer' THEN 'novel|dual' ELSE 'novel|nonregulatory' END"""
-TOP = 100
+TOP = X.TOP_PER_GROUP
 LOW = {"_all": 10, "_grp": 2, "_lab": 2}
 
 
@@ -111,11 +111,11 @@ class Joint(Presence):
 
     @cached_property
     def master(self):
-        return J.joint_master(self.joint, self.sizes)
+        return durable(J.joint_master(self.joint, self.sizes))
 
     @cached_property
     def top(self):
-        return durable(X.fingerprint(self.master, TOP))
+        return X.fingerprint(self.master, TOP)
 
     @cached_property
     def prof(self):

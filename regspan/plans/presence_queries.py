@@ -197,14 +197,14 @@ def _(fx):
 
 
 @query("agg_single_group_master", """
-SELECT 'ALL' AS grp, chrom, r_start, r_end, region_type, 'BUILDING' AS subtype, cnt,
+SELECT subtype AS grp, chrom, r_start, r_end, region_type, subtype, cnt,
        round(cnt * 100.0::DOUBLE / n_cells, 9) AS pct, round(cnt * 100.0::DOUBLE / n_cells, 9) AS diff_pct,
-       0.0::DOUBLE AS log2fc, 'BUILDING' AS exclusive_subtype
-FROM presence_all WHERE subtype = 'BUILDING' AND cnt >= 4""")
+       0.0::DOUBLE AS log2fc, subtype AS exclusive_subtype
+FROM presence_all WHERE cnt >= 4""")
 def _(fx):
-    one = lambda d: fx.one_group(d).where("subtype = 'BUILDING'")
-    counts = P.agg_presence_counts(fx.one_group(fx.source_tags), P.group_sizes(fx.one_group(fx.cells)))
-    m = P.agg_single_group_master(P.filter_min_cells(one(counts).withColumn("global_count", F.col("cnt")), 4))
+    alone = lambda d: d.withColumn("grp", F.col("subtype"))
+    counts = P.agg_presence_counts(alone(fx.source_tags), P.group_sizes(alone(fx.cells)))
+    m = P.agg_single_group_master(P.filter_min_cells(counts, 4))
     return rounded(m, ["pct", "diff_pct"]).drop("max_pct", "min_pct", "max_subtype")
 
 
@@ -237,10 +237,10 @@ def _(fx):
 @query("win_topn_per_group", """
 SELECT grp, chrom, r_start, r_end, round(diff_pct, 9) AS diff_pct, CAST(rank AS INT) AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY grp ORDER BY round(diff_pct, 9) DESC, chrom, r_start, r_end) AS rank
-  FROM metrics_grp) WHERE rank <= 50""")
+  FROM metrics_grp) WHERE rank <= 500""")
 def _(fx):
     m = rounded(Presence(fx, "grp").metrics(), ["diff_pct"])
-    return P.win_topn_per_group(m, ["grp"], "diff_pct", 50, P.SPAN).select(*P.REGION, "diff_pct", "rank")
+    return P.win_topn_per_group(m, ["grp"], "diff_pct", 500, P.SPAN).select(*P.REGION, "diff_pct", "rank")
 
 
 @query("win_anchor_dedup", """

@@ -119,21 +119,17 @@ def _(fx):
     return T.top_shared(_ranked(fx, "lab"), 5, 2)
 
 
-def _shared_counts(fx, prefix):
-    d = _ranked(fx, "lab").where(F.col("subtype").startswith(prefix))
-    return T.top_shared(d, 5, 1)
-
-
-def _list_sql(prefix):
-    where = f"AND starts_with(subtype, '{prefix}')"
-    return f"""(SELECT tf_short, COUNT(*) AS n FROM {_top_sql(5, where)}
- GROUP BY 1 ORDER BY n DESC, tf_short LIMIT 8)"""
+def _list_sql(side):
+    return f"""(SELECT tf_short, COUNT(*) AS n FROM {_top_sql(5, f"AND subtype {side} 'G2'")}
+ GROUP BY 1 ORDER BY n DESC, tf_short LIMIT 15)"""
 
 
 @query("cmp_top_lists", f"""
-SELECT tf_short, x.n AS score_a, y.n AS score_b FROM {_list_sql('G0')} x JOIN {_list_sql('G1')} y USING (tf_short)""")
+SELECT tf_short, x.n AS score_a, y.n AS score_b FROM {_list_sql('<')} x JOIN {_list_sql('>=')} y USING (tf_short)""")
 def _(fx):
-    return T.cmp_top_lists(_shared_counts(fx, "G0"), _shared_counts(fx, "G1"), "tf_short", "n_subtypes", 8)
+    d = _ranked(fx, "lab")
+    first, rest = (T.top_shared(d.where(c), 5) for c in ("subtype < 'G2'", "subtype >= 'G2'"))
+    return T.cmp_top_lists(first, rest, "tf_short", "n_subtypes")
 
 
 @query("win_zscore_rows", """
@@ -205,7 +201,7 @@ def _(fx):
                    ["mwu_p", "mwu_fdr"], 8)
 
 
-PERMS = 25
+PERMS = 100
 
 
 @query("test_permutation", f"""
@@ -241,7 +237,7 @@ SELECT grp, subtype, nucleus, tf, pct = 0 AS z FROM tfrank_all""",
 SELECT *, row_number() OVER (PARTITION BY grp, subtype ORDER BY round(zero_rate * (1 - zero_rate), 12) DESC, tf) - 1 AS idx
 FROM (SELECT grp, subtype, tf, COUNT(*) AS n_cell, COUNT(*) FILTER (z) AS n_zero,
              COUNT(*) FILTER (z) / COUNT(*)::DOUBLE AS zero_rate FROM zeros GROUP BY 1, 2, 3)
-WHERE zero_rate BETWEEN 0.05 AND 0.95 QUALIFY idx < 12""",
+WHERE zero_rate BETWEEN 0.05 AND 0.95 QUALIFY idx < 50""",
     "fi1": """
 SELECT *, greatest(10, CAST(round_even(n_cell * 0.02::DOUBLE, 0) AS BIGINT)) AS min_support, split_part(tf, '_MA', 1) AS s
 FROM informative WHERE n_zero >= greatest(10, CAST(round_even(n_cell * 0.02::DOUBLE, 0) AS BIGINT))""",
@@ -260,7 +256,7 @@ FROM zit a JOIN zit b ON a.subtype = b.subtype AND a.nucleus = b.nucleus AND a.i
 JOIN zit c ON a.subtype = c.subtype AND a.nucleus = c.nucleus AND b.idx < c.idx
 GROUP BY a.grp, a.subtype, a.s, b.s, c.s HAVING COUNT(*) >= MAX(a.min_support)""",
 })
-FIM_TOP = 12
+FIM_TOP = M.TOP_TF
 
 
 @query("fim_informative", """
@@ -367,7 +363,7 @@ FROM (SELECT u.subtype, u.cell_id AS a, v.cell_id AS b, COUNT(*) AS n_shared FRO
         USING (subtype, chrom, r_start, r_end) WHERE u.cell_id < v.cell_id GROUP BY 1, 2, 3) p
 JOIN n x ON x.subtype = p.subtype AND x.cell_id = p.a JOIN n y ON y.subtype = p.subtype AND y.cell_id = p.b""")
 def _(fx):
-    return rounded(S.sim_jaccard_cells(fx.one_group_of_labels(fx.peaks), block_cells=32), ["jaccard_pct"])
+    return rounded(S.sim_jaccard_cells(fx.one_group_of_labels(fx.peaks)), ["jaccard_pct"])
 
 
 @query("tf_short_names", "SELECT tf_motif, split_part(tf_motif, '_MA', 1) AS tf, COUNT(*) AS n FROM footprints GROUP BY 1")

@@ -106,10 +106,12 @@ def sort_corpus(corpus: DataFrame) -> DataFrame:
     return corpus.orderBy("chrom", "peak_start", "peak_end")
 
 
-def sink_parquet(corpus: DataFrame, path: str, files_per_chrom: int = 4) -> None:
-    """Zstd Parquet by chromosome, ordered inside files; a long chromosome gets several files."""
-    shard = F.pmod(F.xxhash64("peak_start", "peak_end"), F.lit(files_per_chrom))
-    (corpus.repartition("chrom", shard).sortWithinPartitions("chrom", "peak_start", "peak_end")
+def sink_parquet(corpus: DataFrame, path: str) -> None:
+    """Zstd Parquet by chromosome, ordered by position.
+
+    Tasks write sampled ranges of positions, so a long chromosome is shared by as many as its size asks for.
+    """
+    (corpus.repartitionByRange("chrom", "peak_start", "peak_end").sortWithinPartitions("chrom", "peak_start", "peak_end")
      .write.mode("overwrite").option("compression", "zstd").partitionBy("chrom").parquet(path))
 
 
