@@ -40,26 +40,26 @@ def _pairs_of(members: DataFrame, member: str) -> DataFrame:
     return member_pairs(one, ["k"]).select("a", "b")
 
 
-def centred_ranks(values: DataFrame, member: str, value: str, n_elements: DataFrame) -> DataFrame:
+def centred_ranks(values: DataFrame, member: str, value: str, n_elements: int) -> DataFrame:
     """Average ranks of positive values, shifted so that the rank of a zero is 0.
 
     Correlation does not see the shift, so zeros need no rows. Ranks come from
-    the distinct values of a member and their counts. ``n_elements`` holds the
-    single number of elements as ``n_all``.
+    the distinct values of a member and their counts. ``n_elements`` is the
+    number of all elements.
     """
     dist = values.groupBy(member, value).agg(F.count("*").alias("m"))
     below = W.partitionBy(member).orderBy(value).rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy(member)
-    ranked = dist.withColumn("_k", F.lit(0)).join(n_elements.withColumn("_k", F.lit(0)), "_k").select(
-        member, value, "n_all",
+    ranked = dist.select(
+        member, value,
         (F.coalesce(F.sum("m").over(below), F.lit(0)) + (F.col("m") + 1) / 2).alias("r"),
         F.sum("m").over(whole).alias("nnz"))
-    zeros = F.col("n_all") - F.col("nnz")
-    centred = ranked.select(member, value, "n_all", (F.col("r") + (zeros - 1) / 2).alias("s"))
+    zeros = F.lit(n_elements) - F.col("nnz")
+    centred = ranked.select(member, value, (F.col("r") + (zeros - 1) / 2).alias("s"))
     return salted_join(values, centred, [member, value])
 
 
-def div_spearman(values: DataFrame, members: DataFrame, n_elements: DataFrame, member: str = "member",
+def div_spearman(values: DataFrame, members: DataFrame, n_elements: int, member: str = "member",
                  element: str = "region_id", value: str = "pct", undefined_as_zero: bool = False) -> DataFrame:
     """1 - Spearman between members over all elements, absent values being zero.
 
@@ -68,17 +68,15 @@ def div_spearman(values: DataFrame, members: DataFrame, n_elements: DataFrame, m
     no correlation: NULL, or zero correlation with ``undefined_as_zero``.
     """
     s = centred_ranks(values, member, value, n_elements)
-    own = s.groupBy(member).agg(F.sum("s").alias("s1"), F.sum(F.col("s") * F.col("s")).alias("s2"),
-                                F.max("n_all").alias("n_all"))
+    own = s.groupBy(member).agg(F.sum("s").alias("s1"), F.sum(F.col("s") * F.col("s")).alias("s2"))
     bag = s.groupBy(element).agg(F.sort_array(F.collect_list(F.struct(F.col(member).alias("m"), "s"))).alias("bag"))
     prod = F.flatten(F.transform("bag", lambda one_entry, one_at: F.transform(
         F.slice("bag", one_at + 2, F.size("bag")), lambda two_entry: F.struct(
             one_entry["m"].alias("a"), two_entry["m"].alias("b"), (one_entry["s"] * two_entry["s"]).alias("x")))))
     cross = bag.select(F.inline(prod)).groupBy("a", "b").agg(F.sum("x").alias("sab"))
-    side = lambda x: own.select(F.col(member).alias(x), F.col("s1").alias(f"{x}1"), F.col("s2").alias(f"{x}2"),
-                                F.col("n_all").alias(f"{x}n"))
+    side = lambda x: own.select(F.col(member).alias(x), F.col("s1").alias(f"{x}1"), F.col("s2").alias(f"{x}2"))
     d = _pairs_of(members, member).join(cross, ["a", "b"], "left").join(side("a"), "a", "left").join(side("b"), "b", "left")
-    n = F.col("an")
+    n = F.lit(float(n_elements))
     va, vb = n * F.col("a2") - F.col("a1") ** 2, n * F.col("b2") - F.col("b1") ** 2
     cov = n * F.coalesce("sab", F.lit(0.0)) - F.col("a1") * F.col("b1")
     rho = F.when((va > 1e-9) & (vb > 1e-9), cov / F.sqrt(va * vb))
@@ -87,8 +85,8 @@ def div_spearman(values: DataFrame, members: DataFrame, n_elements: DataFrame, m
     return d.select("a", "b", (F.lit(1.0) - rho).alias("divergence"))
 
 
-def count_elements(df: DataFrame, element: str = "region_id") -> DataFrame:
-    return df.agg(F.count_distinct(element).alias("n_all"))
+def count_elements(df: DataFrame, element: str = "region_id") -> int:
+    return df.agg(F.count_distinct(element)).first()[0]
 
 
 def div_intra_inter(div: DataFrame, groups: DataFrame) -> DataFrame:

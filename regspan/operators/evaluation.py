@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from regspan.functions import recode as R
-from regspan.operators.scale import checked_broadcast, hashed_places, running_totals, unit_bucket
+from regspan.operators.scale import checked_broadcast, each_of, hashed_places, running_totals, unit_bucket
 
 HEAD = ["head"]
 THRESHOLDS = [float(t) for t in np.linspace(0.05, 0.95, 19)]
@@ -141,14 +141,12 @@ def eval_prob_or(scored: DataFrame, heads: Sequence[str], by: Sequence[str] = ()
 
 def calib_prior(scores: DataFrame, n_classes: int) -> DataFrame:
     """Class probabilities moved from balanced training priors to the observed ones and renormalised."""
-    n = scores.agg(*[F.count_if(F.col("y") == c).alias(f"n{c}") for c in range(n_classes)], F.count("*").alias("n"))
-    prior = n.select(F.lit(0).alias("_k"), F.array(*[F.col(f"n{c}") / F.col("n") * n_classes for c in range(n_classes)]).alias("f"))
-    d = scores.withColumn("_k", F.lit(0)).join(F.broadcast(prior), "_k").drop("_k")
-    moved = F.zip_with("probs", "f", lambda one_prob, one_factor: one_prob * one_factor)
-    d = d.withColumn("_m", moved)
+    n = scores.agg(*[F.count_if(F.col("y") == c) for c in range(n_classes)]).first()
+    factors = F.array(*[F.lit(x / sum(n) * n_classes) for x in n])
+    d = scores.withColumn("_m", F.zip_with("probs", factors, lambda one_prob, one_factor: one_prob * one_factor))
     total = F.aggregate("_m", F.lit(0.0), lambda sum_so_far, one_prob: sum_so_far + one_prob)
     d = d.withColumn("_t", F.when(total <= 0, 1.0).otherwise(total))
-    return d.withColumn("corrected", F.transform("_m", lambda one_prob: one_prob / F.col("_t"))).drop("_m", "_t", "f")
+    return d.withColumn("corrected", F.transform("_m", lambda one_prob: one_prob / F.col("_t"))).drop("_m", "_t")
 
 
 def calib_margin_argmax(scores: DataFrame, thresholds: Sequence[float]) -> DataFrame:
@@ -171,9 +169,12 @@ def calib_reliability(scored: DataFrame, by: Sequence[str] = HEAD) -> DataFrame:
 def histogram(df: DataFrame, value: str, by: Sequence[str], bins: int) -> DataFrame:
     """Counts in equal bins between the smallest and largest value of each group."""
     by = list(by)
-    keyed = df.withColumn("_k", F.lit(0))
-    lim = checked_broadcast(keyed.groupBy("_k", *by).agg(F.min(value).alias("lo"), F.max(value).alias("hi")))
-    d = keyed.join(lim, ["_k", *by])
+    ends = [F.min(value).alias("lo"), F.max(value).alias("hi")]
+    if by:
+        d = df.join(checked_broadcast(df.groupBy(*by).agg(*ends)), by)
+    else:
+        lo, hi = df.agg(*ends).first()
+        d = df.withColumns({"lo": F.lit(lo), "hi": F.lit(hi)})
     at = F.floor((F.col(value) - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * bins)
     b = F.least(F.coalesce(at, F.lit(0)), F.lit(bins - 1)).cast("int")
     return d.groupBy(*by, b.alias("bin")).agg(F.count("*").alias("n"))
@@ -293,11 +294,10 @@ def agg_tf_enrichment(corpus_tfs: DataFrame, min_freq: float = 0.001, eps: float
     cat = checked_broadcast(corpus_tfs.groupBy("category").agg(F.count("*").alias("n_cat")))
     n = corpus_tfs.select("category", F.explode(F.array_distinct("tfs")).alias("tf")).groupBy("tf", "category").agg(
         F.count("*").alias("n"))
-    total = cat.groupBy(F.lit(0).alias("_k")).agg(F.sum("n_cat").alias("n_all"))
-    tf = n.groupBy("tf").agg(F.sum("n").alias("n_tf")).withColumn("_k", F.lit(0))
-    grid = cat.withColumn("_k", F.lit(0)).join(tf, "_k").join(F.broadcast(total), "_k").drop("_k")
-    d = grid.join(n, ["tf", "category"], "left")
-    overall = F.col("n_tf") / F.col("n_all")
+    n_all = cat.agg(F.sum("n_cat")).first()[0]
+    tf = n.groupBy("tf").agg(F.sum("n").alias("n_tf"))
+    d = each_of(tf, cat, "category").join(cat, "category").join(n, ["tf", "category"], "left")
+    overall = F.col("n_tf") / n_all
     freq = F.coalesce("n", F.lit(0)) / F.col("n_cat")
     d = d.where(overall > min_freq).select("tf", "category", F.log2((freq + eps) / (overall + eps)).alias("log2fc"))
     return d.withColumn("score", F.max(F.abs("log2fc")).over(W.partitionBy("tf")))

@@ -197,13 +197,11 @@ def rna_marker_split(expr: DataFrame, clusters: DataFrame, marker: str) -> DataF
 def side_means(expr: DataFrame, clusters: DataFrame, inside: str = "ingroup") -> DataFrame:
     """Mean expression per gene over in-group and reference clusters, and their log2 ratio; absent pairs are zero."""
     c = checked_broadcast(clusters.select("cluster_id", F.col(inside).alias("_in")))
-    n = c.groupBy(F.lit(0).alias("_k")).agg(F.count_if("_in").alias("n_in"), F.count_if(~F.col("_in")).alias("n_ref"))
+    n_in, n_all = c.where("_in").count(), c.count()
     s = expr.join(c, "cluster_id").groupBy("gene").agg(
         F.sum(F.when(F.col("_in"), F.col("expr")).otherwise(0.0)).alias("si"),
         F.sum(F.when(~F.col("_in"), F.col("expr")).otherwise(0.0)).alias("sr"))
-    d = s.withColumn("_k", F.lit(0)).join(F.broadcast(n), "_k")
-    d = d.select("gene", F.coalesce(F.try_divide("si", "n_in"), F.lit(0.0)).alias("rna_in"),
-                 F.coalesce(F.try_divide("sr", "n_ref"), F.lit(0.0)).alias("rna_ref"))
+    d = s.select("gene", (F.col("si") / max(n_in, 1)).alias("rna_in"), (F.col("sr") / max(n_all - n_in, 1)).alias("rna_ref"))
     return d.withColumn("rna_log2fc", log2_ratio(F.col("rna_in"), F.col("rna_ref"), PSEUDO_RNA))
 
 

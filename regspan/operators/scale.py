@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 # A dimension is broadcast only when it is seen to hold no more rows than this.
 BROADCAST_ROWS = 20_000
 SALTS = 4
+# Longest list of names written into a plan.
+VOCABULARY = 5_000
 
 
 def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -23,6 +25,17 @@ def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFram
     return F.broadcast(df.sparkSession.createDataFrame(head, schema=df.schema))
 
 
+def each_of(df: DataFrame, names: DataFrame, col: str) -> DataFrame:
+    """Every row once per value of a vocabulary, as an explode of a short literal array.
+
+    A vocabulary that proves longer than ``VOCABULARY`` is joined instead.
+    """
+    words = names.select(col).distinct().limit(VOCABULARY + 1).collect()
+    if len(words) > VOCABULARY:
+        return df.withColumn("_k", F.lit(0)).join(names.select(col).withColumn("_k", F.lit(0)), "_k").drop("_k")
+    return df.withColumn(col, F.explode(F.array(*[F.lit(w[0]) for w in sorted(words)])))
+
+
 def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner",
                 salts: int = SALTS, spread: Sequence[str] | None = None) -> DataFrame:
     """Equi-join where one key of ``big`` may hold a large share of its rows.

@@ -14,7 +14,7 @@ from regspan.functions.coords import tf_short
 from regspan.functions.stats import mann_whitney_p
 from regspan.operators.pairwise import fdr_bh
 from regspan.operators.presence import win_topn_per_group
-from regspan.operators.scale import checked_broadcast, hashed_places, salted_join
+from regspan.operators.scale import checked_broadcast, each_of, hashed_places, salted_join
 from regspan.session import durable
 
 NUCLEUS = ["grp", "subtype", "nucleus"]
@@ -22,24 +22,15 @@ SUB = ["grp", "subtype"]
 BIMODAL = 5.0 / 9.0
 
 
-def _keyed(df: DataFrame) -> DataFrame:
-    return df.withColumn("_k", F.lit(0))
-
-
 def tf_names(tf_pct: DataFrame) -> DataFrame:
     """The TF vocabulary, a dimension."""
     return checked_broadcast(tf_pct.select("tf").distinct())
 
 
-def _with_n_tf(df: DataFrame, names: DataFrame) -> DataFrame:
-    n = names.groupBy(F.lit(0).alias("_k")).agg(F.count("*").alias("n_tf"))
-    return _keyed(df).join(F.broadcast(n), "_k").drop("_k")
-
-
 def zero_ranks(tf_pct: DataFrame, names: DataFrame) -> DataFrame:
     """Per nucleus: positive TFs and the average rank all its zero TFs share."""
     n = tf_pct.groupBy(*NUCLEUS).agg(F.count_if(F.col("pct") > 0).alias("nnz"))
-    return _with_n_tf(n, names).withColumn("zero_rank", (F.col("nnz") + F.col("n_tf") + 1) / 2.0)
+    return n.withColumn("n_tf", F.lit(names.count())).withColumn("zero_rank", (F.col("nnz") + F.col("n_tf") + 1) / 2.0)
 
 
 def positive_ranks(tf_pct: DataFrame) -> DataFrame:
@@ -53,7 +44,7 @@ def positive_ranks(tf_pct: DataFrame) -> DataFrame:
 def win_rank_within_nucleus(tf_pct: DataFrame) -> DataFrame:
     """Rank of every TF of the vocabulary in every nucleus, zeros included."""
     names = tf_names(tf_pct)
-    every = _keyed(zero_ranks(tf_pct, names)).join(_keyed(names), "_k").select(*NUCLEUS, "tf", "zero_rank")
+    every = each_of(zero_ranks(tf_pct, names).select(*NUCLEUS, "zero_rank"), names, "tf")
     return every.join(positive_ranks(tf_pct), [*NUCLEUS, "tf"], "left").select(
         *NUCLEUS, "tf", F.coalesce("pct", F.lit(0.0)).alias("pct"), F.coalesce("rank", "zero_rank").alias("rank"))
 
@@ -70,8 +61,7 @@ def _power_sums(tf_pct: DataFrame, names: DataFrame, powers: int) -> DataFrame:
     base = zero.groupBy(*SUB).agg(*[F.sum(F.pow(z - mid, F.lit(k))).alias(f"b{k}") for k in ks],
                                   F.count("*").alias("n_nuclei"), F.max("mid").alias("mid"),
                                   F.max("n_tf").alias("n_tf"))
-    grid = _keyed(base).join(_keyed(names), "_k").drop("_k")
-    d = grid.join(extra, [*SUB, "tf"], "left")
+    d = each_of(base, names, "tf").join(extra, [*SUB, "tf"], "left")
     return d.select(*SUB, "tf", "n_nuclei", "n_tf", "mid", F.coalesce("held", F.lit(0)).alias("held"),
                     *[(F.col(f"b{k}") + F.coalesce(f"x{k}", F.lit(0.0))).alias(f"s{k}") for k in ks])
 
@@ -224,8 +214,7 @@ def permuted_labels(nuclei: DataFrame, perms: int, seed: int) -> DataFrame:
 
 def _between_sd(sums: DataFrame, base: DataFrame, names: DataFrame, key: list[str]) -> DataFrame:
     """SD over labels of the SD over nuclei of the rank, from sums of positive pairs and zero-rank totals."""
-    grid = _keyed(base).join(_keyed(names), "_k").drop("_k")
-    d = grid.join(sums, [*key, "label", "tf"], "left")
+    d = each_of(base, names, "tf").join(sums, [*key, "label", "tf"], "left")
     s1 = F.col("b1") + F.coalesce("x1", F.lit(0.0))
     s2 = F.col("b2") + F.coalesce("x2", F.lit(0.0))
     var = (s2 - s1 * s1 / F.col("n")) / F.greatest(F.col("n") - 1, F.lit(1))

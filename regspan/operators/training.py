@@ -42,10 +42,9 @@ def feat_kmer_vector(seqs: DataFrame, seq: str = "sequence", k: int = 6) -> Data
 
 def balanced_weight(df: DataFrame, label: str) -> DataFrame:
     """Row weight N / (2 n_class)."""
-    n = df.agg(F.count("*").alias("_n"), F.sum(label).cast("double").alias("_p")).withColumn("_k", F.lit(0))
-    d = df.withColumn("_k", F.lit(0)).join(F.broadcast(n), "_k")
-    of = F.when(F.col(label) == 1, F.col("_p")).otherwise(F.col("_n") - F.col("_p"))
-    return d.withColumn("weight", F.col("_n") / (F.greatest(of, F.lit(1.0)) * 2)).drop("_k", "_n", "_p")
+    n, pos = df.agg(F.count("*"), F.count_if(F.col(label) == 1)).first()
+    weight = F.when(F.col(label) == 1, n / (2 * max(pos, 1))).otherwise(n / (2 * max(n - pos, 1)))
+    return df.withColumn("weight", weight)
 
 
 def _scores(model, test: DataFrame, label: str, key: list[str]) -> DataFrame:

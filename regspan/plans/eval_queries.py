@@ -310,7 +310,7 @@ def _(fx):
     return _sequences(fx).select("chrom", "peak_start", "peak_end", "sequence")
 
 
-@query("seq_window_small_tiles", SEQ_SQL)
+@query("join_seq_window", SEQ_SQL)
 def _(fx):
     return _sequences(fx, 1000).select("chrom", "peak_start", "peak_end", "sequence")
 

@@ -314,7 +314,7 @@ tested_reg AS ({tested_sql('pair_rows_reg')})
 SELECT {', '.join(TEST_COLS)}, round(fdr, 8) AS fdr, round(global_fdr, 8) AS global_fdr FROM tested_reg""")
 def _(fx):
     p = Presence(fx)
-    t = T.test_fisher_pairs(P.filter_regulatory_multi(p.kept), p.sizes)
+    t = T.test_fisher_pairs(durable(P.filter_regulatory_multi(p.kept)), p.sizes)
     return rounded(t.select(*TEST_COLS, "fdr", "global_fdr"), ["fdr", "global_fdr"], 8)
 
 

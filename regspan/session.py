@@ -47,8 +47,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new, unused path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    """A new, unused path below the shared folder; one application keeps all of its own together."""
+    app = spark.sparkContext.applicationId
+    return f"{shared_dir(spark).rstrip('/')}/regspan-{app}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def durable(df: DataFrame) -> DataFrame:

@@ -178,15 +178,14 @@ def test_sparse_spearman_is_the_dense_one(spark):
     rows = [(f"m{i}", f"r{j}", float(m[i, j])) for i in range(5) for j in range(30) if m[i, j] > 0]
     v = spark.createDataFrame(rows, "member string, region_id string, pct double")
     members = spark.createDataFrame([(f"m{i}",) for i in range(5)], "member string")
-    n = spark.createDataFrame([(30,)], "n_all long")
-    got = {(r.a, r.b): r.divergence for r in X.div_spearman(v, members, n).collect()}
+    got = {(r.a, r.b): r.divergence for r in X.div_spearman(v, members, 30).collect()}
     rk = np.array([[(row < x).sum() + ((row == x).sum() + 1) / 2 for x in row] for row in m])
     for a, b in combinations(range(5), 2):
         if b == 4:
             assert got[(f"m{a}", "m4")] is None
         else:
             assert math.isclose(got[(f"m{a}", f"m{b}")], 1 - np.corrcoef(rk[a], rk[b])[0, 1], rel_tol=1e-9, abs_tol=1e-12)
-    flat = {(r.a, r.b): r.divergence for r in X.div_spearman(v, members, n, undefined_as_zero=True).collect()}
+    flat = {(r.a, r.b): r.divergence for r in X.div_spearman(v, members, 30, undefined_as_zero=True).collect()}
     assert flat[("m0", "m4")] == 1.0
 
 
