@@ -50,10 +50,16 @@ def zero_masks(tf_pct: DataFrame, informative: DataFrame) -> DataFrame:
         *SUB, "mask").agg(F.count("*").alias("w"))
 
 
-def _count_sets(masks: DataFrame, sets: DataFrame, names: list[str]) -> DataFrame:
-    """Nuclei whose pattern holds all bits of a candidate set."""
-    return masks.join(checked_broadcast(sets), SUB).where(F.col("mask").bitwiseAND(F.col("bits")) == F.col("bits")).groupBy(
-        *SUB, *names).agg(F.sum("w").alias("support_count"))
+def _count_sets(masks: DataFrame, sets: DataFrame) -> DataFrame:
+    """Nuclei whose pattern holds all bits of a candidate set, per set.
+
+    The candidates of a subtype (at most 19,600 triples of 50 TFs) travel as
+    one array, so the patterns of a large subtype stay spread over tasks.
+    """
+    packed = checked_broadcast(sets.groupBy(*SUB).agg(F.collect_list("bits").alias("sets")))
+    held = F.filter("sets", lambda set_bits: set_bits.bitwiseAND(F.col("mask")) == set_bits)
+    return masks.join(packed, SUB).select(*SUB, "w", F.explode(held).alias("bits")).groupBy(*SUB, "bits").agg(
+        F.sum("w").alias("support_count"))
 
 
 def fim_cozero(tf_pct: DataFrame, top: int = TOP_TF) -> DataFrame:
@@ -70,14 +76,12 @@ def fim_cozero(tf_pct: DataFrame, top: int = TOP_TF) -> DataFrame:
     item = lambda x: one.select(*SUB, F.col("idx").alias(x), F.col("tf").alias(f"t{x}"), F.expr(
         "shiftleft(1L, idx)").alias(f"b{x}"), *(["n_cell", "min_support"] if x == "i" else []))
     cand2 = item("i").join(item("j"), SUB).where("i < j").withColumn("bits", F.expr("bi | bj"))
-    n2 = _count_sets(masks, cand2.select(*SUB, "i", "j", "bits"), ["i", "j"])
-    pairs = durable(cand2.join(n2, [*SUB, "i", "j"]).where("support_count >= min_support"))
+    pairs = durable(cand2.join(_count_sets(masks, cand2), [*SUB, "bits"]).where("support_count >= min_support"))
     right = pairs.select(*SUB, F.col("i").alias("j"), F.col("j").alias("k"), F.col("tj").alias("tk"), F.col("bj").alias("bk"))
     close = pairs.select(*SUB, "i", F.col("j").alias("k"))
     cand3 = pairs.select(*SUB, "i", "j", "ti", "tj", "n_cell", "min_support", F.col("bits").alias("b2")).join(
         right, [*SUB, "j"]).join(close, [*SUB, "i", "k"], "left_semi").withColumn("bits", F.expr("b2 | bk"))
-    n3 = _count_sets(masks, cand3.select(*SUB, "i", "j", "k", "bits"), ["i", "j", "k"])
-    triples = cand3.join(n3, [*SUB, "i", "j", "k"]).where("support_count >= min_support")
+    triples = cand3.join(_count_sets(masks, cand3), [*SUB, "bits"]).where("support_count >= min_support")
     names = lambda *t: F.array_join(F.array(*[tf_short(x) for x in t]), " + ")
     out = lambda df, size, *t: df.select(*SUB, F.lit(size).alias("size"), names(*t).alias("tfs"), "support_count",
                                          (F.col("support_count") * 100.0 / F.col("n_cell")).alias("support_pct"))
@@ -105,7 +109,6 @@ def fim_pair_matrix(tf_pct: DataFrame, top: int = TOP_TF) -> DataFrame:
     item = lambda x: inf.select(*SUB, F.col("idx").alias(x), F.col("tf").alias(f"tf_{x}"), "n_cell")
     cand = item("i").join(item("j").drop("n_cell"), SUB).where("i <= j").withColumn(
         "bits", F.expr("shiftleft(1L, i) | shiftleft(1L, j)"))
-    n = _count_sets(masks, cand.select(*SUB, "i", "j", "bits"), ["i", "j"])
-    return cand.join(n, [*SUB, "i", "j"], "left").select(
+    return cand.join(_count_sets(masks, cand), [*SUB, "bits"], "left").select(
         *SUB, tf_short("tf_i").alias("tf_i"), tf_short("tf_j").alias("tf_j"),
         (F.coalesce("support_count", F.lit(0)) * 100.0 / F.col("n_cell")).alias("cozero_pct"))

@@ -8,7 +8,7 @@ from regspan.functions import recode as R
 from regspan.functions.coords import log2_ratio, stars
 from regspan.functions.stats import fisher_p, odds_ratio
 from regspan.operators.presence import PSEUDO, REGION, win_topn_per_group
-from regspan.operators.scale import checked_broadcast, running_totals, salted_join, unit_bucket
+from regspan.operators.scale import checked_broadcast, exact_quantiles, running_totals, salted_join, unit_bucket
 from regspan.session import durable
 
 PAIR = ["grp", "a", "b"]
@@ -122,13 +122,10 @@ def agg_fdr_histogram(tested: DataFrame, bins: int = 50) -> DataFrame:
 
 
 def agg_diff_spread(metrics: DataFrame) -> DataFrame:
-    """Quartiles of the difference per simplified type, from distinct values and their counts."""
-    v = metrics.groupBy("grp", R.recode_simplify_type("region_type").alias("simple_type"), "diff_pct").agg(
-        F.count("*").alias("m"))
-    q = lambda p: F.percentile("diff_pct", F.lit(p), F.col("m"))
-    return v.groupBy("grp", "simple_type").agg(
-        F.sum("m").alias("n"), F.min("diff_pct").alias("q0"), q(0.25).alias("q1"), q(0.5).alias("q2"),
-        q(0.75).alias("q3"), F.max("diff_pct").alias("q4"))
+    """Quartiles of the difference per simplified type."""
+    typed = metrics.withColumn("simple_type", R.recode_simplify_type("region_type"))
+    q = exact_quantiles(typed, ["grp", "simple_type"], "diff_pct", {"q1": 0.25, "q2": 0.5, "q3": 0.75})
+    return q.withColumnsRenamed({"smallest": "q0", "largest": "q4"})
 
 
 def sig_region_union(tested: DataFrame, alpha: float = 0.05) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from regspan.functions import recode as R
 from regspan.functions.coords import log2_ratio, stars
-from regspan.operators.scale import checked_broadcast
+from regspan.operators.scale import checked_broadcast, salted_join
 
 SPAN = ["chrom", "r_start", "r_end"]
 REGION = ["grp", *SPAN]
@@ -172,7 +172,7 @@ def win_rankings(sample_counts: DataFrame) -> DataFrame:
     dist = d.groupBy("sample", "subtype", "cnt").agg(F.count("*").alias("m"))
     above = W.partitionBy("sample", "subtype").orderBy(F.desc("cnt")).rowsBetween(W.unboundedPreceding, -1)
     dist = dist.select("sample", "subtype", "cnt", (F.coalesce(F.sum("m").over(above), F.lit(0)) + 1).alias("rank"))
-    return d.join(checked_broadcast(dist), ["sample", "subtype", "cnt"]).select(
+    return salted_join(d, dist, ["sample", "subtype", "cnt"]).select(
         "sample", "subtype", *SPAN, "cnt", "pct", "rank")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from regspan.functions.coords import log2_ratio
 from regspan.operators.intervals import join_gene_body, join_nearest_tss
 from regspan.operators.pairwise import fdr_bh
-from regspan.operators.scale import checked_broadcast
+from regspan.operators.scale import checked_broadcast, exact_quantiles
 from regspan.operators.tf import mann_whitney
 from regspan.session import durable
 
@@ -237,16 +237,15 @@ def agg_celltype_qc(meta: DataFrame) -> DataFrame:
     """Per subtype: cells assigned, selected and analysed, QC medians, doublet share, most frequent class.
 
     ``meta`` has grp, subtype, cell_class, analysed (bool), selected (bool),
-    qc and doublet. Medians come from distinct values and their counts; the
-    first name wins a tie of the class.
+    qc and doublet. The first name wins a tie of the class.
     """
     base = meta.groupBy("grp", "subtype").agg(
         F.count("*").alias("n_assigned"), F.count_if("selected").alias("n_selected"),
         F.count_if(F.col("selected") & F.col("analysed")).alias("n_analysed"),
         (F.count_if(F.col("selected") & (F.col("doublet") > 0.5)) * 100.0 / F.nullif(
             F.count_if("selected"), F.lit(0))).alias("doublet_pct"))
-    v = meta.where("selected").groupBy("grp", "subtype", "qc").agg(F.count("*").alias("m"))
-    med = v.groupBy("grp", "subtype").agg(F.percentile("qc", F.lit(0.5), F.col("m")).alias("qc_median"))
+    med = exact_quantiles(meta.where("selected"), ["grp", "subtype"], "qc", {"qc_median": 0.5}).select(
+        "grp", "subtype", "qc_median")
     c = meta.groupBy("grp", "subtype", "cell_class").agg(F.count("*").alias("n"))
     mode = c.groupBy("grp", "subtype").agg(F.min_by("cell_class", F.struct((-F.col("n")).alias("x"), "cell_class")).alias(
         "cell_class"))

@@ -91,6 +91,35 @@ def unit_bucket(x: str | Column) -> Column:
     return F.when(c <= 0, -end).when(c >= 1, end).when(c <= 0.5, low).otherwise(high).cast("int")
 
 
+def value_bucket(x: str) -> Column:
+    """Buckets of any number that rise with it: 64 steps per doubling of the distance to zero."""
+    c = F.col(x).cast("double")
+    step = F.floor(F.log2(F.abs(c) + 1) * 64)
+    return F.when(c < 0, -step - 1).otherwise(step).cast("int")
+
+
+def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, points: dict[str, float]) -> DataFrame:
+    """Exact quantiles with linear interpolation, from distinct values and running counts.
+
+    ``points`` maps column names to probabilities. NULL values do not count. No
+    task holds all values of a group.
+    """
+    by = list(by)
+    d = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("m"))
+    t = running_totals(d, by, value, value_bucket(value), ["m"])
+    v = F.col(value).cast("double")
+
+    def quantile(p: float) -> Column:
+        at = (F.max("all_m") - 1) * p
+        # values at the two whole positions around ``at``; positions are found per row
+        lo = F.min(F.when(F.col("cum_m") > F.floor((F.col("all_m") - 1) * p), v))
+        hi = F.min(F.when(F.col("cum_m") > F.ceil((F.col("all_m") - 1) * p), v))
+        return lo + (hi - lo) * (at - F.floor(at))
+
+    return t.groupBy(*by).agg(F.max("all_m").alias("n"), F.min(v).alias("smallest"), F.max(v).alias("largest"),
+                              *[quantile(p).alias(name) for name, p in points.items()])
+
+
 def hashed_places(df: DataFrame, by: Sequence[str], mix: str, *tie: str) -> DataFrame:
     """Zero-based ``place`` of each row in the order of a hex digest, within ``by``.
 

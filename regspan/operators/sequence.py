@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from regspan.functions.sequence import kmers
+from regspan.operators.scale import salted_join
 
 WINDOW = 512
 TILE = 65_536
@@ -39,7 +40,7 @@ def seq_window(peaks: DataFrame, tiles: DataFrame, start: str = "peak_start", en
     n = F.greatest(F.least(F.col("_l") + window, F.col("chrom_len")) - F.col("_s"), F.lit(0))
     raw = F.substring("piece", (F.col("_s") - F.col("tile") * tile + 1).cast("int"), n.cast("int"))
     got = d.select("chrom", start, end, F.rpad(F.upper(raw), window, "N").alias("sequence"))
-    return peaks.join(got, ["chrom", start, end])
+    return salted_join(peaks, got, ["chrom", start, end])
 
 
 def seq_kmer(seqs: DataFrame, key: list[str], seq: str = "sequence", k: int = 6) -> DataFrame:

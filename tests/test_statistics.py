@@ -143,3 +143,31 @@ def test_a_score_of_one_is_in_no_reliability_bin(spark):
     df = spark.createDataFrame([("h", 1, 1, 1.0), ("h", 2, 0, 0.3), ("h", 3, 1, 0.0)], "head string, row_id long, y int, p double")
     got = {r.bin: r.n for r in E.calib_reliability(df).collect()}
     assert got == {int(np.digitize(0.3, np.linspace(0, 1, 11))) - 1: 1, 0: 1}
+
+
+def test_exact_quantiles(spark):
+    rng = np.random.default_rng(6)
+    groups = {"a": np.round(rng.normal(0, 50, 301), 1), "b": np.array([3.0]), "c": np.array([-2.0, -2.0, 5.0, 1e9])}
+    rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("a", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    q = {"q1": 0.25, "q2": 0.5, "q9": 0.9}
+    for r in C.exact_quantiles(df, ["g"], "v", q).collect():
+        assert r.n == len(groups[r.g])
+        for name, p in q.items():
+            assert math.isclose(r[name], np.quantile(groups[r.g], p), rel_tol=1e-9, abs_tol=1e-12)
+
+
+def test_hashed_places_number_each_group(spark):
+    df = spark.range(1000).select("id", (F.col("id") % 3 == 0).alias("hot"), F.md5(F.col("id").cast("string")).alias("h"))
+    got = C.hashed_places(df, ["hot"], "h", "id").collect()
+    for flag in (True, False):
+        want = [r.id for r in sorted((r for r in got if r.hot == flag), key=lambda r: r.h)]
+        assert [r.id for r in sorted((r for r in got if r.hot == flag), key=lambda r: r.place)] == want
+        assert sorted(r.place for r in got if r.hot == flag) == list(range(len(want)))
+
+
+def test_score_buckets_rise_with_the_score(spark):
+    v = sorted({0.0, 1.0, 0.5, 1e-300, 5e-324, 1 - 2 ** -53, 1 - 1e-9} | set(np.random.default_rng(7).uniform(0, 1, 300)))
+    got = [r.b for r in spark.createDataFrame([(float(x),) for x in v], "x double").coalesce(1).orderBy("x").select(
+        C.unit_bucket("x").alias("b")).collect()]
+    assert got == sorted(got)
