@@ -66,18 +66,19 @@ def fix_chrom(x: str | Column) -> Column:
     return F.regexp_replace(_col(x), "^Chr_", "chr")
 
 
-def _first_containing(text: Column, rules: list[tuple[Column, str]], default: str) -> Column:
-    out = F
-    for test, label in rules:
-        out = out.when(test, label)
-    return out.otherwise(default)
+def first_match(rules: list[tuple[Column, str]], default: str | Column) -> Column:
+    """Label of the first rule that holds."""
+    out = default if isinstance(default, Column) else F.lit(default)
+    for test, label in reversed(rules):
+        out = F.when(test, F.lit(label)).otherwise(out)
+    return out
 
 
 def recode_simplify_type(raw: str | Column) -> Column:
     """Compound region type to one of seven; insulators are tested before enhancers."""
     t = F.lower(_col(raw))
     has = t.contains
-    return _first_containing(t, [
+    return first_match([
         (has("uncharacterized"), "uncharacterized"),
         (has("insulator") | has("enhancer_blocking"), "insulator"),
         (has("enhancer"), "enhancer"),
@@ -90,7 +91,7 @@ def recode_simplify_type(raw: str | Column) -> Column:
 def recode_known_class(raw: str | Column) -> Column:
     t = F.lower(_col(raw))
     has = t.contains
-    return _first_containing(t, [
+    return first_match([
         (has("enhancer"), "known|enhancer"),
         (has("silencer"), "known|silencer"),
         (has("promoter"), "known|promoter"),
@@ -105,14 +106,12 @@ def recode_group(source: str | Column, subtype: str | Column | None = None, keep
     one subtype counts, because its others repeat standalone sources.
     """
     s = _col(source)
-    out = F
-    for prefix, grp in SOURCE_PREFIX_GROUPS.items():
-        out = out.when(s.startswith(prefix), grp)
     names = SOURCE_NAME_GROUPS | {g: g for g in PLAIN_GROUPS}
     hit = lookup(s, names)
     if subtype is not None:
         hit = F.when((s == SPLIT_SOURCE) & (_col(subtype) == SPLIT_SUBTYPE), SPLIT_SUBTYPE).otherwise(hit)
-    return out.otherwise(F.coalesce(hit, s) if keep_unknown else hit)
+    rules = [(s.startswith(prefix), grp) for prefix, grp in SOURCE_PREFIX_GROUPS.items()]
+    return first_match(rules, F.coalesce(hit, s) if keep_unknown else hit)
 
 
 def recode_5class(label: str | Column) -> Column:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from regspan.functions.coords import tf_short
@@ -10,6 +14,7 @@ from regspan.session import durable
 
 SUB = ["grp", "subtype"]
 TOP_TF = 50
+MASK_BITS = 62
 ZERO_LOW, ZERO_HIGH = 0.05, 0.95
 MIN_SUPPORT_N, MIN_SUPPORT_SHARE = 10, 0.02
 
@@ -24,6 +29,8 @@ def fim_informative(tf_pct: DataFrame, top: int = TOP_TF, low: float = ZERO_LOW,
     A TF that no nucleus of the subtype binds is unbound everywhere and drops out.
     ``idx`` is the place in variance order.
     """
+    if top > MASK_BITS:
+        raise ValueError(f"at most {MASK_BITS} TFs fit one bit pattern")
     held = tf_pct.where("pct > 0").groupBy(*SUB, "tf").agg(F.count("*").alias("held"))
     n = checked_broadcast(_nuclei(tf_pct))
     n_zero = F.col("n_cell") - F.col("held")
@@ -37,7 +44,7 @@ def fim_informative(tf_pct: DataFrame, top: int = TOP_TF, low: float = ZERO_LOW,
 def zero_masks(tf_pct: DataFrame, informative: DataFrame) -> DataFrame:
     """Distinct patterns of unbound informative TFs, as bits, with the number of nuclei that show each.
 
-    At most 50 TFs fit one number. Nuclei collapse to patterns before any set is counted.
+    Nuclei collapse to patterns before any set is counted.
     """
     inf = checked_broadcast(informative.select(*SUB, "tf", "idx"))
     bound = tf_pct.where("pct > 0").join(inf, [*SUB, "tf"]).groupBy(*SUB, "nucleus").agg(
@@ -50,24 +57,53 @@ def zero_masks(tf_pct: DataFrame, informative: DataFrame) -> DataFrame:
         *SUB, "mask").agg(F.count("*").alias("w"))
 
 
-def _count_sets(masks: DataFrame, sets: DataFrame) -> DataFrame:
-    """Nuclei whose pattern holds all bits of a candidate set, per set.
+def _pairs_in(z: np.ndarray, w: np.ndarray, bit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n = (z * w[:, None]).T @ z
+    i, j = np.triu_indices(len(bit), 1)
+    return bit[i] | bit[j], n[i, j]
+
+
+def _triples_in(z: np.ndarray, w: np.ndarray, bit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    sets, counts = [np.zeros(0, dtype=np.int64)], [np.zeros(0)]
+    for first in range(len(bit) - 2):
+        rest = slice(first + 1, None)
+        pair, n = _pairs_in(z[:, rest], w * z[:, first], bit[rest])
+        sets.append(pair | bit[first])
+        counts.append(n)
+    return np.concatenate(sets), np.concatenate(counts)
+
 
-    The candidates of a subtype (at most 19,600 triples of 50 TFs) travel as
-    one array, so the patterns of a large subtype stay spread over tasks.
+def _count_sets(masks: DataFrame, size: int) -> DataFrame:
+    """Nuclei per set of two or three jointly unbound TFs.
+
+    Each task multiplies the bit matrix of its patterns and hands on one count
+    per set (at most 19,600 of 50 TFs) and subtype; the counts are then added
+    up. Work per row is large, so patterns are dealt to all cores.
     """
-    packed = checked_broadcast(sets.groupBy(*SUB).agg(F.collect_list("bits").alias("sets")))
-    held = F.filter("sets", lambda set_bits: set_bits.bitwiseAND(F.col("mask")) == set_bits)
-    return masks.join(packed, SUB).select(*SUB, "w", F.explode(held).alias("bits")).groupBy(*SUB, "bits").agg(
-        F.sum("w").alias("support_count"))
+    count = {2: _pairs_in, 3: _triples_in}[size]
+
+    def in_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for (grp, subtype), part in batch.groupby(SUB, sort=False):
+                mask = part["mask"].to_numpy(dtype=np.int64)
+                place = np.arange(MASK_BITS, dtype=np.int64)
+                z = ((mask[:, None] >> place) & 1).astype(np.float64)
+                used = np.flatnonzero(z.any(axis=0))
+                bits, n = count(z[:, used], part["w"].to_numpy(dtype=np.float64), np.int64(1) << place[used])
+                hit = n > 0
+                yield pd.DataFrame({"grp": grp, "subtype": subtype, "bits": bits[hit], "n": n[hit].astype(np.int64)})
+
+    cores = masks.sparkSession.sparkContext.defaultParallelism
+    return masks.repartition(cores).mapInPandas(in_batches, "grp string, subtype string, bits bigint, n bigint").groupBy(
+        *SUB, "bits").agg(F.sum("n").alias("support_count"))
 
 
 def fim_cozero(tf_pct: DataFrame, top: int = TOP_TF) -> DataFrame:
     """Frequent co-unbound sets of one to three TFs per subtype.
 
     Support is at least ``max(10, 2 % of nuclei)``, the share rounded half to
-    even. Triples are tried only when all their pairs are frequent. Candidates
-    per subtype are bounded by the 50 informative TFs.
+    even. Candidates per subtype are bounded by the 50 informative TFs; only
+    triples whose pairs are all frequent are named.
     """
     inf = durable(fim_informative(tf_pct, top))
     masks = durable(zero_masks(tf_pct, inf))
@@ -76,12 +112,12 @@ def fim_cozero(tf_pct: DataFrame, top: int = TOP_TF) -> DataFrame:
     item = lambda x: one.select(*SUB, F.col("idx").alias(x), F.col("tf").alias(f"t{x}"), F.expr(
         "shiftleft(1L, idx)").alias(f"b{x}"), *(["n_cell", "min_support"] if x == "i" else []))
     cand2 = item("i").join(item("j"), SUB).where("i < j").withColumn("bits", F.expr("bi | bj"))
-    pairs = durable(cand2.join(_count_sets(masks, cand2), [*SUB, "bits"]).where("support_count >= min_support"))
+    pairs = durable(cand2.join(_count_sets(masks, 2), [*SUB, "bits"]).where("support_count >= min_support"))
     right = pairs.select(*SUB, F.col("i").alias("j"), F.col("j").alias("k"), F.col("tj").alias("tk"), F.col("bj").alias("bk"))
     close = pairs.select(*SUB, "i", F.col("j").alias("k"))
     cand3 = pairs.select(*SUB, "i", "j", "ti", "tj", "n_cell", "min_support", F.col("bits").alias("b2")).join(
         right, [*SUB, "j"]).join(close, [*SUB, "i", "k"], "left_semi").withColumn("bits", F.expr("b2 | bk"))
-    triples = cand3.join(_count_sets(masks, cand3), [*SUB, "bits"]).where("support_count >= min_support")
+    triples = cand3.join(_count_sets(masks, 3), [*SUB, "bits"]).where("support_count >= min_support")
     names = lambda *t: F.array_join(F.array(*[tf_short(x) for x in t]), " + ")
     out = lambda df, size, *t: df.select(*SUB, F.lit(size).alias("size"), names(*t).alias("tfs"), "support_count",
                                          (F.col("support_count") * 100.0 / F.col("n_cell")).alias("support_pct"))
@@ -106,9 +142,10 @@ def fim_pair_matrix(tf_pct: DataFrame, top: int = TOP_TF) -> DataFrame:
     """Percent of nuclei in which two informative TFs are both unbound; the diagonal is the zero rate."""
     inf = durable(fim_informative(tf_pct, top))
     masks = zero_masks(tf_pct, inf)
-    item = lambda x: inf.select(*SUB, F.col("idx").alias(x), F.col("tf").alias(f"tf_{x}"), "n_cell")
-    cand = item("i").join(item("j").drop("n_cell"), SUB).where("i <= j").withColumn(
+    item = lambda x: inf.select(*SUB, F.col("idx").alias(x), F.col("tf").alias(f"tf_{x}"), "n_cell", "n_zero")
+    cand = item("i").join(item("j").drop("n_cell", "n_zero"), SUB).where("i <= j").withColumn(
         "bits", F.expr("shiftleft(1L, i) | shiftleft(1L, j)"))
-    return cand.join(_count_sets(masks, cand), [*SUB, "bits"], "left").select(
+    both = F.when(F.col("i") == F.col("j"), F.col("n_zero")).otherwise(F.coalesce("support_count", F.lit(0)))
+    return cand.join(_count_sets(masks, 2), [*SUB, "bits"], "left").select(
         *SUB, tf_short("tf_i").alias("tf_i"), tf_short("tf_j").alias("tf_j"),
-        (F.coalesce("support_count", F.lit(0)) * 100.0 / F.col("n_cell")).alias("cozero_pct"))
+        (both * 100.0 / F.col("n_cell")).alias("cozero_pct"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from regspan.functions import recode as R
 from regspan.functions.coords import log2_ratio
 from regspan.operators.intervals import join_gene_body, join_nearest_tss
 from regspan.operators.pairwise import fdr_bh
@@ -178,12 +179,9 @@ def rna_label_cluster(meta: DataFrame, expr: DataFrame, d1: str, d2: str, min_ce
     gap = F.col("_d1") - F.col("_d2")
     msn = F.when(gap > MARKER_MARGIN, "D1-MSN").when(-gap > MARKER_MARGIN, "D2-MSN").otherwise("MSN-other/eccentric")
     low = F.lower("top_dissection")
-    words = F
-    for word, lab in DISSECTION_LABELS.items():
-        words = words.when(low.contains(word), lab)
-    label = (F.when(F.col("supercluster") == "MSN", msn).when(F.col("supercluster") == "MidbrDA",
-                                                              words.otherwise("Midbrain-DA"))
-             .otherwise(F.col("supercluster")))
+    words = R.first_match([(low.contains(word), lab) for word, lab in DISSECTION_LABELS.items()], "Midbrain-DA")
+    label = F.when(F.col("supercluster") == "MSN", msn).when(F.col("supercluster") == "MidbrDA", words).otherwise(
+        F.col("supercluster"))
     return m.where(F.col("n_cells") >= min_cells).withColumn("label", label).drop("_d1", "_d2")
 
 

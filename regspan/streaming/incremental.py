@@ -13,11 +13,12 @@ def write_delta(batch: DataFrame, batch_id: int, table: str) -> None:
     A batch overwrites its own folder, so running it again after a failure
     changes nothing. A cell arrives in one file, hence in one batch, and counts add up.
     """
-    cells = batch.select("subtype", "cell_id", "chrom", "r_start", "r_end").distinct()
+    cells = batch.select("subtype", "cell_id", "chrom", "r_start", "r_end").distinct().persist()
     counts = cells.where("chrom IS NOT NULL").groupBy(*KEY).agg(F.count("*").alias("cnt"))
     n = cells.groupBy("subtype").agg(F.count_distinct("cell_id").alias("n_cells"))
     counts.write.mode("overwrite").parquet(f"{table}/counts/batch={batch_id}")
     n.write.mode("overwrite").parquet(f"{table}/cells/batch={batch_id}")
+    cells.unpersist()
 
 
 def incr_new_cells(spark: SparkSession, source: str, schema: T.StructType, table: str, checkpoint: str,
