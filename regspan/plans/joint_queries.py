@@ -97,10 +97,15 @@ class Joint(Presence):
 
     def __init__(self, fx, view: str = "all"):
         super().__init__(fx, view)
-        preds = self.pick(fx.predictions)
-        self.predictions = preds
         self.min_cells = LOW[f"_{view}"]
-        self.loci = J.agg_bin_consensus(preds, self.sizes)
+
+    @cached_property
+    def predictions(self):
+        return self.pick(self.fx.predictions)
+
+    @cached_property
+    def loci(self):
+        return J.agg_bin_consensus(self.predictions, self.sizes)
 
     def novel(self, how="sum"):
         return J.agg_novel_merge(self.loci, self.sizes, how, self.min_cells)

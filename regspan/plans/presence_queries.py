@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import functions as F
 
 from regspan.functions.coords import coord
@@ -104,11 +106,24 @@ class Presence:
     """
 
     def __init__(self, fx, view: str = "all"):
+        self.fx, self.view = fx, view
         self.pick = {"all": fx.one_group, "grp": lambda d: d, "lab": fx.one_group_of_labels}[view]
-        self.tags = self.pick(fx.source_tags)
-        self.sizes = P.group_sizes(self.pick(fx.cells))
-        self.counts = P.agg_presence_counts(self.tags, self.sizes)
-        self.kept = P.filter_min_cells(self.counts, 4 if view == "grp" else P.MIN_CELLS)
+
+    @cached_property
+    def tags(self):
+        return self.pick(self.fx.source_tags)
+
+    @cached_property
+    def sizes(self):
+        return P.group_sizes(self.pick(self.fx.cells))
+
+    @cached_property
+    def counts(self):
+        return P.agg_presence_counts(self.tags, self.sizes)
+
+    @cached_property
+    def kept(self):
+        return P.filter_min_cells(self.counts, 4 if self.view == "grp" else P.MIN_CELLS)
 
     def metrics(self):
         return P.agg_pct_metrics(self.kept, self.sizes)

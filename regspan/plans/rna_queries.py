@@ -112,7 +112,6 @@ class Rna(Joint):
 
     def __init__(self, fx):
         super().__init__(fx, "lab")
-        self.fx = fx
         names = [r["subtype"] for r in self.sizes.select("subtype").collect()]
         self.inside = [s for s in names if s[:2] in ("G0", "G1")]
         self.ref = [s for s in names if s not in self.inside]
