@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from regspan.llm import byte_bpe, media, packing, simhash
+from regspan.llm import byte_bpe, language, media, packing, quality, secrets, simhash, toxicity, urls, vectors
 from regspan.llm.common import held_out, table
 
 #: Vocabulary files are found by the installed package of public tokenizers.
@@ -23,6 +23,27 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), "toxic", divisor=5, left_out=0)
+    return toxicity.score(docs, model).select(
+        "doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        F.size("passages").alias("n_passages"))
+
+
+def _joined(spans, *parts):
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", *[s[p] for p in parts])), ",")
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint")
+    base = F.filter("spans", lambda s: s["kind"] != "literal")
+    part = ("kind", "start", "end")
+    return found.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),
+                        F.sha2(_joined(base, *part).cast("binary"), 256).alias("base_sha256"), _joined(F.col("spans"), *part).alias("spans"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE), size=2048)
 
@@ -36,6 +57,20 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat_ws(":", F.size("pairs"), F.lower(F.hex(F.xxhash64("pairs")))).alias("feature"))
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.predict(docs, language.fit(docs, divisor=3, left_out=1)).select(
+        "doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "lang_pred", "score")
+
+
+def op7_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"), least=0.98)
+
+
+def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -45,5 +80,14 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("raw", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op4_packing, op5_media, op9_byte_bpe)}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = quality.fit(docs, table(spark, sf_dir, "labels"), "quality", divisor=5, left_out=0)
+    return quality.score(docs, net).select(
+        "doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_secrets, op4_packing, op5_media, op6_language, op7_vectors, op8_urls,
+                                   op9_byte_bpe, op10_quality)}
+#: None of them has SQL: their methods or their digests are not expressible there; tests/llm holds them against brute force.
 ORACLE_SQL: dict[str, str] = {}
