@@ -21,7 +21,7 @@ from regspan.llm import components as CC
 from regspan.llm.common import map_rows
 from regspan.session import durable
 
-SEED = 42
+SEED, SECOND_SEED = 42, 43
 #: Fingerprints compared at once inside one bucket; a larger bucket is compared block by block.
 BLOCK = 4096
 _SPACE = re.compile(rb"[ \t-\r]")
@@ -40,7 +40,7 @@ def word_blocks(raw: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
         at = end
 
 
-def _digests(raw: bytes, words: int) -> Iterator[bytes]:
+def _digests(raw: bytes, words: int, seed: int) -> Iterator[bytes]:
     """Joined big-endian XXH64 digests of all shingles, in bounded runs."""
     carry: list[bytes] = []
     any_shingle = False
@@ -50,34 +50,40 @@ def _digests(raw: bytes, words: int) -> Iterator[bytes]:
         for lo in range(0, n, _HASHES):
             part = carry[lo:min(lo + _HASHES, n) + words - 1]
             shingles = map(b" ".join, zip(*(part[i:] for i in range(words))))
-            yield b"".join(map(xxhash.xxh64_digest, shingles, repeat(SEED)))
+            yield b"".join(map(xxhash.xxh64_digest, shingles, repeat(seed)))
             any_shingle = True
         if n > 0:
             carry = carry[n:]
     if not any_shingle and carry:
-        yield xxhash.xxh64_digest(b" ".join(carry), SEED)
+        yield xxhash.xxh64_digest(b" ".join(carry), seed)
 
 
-def fingerprint(text: str | None, words: int = 4) -> int:
+def fingerprint(text: str | None, words: int = 4, seed: int = SEED) -> int:
     """Unsigned fingerprint of one whole text; 0 without words."""
     counts, n = np.zeros(64, np.int64), 0
-    for run in _digests((text or "").encode().lower(), words):
+    for run in _digests((text or "").encode().lower(), words, seed):
         bits = np.unpackbits(np.frombuffer(run, np.uint8).reshape(-1, 8), axis=1)
         counts += bits.sum(axis=0, dtype=np.uint32)
         n += len(bits)
     return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
 
 
-def fingerprints(df: DataFrame, words: int = 4) -> DataFrame:
-    """(doc_id, fp: signed 64-bit) of every row of ``df`` (doc_id, text); null texts count as empty."""
+def fingerprints(df: DataFrame, words: int = 4, second: bool = False) -> DataFrame:
+    """(doc_id, fp, second: signed 64-bit) of every row of ``df`` (doc_id, text); null texts count as empty.
+
+    ``second`` is a fingerprint under another seed, or 0 for all.
+    """
 
     def run(batches):
         for b in batches:
-            raw = np.array([fingerprint(t, words) for t in b.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(raw.view(np.int64))], ["doc_id", "fp"])
+            texts = b.column("text").to_pylist()
+            seeds = (SEED, SECOND_SEED) if second else (SEED,)
+            raw = [np.array([fingerprint(t, words, seed) for t in texts], np.uint64).view(np.int64) for seed in seeds]
+            raw += [np.zeros(len(texts), np.int64)] * (2 - len(raw))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *map(pa.array, raw)], ["doc_id", "fp", "second"])
 
     return map_rows(df.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")),
-                    run, "doc_id bigint, fp bigint")
+                    run, "doc_id bigint, fp bigint, second bigint")
 
 
 def masks(radius: int) -> list[int]:
@@ -90,150 +96,125 @@ def masks(radius: int) -> list[int]:
     return out
 
 
-def spanning(fps: np.ndarray, radius: int) -> list[tuple[int, np.ndarray]]:
-    """Links that join all of ``fps`` (uint64) that reach each other within ``radius``: (one, others) pairs.
+def spanning(rows: np.ndarray, radius: int) -> list[tuple[int, np.ndarray]]:
+    """Links (one id, other ids) that join all of ``rows`` (fp, second, id) that reach each other.
 
-    Breadth-first over what is left, so a dense group costs a few passes and gives fewer links than members.
+    Two link when their fp differ in ``radius`` bits at most and their second fingerprints in twice as many. Breadth-first
+    over what is left, so a dense group costs a few passes and gives fewer links than members.
     """
-    out, left = [], fps
-    while len(left) > 1:
-        queue, left = [left[0]], left[1:]
-        while queue and len(left):
-            at = queue.pop()
-            near = np.bitwise_count(left ^ at) <= radius
+    out, left = [], rows
+    while left.shape[1] > 1:
+        queue, left = [left[:, 0]], left[:, 1:]
+        while queue and left.shape[1]:
+            fp, second, one = queue.pop()
+            near = (np.bitwise_count((left[0] ^ fp).view(np.uint64)) <= radius) & (np.bitwise_count((left[1] ^ second).view(np.uint64)) <= 2 * radius)
             if near.any():
-                found = left[near]
-                out.append((at, found))
-                queue.extend(found)
-                left = left[~near]
+                found = left[:, near]
+                out.append((one, found[2]))
+                queue.extend(found.T)
+                left = left[:, ~near]
     return out
 
 
-_EDGE = "a bigint, b bigint, t int, k bigint, block int"
+_ROW = ["t", "k", "fp", "second", "id"]
+_LINKS = "u bigint, v bigint, t int, k bigint, fp bigint, second bigint, id bigint, block int"
 
 
 def _bucket_links(radius: int, block_rows: int):
     """Links inside the buckets of rows sorted by (t, k); blocks of a larger bucket are passed on as well."""
 
-    def emit(rows):
-        a, b, t, k, block = (np.concatenate(x) if len(x) else np.zeros(0, np.int64) for x in zip(*rows)) if rows else [np.zeros(0, np.int64)] * 5
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(t.astype(np.int32)), pa.array(k),
-                                           pa.array(block.astype(np.int32))], ["a", "b", "t", "k", "block"])
-
-    def links(fps, out):
-        for one, others in spanning(fps.view(np.uint64), radius):
-            n = len(others)
-            z = np.zeros(n, np.int64)
-            out.append((np.full(n, one, np.uint64).view(np.int64), others.view(np.int64), z, z, z - 1))
-
-    def tagged(fps, t, k, block, out):
-        n = len(fps)
-        out.append((fps, fps, np.full(n, t), np.full(n, k), np.full(n, block)))
+    def batch(edges: list, tagged: list) -> pa.RecordBatch:
+        u = np.concatenate([np.full(len(v), one) for one, v in edges] + [np.zeros(0, np.int64)]).astype(np.int64)
+        v = np.concatenate([v for _, v in edges] + [np.zeros(0, np.int64)]).astype(np.int64)
+        rows = np.hstack([np.vstack([part, np.full(part.shape[1], block)]) for part, block in tagged] + [np.zeros((6, 0), np.int64)])
+        none = lambda n: pa.nulls(n, pa.int64())
+        join = lambda x, n: pa.concat_arrays([pa.array(x, pa.int64()), none(n)])
+        after = lambda x: pa.concat_arrays([none(len(u)), pa.array(x, pa.int64())])
+        cols = [join(u, rows.shape[1]), join(v, rows.shape[1]), after(rows[0]).cast(pa.int32()), *[after(r) for r in rows[1:5]], after(rows[5]).cast(pa.int32())]
+        return pa.RecordBatch.from_arrays(cols, ["u", "v", *_ROW, "block"])
 
     def run(batches):
-        held = np.zeros((3, 0), np.int64)  # t, k, fp of the bucket that may go on
-        block = 0
-        for batch in batches:
-            out: list = []
-            held = np.hstack([held, np.vstack([batch.column(c).to_numpy().astype(np.int64) for c in ("t", "k", "fp")])])
+        held = np.zeros((5, 0), np.int64)  # rows of the bucket that may go on
+        block = 0  # how many blocks of it were passed on
+        for b in batches:
+            edges: list = []
+            tagged: list = []
+            held = np.hstack([held, np.vstack([b.column(c).to_numpy().astype(np.int64) for c in _ROW])])
             change = np.flatnonzero((held[0, 1:] != held[0, :-1]) | (held[1, 1:] != held[1, :-1])) + 1
-            starts = np.concatenate([[0], change])
-            ends = np.concatenate([change, [held.shape[1]]])
-            last = starts[-1] if held.shape[1] else 0
-            sizes = ends - starts
-            closed = starts < last
-            two = starts[closed & (sizes == 2) & ~((starts == 0) & (block > 0))]
-            if len(two):
-                a, b = held[2, two], held[2, two + 1]
-                near = np.bitwise_count(a.view(np.uint64) ^ b.view(np.uint64)) <= radius
-                z = np.zeros(near.sum(), np.int64)
-                out.append((a[near], b[near], z, z, z - 1))
-            for s, e in zip(starts[closed], ends[closed]):
+            starts, ends = np.concatenate([[0], change]), np.concatenate([change, [held.shape[1]]])
+            for s, e in zip(starts[:-1], ends[:-1]):  # closed buckets
                 goes_on = s == 0 and block > 0
-                if e - s > 2 or goes_on:
-                    for lo in range(s, e, block_rows):
-                        part = held[2, lo:min(e, lo + block_rows)]
-                        links(part, out)
+                if e - s > 1 or goes_on:
+                    for nth, lo in enumerate(range(s, e, block_rows)):
+                        part = held[:, lo:min(e, lo + block_rows)]
+                        edges += spanning(part[2:], radius)
                         if goes_on or e - s > block_rows:
-                            tagged(part, held[0, s], held[1, s], block if s == 0 else (lo - s) // block_rows, out)
-                            block += s == 0
+                            tagged.append((part, nth + block * goes_on))
                 if s == 0:
                     block = 0
-            if last > 0:
-                block = 0
-            held = held[:, last:]
+            held = held[:, starts[-1]:]
             while held.shape[1] > block_rows:
                 part, held = held[:, :block_rows], held[:, block_rows:]
-                links(part[2], out)
-                tagged(part[2], part[0, 0], part[1, 0], block, out)
+                edges += spanning(part[2:], radius)
+                tagged.append((part, block))
                 block += 1
-            yield emit(out)
-        out = []
-        if held.shape[1] > 1 or block > 0:
-            links(held[2], out)
-            if block > 0 and held.shape[1]:
-                tagged(held[2], held[0, 0], held[1, 0], block, out)
-        yield emit(out)
+            yield batch(edges, tagged)
+        yield batch(spanning(held[2:], radius), [(held, block)] if block and held.shape[1] else [])
 
     return run
 
 
-def links(fps: DataFrame, radius: int = 4, block_rows: int = BLOCK) -> DataFrame:
-    """(u, v) links that connect all distinct ``fp`` of ``fps`` lying within ``radius`` bits of each other.
+def links(nodes: DataFrame, radius: int = 4, block_rows: int = BLOCK) -> DataFrame:
+    """(u, v) links that connect all ids of ``nodes`` (id, fp, second) whose fingerprints lie near each other.
 
-    Exact up to connectivity: two fingerprints within the radius are always in one connected set of the result. A
-    bucket above ``block_rows`` is cut into blocks, and all pairs of blocks are compared in tasks of their own.
+    Exact up to connectivity: two nodes that link are always in one connected set of the result. A bucket above
+    ``block_rows`` is cut into blocks, and all pairs of blocks are compared in tasks of their own.
     """
     table = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks(radius)])).alias("t", "k")
-    rows = fps.select("fp", table).repartition("t", "k").sortWithinPartitions("t", "k", "fp")
-    found = durable(rows.mapInArrow(_bucket_links(radius, block_rows), _EDGE))
-    edges = found.where("block = -1").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    hot = found.where("block >= 0").select("t", "k", "block", F.col("a").alias("fp"))
+    rows = nodes.select("fp", "second", "id", table).repartition("t", "k").sortWithinPartitions("t", "k", "fp")
+    found = durable(rows.select(*_ROW).mapInArrow(_bucket_links(radius, block_rows), _LINKS))
+    edges = found.where("u IS NOT NULL").select("u", "v")
+    hot = found.where("u IS NULL").select(*_ROW, "block")
     if hot.isEmpty():
         return edges
 
     last = hot.groupBy("t", "k").agg(F.max("block").alias("last"))
-    paired = hot.join(last, ["t", "k"]).select(
-        "t", "k", "block", "fp", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("other")).where("block <> other")
-    keyed = paired.select("t", "k", "fp", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    paired = hot.join(last, ["t", "k"]).select(*_ROW, "block", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("other")).where("block <> other")
+    keyed = paired.select(*_ROW, F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
 
     def across(table: pa.Table) -> pa.Table:
-        fps = table.column("fp").to_numpy().view(np.uint64)
-        got = spanning(fps, radius)
-        u = np.concatenate([np.full(len(x), one, np.uint64) for one, x in got]) if got else np.zeros(0, np.uint64)
-        v = np.concatenate([x for _, x in got]) if got else np.zeros(0, np.uint64)
-        return pa.table({"u": u.view(np.int64), "v": v.view(np.int64)})
+        got = spanning(np.vstack([table.column(c).to_numpy() for c in _ROW[2:]]), radius)
+        u = np.concatenate([np.full(len(v), one) for one, v in got] + [np.zeros(0, np.int64)]).astype(np.int64)
+        return pa.table({"u": u, "v": np.concatenate([v for _, v in got] + [np.zeros(0, np.int64)]).astype(np.int64)})
 
     return edges.union(keyed.groupBy("t", "k", "lo", "hi").applyInArrow(across, "u bigint, v bigint"))
 
 
-def near_groups(docs: DataFrame, words: int = 4, radius: int = 4, block_rows: int = BLOCK) -> DataFrame:
+def near_groups(docs: DataFrame, words: int = 4, radius: int = 4, second: bool = False, block_rows: int = BLOCK) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs`` (doc_id, text; other columns are ignored).
 
-    Fingerprints link within ``radius`` bits. ``component_id`` is the smallest doc_id reachable. Copies share a
-    fingerprint and are one node from the start. Null and empty texts have fingerprint 0 and are linked like any other.
-    Repeated rows stay repeated. A row with a null doc_id is kept; a group of such rows alone has a null component_id.
-    An empty table gives no rows.
+    Fingerprints link within ``radius`` bits; with ``second``, fingerprints under another seed must also lie within twice
+    as many. ``component_id`` is the smallest doc_id reachable. Copies share a fingerprint and are one node from the start.
+    Null and empty texts have fingerprint 0 and are linked like any other. Repeated rows stay repeated. A row without a
+    doc_id is kept and has no component. An empty table gives no rows.
     """
-    fps = durable(fingerprints(docs, words))
-    nodes = durable(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    roots = CC.components(links(nodes.select("fp"), radius, block_rows))
-    # a component is named by its smallest fingerprint first, then by its smallest document
-    named = nodes.join(roots, nodes.fp == roots.node, "left").select(
-        "fp", "rep", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    by_fp = named.join(least, "root").select("fp", "component_id")
-    return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id")
-
-
-def keep_one(docs: DataFrame, words: int = 5, radius: int = 4) -> DataFrame:
+    fps = durable(fingerprints(docs, words, second))
+    nodes = durable(fps.where("doc_id IS NOT NULL").groupBy("fp", "second").agg(F.min("doc_id").alias("id")))
+    roots = CC.components(links(nodes, radius, block_rows)).withColumnRenamed("node", "id")
+    named = nodes.join(roots, "id", "left").select("fp", "second", F.coalesce("root", "id").alias("component_id"))
+    return fps.join(named, ["fp", "second"], "left").select(
+        "doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, words: int = 5, radius: int = 6) -> DataFrame:
     """The rows of ``docs`` whose doc_id names its near-copy group; one row of each repeated doc_id stays.
 
-    Rows without a doc_id cannot be compared by id and stay.
+    The radius is wider than that of ``near_groups`` alone: one changed word in a few hundred moves three or four bits of 64.
+    A second fingerprint keeps chance out: two unrelated texts link with a probability near 1e-18. Rows without a doc_id
+    cannot be told apart by id and stay.
     """
-    groups = near_groups(docs, words, radius)
-    kept = durable(groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_kept")).agg(
-        F.count("*").alias("_n")))
+    groups = near_groups(docs, words, radius, second=True)
+    kept = durable(groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_n")))
     named = docs.join(kept.where("_n = 1"), docs.doc_id == F.col("_kept"), "left_semi")
     again = docs.join(kept.where("_n > 1"), docs.doc_id == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
     return named.union(again).union(docs.where("doc_id IS NULL"))
