@@ -319,13 +319,20 @@ def predict(docs: DataFrame, field: Field | None) -> DataFrame:
 
 
 def keep_told(docs: DataFrame, field: Field | None, least: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` whose text has a language that holds more than ``least`` of its words, with all their columns."""
+    """The rows of ``docs`` whose text has a language that holds more than ``least`` of its words, with all their columns.
+
+    Without a fitted field, as nothing could be learned, rows with a letter in their text stay.
+    """
     at_text = docs.columns.index("text")
 
     def run(batches):
         labeller = Labeller(field)
         for b in batches:
-            keep = [lang != UNDECIDED and score > least for lang, score, _ in labeller.texts(b.column(at_text).to_pylist())]
+            texts = b.column(at_text).to_pylist()
+            if field:
+                keep = [lang != UNDECIDED and score > least for lang, score, _ in labeller.texts(texts)]
+            else:
+                keep = [has_letter(words_of(t)) for t in texts]
             yield b.filter(pa.array(keep, pa.bool_()))
 
     return map_rows(docs, run, docs.schema)

@@ -234,7 +234,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", divisor: int =
     seen = map_rows(docs, evidence, "y int, a double, b double").toPandas()
     y = seen["y"].to_numpy(float)
     if 0 < y.sum() < len(y):
-        model.weights = fit_logistic(seen[["a", "b"]].to_numpy(), y)
+        x = seen[["a", "b"]].to_numpy()
+        model.weights = fit_logistic(x, y)
+        if model.weights[:2].min() < 0:  # more evidence must never lower a score
+            only, place = fit_logistic(x[:, 1:], y)
+            model.weights = np.array([0.0, max(only, 0.0), place])
     elif len(y):
         model.weights = np.array([0.0, 0.0, 30.0 if y[0] else -30.0])
     return model
