@@ -88,7 +88,10 @@ def fingerprints(df: DataFrame, words: int = 4, second: bool = False) -> DataFra
 
 def masks(radius: int) -> list[int]:
     """The 2^(radius+1) - 1 masks of the covering family, as signed 64-bit numbers."""
-    vectors = [1 + i % ((1 << radius + 1) - 1) for i in range(64)]
+    if radius > 6:
+        raise ValueError("64 positions cannot fill the masks of a radius above 6")
+    # every mask holds 32 positions or more: all non-zero vectors in turn, or for radius 6 those with the highest bit
+    vectors = [64 + i if radius == 6 else 1 + i % ((1 << radius + 1) - 1) for i in range(64)]
     out = []
     for v in range(1, 1 << radius + 1):
         bits = sum(1 << i for i, m in enumerate(vectors) if (m & v).bit_count() % 2)

@@ -82,7 +82,7 @@ def test_long_text_in_pieces():
 def test_covering_masks_meet_every_pair(radius):
     rng = random.Random(radius)
     masks = simhash.masks(radius)
-    assert len(masks) == 2 ** (radius + 1) - 1
+    assert len(masks) == 2 ** (radius + 1) - 1 and min((m % (1 << 64)).bit_count() for m in masks) >= 32
     for _ in range(400):
         diff = sum(1 << b for b in rng.sample(range(64), radius))
         assert any(m & diff == 0 for m in (x % (1 << 64) for x in masks))
