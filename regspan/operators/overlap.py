@@ -61,9 +61,11 @@ def agg_overlap_regulome(overlaps: DataFrame) -> DataFrame:
 def agg_overlap_enhancer(overlaps: DataFrame, order: str) -> DataFrame:
     """Per cell and enhancer: gene symbols, first cell line and distance, distinct (TF, strand).
 
-    "First" is by ``order``. Rows of one enhancer need not be adjacent.
+    "First" is by ``order``, then by cell line and distance; both come from the same row. Rows of one enhancer need
+    not be adjacent.
     """
+    first = F.min_by(F.struct("cell_line", "distance"), F.struct(order, "cell_line", "distance"))
     tf = F.concat("tf_motif", F.lit("/"), "fp_strand")
     return overlaps.groupBy("cell_id", "chrom", "ann_start", "ann_end").agg(
-        _names("gene_symbol").alias("gene_symbols"), F.min_by("cell_line", order).alias("cell_line"),
-        F.min_by("distance", order).alias("distance"), _names(tf).alias("tfs"))
+        _names("gene_symbol").alias("gene_symbols"), first.alias("first"), _names(tf).alias("tfs")).select(
+        "cell_id", "chrom", "ann_start", "ann_end", "gene_symbols", "first.cell_line", "first.distance", "tfs")

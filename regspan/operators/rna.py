@@ -173,11 +173,13 @@ def marker_expr(expr: DataFrame, clusters: DataFrame, marker: str, name: str) ->
 def rna_label_cluster(meta: DataFrame, expr: DataFrame, d1: str, d2: str, min_cells: int = 50) -> DataFrame:
     """Cluster labels: by the two markers in MSN clusters, by dissection words in MidbrDA clusters.
 
-    ``meta`` has cluster_id, supercluster, top_dissection and n_cells. Small clusters are dropped.
+    ``meta`` has cluster_id, supercluster, top_dissection and n_cells. Small clusters are dropped. Where the table has no
+    row of one of the markers at all, it was not measured, and MSN clusters are only "MSN".
     """
+    measured = expr.where(F.col("gene").isin(d1, d2)).agg(F.count_distinct("gene").alias("n")).scalar()
     m = marker_expr(expr, marker_expr(expr, meta, d1, "_d1"), d2, "_d2")
     gap = F.col("_d1") - F.col("_d2")
-    msn = F.when(gap > MARKER_MARGIN, "D1-MSN").when(-gap > MARKER_MARGIN, "D2-MSN").otherwise("MSN-other/eccentric")
+    msn = F.when(measured < len({d1, d2}), "MSN").when(gap > MARKER_MARGIN, "D1-MSN").when(-gap > MARKER_MARGIN, "D2-MSN").otherwise("MSN-other/eccentric")
     low = F.lower("top_dissection")
     words = R.first_match([(low.contains(word), lab) for word, lab in DISSECTION_LABELS.items()], "Midbrain-DA")
     label = F.when(F.col("supercluster") == "MSN", msn).when(F.col("supercluster") == "MidbrDA", words).otherwise(

@@ -9,8 +9,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 # A dimension is broadcast only when it is seen to hold no more rows than this.
 BROADCAST_ROWS = 20_000
 SALTS = 4
-# Longest list of names written into a plan.
-VOCABULARY = 5_000
 
 
 def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -26,14 +24,13 @@ def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFram
 
 
 def each_of(df: DataFrame, names: DataFrame, col: str) -> DataFrame:
-    """Every row once per value of a vocabulary, as an explode of a short literal array.
+    """Every row once per value of a vocabulary, nulls left out, as an explode of one array that an aggregate gathers.
 
-    A vocabulary that proves longer than ``VOCABULARY`` is joined instead.
+    The array holds the vocabulary of a dimension (motifs, categories), so it is short beside the rows; no size takes
+    another way, and nothing runs while the plan is built.
     """
-    words = names.select(col).distinct().limit(VOCABULARY + 1).collect()
-    if len(words) > VOCABULARY:
-        return df.withColumn("_k", F.lit(0)).join(names.select(col).withColumn("_k", F.lit(0)), "_k").drop("_k")
-    return df.withColumn(col, F.explode(F.array(*[F.lit(w[0]) for w in sorted(words)])))
+    words = names.where(F.col(col).isNotNull()).agg(F.sort_array(F.collect_set(col)).alias("words")).scalar()
+    return df.withColumn("_words", words).withColumn(col, F.explode("_words")).drop("_words")
 
 
 def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner",

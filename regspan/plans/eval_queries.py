@@ -289,13 +289,13 @@ def _(fx):
 def _windows(fx):
     """Windows along every sequence, the ends included."""
     n = F.length("seq")
-    at = F.sequence(F.lit(0).cast("bigint"), n.cast("bigint"), F.lit(700).cast("bigint"))
+    at = F.sequence(F.lit(0).cast("bigint"), n.cast("bigint"), F.lit(512).cast("bigint"))
     return fx.genome.select("chrom", F.explode(at).alias("peak_start")).withColumn("peak_end", F.col("peak_start") + 201)
 
 
 WINDOW_SQL = """
 SELECT chrom, seq, s AS peak_start, s + 201 AS peak_end, (s + s + 201) // 2 - 256 AS l, length(seq) AS n
-FROM (SELECT chrom, seq, unnest(range(0, length(seq) + 1, 700)) AS s FROM genome)"""
+FROM (SELECT chrom, seq, unnest(range(0, length(seq) + 1, 512)) AS s FROM genome)"""
 SEQ_SQL = f"""
 SELECT chrom, peak_start, peak_end, rpad(substr(seq, CAST(greatest(l, 0) AS INT) + 1, CAST(greatest(least(l + 512, n)
        - greatest(l, 0), 0) AS INT)), 512, 'N') AS sequence FROM ({WINDOW_SQL})"""

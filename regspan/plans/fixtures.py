@@ -57,7 +57,7 @@ class Fixtures:
     def annotations(self) -> DataFrame:
         tile = F.expr("(o_orderkey div 22) * 90")
         prio = F.col("o_orderpriority")
-        return self.table("orders").where("o_orderstatus <> 'P'").select(
+        return self.table("orders").select(
             F.concat(F.lit("chr"), (F.col("o_orderkey") % 22 + 1).cast("string")).alias("chrom"),
             tile.cast("bigint").alias("ann_start"),
             (tile + 30 + F.col("o_custkey") % 120).cast("bigint").alias("ann_end"),
@@ -135,7 +135,7 @@ class Fixtures:
         """Letters of a text stand for bases; anything else is N."""
         src = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
         dst = ("ACGT" * 7)[:26] * 2
-        return self.table("documents").where("lang = 'en'").select(
+        return self.table("documents").select(
             F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("chrom"),
             F.regexp_replace(F.translate("text", src, dst), "[^ACGT]", "N").alias("seq"),
         )

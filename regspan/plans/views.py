@@ -29,7 +29,7 @@ SELECT concat('chr', CAST(1 + o_orderkey % 22 AS VARCHAR)) AS chrom, (o_orderkey
        CASE o_orderpriority WHEN '1-URGENT' THEN 'enhancer' WHEN '2-HIGH' THEN 'silencer'
             WHEN '3-MEDIUM' THEN 'promoter' WHEN '4-NOT SPECIFIED' THEN 'response_element'
             ELSE 'protein_bind_x' END AS ann_class
-FROM orders WHERE o_orderstatus <> 'P'""",
+FROM orders""",
     "genes": """
 SELECT concat('chr', CAST(1 + c_custkey % 22 AS VARCHAR)) AS chrom, (c_custkey // 22) * 900 + 1 AS gene_start,
        (c_custkey // 22) * 900 + 401 + c_custkey % 300 AS gene_end,
@@ -68,7 +68,7 @@ UNION ALL SELECT doc_id, 'is_silencer', y_b, p_b FROM scored""",
     "genome": f"""
 SELECT concat('doc', CAST(doc_id AS VARCHAR)) AS chrom,
        regexp_replace(translate(text, '{_SRC}', '{_DST}'), '[^ACGT]', 'N', 'g') AS seq
-FROM documents WHERE lang = 'en'""",
+FROM documents""",
     "peaks": """
 SELECT DISTINCT grp, subtype, sample, cell_id, chrom, peak_start AS r_start, peak_end AS r_end FROM footprints""",
     "tags": """
