@@ -173,8 +173,11 @@ def links(nodes: DataFrame, radius: int = 4, block_rows: int = BLOCK) -> DataFra
     Exact up to connectivity: two nodes that link are always in one connected set of the result. A bucket above
     ``block_rows`` is cut into blocks, and all pairs of blocks are compared in tasks of their own.
     """
-    table = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks(radius)])).alias("t", "k")
-    rows = nodes.select("fp", "second", "id", table).repartition("t", "k").sortWithinPartitions("t", "k", "fp")
+    family = masks(radius)
+    # the key follows from t and fp, so it is found again after the shuffle instead of being shipped
+    key = F.col("fp").bitwiseAND(F.element_at(F.array(*map(F.lit, family)), F.col("t") + 1))
+    tables = F.explode(F.sequence(F.lit(0), F.lit(len(family) - 1))).alias("t")
+    rows = nodes.select("fp", "second", "id", tables).repartition("t", key).withColumn("k", key).sortWithinPartitions("t", "k", "fp")
     found = durable(rows.select(*_ROW).mapInArrow(_bucket_links(radius, block_rows), _LINKS))
     edges = found.where("u IS NOT NULL").select("u", "v")
     hot = found.where("u IS NULL").select(*_ROW, "block")
@@ -218,6 +221,7 @@ def keep_one(docs: DataFrame, words: int = 5, radius: int = 6) -> DataFrame:
     """
     groups = near_groups(docs, words, radius, second=True)
     kept = durable(groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_n")))
-    named = docs.join(kept.where("_n = 1"), docs.doc_id == F.col("_kept"), "left_semi")
+    # the kept ids grow with the documents: never a broadcast, and no sort of texts; whole texts are shuffled once
+    named = docs.join(kept.where("_n = 1").hint("shuffle_hash"), docs.doc_id == F.col("_kept"), "left_semi")
     again = docs.join(kept.where("_n > 1"), docs.doc_id == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
     return named.union(again).union(docs.where("doc_id IS NULL"))
