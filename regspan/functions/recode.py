@@ -35,6 +35,8 @@ SOURCE_NAME_GROUPS = {
 }
 PLAIN_GROUPS = ["Dopaminergic", "MSN", "FOXP2", "PVALB", "VIP", "CNGA", "BFEXA", "BNGA", "CNMIX", "MGC_1",
                 "MGC_2", "PV_ChCs", "MDGA", "ICGA_1", "ICGA_2", "SEPGA", "SIGA"]
+ROSTER_GROUPS = ["ITL23", "ASCT", "L6B", "ITL34", "ITL4", "ITL45", "CHO", "AMY", "Dopaminergic", "MSN", "FOXP2", "PVALB",
+                 "VIP", "CNGA", "BFEXA", "BNGA", "CNMIX", "MGC_1", "MGC_2", "PV_ChCs"]
 SPLIT_SOURCE, SPLIT_SUBTYPE = "MBGA", "CTXMIX"
 
 TRAIN_CHROMS = [f"chr{i}" for i in range(1, 18)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window as W, functions as F
@@ -76,13 +77,17 @@ def scan_resolve_file(listing: DataFrame) -> DataFrame:
         F.min_by("path", F.struct("c.prio", "path")).alias("path"))
 
 
-def path_roster(files: DataFrame) -> DataFrame:
-    """(group, subtype) with directories and cell counts; ``files`` has source, subtype, dir, path."""
-    named = files.withColumn("grp", R.recode_group("source")).where("grp IS NOT NULL")
+def path_roster(files: DataFrame, groups: Sequence[str] = tuple(R.ROSTER_GROUPS)) -> DataFrame:
+    """(group, subtype) with directories and cell counts; ``files`` has source, subtype, dir, path.
+
+    Only ``groups`` enter; ``place`` is the position of a group among them, from 1, to order the roster by.
+    """
+    named = files.withColumn("grp", R.recode_group("source")).where(F.col("grp").isin(*groups))
     per_dir = named.groupBy("grp", "subtype", "dir").agg(F.count("*").alias("n"))
+    place = F.array_position(F.array(*map(F.lit, groups)), F.col("grp")).cast("int")
     return per_dir.groupBy("grp", "subtype").agg(
         F.count("*").alias("n_dirs"), F.sum("n").alias("total_cells"),
-        F.array_join(F.sort_array(F.collect_list("dir")), ";").alias("dirs"))
+        F.array_join(F.sort_array(F.collect_list("dir")), ";").alias("dirs")).withColumn("place", place)
 
 
 def incr_skip_done(cells: DataFrame, ledger: DataFrame, key: list[str]) -> DataFrame:
