@@ -56,7 +56,3 @@ def log2_ratio(a: Column, b: Column, pseudo: float) -> Column:
 def stars(fdr: str | Column) -> Column:
     c = F.col(fdr) if isinstance(fdr, str) else fdr
     return F.when(c < 0.001, "***").when(c < 0.01, "**").when(c < 0.05, "*").otherwise("")
-
-
-def clip01(x: Column) -> Column:
-    return F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))

@@ -131,8 +131,3 @@ def hashed_places(df: DataFrame, by: Sequence[str], mix: str, *tie: str) -> Data
     inside = F.row_number().over(W.partitionBy(*by, "_b").orderBy(mix, *tie)) - 1
     return d.withColumn("_r", inside).join(size, [*by, "_b"]).select(
         *df.columns, (F.col("_r") + F.col("_o")).alias("place"))
-
-
-def constant_key(df: DataFrame) -> DataFrame:
-    """Give ungrouped data a group column, so grouped operators serve both uses."""
-    return df.withColumn("grp", F.lit("ALL"))
