@@ -117,14 +117,14 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, points: dict[s
                               *[quantile(p).alias(name) for name, p in points.items()])
 
 
-def hashed_places(df: DataFrame, by: Sequence[str], mix: str, *tie: str) -> DataFrame:
-    """Zero-based ``place`` of each row in the order of a hex digest, within ``by``.
+def hashed_places(df: DataFrame, by: Sequence[str], mix: str, *tie: str, bucket: Column | None = None) -> DataFrame:
+    """Zero-based ``place`` of each row in the order of a digest, within ``by``.
 
-    Rows are numbered inside 256 digest buckets and bucket totals carry the
-    offset, so one group is never numbered by a single task.
+    Rows are numbered inside buckets of the digest and bucket totals carry the offset, so one group is never numbered
+    by a single task. Without a ``bucket`` (which must never fall as the digest rises) the first two hex digits serve.
     """
     by = list(by)
-    d = df.withColumn("_b", F.substring(mix, 1, 2))
+    d = df.withColumn("_b", F.substring(mix, 1, 2) if bucket is None else bucket)
     size = d.groupBy(*by, "_b").agg(F.count("*").alias("_m"))
     before = W.partitionBy(*by).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     size = size.select(*by, "_b", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_o"))

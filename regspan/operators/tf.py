@@ -8,6 +8,8 @@ pair, its difference to the zero rank of its nucleus.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from regspan.functions.coords import tf_short
@@ -194,67 +196,103 @@ def test_mwu_tf(div: DataFrame, in_subtypes: list[str], ref_subtypes: list[str])
 
 # ---------------------------------------------------------------- permutation test
 
+#: Nuclei whose ranks a task holds at once, and permutations it passes on at once.
+NUCLEI_HELD, PERMS_HELD = 4096, 25
+
+
 def permuted_labels(nuclei: DataFrame, perms: int, seed: int) -> DataFrame:
-    """Shuffled subtype of every nucleus in every permutation, subtype sizes kept.
+    """Subtype numbers of every nucleus as an array: its own first, then the shuffled one of every permutation.
 
-    Nuclei of a group are put in an order that depends on a hash of nucleus,
-    permutation and seed; the first places take the first label, and so on.
-    Places are found bucket by bucket, so no task orders all nuclei of a group.
+    Subtype sizes are kept. Nuclei of a group are put in an order that depends on a hash of nucleus, permutation and
+    seed; the first places take the first label, and so on. Places are found inside buckets of the hash, as many as the
+    size of the group asks for, so no task orders all nuclei of a large group. ``n_grp`` is that size.
     """
     size = nuclei.groupBy("grp", "subtype").agg(F.count("*").alias("n"))
     upto = W.partitionBy("grp").orderBy("subtype").rowsBetween(W.unboundedPreceding, 0)
-    bounds = checked_broadcast(size.select("grp", F.sum("n").over(upto).alias("hi")).groupBy("grp").agg(
-        F.sort_array(F.collect_list("hi")).alias("bounds")))
-    spread = nuclei.select("grp", "nucleus", F.explode(F.sequence(F.lit(1), F.lit(perms))).alias("perm"))
-    mixed = F.md5(F.concat_ws("|", F.col("nucleus").cast("string"), F.col("perm").cast("string"), F.lit(str(seed))))
-    d = hashed_places(spread.withColumn("mix", mixed), ["grp", "perm"], "mix", "nucleus").join(bounds, "grp")
-    lab = F.size(F.filter("bounds", lambda upper_bound: upper_bound <= F.col("place")))
-    return d.select("grp", "nucleus", "perm", lab.alias("label"))
-
-
-def _between_sd(sums: DataFrame, base: DataFrame, names: DataFrame, key: list[str]) -> DataFrame:
-    """SD over labels of the SD over nuclei of the rank, from sums of positive pairs and zero-rank totals."""
-    d = each_of(base, names, "tf").join(sums, [*key, "label", "tf"], "left")
-    s1 = F.col("b1") + F.coalesce("x1", F.lit(0.0))
-    s2 = F.col("b2") + F.coalesce("x2", F.lit(0.0))
-    var = (s2 - s1 * s1 / F.col("n")) / F.greatest(F.col("n") - 1, F.lit(1))
-    return d.withColumn("sd", F.sqrt(F.greatest(var, F.lit(0.0)))).groupBy(*key, "tf").agg(
-        F.stddev_samp("sd").alias("t"))
+    bounds = checked_broadcast(size.select("grp", "subtype", F.sum("n").over(upto).alias("hi")).groupBy("grp").agg(
+        F.sort_array(F.collect_list("hi")).alias("bounds"), F.max("hi").alias("n_grp"),
+        F.sort_array(F.collect_list("subtype")).alias("subtypes")))
+    spread = nuclei.join(bounds, "grp").select(
+        "grp", "nucleus", "bounds", "n_grp", (F.array_position("subtypes", F.col("subtype")) - 1).cast("int").alias("own"),
+        F.explode(F.sequence(F.lit(1), F.lit(perms))).alias("perm"))
+    digest = F.md5(F.concat_ws("|", F.col("nucleus").cast("string"), F.col("perm").cast("string"), F.lit(str(seed))))
+    # 60 bits of the digest order like the digest itself
+    d = spread.withColumn("mix", F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint"))
+    bucket = F.floor(F.shiftright("mix", 44) * (F.col("n_grp") / F.lit(float(NUCLEI_HELD))) / 65536)
+    d = hashed_places(d, ["grp", "perm"], "mix", "nucleus", bucket=bucket)
+    label = F.size(F.filter("bounds", lambda upper_bound: upper_bound <= F.col("place")))
+    row = F.sort_array(F.collect_list(F.struct("perm", label.alias("label"))))
+    return d.groupBy("grp", "nucleus", "n_grp", "own").agg(row.alias("row")).select(
+        "grp", "nucleus", "n_grp", F.concat(F.array("own"), F.col("row.label")).alias("labels"))
+
+
+def _sums_by_label(n_tf: int):
+    """Sums of the ranks and their squares per permutation, label and TF of the nuclei that a task holds."""
+
+    def of_group(grp: str, rows: pa.RecordBatch):
+        n = rows.num_rows
+        at, rank, labels = (rows.column(c) for c in ("at", "rank", "labels"))
+        ranks = np.repeat(rows.column("z").to_numpy()[:, None], n_tf, axis=1)
+        ranks[np.repeat(np.arange(n), at.value_lengths().to_numpy()), at.flatten().to_numpy()] = rank.flatten().to_numpy()
+        both = np.hstack([ranks, ranks * ranks])
+        label = labels.flatten().to_numpy().reshape(n, -1)
+        numbers = np.arange(label.max() + 1)
+        for lo in range(0, label.shape[1], PERMS_HELD):
+            member = (label[:, lo:lo + PERMS_HELD].T[:, None, :] == numbers[None, :, None]).astype(float).reshape(-1, n)
+            sums, held = member @ both, member.sum(axis=1).astype(np.int64)
+            here = np.flatnonzero(held)
+            pairs = np.repeat(here, n_tf)
+            yield pa.RecordBatch.from_arrays([
+                pa.repeat(grp, len(pairs)), pa.array((lo + pairs // len(numbers)).astype(np.int32)),
+                pa.array((pairs % len(numbers)).astype(np.int32)), pa.array(np.tile(np.arange(n_tf, dtype=np.int32), len(here))),
+                pa.array(held[pairs]), pa.array(sums[here, :n_tf].ravel()), pa.array(sums[here, n_tf:].ravel())],
+                ["grp", "perm", "label", "at", "n", "s1", "s2"])
+
+    def run(batches):
+        for b in batches:
+            grp = b.column("grp").to_pylist()
+            cuts = [i for i in range(1, len(grp)) if grp[i] != grp[i - 1]]
+            for lo, hi in zip([0, *cuts], [*cuts, len(grp)]):
+                for at in range(lo, hi, NUCLEI_HELD):
+                    yield from of_group(grp[lo], b.slice(at, min(NUCLEI_HELD, hi - at)))
+
+    return run
 
 
 def test_permutation(tf_pct: DataFrame, perms: int = 2000, seed: int = 1, alpha: float = 0.05) -> DataFrame:
     """Is the SD of TF ranks spread between subtypes more than under shuffled subtypes?
 
-    T is the SD over subtypes of the SD over nuclei. Per permutation only sums
-    per (label, TF) are kept: positive pairs are joined to the labels of their
-    nucleus and summed before the shuffle. Zeros add nothing but their totals
-    per label.
+    T is the SD over subtypes of the SD over nuclei. A nucleus is one row: its ranks beside its labels in all
+    permutations. Tasks multiply blocks of nuclei and pass on sums per (permutation, label, TF), so nuclei never meet
+    permutations and TFs as joined rows. Permutation 0 holds the labels as they are.
     """
     names = tf_names(tf_pct)
-    zero = durable(zero_ranks(tf_pct, names).withColumn("mid", (F.col("n_tf") + 1) / 2.0).select(
-        *NUCLEUS, (F.col("zero_rank") - F.col("mid")).alias("z"), "mid"))
-    pos = positive_ranks(tf_pct).join(zero.select(*NUCLEUS, "z", "mid"), NUCLEUS).select(
-        *NUCLEUS, "tf", (F.col("rank") - F.col("mid") - F.col("z")).alias("d1"),
-        (F.pow(F.col("rank") - F.col("mid"), F.lit(2)) - F.col("z") ** 2).alias("d2"))
-    pos = durable(pos)
+    words = names.where("tf IS NOT NULL").agg(F.sort_array(F.collect_set("tf"))).first()[0]
+    listed = F.array(*map(F.lit, words)) if words else F.array().cast("array<string>")
+    zero = zero_ranks(tf_pct, names).withColumn("mid", (F.col("n_tf") + 1) / 2.0)
     many = zero.groupBy("grp").agg(F.count_distinct("subtype").alias("k")).where("k >= 2")
-    zero, pos = (x.join(checked_broadcast(many.select("grp")), "grp", "left_semi") for x in (zero, pos))
-
-    def statistic(labels: DataFrame, key: list[str]) -> DataFrame:
-        lz = zero.select("grp", "nucleus", "z").join(labels, ["grp", "nucleus"])
-        base = lz.groupBy(*key, "label").agg(F.sum("z").alias("b1"), F.sum(F.col("z") ** 2).alias("b2"),
-                                            F.count("*").alias("n"))
-        sums = pos.select("grp", "nucleus", "tf", "d1", "d2").join(labels, ["grp", "nucleus"]).groupBy(
-            *key, "label", "tf").agg(F.sum("d1").alias("x1"), F.sum("d2").alias("x2"))
-        return _between_sd(sums, base, names, key)
-
-    observed = statistic(zero.select("grp", "nucleus", F.col("subtype").alias("label")), ["grp"]).select(
-        "grp", "tf", F.col("t").alias("t_obs"))
-    null = statistic(permuted_labels(zero, perms, seed), ["grp", "perm"])
-    d = null.join(observed, ["grp", "tf"]).groupBy("grp", "tf", "t_obs").agg(
+    zero = durable(zero.join(checked_broadcast(many.select("grp")), "grp", "left_semi").select(
+        *NUCLEUS, (F.col("zero_rank") - F.col("mid")).alias("z"), "mid"))
+    pos = positive_ranks(tf_pct).where("tf IS NOT NULL").withColumn("at", (F.array_position(listed, F.col("tf")) - 1).cast("int"))
+    held = pos.groupBy("grp", "nucleus").agg(F.collect_list(F.struct("at", "rank")).alias("held"))
+    lists = zero.join(held, ["grp", "nucleus"], "left").select(
+        "grp", "nucleus", "z", F.coalesce("held.at", F.array().cast("array<int>")).alias("at"),
+        F.coalesce(F.transform("held", lambda x: x["rank"] - F.col("mid")), F.array().cast("array<double>")).alias("rank"))
+    labels = permuted_labels(zero, perms, seed)
+    shard = F.pmod(F.xxhash64("nucleus"), F.floor(F.col("n_grp") / NUCLEI_HELD) + 1)
+    rows = lists.join(labels, ["grp", "nucleus"]).withColumn("shard", shard).repartition("grp", "shard").sortWithinPartitions(
+        "grp", "shard").select("grp", "z", "at", "rank", "labels")
+    sums = rows.mapInArrow(_sums_by_label(len(words)), "grp string, perm int, label int, at int, n bigint, s1 double, s2 double")
+    whole = sums.groupBy("grp", "perm", "label", "at").agg(*[F.sum(c).alias(c) for c in ("n", "s1", "s2")])
+    var = (F.col("s2") - F.col("s1") ** 2 / F.col("n")) / F.greatest(F.col("n") - 1, F.lit(1))
+    spread = durable(whole.withColumn("sd", F.sqrt(F.greatest(var, F.lit(0.0)))).groupBy("grp", "perm", "at").agg(
+        F.stddev_samp("sd").alias("t")))
+    observed = spread.where("perm = 0").select("grp", "at", F.col("t").alias("t_obs"))
+    d = spread.where("perm > 0").join(observed, ["grp", "at"]).groupBy("grp", "at", "t_obs").agg(
         F.count_if(F.col("t") >= F.col("t_obs") - 1e-9).alias("n_ge"), F.avg("t").alias("null_mean"),
         F.stddev_pop("t").alias("null_sd"))
-    d = durable(d.withColumn("perm_p", (F.col("n_ge") + 1) / F.lit(float(perms + 1))))
+    d = durable(d.select("grp", F.element_at(listed, F.col("at") + 1).alias("tf"), "t_obs", "n_ge", "null_mean", "null_sd",
+                         ((F.col("n_ge") + 1) / F.lit(float(perms + 1))).alias("perm_p")))
     z = F.when(F.col("null_sd") > 1e-9, (F.col("t_obs") - F.col("null_mean")) / F.col("null_sd")).otherwise(0.0)
     out = fdr_bh(d, "perm_p", ["grp"], out="perm_fdr").withColumn("z_score", z)
     return out.withColumn("significant", F.col("perm_fdr") < alpha)

@@ -201,7 +201,7 @@ def _(fx):
                    ["mwu_p", "mwu_fdr"], 8)
 
 
-PERMS = 100
+PERMS = 2000
 
 
 @query("test_permutation", f"""

@@ -142,16 +142,27 @@ def test_tf_ranks_and_spread_match_the_dense_matrix(spark):
 def test_permuted_labels_keep_sizes(spark):
     df, _ = tf_table(spark)
     nuclei = df.select("grp", "subtype", "nucleus").distinct()
-    got = T.permuted_labels(nuclei, 5, 3).groupBy("perm", "label").count().collect()
-    assert Counter((r.perm, r["count"]) for r in got) == Counter({(p, 20): 3 for p in range(1, 6)})
+    got = T.permuted_labels(nuclei, 5, 3)
+    rows = [r.labels for r in got.collect()]
+    assert len(rows) == 60 and all(Counter(column) == Counter({0: 20, 1: 20, 2: 20}) for column in zip(*rows))
     again = T.permuted_labels(nuclei.repartition(3), 5, 3)
-    assert again.exceptAll(T.permuted_labels(nuclei, 5, 3)).count() == 0  # not a matter of partitioning
+    assert again.exceptAll(got).count() == 0  # not a matter of partitioning
 
 
-def test_permutation_p_values(spark):
-    df, _ = tf_table(spark)
-    got = T.test_permutation(df, perms=30, seed=2).collect()
-    assert len(got) == 6 and all(1 / 31 <= r.perm_p <= 1 and r.perm_fdr >= r.perm_p - 1e-12 for r in got)
+def test_permutation_p_values(spark, monkeypatch):
+    df, m = tf_table(spark)
+    r = np.array([[sum(row > x) + (sum(row == x) + 1) / 2 for x in row] for row in m])
+    labels = {x.nucleus: x.labels for x in T.permuted_labels(df.select("grp", "subtype", "nucleus").distinct(), 30, 2).collect()}
+    by_perm = np.array([labels[i] for i in range(len(m))]).T
+    t = np.array([np.std([r[row == k].std(axis=0, ddof=1) for k in range(3)], axis=0, ddof=1) for row in by_perm])
+    for held in (T.NUCLEI_HELD, 7):  # one block, and blocks and hash buckets of few nuclei
+        monkeypatch.setattr(T, "NUCLEI_HELD", held)
+        got = T.test_permutation(df, perms=30, seed=2).collect()
+        assert len(got) == 6
+        for x in got:
+            own = t[:, int(x.tf[2:].split("_")[0])]
+            assert x.n_ge == (own[1:] >= own[0] - 1e-9).sum() and math.isclose(x.t_obs, own[0], rel_tol=1e-9)
+            assert math.isclose(x.perm_p, (x.n_ge + 1) / 31) and x.perm_fdr >= x.perm_p - 1e-12
 
 
 def test_itemsets_match_counting(spark):
