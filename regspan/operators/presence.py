@@ -17,6 +17,8 @@ REGION = ["grp", *SPAN]
 MIN_CELLS = 10
 PSEUDO = 0.1
 PSEUDO_FIRST_STAGE = 1.0
+#: Ranks up to which Spark limits a window's groups before the shuffle, and hash parts of a group beyond it.
+GROUP_LIMIT, PARTS = 1000, 64
 
 
 def group_sizes(cells: DataFrame) -> DataFrame:
@@ -177,8 +179,17 @@ def win_rankings(sample_counts: DataFrame) -> DataFrame:
 
 
 def win_topn_per_group(df: DataFrame, by: list[str], score: str, n: int, tie: list[str]) -> DataFrame:
-    """Top ``n`` rows per group by score; ties go to the smaller key."""
-    w = W.partitionBy(*by).orderBy(F.col(score).desc(), *tie)
+    """Top ``n`` rows per group by score; ties go to the smaller key.
+
+    Spark cuts groups short before the shuffle up to a rank of 1,000. Above it the rows of a group are first cut to
+    ``n`` inside hash parts, so that no task orders a whole group.
+    """
+    order = [F.col(score).desc(), *tie]
+    if n > GROUP_LIMIT:
+        part = F.pmod(F.xxhash64(*tie), F.lit(PARTS))
+        df = df.withColumn("_part", part).withColumn("_r", F.row_number().over(W.partitionBy(*by, "_part").orderBy(*order))).where(
+            F.col("_r") <= n).drop("_part", "_r")
+    w = W.partitionBy(*by).orderBy(*order)
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 

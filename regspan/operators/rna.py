@@ -233,22 +233,28 @@ def rna_d1_d2(expr: DataFrame, labelled: DataFrame, first: str, second: str) ->
 
 # ---------------------------------------------------------------- cell quality
 
+QC_MEASURES = ["tsse", "uq", "log10_uq", "doublet", "tn", "um"]
+
+
 def agg_celltype_qc(meta: DataFrame) -> DataFrame:
-    """Per subtype: cells assigned, selected and analysed, QC medians, doublet share, most frequent class.
+    """Per subtype: cells assigned, selected and analysed, medians of six measures, doublet share, most frequent class and subclass.
 
-    ``meta`` has grp, subtype, cell_class, analysed (bool), selected (bool),
-    qc and doublet. The first name wins a tie of the class.
+    ``meta`` has grp, subtype, cell_class, cell_subclass, analysed (bool), selected (bool) and the measures. The first
+    name wins a tie of a class.
     """
     base = meta.groupBy("grp", "subtype").agg(
         F.count("*").alias("n_assigned"), F.count_if("selected").alias("n_selected"),
         F.count_if(F.col("selected") & F.col("analysed")).alias("n_analysed"),
         (F.count_if(F.col("selected") & (F.col("doublet") > 0.5)) * 100.0 / F.nullif(
             F.count_if("selected"), F.lit(0))).alias("doublet_pct"))
-    med = exact_quantiles(meta.where("selected"), ["grp", "subtype"], "qc", {"qc_median": 0.5}).select(
-        "grp", "subtype", "qc_median")
-    c = meta.groupBy("grp", "subtype", "cell_class").agg(F.count("*").alias("n"))
-    mode = c.groupBy("grp", "subtype").agg(F.min_by("cell_class", F.struct((-F.col("n")).alias("x"), "cell_class")).alias(
-        "cell_class"))
+    doubles = meta.where("selected").select("grp", "subtype", *[F.col(c).cast("double").alias(c) for c in QC_MEASURES])
+    long = doubles.unpivot(["grp", "subtype"], QC_MEASURES, "measure", "v")
+    med = exact_quantiles(long, ["grp", "subtype", "measure"], "v", {"median": 0.5}).groupBy("grp", "subtype").agg(
+        *[F.max(F.when(F.col("measure") == c, F.col("median"))).alias(f"{c}_median") for c in QC_MEASURES])
+    names = meta.unpivot(["grp", "subtype"], ["cell_class", "cell_subclass"], "kind", "name")
+    c = names.groupBy("grp", "subtype", "kind", "name").agg(F.count("*").alias("n"))
+    most = lambda kind: F.min_by("name", F.when(F.col("kind") == kind, F.struct((-F.col("n")).alias("x"), "name"))).alias(kind)
+    mode = c.groupBy("grp", "subtype").agg(most("cell_class"), most("cell_subclass"))
     return base.join(med, ["grp", "subtype"], "left").join(mode, ["grp", "subtype"])
 
 

@@ -88,11 +88,20 @@ def unit_bucket(x: str | Column) -> Column:
     return F.when(c <= 0, -end).when(c >= 1, end).when(c <= 0.5, low).otherwise(high).cast("int")
 
 
-def value_bucket(x: str) -> Column:
-    """Buckets of any number that rise with it: 64 steps per doubling of the distance to zero."""
-    c = F.col(x).cast("double")
-    step = F.floor(F.log2(F.abs(c) + 1) * 64)
-    return F.when(c < 0, -step - 1).otherwise(step).cast("int")
+#: Buckets that the distinct values of a group are cut into.
+VALUE_BUCKETS = 256
+
+
+def value_buckets(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """``df`` with ``_q``, a bucket of ``value`` that rises with it within ``by``.
+
+    Borders are approximate quantiles of the rows of each group, so values that crowd into a narrow range spread as well
+    as others. They steer the work only; what is computed from the buckets stays exact.
+    """
+    share = F.array(*[F.lit(i / VALUE_BUCKETS) for i in range(1, VALUE_BUCKETS)])
+    borders = df.groupBy(*by).agg(F.percentile_approx(F.col(value).cast("double"), share, F.lit(4 * VALUE_BUCKETS)).alias("_borders"))
+    below = F.size(F.filter("_borders", lambda border: border < F.col(value)))
+    return salted_join(df, borders, by, spread=[value]).withColumn("_q", below).drop("_borders")
 
 
 def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, points: dict[str, float]) -> DataFrame:
@@ -103,7 +112,7 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, points: dict[s
     """
     by = list(by)
     d = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("m"))
-    t = running_totals(d, by, value, value_bucket(value), ["m"])
+    t = running_totals(value_buckets(d, by, value), by, value, F.col("_q"), ["m"])
     v = F.col(value).cast("double")
 
     def quantile(p: float) -> Column:

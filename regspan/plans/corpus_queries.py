@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from regspan.functions import coords as C, recode as R
 from regspan.operators import corpus as K, intervals as I, overlap as O
@@ -196,10 +198,23 @@ def _(fx):
 # ---------------------------------------------------------------- projections and recodes
 
 @query("proj_common_schema", """
-SELECT chrom, peak_start, peak_end, tf_motif, motif_score, fp_score, label FROM corpus_rows WHERE label <> 'genic'""")
+SELECT chrom, peak_start, peak_end, tf_motif, motif_score, fp_score, label FROM corpus_rows
+UNION ALL
+SELECT f.chrom, peak_start, peak_end, tf_motif, motif_score, fp_score, 'promoter'
+FROM footprints f JOIN annotations a ON f.chrom = a.chrom AND fp_start < ann_end AND ann_start < fp_end
+WHERE ann_class = 'promoter'""")
 def _(fx):
+    text = lambda c, name: F.col(c).cast("string").alias(name)
     enh, reg = _csv_layouts(fx)
-    return S.proj_common_schema(enh, "enhancer").unionByName(S.proj_common_schema(reg, "regulome"))
+    promoter = _overlaps(fx).where("ann_class = 'promoter'").select(
+        "chrom", text("peak_start", "peak_start"), text("peak_end", "peak_end"), "tf_motif", text("motif_score", "motif_score"),
+        text("fp_score", "fp_score"))
+    genes = fx.genes.select("chrom", (F.col("gene_start") - 1).alias("lo"), F.col("gene_end").alias("hi"))
+    gtf = I.join_interval(fx.footprints, genes, ("fp_start", "fp_end"), ("lo", "hi")).select(
+        F.col("chrom").alias("Chromosome"), text("peak_start", "Extra7"), text("peak_end", "Extra8"),
+        F.col("tf_motif").alias("Extra3"), text("motif_score", "Extra4"), text("fp_score", "Extra16"))
+    layouts = {"enhancer": enh, "regulome": reg, "promoter": promoter, "gtf": gtf}
+    return reduce(DataFrame.unionByName, [S.proj_common_schema(rows, kind) for kind, rows in layouts.items()])
 
 
 @query("recode_regulome", """

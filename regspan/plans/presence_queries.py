@@ -206,6 +206,13 @@ def _(fx):
     return rounded(Presence(fx).metrics(), METRIC_NUM)
 
 
+@query("agg_pct_metrics_first_stage", METRIC_SQL.replace(
+    "round(log2fc, 9)", "round(log2((max_pct + 1.0::DOUBLE) / (min_pct + 1.0::DOUBLE)), 9)"))
+def _(fx):
+    p = Presence(fx)
+    return rounded(P.agg_pct_metrics(p.kept, p.sizes, P.PSEUDO_FIRST_STAGE), METRIC_NUM)
+
+
 @query("agg_common_high", f"{METRIC_SQL} WHERE min_pct >= 1.5")
 def _(fx):
     return rounded(P.agg_common_high(Presence(fx).metrics(), 1.5), METRIC_NUM)

@@ -312,29 +312,39 @@ def _(fx):
 
 QC_SQL = """
 WITH m AS (SELECT k.grp, k.subtype, k.sample AS cell_class, c_custkey % 7 <> 0 AS selected, c_custkey % 5 <> 0 AS analysed,
-                  c_acctbal AS qc, (c_custkey % 100) / 100.0::DOUBLE AS doublet
+                  c_mktsegment AS cell_subclass, c_acctbal AS tsse, 1000 + c_custkey * 37 % 5003 AS uq,
+                  round(log10(1000 + c_custkey * 37 % 5003), 9) AS log10_uq, (c_custkey % 100) / 100.0::DOUBLE AS doublet,
+                  c_custkey * 7 % 911 AS tn, c_custkey % 313 AS um
            FROM customer JOIN cells k ON k.cell_id = c_custkey),
 md AS (SELECT grp, subtype, first(cell_class ORDER BY n DESC, cell_class) AS cell_class FROM (
          SELECT grp, subtype, cell_class, COUNT(*) AS n FROM m GROUP BY 1, 2, 3) GROUP BY 1, 2),
+ms AS (SELECT grp, subtype, first(cell_subclass ORDER BY n DESC, cell_subclass) AS cell_subclass FROM (
+         SELECT grp, subtype, cell_subclass, COUNT(*) AS n FROM m GROUP BY 1, 2, 3) GROUP BY 1, 2),
 q AS (SELECT grp, subtype, COUNT(*) AS n_assigned, COUNT(*) FILTER (selected) AS n_selected,
              COUNT(*) FILTER (selected AND analysed) AS n_analysed,
              COUNT(*) FILTER (selected AND doublet > 0.5) * 100.0::DOUBLE / COUNT(*) FILTER (selected) AS doublet_pct,
-             median(qc) FILTER (selected) AS qc_median FROM m GROUP BY 1, 2)"""
+             median(CAST(tsse AS DOUBLE)) FILTER (selected) AS tsse_median, median(uq) FILTER (selected) AS uq_median,
+             median(log10_uq) FILTER (selected) AS log10_uq_median, median(doublet) FILTER (selected) AS doublet_median,
+             median(tn) FILTER (selected) AS tn_median, median(um) FILTER (selected) AS um_median FROM m GROUP BY 1, 2)"""
 
 
 def _qc(fx):
     c = fx.table("customer").select(
         F.col("c_custkey").alias("cell_id"), (F.col("c_custkey") % 7 != 0).alias("selected"),
-        (F.col("c_custkey") % 5 != 0).alias("analysed"), F.col("c_acctbal").alias("qc"),
-        ((F.col("c_custkey") % 100) / F.lit(100.0)).alias("doublet"))
+        (F.col("c_custkey") % 5 != 0).alias("analysed"), F.col("c_acctbal").alias("tsse"),
+        F.col("c_mktsegment").alias("cell_subclass"), (F.col("c_custkey") * 37 % 5003 + 1000).alias("uq"),
+        F.round(F.log10(F.col("c_custkey") * 37 % 5003 + 1000), 9).alias("log10_uq"),
+        ((F.col("c_custkey") % 100) / F.lit(100.0)).alias("doublet"), (F.col("c_custkey") * 7 % 911).alias("tn"),
+        (F.col("c_custkey") % 313).alias("um"))
     return N.agg_celltype_qc(c.join(fx.cells.withColumnRenamed("sample", "cell_class"), "cell_id"))
 
 
 @query("agg_celltype_qc", f"""{QC_SQL}
 SELECT grp, subtype, n_assigned, n_selected, n_analysed, round(doublet_pct, 9) AS doublet_pct,
-       round(qc_median, 9) AS qc_median, cell_class FROM q JOIN md USING (grp, subtype)""")
+       {', '.join(f'round({c}_median, 9) AS {c}_median' for c in N.QC_MEASURES)}, cell_class, cell_subclass
+FROM q JOIN md USING (grp, subtype) JOIN ms USING (grp, subtype)""")
 def _(fx):
-    return rounded(_qc(fx), ["doublet_pct", "qc_median"])
+    return rounded(_qc(fx), ["doublet_pct", *[f"{c}_median" for c in N.QC_MEASURES]])
 
 
 @query("qc_group_totals", f"""{QC_SQL}

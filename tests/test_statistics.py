@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from regspan.functions import stats as S
 from regspan.operators import evaluation as E, pairwise as T, scale as C, tf as TF
+from regspan.operators.presence import win_topn_per_group
 
 
 def fisher(ca, na, cb, nb):
@@ -157,6 +158,21 @@ def test_exact_quantiles(spark):
             assert math.isclose(r[name], np.quantile(groups[r.g], p), rel_tol=1e-9, abs_tol=1e-12)
 
 
+def test_values_in_a_narrow_range_spread_over_buckets(spark):
+    df = spark.range(20000).select(F.lit("g").alias("g"), (F.col("id") / 2e7 + 1e6).alias("v"), F.lit(1).alias("m"))
+    sizes = [r["count"] for r in C.value_buckets(df, ["g"], "v").groupBy("_q").count().collect()]
+    assert sum(sizes) == 20000 and max(sizes) < 400
+    got = C.exact_quantiles(df.drop("m"), ["g"], "v", {"half": 0.5}).first()
+    assert math.isclose(got.half, 1e6 + 19999 / 4e7, rel_tol=1e-15)
+
+
+def test_top_rows_beyond_the_group_limit(spark):
+    df = spark.range(5000).select(F.lit("g").alias("g"), "id", (F.col("id") * 7919 % 1000).alias("s"))
+    want = sorted(((-(i * 7919 % 1000), i) for i in range(5000)))[:1500]
+    got = {r["rank"]: r["id"] for r in win_topn_per_group(df, ["g"], "s", 1500, ["id"]).collect()}
+    assert got == {n + 1: i for n, (_, i) in enumerate(want)}
+
+
 def test_hashed_places_number_each_group(spark):
     df = spark.range(1000).select("id", (F.col("id") % 3 == 0).alias("hot"), F.md5(F.col("id").cast("string")).alias("h"))
     got = C.hashed_places(df, ["hot"], "h", "id").collect()
