@@ -15,6 +15,8 @@ from regspan.session import durable
 SUB = ["grp", "subtype"]
 TOP_TF = 50
 MASK_BITS = 62
+#: Patterns of a subtype that one shard holds.
+SHARD_PATTERNS = 4096
 ZERO_LOW, ZERO_HIGH = 0.05, 0.95
 MIN_SUPPORT_N, MIN_SUPPORT_SHARE = 10, 0.02
 
@@ -78,7 +80,8 @@ def _count_sets(masks: DataFrame, size: int) -> DataFrame:
 
     Each task multiplies the bit matrix of its patterns and hands on one count
     per set (at most 19,600 of 50 TFs) and subtype; the counts are then added
-    up. Work per row is large, so patterns are dealt to all cores.
+    up. A task gets whole shards of a subtype, as many as its patterns ask for,
+    so that counts handed on grow with the patterns and not with the cores.
     """
     count = {2: _pairs_in, 3: _triples_in}[size]
 
@@ -93,8 +96,10 @@ def _count_sets(masks: DataFrame, size: int) -> DataFrame:
                 hit = n > 0
                 yield pd.DataFrame({"grp": grp, "subtype": subtype, "bits": bits[hit], "n": n[hit].astype(np.int64)})
 
-    cores = masks.sparkSession.sparkContext.defaultParallelism
-    return masks.repartition(cores).mapInPandas(in_batches, "grp string, subtype string, bits bigint, n bigint").groupBy(
+    shards = checked_broadcast(masks.groupBy(*SUB).agg(F.floor(F.count("*") / SHARD_PATTERNS + 1).alias("shards")))
+    dealt = masks.join(shards, SUB).withColumn("shard", F.pmod(F.xxhash64("mask"), F.col("shards"))).repartition(
+        *SUB, "shard").sortWithinPartitions(*SUB, "shard").select(*masks.columns)
+    return dealt.mapInPandas(in_batches, "grp string, subtype string, bits bigint, n bigint").groupBy(
         *SUB, "bits").agg(F.sum("n").alias("support_count"))
 
 

@@ -73,16 +73,17 @@ def sim_jaccard_cells(peaks: DataFrame, by: str | None = "subtype", block_cells:
 
     A region held by very many cells would give their square in pairs, so
     cells are cut into blocks and regions into shards: each task multiplies two
-    small blocks and hands on counts per pair of cells, never per region. Block
-    and shard numbers follow the data, so a task stays near
-    ``block_cells * shard_regions``. Pairs that share nothing have no row.
+    small blocks and hands on counts per pair of cells, never per region. The
+    number of shards follows the rows of a block, not of the subtype, so a task
+    stays near ``2 * block_cells`` cells times ``2 * shard_regions`` regions and
+    more cells give more pairs of blocks only. Pairs that share nothing have no row.
     """
     held = peaks.select((F.col(by) if by else F.lit("ALL")).alias("subtype"), "cell_id",
                         F.concat_ws(":", *SPAN).alias("region")).distinct()
     size = held.groupBy("subtype", "cell_id").agg(F.count("*").alias("n_regions"))
     plan = size.groupBy("subtype").agg(
         F.ceil(F.count("*") / block_cells).alias("blocks"),
-        F.greatest(F.lit(1), F.ceil(F.sum("n_regions") / (shard_regions * 16))).alias("shards"))
+        F.greatest(F.lit(1), F.ceil(F.sum("n_regions") / F.ceil(F.count("*") / block_cells) / shard_regions)).alias("shards"))
     d = held.join(checked_broadcast(plan), "subtype").withColumns({
         "block": F.pmod(F.xxhash64("cell_id"), F.col("blocks")),
         "shard": F.pmod(F.xxhash64("region"), F.col("shards"))})

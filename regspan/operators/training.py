@@ -53,14 +53,23 @@ def _scores(model, test: DataFrame, label: str, key: list[str]) -> DataFrame:
 
 
 def train_logistic(data: DataFrame, labels: list[str], key: list[str], train: str = "split = 'train'",
-                   test: str = "split = 'test'", max_iter: int = 20) -> DataFrame:
-    """One weighted logistic regression per label; returns long test scores."""
+                   test: str = "split = 'test'", max_iter: int = 100, most_iter: int = 3200) -> DataFrame:
+    """One weighted logistic regression per label; returns long test scores.
+
+    A fit that used up its iterations is repeated with twice as many; not converging within ``most_iter`` is an error.
+    """
     out = None
     data = durable(data)  # the optimiser reads it many times
     for label in labels:
-        lr = LogisticRegression(featuresCol="features", labelCol=label, weightCol="weight", maxIter=max_iter,
-                                regParam=1e-6)
-        part = _scores(lr.fit(balanced_weight(data.where(train), label)), data.where(test), label, key)
+        rows, limit = balanced_weight(data.where(train), label), max_iter
+        lr = LogisticRegression(featuresCol="features", labelCol=label, weightCol="weight", regParam=1e-6)
+        model = lr.setMaxIter(limit).fit(rows)
+        while model.hasSummary and model.summary.totalIterations >= limit:
+            limit *= 2
+            if limit > most_iter:
+                raise RuntimeError(f"{label}: no convergence in {most_iter} iterations")
+            model = lr.setMaxIter(limit).fit(rows)
+        part = _scores(model, data.where(test), label, key)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -75,7 +84,7 @@ def train_logistic_kmer(seqs: DataFrame, labels: list[str], key: list[str], seq:
 
 
 def train_gbt(peaks: DataFrame, labels: list[str], key: list[str], trees: int = 20, depth: int = 5) -> DataFrame:
-    """Boosted trees on TF bits and the five peak statistics."""
+    """Boosted trees on TF bits and the five peak statistics; ``trees`` rounds of trees of ``depth``, no early stop."""
     bits = feat_tf_vector(peaks).withColumnRenamed("features", "tf_bits")
     data = durable(VectorAssembler(inputCols=["tf_bits", *TABULAR], outputCol="features").transform(bits))
     out = None

@@ -383,7 +383,7 @@ def _(fx):
 
 @query("train_gbt")
 def _(fx):
-    return L.score_metrics(L.train_gbt(_labelled_peaks(fx), E.SHARED_HEADS, K.PEAK, trees=10))
+    return L.score_metrics(L.train_gbt(_labelled_peaks(fx), E.SHARED_HEADS, K.PEAK))
 
 
 @query("train_logistic_kmer")

@@ -366,6 +366,18 @@ def _(fx):
     return rounded(S.sim_jaccard_cells(fx.one_group_of_labels(fx.peaks)), ["jaccard_pct"])
 
 
+@query("sim_jaccard_cells_all", """
+WITH h AS (SELECT DISTINCT cell_id, chrom, r_start, r_end FROM peaks),
+n AS (SELECT cell_id, COUNT(*) AS n FROM h GROUP BY 1)
+SELECT 'ALL' AS subtype, p.a AS cell_a, p.b AS cell_b, p.n_shared,
+       round(p.n_shared * 100.0::DOUBLE / (x.n + y.n - p.n_shared), 9) AS jaccard_pct
+FROM (SELECT u.cell_id AS a, v.cell_id AS b, COUNT(*) AS n_shared FROM h u JOIN h v
+        USING (chrom, r_start, r_end) WHERE u.cell_id < v.cell_id GROUP BY 1, 2) p
+JOIN n x ON x.cell_id = p.a JOIN n y ON y.cell_id = p.b""")
+def _(fx):
+    return rounded(S.sim_jaccard_cells(fx.peaks, by=None), ["jaccard_pct"])
+
+
 @query("tf_short_names", "SELECT tf_motif, split_part(tf_motif, '_MA', 1) AS tf, COUNT(*) AS n FROM footprints GROUP BY 1")
 def _(fx):
     return fx.footprints.groupBy("tf_motif", tf_short("tf_motif").alias("tf")).agg(F.count("*").alias("n"))

@@ -2,23 +2,41 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 KEY = ["subtype", "chrom", "r_start", "r_end"]
 
 
+def _cells_before(spark: SparkSession, table: str, batch_id: int) -> DataFrame | None:
+    """The cells that earlier batches wrote down, if there are any."""
+    try:
+        seen = spark.read.parquet(f"{table}/cells")
+    except AnalysisException as missing:
+        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+    return seen.where(F.col("batch") < batch_id)
+
+
 def write_delta(batch: DataFrame, batch_id: int, table: str) -> None:
-    """Counts of one batch of cells, one row per (subtype, region), plus cells per subtype.
+    """Counts of one batch of cells, one row per (subtype, region), and the cells themselves.
 
-    A batch overwrites its own folder, so running it again after a failure
-    changes nothing. A cell arrives in one file, hence in one batch, and counts add up.
+    A batch overwrites its own folder, so running it again after a failure changes nothing. Counts add up because a
+    cell arrives in one file, hence in one batch; a cell that an earlier batch holds is an error and nothing is written.
     """
-    cells = batch.select("subtype", "cell_id", "chrom", "r_start", "r_end").distinct().persist()
-    counts = cells.where("chrom IS NOT NULL").groupBy(*KEY).agg(F.count("*").alias("cnt"))
-    n = cells.groupBy("subtype").agg(F.count_distinct("cell_id").alias("n_cells"))
-    counts.write.mode("overwrite").parquet(f"{table}/counts/batch={batch_id}")
-    n.write.mode("overwrite").parquet(f"{table}/cells/batch={batch_id}")
-    cells.unpersist()
+    rows = batch.select("subtype", "cell_id", "chrom", "r_start", "r_end").distinct().persist()
+    try:
+        cells = rows.select("subtype", "cell_id").distinct()
+        before = _cells_before(batch.sparkSession, table, batch_id)
+        again = before and cells.join(before, ["subtype", "cell_id"], "left_semi").first()
+        if again:
+            raise ValueError(f"cell {again['cell_id']} of {again['subtype']} arrived in an earlier batch")
+        counts = rows.where("chrom IS NOT NULL").groupBy(*KEY).agg(F.count("*").alias("cnt"))
+        counts.write.mode("overwrite").parquet(f"{table}/counts/batch={batch_id}")
+        cells.write.mode("overwrite").parquet(f"{table}/cells/batch={batch_id}")
+    finally:
+        rows.unpersist()
 
 
 def incr_new_cells(spark: SparkSession, source: str, schema: T.StructType, table: str, checkpoint: str,
@@ -33,5 +51,5 @@ def incr_new_cells(spark: SparkSession, source: str, schema: T.StructType, table
 def read_counts(spark: SparkSession, table: str) -> DataFrame:
     """Counts over all batches, with the percent of the cells seen so far."""
     c = spark.read.parquet(f"{table}/counts").groupBy(*KEY).agg(F.sum("cnt").alias("cnt"))
-    n = spark.read.parquet(f"{table}/cells").groupBy("subtype").agg(F.sum("n_cells").alias("n_cells"))
+    n = spark.read.parquet(f"{table}/cells").groupBy("subtype").agg(F.count("*").alias("n_cells"))
     return c.join(n, "subtype").withColumn("pct", F.col("cnt") * 100.0 / F.col("n_cells"))

@@ -3,6 +3,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from regspan.functions import recode as R, sequence as Q
@@ -305,3 +306,11 @@ def test_a_repeated_batch_changes_nothing(spark, tmp_path):
     for _ in range(2):
         write_delta(batch, 0, str(tmp_path / "t"))
     assert read_counts(spark, str(tmp_path / "t")).first().cnt == 1
+
+
+def test_a_cell_in_two_batches_is_an_error(spark, tmp_path):
+    batch = spark.createDataFrame([("s", 1, "chr1", 1, 2)], "subtype string, cell_id long, chrom string, r_start long, r_end long")
+    write_delta(batch, 0, str(tmp_path / "t"))
+    with pytest.raises(ValueError, match="earlier batch"):
+        write_delta(batch, 1, str(tmp_path / "t"))
+    assert read_counts(spark, str(tmp_path / "t")).first().cnt == 1
