@@ -212,18 +212,20 @@ def permuted_labels(nuclei: DataFrame, perms: int, seed: int) -> DataFrame:
     bounds = checked_broadcast(size.select("grp", "subtype", F.sum("n").over(upto).alias("hi")).groupBy("grp").agg(
         F.sort_array(F.collect_list("hi")).alias("bounds"), F.max("hi").alias("n_grp"),
         F.sort_array(F.collect_list("subtype")).alias("subtypes")))
-    spread = nuclei.join(bounds, "grp").select(
-        "grp", "nucleus", "bounds", "n_grp", (F.array_position("subtypes", F.col("subtype")) - 1).cast("int").alias("own"),
-        F.explode(F.sequence(F.lit(1), F.lit(perms))).alias("perm"))
+    own = nuclei.join(bounds, "grp").select(
+        "grp", "nucleus", F.lit(0).alias("perm"), (F.array_position("subtypes", F.col("subtype")) - 1).cast("int").alias("label"))
     digest = F.md5(F.concat_ws("|", F.col("nucleus").cast("string"), F.col("perm").cast("string"), F.lit(str(seed))))
-    # 60 bits of the digest order like the digest itself
-    d = spread.withColumn("mix", F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint"))
-    bucket = F.floor(F.shiftright("mix", 44) * (F.col("n_grp") / F.lit(float(NUCLEI_HELD))) / 65536)
-    d = hashed_places(d, ["grp", "perm"], "mix", "nucleus", bucket=bucket)
+    # 60 bits of the digest order like the digest itself; only narrow rows are shuffled
+    spread = nuclei.join(bounds.select("grp", "n_grp"), "grp").select(
+        "grp", "nucleus", "n_grp", F.explode(F.sequence(F.lit(1), F.lit(perms))).alias("perm")).withColumn(
+        "mix", F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint"))
+    part = F.floor(F.shiftright("mix", 44) * (F.col("n_grp") / F.lit(float(NUCLEI_HELD))) / 65536).cast("int")
+    d = hashed_places(spread.withColumn("part", part).drop("n_grp"), ["grp", "perm"], "mix", "nucleus", bucket=F.col("part"))
     label = F.size(F.filter("bounds", lambda upper_bound: upper_bound <= F.col("place")))
-    row = F.sort_array(F.collect_list(F.struct("perm", label.alias("label"))))
-    return d.groupBy("grp", "nucleus", "n_grp", "own").agg(row.alias("row")).select(
-        "grp", "nucleus", "n_grp", F.concat(F.array("own"), F.col("row.label")).alias("labels"))
+    mixed = d.join(bounds.select("grp", "bounds"), "grp").select("grp", "nucleus", "perm", label.alias("label"))
+    row = F.sort_array(F.collect_list(F.struct("perm", "label")))["label"]
+    return own.unionByName(mixed).groupBy("grp", "nucleus").agg(row.alias("labels")).join(
+        bounds.select("grp", "n_grp"), "grp")
 
 
 def _sums_by_label(n_tf: int):
