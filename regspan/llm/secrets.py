@@ -1,7 +1,8 @@
 """Secrets in texts: fixed patterns, and literals assigned to names that sound secret.
 
 The lexer reads assignments as source and configuration files write them (``name = "literal"``, ``name: literal``,
-``"name": "literal"``, ``export NAME=literal``, ``name := literal``, ``name => literal``). Names keep the literals they
+``"name": "literal"``, ``export NAME=literal``, ``name := literal``, ``name => literal``, ``name: type = literal``, strings in
+three quotes or backticks, values and ``+`` over line ends, assignments inside a bare word). Names keep the literals they
 were given, so a literal that reaches a sensitive name through another name, a ``${NAME}`` or a ``+`` is scored by the
 sensitive name.
 """
@@ -10,7 +11,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from math import log2
 from typing import NamedTuple
 
@@ -29,16 +30,26 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 
 _OPERATOR = re.compile(r":=|=>|[:=]")
-_NAME_BEFORE = re.compile(r"""([A-Za-z_][A-Za-z0-9_.-]*)["']?\]?[ \t]*$""", re.A)
-_QUOTED = re.compile(r""""((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'""")
+#: A name before an operator, read on the reversed text from the operator to the first sign that cannot belong to it.
+_NAME_BACK = re.compile(r"""[ \t]*+\]?["'`]?([A-Za-z0-9_.-]*[A-Za-z_])""", re.A)
+_QUOTED = re.compile(r'"{3}((?:[^"\\]|\\.|"(?!""))*+)"{3}|' r"'{3}((?:[^'\\]|\\.|'(?!''))*+)'{3}|"
+                     r'"((?:[^"\\\n]|\\.)*+)"|' r"'((?:[^'\\\n]|\\.)*+)'|`((?:[^`\\]|\\.)*+)`", re.S)
 _BARE = re.compile(r"[^\s\"'`,;(){}\[\]<>|&+*#%!]+")
-_IDENTIFIER = re.compile(r"(?:\$\{([A-Za-z_][A-Za-z0-9_.-]*)\}|\$?([A-Za-z_][A-Za-z0-9_.]*))$", re.A)
+_BRACED = re.compile(r"\$\{([A-Za-z_][A-Za-z0-9_.-]*)\}", re.A)
+_IDENTIFIER = re.compile(r"\$?([A-Za-z_][A-Za-z0-9_.]*)$", re.A)
 _REFERENCE = re.compile(r"\$\{([A-Za-z_][A-Za-z0-9_.-]*)\}|\$([A-Za-z_][A-Za-z0-9_]*)", re.A)
-_GAP = re.compile(r"[ \t]*")
-_PLUS = re.compile(r"[ \t]*\+[ \t]*")
-_NAME_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
-#: Longest name looked for before an operator, and longest bare word taken after it in one go.
+#: A literal that is one reference and nothing else holds no secret: ``${name}``, or ``$NAME`` in capitals.
+_ONLY_REFERENCE = re.compile(r"\$\{[A-Za-z_][A-Za-z0-9_.-]*\}$|\$[A-Z_][A-Z0-9_]*$", re.A)
+#: What stands between an operator and its value: blanks, a line end before a string or before the one word of an indented line.
+_GAP = re.compile(r"""[ \t]*+(?:[|>][-+]?[ \t]*+\r?\n[ \t]*+|\\?\r?\n[ \t]*+(?=["'`])|\r?\n[ \t]++(?=[^\s"'`,;(){}\[\]<>|&+*#%!:=]++[ \t]*+(?:\r?\n|$)))?""")
+#: A plus sign; at the beginning of a line (as in a patch) only before a string.
+_PLUS = re.compile(r"""[ \t]*+\+[ \t]*+(?:\r?\n[ \t]*+)?|[ \t]*+\r?\n[ \t]*+\+[ \t]*+(?=["'`])""")
+#: A type, or a further name, up to the ``=`` that assigns: what the name before it gets stands after that one.
+_HANDED = re.compile(r"""[ \t]*+(?:&(?:'\w++)?[ \t]*+(?:mut[ \t]++)?)?[A-Za-z_][\w.-]*+(?:::[\w.]++)*+"""
+                     r"""(?:[\[<(][\w \t.,|&'?\[\]<>()*-]*+|[?!]?(?:[ \t]*+\|[ \t]*+[A-Za-z_][\w.]*+)*+[ \t]*+)(?==(?![=>~]))""")
+#: Longest name looked for before an operator.
 _NAME_REACH = 96
+_NAME_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 # How much a part of a name says that it holds a secret.
 NAME_WEIGHTS = {"password": 1.0, "passwd": 1.0, "pwd": 0.9, "passphrase": 1.0, "secret": 1.0, "token": 0.9, "apikey": 1.0,
@@ -47,6 +58,9 @@ NAME_WEIGHTS = {"password": 1.0, "passwd": 1.0, "pwd": 0.9, "passphrase": 1.0, "
 # Words that stand in for a secret, and names that only talk about one.
 PLACEHOLDERS = {"changeme", "example", "placeholder", "password", "secret", "token", "none", "null", "true", "false", "undefined",
                 "required", "string", "optional", "redacted", "xxxxxx", "default", "test", "todo"}
+_LONGEST_PLACEHOLDER = max(map(len, PLACEHOLDERS))
+#: Blanks and angle signs make a literal look like prose or a placeholder.
+PROSE = 0.6
 HARMLESS = {"length", "len", "count", "file", "path", "url", "name", "id", "type", "field", "label", "hint", "policy", "expires", "max", "min"}
 
 
@@ -59,7 +73,7 @@ class Span(NamedTuple):
 class Literal(NamedTuple):
     start: int
     end: int
-    value: str
+    value: str  # without references that were followed
 
 
 def base_spans(text: str) -> list[Span]:
@@ -81,74 +95,143 @@ def name_weight(name: str) -> float:
 
 
 def literal_weight(value: str) -> float:
-    """How much a literal looks like a secret, 0 to 1, by its length, entropy and mix of signs."""
-    if len(value) < MIN_LITERAL or value.lower() in PLACEHOLDERS or len(set(value)) < 4 or any(c in value for c in " \t<>"):
+    """How much a literal looks like a secret, 0 to 1, by its length, entropy and mix of signs; blanks and angle signs lower it."""
+    if len(value) < MIN_LITERAL or value.lower() in PLACEHOLDERS or value[0] + value[-1] == "<>":
         return 0.0
-    head = value[:4096]
-    bits = -sum(n / len(head) * log2(n / len(head)) for n in Counter(head).values())
-    mixed = sum((any(c.isdigit() for c in head), any(c.islower() for c in head), any(c.isupper() for c in head),
-                 any(not c.isalnum() for c in head)))
-    return min(1.0, 0.25 * min(bits, 4.0) * (0.6 + 0.2 * mixed))
-
-
-def _literals(text: str, at: int, known: dict[str, list[Literal]]) -> tuple[list[Literal], int]:
-    """Literals on the right of an operator, with constants put in, and where reading stopped."""
-    out: list[Literal] = []
-    while True:
-        at = _GAP.match(text, at).end()
-        m = _QUOTED.match(text, at)
-        if m:
-            side = 1 if m[1] is not None else 2
-            inner = m[side]
-            refs = list(_REFERENCE.finditer(inner))
-            for r in refs:
-                out += known.get(r[1] or r[2], [])
-            if not refs:
-                out.append(Literal(m.start(side), m.end(side), inner))
-        else:
-            m = _BARE.match(text, at)
-            if not m:
+    return _look(Counter(value[:4096]))
+
+
+def _look(signs: Counter) -> float:
+    size = signs.total()
+    if size < MIN_LITERAL or len(signs) < 4:
+        return 0.0
+    bits = -sum(n / size * log2(n / size) for n in signs.values())
+    mixed = sum((any(c.isdigit() for c in signs), any(c.islower() for c in signs), any(c.isupper() for c in signs),
+                 any(not c.isalnum() for c in signs)))
+    return min(1.0, 0.25 * min(bits, 4.0) * (0.6 + 0.2 * mixed)) * (PROSE if any(c in signs for c in " \t\n<>") else 1.0)
+
+
+class _Reader:
+    """Reads the right sides of one text; a bare word that holds further assignments is measured once."""
+
+    def __init__(self, text: str):
+        self.text, self.known = text, {}
+        self.bare_from, self.bare_to = 0, 0
+
+    def bare_end(self, at: int) -> int:
+        """End of the bare word at ``at``, or ``at``."""
+        if not self.bare_from <= at < self.bare_to:
+            m = _BARE.match(self.text, at)
+            self.bare_from, self.bare_to = m.span() if m else (at, at)
+        return self.bare_to
+
+    def literals(self, at: int) -> tuple[list[Literal | int], int]:
+        """Literals and earlier assignments on the right of an operator, and where reading stopped."""
+        text, out = self.text, []
+        while True:
+            at = _GAP.match(text, at).end()
+            m = _QUOTED.match(text, at)
+            if m:
+                inner, rest, last = m[m.lastindex], [], 0
+                for r in _REFERENCE.finditer(inner) if "$" in inner else ():
+                    node = self.known.get(r[1] or r[2])
+                    if node is not None:
+                        out.append(node)
+                        rest.append(inner[last:r.start()])
+                        last = r.end()
+                value = "".join([*rest, inner[last:]])
+                if not _ONLY_REFERENCE.match(value):
+                    out.append(Literal(m.start(m.lastindex), m.end(m.lastindex), value))
+                at = m.end()
+            elif (ref := _BRACED.match(text, at)):
+                if ref[1] in self.known:
+                    out.append(self.known[ref[1]])
+                at = ref.end()
+            else:
+                end = self.bare_end(at)
+                if end == at:
+                    return out, at
+                stop = end
+                while stop > at and text[stop - 1] in ".:":
+                    stop -= 1
+                ref = _IDENTIFIER.match(text, at, stop)
+                if ref and ref[1] in self.known:
+                    out.append(self.known[ref[1]])
+                elif stop > at and text[at] != "$":
+                    out.append(Literal(at, stop, ""))
+                if _OPERATOR.search(text, at, stop):
+                    return out, at  # the word is read again for the assignments inside it
+                at = end
+            plus = _PLUS.match(text, at)
+            if not plus:
                 return out, at
-            word = m[0].rstrip(".:")
-            ref = _IDENTIFIER.match(word)
-            if ref and (ref[1] or ref[2]) in known:
-                out += known[ref[1] or ref[2]]
-            elif not word.startswith("$"):
-                out.append(Literal(m.start(), m.start() + len(word), word))
-        at = m.end()
-        plus = _PLUS.match(text, at)
-        if not plus:
-            return out, at
-        at = plus.end()
-
-
-def assignments(text: str) -> Iterator[tuple[str, list[Literal]]]:
-    """(name, literals that reach it) in the order of the text; each literal is linked to every name it passes through."""
-    known: dict[str, list[Literal]] = {}
-    done = 0
+            at = plus.end()
+
+
+def assignments(text: str) -> Iterator[tuple[list[str], list[Literal | int]]]:
+    """(names, what reaches them) in the order of the text; a number stands for that earlier assignment.
+
+    A literal without a value is the stretch of text itself. References stay references, so a long chain of joined
+    constants costs no more than its text.
+    """
+    reader, back, size = _Reader(text), text[::-1], len(text)
+    handed: tuple[int, list[str]] = (-1, [])
+    done = nth = 0
     for op in _OPERATOR.finditer(text):
         if op.start() < done:
             continue
-        name = _NAME_BEFORE.search(text[max(done, op.start() - _NAME_REACH):op.start()])
-        if not name or text.startswith("//", op.end()):
+        before = handed[1] if handed[0] == op.start() else []
+        m = _NAME_BACK.match(back, size - op.start(), min(size - done, size - op.start() + _NAME_REACH))
+        if m:
+            before.append(m[1][::-1])
+        if not before or text.startswith("//", op.end()):
             continue
-        found, end = _literals(text, op.end(), known)
+        on = _HANDED.match(text, op.end())
+        if on:
+            handed = (on.end(), before)
+            end = reader.bare_end(op.end())
+            # without blanks the whole word may be one literal as well
+            found = [Literal(op.end(), end, "")] if end > on.end() and len(before) == 1 else []
+        else:
+            found, end = reader.literals(op.end())
+            done = end if found else done
         if found:
-            done = end
-            # a name passes on what it holds; long chains of joined constants stay bounded
-            known[name[1]] = list(dict.fromkeys(found))[:64] if len(found) > 64 else found
-            yield name[1], found
+            names = list(before)
+            reader.known.update(dict.fromkeys(names, nth))
+            nth += 1
+            yield names, found
 
 
 def lexed_spans(text: str, threshold: float = THRESHOLD) -> list[Span]:
     """Literals whose best name and own look together reach ``threshold``."""
+    made = list(assignments(text))
+    weights = [max(map(name_weight, names)) for names, _ in made]
     best: dict[Literal, float] = {}
-    for name, literals in assignments(text):
-        weight = name_weight(name)
-        if weight:
-            for x in literals:
-                best[x] = max(best.get(x, 0.0), weight)
-    return [Span("literal", x.start, x.end) for x, w in best.items() if w * literal_weight(x.value) >= threshold]
+    for nth in range(len(made) - 1, -1, -1):  # references point back, so a weight is whole before it is passed on
+        if weights[nth]:
+            for x in made[nth][1]:
+                if isinstance(x, int):
+                    weights[x] = max(weights[x], weights[nth])
+                else:
+                    best[x] = max(best.get(x, 0.0), weights[nth])
+    looks = _looks(text, best)
+    return [Span("literal", x.start, x.end) for x in sorted(best) if best[x] * looks[x] >= threshold]
+
+
+def _looks(text: str, literals: Iterable[Literal]) -> dict[Literal, float]:
+    """``literal_weight`` of each; bare words that end at one place share their signs, which are counted once."""
+    out = {}
+    signs, at, end = Counter(), -1, -1
+    for x in sorted(literals, key=lambda x: (x.end, -x.start)):
+        if x.value or x.start == x.end or text[x.start - 1:x.start] in ("'", '"', "`"):
+            out[x] = literal_weight(x.value)
+            continue
+        if x.end != end:
+            signs, at, end = Counter(), x.end, x.end
+        signs.update(text[x.start:at])
+        at = x.start
+        out[x] = 0.0 if x.end - x.start <= _LONGEST_PLACEHOLDER and text[x.start:x.end].lower() in PLACEHOLDERS else _look(signs)
+    return out
 
 
 def spans(text: str | None, threshold: float = THRESHOLD) -> list[Span]:
