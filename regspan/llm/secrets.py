@@ -47,8 +47,6 @@ _PLUS = re.compile(r"""[ \t]*+\+[ \t]*+(?:\r?\n[ \t]*+)?|[ \t]*+\r?\n[ \t]*+\+[
 #: A type, or a further name, up to the ``=`` that assigns: what the name before it gets stands after that one.
 _HANDED = re.compile(r"""[ \t]*+(?:&(?:'\w++)?[ \t]*+(?:mut[ \t]++)?)?[A-Za-z_][\w.-]*+(?:::[\w.]++)*+"""
                      r"""(?:[\[<(][\w \t.,|&'?\[\]<>()*-]*+|[?!]?(?:[ \t]*+\|[ \t]*+[A-Za-z_][\w.]*+)*+[ \t]*+)(?==(?![=>~]))""")
-#: Longest name looked for before an operator.
-_NAME_REACH = 96
 _NAME_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 # How much a part of a name says that it holds a secret.
@@ -98,7 +96,7 @@ def literal_weight(value: str) -> float:
     """How much a literal looks like a secret, 0 to 1, by its length, entropy and mix of signs; blanks and angle signs lower it."""
     if len(value) < MIN_LITERAL or value.lower() in PLACEHOLDERS or value[0] + value[-1] == "<>":
         return 0.0
-    return _look(Counter(value[:4096]))
+    return _look(Counter(value))
 
 
 def _look(signs: Counter) -> float:
@@ -181,7 +179,7 @@ def assignments(text: str) -> Iterator[tuple[list[str], list[Literal | int]]]:
         if op.start() < done:
             continue
         before = handed[1] if handed[0] == op.start() else []
-        m = _NAME_BACK.match(back, size - op.start(), min(size - done, size - op.start() + _NAME_REACH))
+        m = _NAME_BACK.match(back, size - op.start(), size - done)
         if m:
             before.append(m[1][::-1])
         if not before or text.startswith("//", op.end()):

@@ -1,4 +1,4 @@
-"""Forms of assignments that the lexer of secrets reads."""
+"""Forms of assignments that the lexer of secrets reads, and literals of any length."""
 
 import time
 
@@ -33,6 +33,8 @@ def found(text):
     ('passphrase = "Correct 7 Horse, battery: Staple"', "Correct 7 Horse, battery: Staple"),
     ('passphrase = "aB3<dE6>gH9-"', "aB3<dE6>gH9-"),
     ("k = 'Zk93hdUq81xx'\ndb_pwd = ${k}", "Zk93hdUq81xx"),
+    ("db_pwd" + " " * 200 + "= Zk93hdUq81xx", "Zk93hdUq81xx"),
+    ("passphrase." + "service-" * 20 + "pwd = Zk93hdUq81xx", "Zk93hdUq81xx"),
 ])
 def test_forms(text, want):
     assert want in found(text)
@@ -48,6 +50,18 @@ def test_references_and_types_are_no_secrets():
         assert not found(text)
 
 
+def test_whole_literals_count():
+    head = "a" * 5000
+    assert secrets.literal_weight(head + "Zk93hdUq81xxQw7Er5Ty3" * 2000) > secrets.literal_weight(head + "b" * 42000) + 0.4
+
+
+def test_every_part_of_a_joined_constant():
+    parts = [f"Zk{i}hdUq{i * 7}xx" for i in range(300)]
+    names = "; ".join(f"p{i} = '{x}'" for i, x in enumerate(parts))
+    for text in (f"{names}; k = {' + '.join(f'p{i}' for i in range(300))}; db_pwd = k", "k = 'abc';" + "".join(f"k = k + '{x}';" for x in parts) + "db_pwd = k"):
+        assert set(parts) <= found(text)
+
+
 def test_time_is_linear():
     for text in ("token=" * 40_000, "a::" * 60_000, "k = k + 'abcdefgh1';" * 20_000 + "db_pwd = k", "x" * 200_000 + "=y", "a:b[" * 50_000, "pwd: a|" * 30_000, "a=`" * 50_001):
         start = time.perf_counter()
