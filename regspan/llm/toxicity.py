@@ -1,7 +1,7 @@
 """Toxic passages as maximum-scoring segments of token log-odds.
 
-Words and their beginnings are hashed into a fixed number of buckets. A bucket has log-odds between toxic and other
-labelled documents under a Dirichlet prior from the whole corpus, moved towards zero by their standard error. A token's
+Words and their beginnings are the pieces. A piece has log-odds between toxic and other labelled documents under a Dirichlet
+prior from the whole corpus, moved towards zero by their standard error; only pieces that keep some are in the model. A token's
 score is that of its most telling piece, less a small cost. One linear scan finds all maximal segments of a text. Their
 scores follow an extreme-value law, whose scale and place come from labelled clean documents. The
 law's sum statistic joins a document's segments; a logistic fit turns it into a probability.
@@ -10,19 +10,18 @@ law's sum statistic joins a document's segments; a logistic fit turns it into a
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from regspan.llm.common import fit_logistic, labelled_sample, map_rows, sigmoid
+from regspan.session import durable
 
-#: The model is one number per bucket, so its size does not depend on the corpus.
-BUCKETS = 1 << 18
+#: Counted words a task holds before it passes their pieces on.
+HELD = 400_000
 #: Most labelled rows that the fit reads.
 FIT_ROWS = 20_000
 #: Strength of the prior as a share of the labelled tokens; standard errors taken off; cost per token.
@@ -40,9 +39,9 @@ _TOKEN = re.compile(r"\w+")
 BEGINNINGS = (4, 5, 6, 7)
 
 
-def pieces(word: str) -> list[int]:
-    """Buckets of a lower-case word and of its beginnings."""
-    return [zlib.crc32(x.encode()) % BUCKETS for x in (word, *(f"^{word[:n]}" for n in BEGINNINGS if len(word) > n))]
+def pieces(word: str) -> list[str]:
+    """A lower-case word and its beginnings; no word has the sign that marks a beginning."""
+    return [word, *(f"^{word[:n]}" for n in BEGINNINGS if len(word) > n)]
 
 
 def words_of(text: str | None) -> list[str]:
@@ -50,15 +49,14 @@ def words_of(text: str | None) -> list[str]:
 
 
 class Scores(dict):
-    """Score of a word under a model's buckets."""
+    """Score of a word under a model's pieces."""
 
-    def __init__(self, scores: np.ndarray):
+    def __init__(self, scores: dict[str, float]):
         super().__init__()
         self.scores = scores
 
     def __missing__(self, word: str) -> float:
-        found = self.scores[pieces(word)]
-        got = float(found[np.abs(found).argmax()]) - TOKEN_COST
+        got = max((self.scores.get(x, 0.0) for x in pieces(word)), key=abs) - TOKEN_COST
         if len(self) < CACHE_TOKENS and len(word) <= 40:
             self[word] = got
         return got
@@ -113,7 +111,7 @@ def extreme_scale(share: np.ndarray, scores: np.ndarray) -> float:
 
 @dataclass
 class Model:
-    scores: np.ndarray  # float64, one per bucket
+    scores: dict[str, float]  # of the pieces whose score is not zero
     scale: float
     place: float  # natural log of the extreme-value constant
     weights: np.ndarray  # of the features, then the intercept
@@ -144,42 +142,52 @@ def _log_factorials(r: np.ndarray) -> np.ndarray:
     return 2 * np.cumsum(logs) - logs
 
 
-def _counts(docs: DataFrame, known: dict) -> np.ndarray:
-    """(BUCKETS, 3) document counts of pieces: of all documents, and of the labelled ones by label. Summed in tasks, then by bucket."""
+def _counts(docs: DataFrame, known: dict) -> DataFrame:
+    """(piece, n, n0, n1): document counts of pieces, of all documents and of the labelled ones by label. Summed in tasks, then by piece."""
 
     def run(batches):
-        sums = np.zeros((3, BUCKETS), np.int64)
+        parts = [Counter(), Counter(), Counter()]  # documents that hold a word: unlabelled, label 0, label 1
+
+        def out():
+            sums: dict[str, list[int]] = {}
+            for row, counted in enumerate(parts):
+                for word, n in counted.items():
+                    for x in pieces(word):
+                        got = sums.setdefault(x, [0, 0, 0])
+                        got[row] += n
+                counted.clear()
+            n, n0, n1 = np.array(list(sums.values()), np.int64).reshape(-1, 3).T
+            return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), *map(pa.array, (n + n0 + n1, n0, n1))], ["piece", "n", "n0", "n1"])
+
         for b in batches:
-            parts = [Counter(), Counter(), Counter()]  # documents that hold a word: unlabelled, label 0, label 1
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
                 parts[1 + known[doc] if doc in known else 0].update(set(words_of(text)))
-            for row, counted in enumerate(parts):
-                found = [pieces(w) for w in counted]
-                at = np.fromiter(chain.from_iterable(found), np.int64)
-                many = np.repeat(np.fromiter(counted.values(), np.int64, len(counted)), list(map(len, found)))
-                for target in {0, row}:
-                    np.add.at(sums[target], at, many)
-        seen = np.flatnonzero(sums[0])
-        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), *[pa.array(s[seen]) for s in sums]], ["bucket", "n", "n0", "n1"])
-
-    parts = map_rows(docs, run, "bucket int, n bigint, n0 bigint, n1 bigint")
-    got = parts.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in ("n", "n0", "n1")]).toPandas()
-    out = np.zeros((BUCKETS, 3))
-    out[got["bucket"].to_numpy()] = got[["n", "n0", "n1"]].to_numpy()
-    return out
+                if sum(map(len, parts)) > HELD:
+                    yield out()
+        yield out()
+
+    parts = map_rows(docs, run, "piece string, n bigint, n0 bigint, n1 bigint")
+    return parts.groupBy("piece").agg(*[F.sum(c).alias(c) for c in ("n", "n0", "n1")])
 
 
-def log_odds(counts: np.ndarray) -> np.ndarray:
-    """Score per bucket: shrunken log-odds of toxic against other labelled pieces."""
-    corpus, clean, toxic = counts.T
-    if not clean.sum() or not toxic.sum():
-        return np.zeros(len(counts))
-    prior = PRIOR_SHARE * (clean.sum() + toxic.sum()) * np.maximum(corpus, 1e-3) / corpus.sum()
-    in_toxic, in_clean = toxic + prior, clean + prior
-    all_toxic, all_clean = in_toxic.sum(), in_clean.sum()
-    odds = np.log(in_toxic / (all_toxic - in_toxic)) - np.log(in_clean / (all_clean - in_clean))
-    error = np.sqrt(1 / in_toxic + 1 / in_clean)
-    return np.sign(odds) * np.maximum(np.abs(odds) - ERRORS * error, 0.0)
+def log_odds(counts: DataFrame) -> dict[str, float]:
+    """Shrunken log-odds of toxic against other labelled documents, of the pieces where they are not zero.
+
+    ``counts`` has (piece, n, n0, n1). Pieces that keep a score need evidence or a large prior, and both are shares of the
+    labelled sample, so their number is bounded by it and not by the corpus.
+    """
+    counts = durable(counts)
+    corpus, clean, toxic = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "n0", "n1")]).first()
+    if not clean or not toxic:
+        return {}
+    prior = F.col("n") * (PRIOR_SHARE * (clean + toxic) / corpus)
+    in_toxic, in_clean = F.col("n1") + prior, F.col("n0") + prior
+    all_toxic, all_clean = toxic + PRIOR_SHARE * (clean + toxic), clean + PRIOR_SHARE * (clean + toxic)
+    odds = F.log(in_toxic / (F.lit(all_toxic) - in_toxic)) - F.log(in_clean / (F.lit(all_clean) - in_clean))
+    over = F.abs(odds) - ERRORS * F.sqrt(1 / in_toxic + 1 / in_clean)
+    # a sample of one piece has no odds
+    scored = counts.select("piece", (F.signum(odds) * over).alias("score"), over.alias("over")).where("over > 0 AND NOT isnan(over) AND over < double('infinity')")
+    return {r["piece"]: r["score"] for r in scored.select("piece", "score").toLocalIterator()}
 
 
 def one_of_each(docs: DataFrame, known: dict) -> dict:
@@ -199,8 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", divisor: int =
     """
     docs = _pick(docs)
     known = one_of_each(docs, labelled_sample(labels, "doc_id", label, divisor, left_out, rows))
-    counts = _counts(docs, known)
-    scores = log_odds(counts)
+    scores = log_odds(_counts(docs, known))
     model = Model(scores, 1.0, 0.0, np.zeros(3))
 
     def labelled(batch, score):
