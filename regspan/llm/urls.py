@@ -1,14 +1,14 @@
 """URL filters: listed rules, and naive Bayes over segmented host names and paths.
 
 Host names are split at dots and signs, then a unigram Viterbi search splits what is written together. Word counts come
-from the text of all pages; only words that occur inside a host name are joined to it. Naive Bayes counts are hashed into
-a fixed number of buckets, learned from urls with telling words and from those that a rule allows, and judge what no rule decides.
+from the text of all pages; only words that occur inside a host name are joined to it. Naive Bayes counts are kept for each
+token itself, learned from urls with telling words and from those that a rule allows, and judge what no rule decides. Up to a
+checked number of tokens is broadcast, the most frequent ones first; the odds of all others meet the urls in a join.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -35,7 +35,8 @@ RULES = (Rule("block", "net", "/"), Rule("allow", "example.net", "/en/"), Rule("
 #: Host words that mark a url as one to block for learning.
 TELLING = ("ads", "adserver", "banner", "bet", "bets", "betting", "casino", "jackpot", "malware", "pharma", "phishing", "pills", "porn",
            "spam", "track", "tracker", "viagra", "xxx")
-BUCKETS = 1 << 16
+#: Tokens whose odds are broadcast; salts of the join that brings those of all others.
+BROADCAST_TOKENS, SALTS = 20_000, 8
 #: Longest word that segmentation looks for; a longer stretch is split.
 LONGEST = 24
 #: Assumed share of urls to block among those that no rule decides, and the pseudo-count of a token.
@@ -136,8 +137,9 @@ def host_words(hosts: DataFrame, counts: DataFrame) -> DataFrame:
 
 @dataclass
 class Bayes:
-    odds: np.ndarray  # log-odds of block per bucket
+    odds: dict[str, float]  # log-odds of block of the most frequent tokens
     prior: float
+    rest: DataFrame | None  # (token, odds) of all others, or None without any
 
 
 def _tokens(words: list[str] | None, path: str, skip: frozenset) -> list[str]:
@@ -145,10 +147,6 @@ def _tokens(words: list[str] | None, path: str, skip: frozenset) -> list[str]:
     return [f"h:{w}" for w in words or [] if w not in skip] + [f"p:{'#' if t.isdigit() else t}" for t in found if t not in skip]
 
 
-def _buckets(tokens: list[str]) -> list[int]:
-    return [zlib.crc32(t.encode()) % BUCKETS for t in tokens]
-
-
 def rule_words(rules: tuple[Rule, ...]) -> frozenset:
     """Words that the rules themselves name: they decide the labels, so they are no evidence beyond them."""
     return frozenset(w for r in rules for w in re.findall(r"[a-z]+", r.name))
@@ -163,22 +161,49 @@ def fit(rows: DataFrame, rules: tuple[Rule, ...] = RULES, telling: tuple[str, ..
     skip, marks = rule_words(rules), frozenset(telling)
 
     def run(batches):
-        sums = np.zeros((2, BUCKETS), np.int64)
+        sums = (Counter(), Counter())
+
+        def out():
+            seen = [*sums[0].keys() | sums[1].keys()]
+            counts = [pa.array([c[t] for t in seen], pa.int64()) for c in sums]
+            for c in sums:
+                c.clear()
+            return pa.RecordBatch.from_arrays([pa.array(seen, pa.string()), *counts], ["token", "n0", "n1"])
+
         for b in batches:
             for path, verdict, words in zip(*(b.column(c).to_pylist() for c in ("path", "rule_verdict", "words"))):
                 marked = bool(marks.intersection(words or ()))
                 if marked or verdict == "allow":
-                    np.add.at(sums[int(marked)], _buckets(_tokens(words, path, skip)), 1)
-        seen = np.flatnonzero(sums.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(sums[0, seen]), pa.array(sums[1, seen])], ["bucket", "n0", "n1"])
+                    sums[marked].update(_tokens(words, path, skip))
+            if sum(map(len, sums)) > HELD:
+                yield out()
+        yield out()
+
+    counts = durable(map_rows(rows.select("path", "rule_verdict", "words"), run, "token string, n0 bigint, n1 bigint").groupBy("token").agg(
+        F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
+    size, all0, all1 = counts.agg(F.count("*"), *[F.coalesce(F.sum(c), F.lit(0)) for c in ("n0", "n1")]).first()
+    least = SMOOTH * max(size, 1)
+    share = lambda c, n: (F.col(c) + SMOOTH) / (n + least)
+    odds = counts.select("token", (F.col("n0") + F.col("n1")).alias("n"), F.log(share("n1", all1) / share("n0", all0)).alias("odds"))
+    top = {r["token"]: r["odds"] for r in odds.orderBy(F.desc("n"), "token").limit(BROADCAST_TOKENS).collect()}
+    rest = odds.select("token", "odds") if size > len(top) else None
+    return Bayes(top, float(np.log(PRIOR / (1 - PRIOR))), rest)
+
+
+def _rest_odds(rows: DataFrame, model: Bayes, skip: frozenset) -> DataFrame:
+    """(_row, rest): summed odds of the tokens of ``rows`` (_row, path, words) that are not broadcast; absent without any."""
+
+    def run(batches):
+        for b in batches:
+            out = [(row, t, n) for row, path, words in zip(*(b.column(c).to_pylist() for c in ("_row", "path", "words")))
+                   for t, n in Counter(_tokens(words, path, skip)).items() if t not in model_odds]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else ((), (), ()), (pa.int64(), pa.string(), pa.int64()))],
+                                             ["_row", "token", "n"])
 
-    got = map_rows(rows.select("path", "rule_verdict", "words"), run, "bucket int, n0 bigint, n1 bigint").groupBy("bucket").agg(
-        F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas()
-    sums = np.zeros((2, BUCKETS))
-    sums[:, got["bucket"].to_numpy()] = got[["n0", "n1"]].to_numpy().T
-    size = max(int(sums.any(axis=0).sum()), 1)
-    share = (sums + SMOOTH) / (sums.sum(axis=1, keepdims=True) + SMOOTH * size)
-    return Bayes(np.where(sums.any(axis=0), np.log(share[1] / share[0]), 0.0), float(np.log(PRIOR / (1 - PRIOR))))
+    model_odds = model.odds
+    used = map_rows(rows.select("_row", "path", "words"), run, "_row bigint, token string, n bigint").withColumn("salt", F.pmod("_row", F.lit(SALTS)))
+    dealt = model.rest.withColumn("salt", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")))
+    return used.join(dealt, ["token", "salt"]).groupBy("_row").agg(F.sum(F.col("n") * F.col("odds")).alias("rest"))
 
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, telling: tuple[str, ...] = TELLING) -> DataFrame:
@@ -192,17 +217,22 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, telling: tuple[str,
     parsed = urls.select("page_id", host.alias("host"), path.alias("path")).select(
         "page_id", "host", "path", by_rule(rules, "name").alias("rule"), by_rule(rules, "verdict").alias("rule_verdict"))
     words = durable(host_words(parsed.select("host").distinct(), durable(word_counts(urls))))
-    rows = durable(parsed.join(words, "host", "left"))
+    rows = durable(parsed.join(words, "host", "left").withColumn("_row", F.monotonically_increasing_id()))
     model, skip = fit(rows, rules, telling), rule_words(rules)
+    if model.rest is None:
+        rows = rows.withColumn("rest", F.lit(0.0))
+    else:
+        rows = rows.join(_rest_odds(rows, model, skip), "_row", "left").withColumn("rest", F.coalesce("rest", F.lit(0.0)))
+    top, prior = model.odds, model.prior
 
     def run(batches):
         for b in batches:
-            odds = [model.prior + float(model.odds[_buckets(_tokens(w, p, skip))].sum()) for w, p in
-                    zip(b.column("words").to_pylist(), b.column("path").to_pylist())]
-            names = b.schema.names
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(odds, pa.float64())], [*names, "odds"])
+            odds = [prior + rest + sum(top.get(t, 0.0) for t in _tokens(w, p, skip)) for w, p, rest in
+                    zip(*(b.column(c).to_pylist() for c in ("words", "path", "rest")))]
+            names = b.schema.names[:-1]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(odds, pa.float64())], [*names, "odds"])
 
-    scored = map_rows(rows.select("page_id", "host", "path", "rule", "rule_verdict", "words"), run,
+    scored = map_rows(rows.select("page_id", "host", "path", "rule", "rule_verdict", "words", "rest"), run,
                       "page_id bigint, host string, path string, rule string, rule_verdict string, words array<string>, odds double")
     own = F.when(F.col("odds") > 0, "block").otherwise("allow")
     return scored.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", own).alias("verdict"), "words", "odds")
