@@ -38,6 +38,15 @@ def map_rows(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return df.mapInArrow(fn, schema)
 
 
+def map_slices(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = BATCH_ROWS) -> DataFrame:
+    """``mapInArrow`` over slices of at most ``rows`` rows; the session's batch size stays as it is."""
+
+    def run(batches):
+        yield from fn(b.slice(lo, rows) for b in batches for lo in range(0, b.num_rows, rows))
+
+    return df.mapInArrow(run, schema)
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str | None]:
     return batch.column(column).to_pylist()
 

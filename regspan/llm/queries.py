@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from regspan.llm import byte_bpe, language, media, packing, quality, secrets, simhash, toxicity, urls, vectors
-from regspan.llm.common import held_out, table
+from regspan.llm import byte_bpe, language, media, merkle, packing, quality, secrets, simhash, toxicity, urls, vectors
+from regspan.llm.common import held_out, remainder, table
 
 #: Vocabulary files are found by the installed package of public tokenizers.
 WORD_BPE = "word_bpe_49k.json"
@@ -87,7 +87,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    proved = merkle.manifest(table(spark, sf_dir, "documents"), tampered=remainder(F.col("doc_id"), 7) == 0)
+    return merkle.verify(proved)
+
+
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_secrets, op4_packing, op5_media, op6_language, op7_vectors, op8_urls,
-                                   op9_byte_bpe, op10_quality)}
+                                   op9_byte_bpe, op10_quality, op11_merkle)}
 #: None of them has SQL: their methods or their digests are not expressible there; tests/llm holds them against brute force.
 ORACLE_SQL: dict[str, str] = {}
