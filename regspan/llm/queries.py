@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from regspan.llm import byte_bpe, language, media, merkle, packing, quality, secrets, simhash, toxicity, urls, vectors
+from regspan.llm import byte_bpe, language, media, merkle, packing, planes, quality, secrets, simhash, toxicity, urls, vectors
 from regspan.llm.common import held_out, remainder, table
+from regspan.session import scratch_path
 
 #: Vocabulary files are found by the installed package of public tokenizers.
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
+BYTE_BPE_JSON = "byte_bpe_50k.json"
 
 
 def tokenizer_path(name: str) -> str:
@@ -92,7 +94,13 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify(proved)
 
 
+def op12_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "planes")
+    planes.write(table(spark, sf_dir, "documents"), folder, tokenizer_path(BYTE_BPE_JSON))
+    return planes.digests(planes.read(spark, folder))
+
+
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_secrets, op4_packing, op5_media, op6_language, op7_vectors, op8_urls,
-                                   op9_byte_bpe, op10_quality, op11_merkle)}
+                                   op9_byte_bpe, op10_quality, op11_merkle, op12_planes)}
 #: None of them has SQL: their methods or their digests are not expressible there; tests/llm holds them against brute force.
 ORACLE_SQL: dict[str, str] = {}
