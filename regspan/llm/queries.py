@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from regspan.llm import byte_bpe, language, media, merkle, packing, planes, quality, secrets, simhash, toxicity, urls, vectors
+from regspan.llm import byte_bpe, language, lemp, media, merkle, packing, planes, quality, secrets, simhash, sql, toxicity, urls, vectors
 from regspan.llm.common import held_out, remainder, table
 from regspan.session import scratch_path
 
@@ -100,7 +100,12 @@ def op12_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planes.digests(planes.read(spark, folder))
 
 
+def op13_lemp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lemp.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_secrets, op4_packing, op5_media, op6_language, op7_vectors, op8_urls,
-                                   op9_byte_bpe, op10_quality, op11_merkle, op12_planes)}
-#: None of them has SQL: their methods or their digests are not expressible there; tests/llm holds them against brute force.
-ORACLE_SQL: dict[str, str] = {}
+                                   op9_byte_bpe, op10_quality, op11_merkle, op12_planes,
+                                   op13_lemp)}
+#: The others have none: their methods or their digests are not expressible there; tests/llm holds them against brute force.
+ORACLE_SQL: dict[str, str] = {"op11_merkle": sql.MERKLE, "op13_lemp": sql.LEMP}
