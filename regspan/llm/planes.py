@@ -66,21 +66,27 @@ class Encoder:
         self.runs = re.compile(r"(\s{2,})").split
         self.written = byte_characters(ByteLevel.alphabet())
         self.merges = self.tok.model.tokenize
-        self.known: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # a word with the blank before it, a line end and a word where it begins with one
         self.tails: dict[str, bytes] = {"": b"", "\n": self._exact("\n")}
 
-    def _plain(self, part: str) -> bytes:
-        """Ids of a stretch: a run of Latin letters goes straight to the merges, signs behind it are a pre-token of their own."""
+    def _merged(self, lead: str, core: str) -> bytes | None:
+        """Ids of a run of Latin letters, which go straight to the merges; nothing for other cores."""
+        if not core.isalpha() or max(core) >= _LATIN_END:
+            return None
+        written = core if core.isascii() else core.encode().decode("latin-1").translate(self.written)
+        ids = [t.id for t in self.merges(self.written[0x20] + written if lead else written)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _plain(self, lead: str, part: str) -> bytes:
+        """Ids of a stretch and the blank before it, if any; signs behind its letters are a pre-token of their own."""
         core = part.rstrip(_SIGNS)
-        got = self.cores.get(core)
+        got = self.known.get(core) if lead and core else None
         if got is None:
-            if not core[core.startswith(" "):].isalpha() or max(core) >= _LATIN_END:
-                return self._exact(part)
-            ids = [t.id for t in self.merges(core.encode().decode("latin-1").translate(self.written))]
-            got = struct.pack(f"<{len(ids)}I", *ids)
-            if len(core) <= 60:
-                self.cores[core] = got
+            got = self._merged(lead, core)
+            if got is None:
+                return self._exact(lead + part)
+            if lead and len(core) <= 60:
+                self.known[core] = got
         tail = part[len(core):]
         end = self.tails.get(tail)
         if end is None:
@@ -92,8 +98,8 @@ class Encoder:
     def _word(self, word: str) -> bytes:
         """Ids of a word and what stands before it: a line end that it begins with, else a blank."""
         if word.startswith("\n"):
-            return self.tails["\n"] + (self._plain(word[1:]) if len(word) > 1 else b"")
-        return self._plain(" " + word)
+            return self.tails["\n"] + (self._plain("", word[1:]) if len(word) > 1 else b"")
+        return self._plain(" ", word)
 
     def _exact(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -101,17 +107,16 @@ class Encoder:
     def _stretch(self, text: str) -> bytes:
         """Ids of a stretch without white space of two characters or more."""
         first, *words = text.replace("\n", " \n").split(" ")
-        known, out = self.known, self._plain(first) if first else b""
+        known, out = self.known, self._plain("", first) if first else b""
         try:
             return out + b"".join([known[w] for w in words])
         except KeyError:
             new = {w: self._word(w) for w in words if w not in known}
         out += b"".join([known[w] if w in known else new[w] for w in words])
         known.update((w, x) for w, x in new.items() if len(w) <= 60)
-        for kept in (known, self.cores):
-            if len(kept) > CACHE_WORDS:  # frequent words are met early and stay
-                for w in list(islice(reversed(kept), len(kept) // 2)):
-                    del kept[w]
+        if len(known) > CACHE_WORDS:  # frequent words are met early and stay
+            for w in list(islice(reversed(known), len(known) // 2)):
+                del known[w]
         return out
 
     def __call__(self, text: str | None) -> bytes:
