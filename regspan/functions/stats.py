@@ -4,50 +4,32 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, functions as F
 
-_SMALL = 20
-_LOG_FACT = [math.lgamma(i + 1) for i in range(_SMALL)]
 # Two tables count as equally likely when their log probabilities differ by no more than this.
 TIE = 1e-7
 
 
-def log_factorial(n: Column) -> Column:
-    """ln(n!) to about 1e-15: a table below 20, Stirling's series above."""
-    table = F.array(*[F.lit(v) for v in _LOG_FACT])
-    x = n.cast("double")
-    series = (1 / (x * 12) - 1 / (F.pow(x, 3) * 360) + 1 / (F.pow(x, 5) * 1260) - 1 / (F.pow(x, 7) * 1680))
-    stirling = x * F.log(x) - x + F.log(x * (2 * math.pi)) * 0.5 + series
-    return F.when(n < _SMALL, F.get(table, n.cast("int"))).otherwise(stirling)
+def hypergeometric_p(na: int, nb: int, drawn: int, observed: np.ndarray) -> np.ndarray:
+    """Two-sided Fisher exact p of each observed count on the first side, given the margins.
 
-
-def fisher_p(ca: str, na: str, cb: str, nb: str) -> Column:
-    """Two-sided Fisher exact p of [[ca, cb], [na-ca, nb-cb]].
-
-    Walks the support once. Each step multiplies the last probability by a
-    ratio, so only the first term and the observed one need factorials.
-    Arguments must be plain columns. A count above its total gives p = 1.
+    The mass function is laid out once: log probabilities by ratios from its first term, sorted, with running totals. An
+    observed count's p is the total up to its own probability. Counts that the margins forbid give 1.
     """
-    a, m, b, n = (F.col(c).cast("bigint") for c in (ca, na, cb, nb))
-    drawn = a + b
-    lo, hi = F.greatest(F.lit(0).cast("bigint"), drawn - n), F.least(drawn, m)
-
-    def log_pmf(k: Column) -> Column:
-        lf = log_factorial
-        return (lf(m) - lf(k) - lf(m - k) + lf(n) - lf(drawn - k) - lf(n - drawn + k)
-                - lf(m + n) + lf(drawn) + lf(m + n - drawn))
-
-    start = F.struct(log_pmf(lo).alias("lw"), F.lit(0.0).alias("total"), (log_pmf(a) + TIE).alias("cut"))
-
-    def step(fisher_state: Column, fisher_count: Column) -> Column:
-        ratio = ((m - fisher_count) * (drawn - fisher_count)).cast("double") / (
-            (fisher_count + 1) * (n - drawn + fisher_count + 1))
-        add = F.when(fisher_state["lw"] <= fisher_state["cut"], F.exp(fisher_state["lw"])).otherwise(0.0)
-        return F.struct((fisher_state["lw"] + F.log(ratio)).alias("lw"), (fisher_state["total"] + add).alias("total"),
-                        fisher_state["cut"].alias("cut"))
-
-    p = F.aggregate(F.sequence(lo, hi), start, step, lambda fisher_end: fisher_end["total"])
-    return F.when((a > m) | (b > n) | (a < 0) | (b < 0), 1.0).otherwise(F.least(p, F.lit(1.0)))
+    lo, hi = max(0, drawn - nb), min(drawn, na)
+    p = np.ones(len(observed))
+    ok = (observed >= lo) & (observed <= hi)
+    if not ok.any():
+        return p
+    lf = lambda x: math.lgamma(x + 1)
+    first = lf(na) - lf(lo) - lf(na - lo) + lf(nb) - lf(drawn - lo) - lf(nb - drawn + lo) - lf(na + nb) + lf(drawn) + lf(na + nb - drawn)
+    k = np.arange(lo, hi, dtype=np.float64)
+    log = first + np.concatenate([[0.0], np.cumsum(np.log((na - k) * (drawn - k)) - np.log((k + 1) * (nb - drawn + k + 1)))])
+    ranked = np.sort(log)
+    totals = np.cumsum(np.exp(ranked))
+    p[ok] = np.minimum(totals[np.searchsorted(ranked, log[observed[ok] - lo] + TIE, side="right") - 1], 1.0)
+    return p
 
 
 def odds_ratio(ca: str, na: str, cb: str, nb: str) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from regspan.functions import recode as R
 from regspan.functions.coords import log2_ratio, midpoint, region_id
 from regspan.operators.intervals import join_interval_exists
-from regspan.operators.pairwise import subtype_pairs, with_tests
+from regspan.operators.pairwise import contingency, member_counts, pair_rows, tested_tables, with_tests
 from regspan.operators.presence import MIN_CELLS, PSEUDO, REGION, agg_pct_metrics
 from regspan.operators.scale import salted_join
 
@@ -129,23 +129,30 @@ def agg_rediscovery(master: DataFrame) -> DataFrame:
         (F.coalesce("n_overlapping_known", F.lit(0)) * 100.0 / F.col("n_novel_regulatory")).alias("pct_rediscovered"))
 
 
+def _unsigned(df: DataFrame, pseudo: float) -> DataFrame:
+    """Difference and ratio without a sign, the higher side, and flags."""
+    d = df.withColumns({"pct_a": F.col("ca") * 100.0 / F.col("na"), "pct_b": F.col("cb") * 100.0 / F.col("nb")})
+    hi, lo = F.greatest("pct_a", "pct_b"), F.least("pct_a", "pct_b")
+    side = F.concat(F.lit("up_in_"), F.when(F.col("pct_a") >= F.col("pct_b"), F.col("a")).otherwise(F.col("b")))
+    return d.withColumns({"diff_pct": hi - lo, "log2fc": log2_ratio(hi, lo, pseudo), "direction": side,
+                          "sig_005": F.col("fdr") < 0.05, "sig_001": F.col("fdr") < 0.01, "sig_0001": F.col("fdr") < 0.001})
+
+
+def fisher_novel_tables(novel: DataFrame, sizes: DataFrame, pseudo: float = PSEUDO) -> DataFrame:
+    """All tests of ``test_fisher_novel`` as weighted tables."""
+    return _unsigned(tested_tables(contingency(member_counts(novel, [*REGION, "region_class"]), sizes, zeros=False)), pseudo)
+
+
 def test_fisher_novel(novel: DataFrame, sizes: DataFrame, pseudo: float = PSEUDO) -> DataFrame:
     """Exact tests on novel loci with at least one cell in the pair.
 
     Difference and ratio carry no sign and the direction does not wait for
     significance.
     """
-    per = novel.groupBy(*REGION, "region_class").agg(
-        F.map_from_entries(F.collect_list(F.struct("subtype", "cnt"))).alias("_m"))
-    got = lambda c: F.coalesce(F.col("_m")[F.col(c)], F.lit(0))
-    rows = per.join(subtype_pairs(sizes), "grp").select(
-        *REGION, "region_class", "a", "b", got("a").alias("ca"), got("b").alias("cb"), "na", "nb").where("ca + cb > 0")
-    rows = rows.withColumns({"pct_a": F.col("ca") * 100.0 / F.col("na"), "pct_b": F.col("cb") * 100.0 / F.col("nb")})
-    hi, lo = F.greatest("pct_a", "pct_b"), F.least("pct_a", "pct_b")
-    side = F.concat(F.lit("up_in_"), F.when(F.col("pct_a") >= F.col("pct_b"), F.col("a")).otherwise(F.col("b")))
-    return with_tests(rows).drop("global_fdr", "odds_ratio").withColumns({
-        "diff_pct": hi - lo, "log2fc": log2_ratio(hi, lo, pseudo), "direction": side,
-        "sig_005": F.col("fdr") < 0.05, "sig_001": F.col("fdr") < 0.01, "sig_0001": F.col("fdr") < 0.001})
+    held = member_counts(novel, [*REGION, "region_class"])
+    tables = tested_tables(contingency(held, sizes, zeros=False))
+    rows = with_tests(pair_rows(held, sizes).where("ca + cb > 0"), tables)
+    return _unsigned(rows.drop("global_fdr", "odds_ratio"), pseudo)
 
 
 def region_bins(master: DataFrame, bin_size: int = BIN) -> DataFrame:

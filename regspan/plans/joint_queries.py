@@ -222,9 +222,9 @@ FROM (SELECT grp, a, b, fdr, 'known' AS basket FROM tested_all
       UNION ALL SELECT grp, a, b, fdr, 'novel' FROM novel_tested_all) GROUP BY 1, 2, 3""")
 def _(fx):
     j = Joint(fx)
-    cols = [*T.PAIR, "na", "nb", "fdr", "log2fc"]
-    known = j.tested().select(*cols, F.lit("known").alias("basket"))
-    novel = J.test_fisher_novel(durable(j.novel()), j.sizes).select(*cols, F.lit("novel").alias("basket"))
+    cols = [*T.PAIR, "na", "nb", "fdr", "log2fc", "m"]
+    known = j.tables.select(*cols, F.lit("known").alias("basket"))
+    novel = J.fisher_novel_tables(durable(j.novel()), j.sizes).select(*cols, F.lit("novel").alias("basket"))
     return T.agg_pair_summary(known.unionByName(novel), ["known", "novel"]).select(
         *T.PAIR, "total_regions", "sig_005", "sig_005_known", "sig_005_novel")
 

@@ -128,9 +128,17 @@ class Presence:
     def metrics(self):
         return P.agg_pct_metrics(self.kept, self.sizes)
 
+    @cached_property
+    def stored(self):
+        # read several times by the tests: for the tables and for the rows
+        return durable(self.kept)
+
     def tested(self):
-        # the counts are read twice below: for the distinct tables and for the rows
-        return T.test_fisher_pairs(durable(self.kept), self.sizes)
+        return T.test_fisher_pairs(self.stored, self.sizes)
+
+    @cached_property
+    def tables(self):
+        return T.fisher_pair_tables(self.stored, self.sizes)
 
 
 def rounded(df, cols, places=9):
@@ -292,8 +300,8 @@ FROM d JOIN mf USING (grp, chrom, r_start, r_end) GROUP BY 1, 2, 3, 4""")
 def _(fx):
     p = Presence(fx)
     top = P.win_topn_per_group(rounded(p.metrics(), ["diff_pct"]), ["grp"], "diff_pct", 100, P.SPAN)
-    low = T.agg_min_fdr(p.tested()).drop("stars")
-    out = P.region_companion(top, p.kept, p.sizes, low)
+    low = T.agg_min_fdr(p.stored, p.tables).drop("stars")
+    out = P.region_companion(top, p.stored, p.sizes, low)
     return rounded(rounded(out, ["first_pct", "second_pct", "mean_pct"]), ["min_fdr"], 8)
 
 
@@ -346,9 +354,9 @@ SELECT grp, a, b, direction, sig_005, sig_001, sig_0001, COUNT(*) AS n FROM (
             ELSE 'ns' END AS direction, fdr < 0.05 AS sig_005, fdr < 0.01 AS sig_001, fdr < 0.001 AS sig_0001
   FROM tested_all) GROUP BY ALL""")
 def _(fx):
-    t = Presence(fx).tested().drop("direction", "sig_005", "sig_001", "sig_0001")
+    t = Presence(fx).tables.drop("direction", "sig_005", "sig_001", "sig_0001")
     return T.test_direction(t, 0.9).groupBy("grp", "a", "b", "direction", "sig_005", "sig_001", "sig_0001").agg(
-        F.count("*").alias("n"))
+        F.sum("m").alias("n"))
 
 
 @query("agg_pair_summary", """
@@ -358,7 +366,7 @@ SELECT grp, a, b, COUNT(*) AS total_regions, MAX(na) AS na, MAX(nb) AS nb, COUNT
        round(MAX(log2fc), 9) AS max_log2fc, round(MIN(log2fc), 9) AS min_log2fc, round(MIN(fdr), 8) AS min_fdr
 FROM tested_all GROUP BY 1, 2, 3""")
 def _(fx):
-    s = T.agg_pair_summary(Presence(fx).tested()).drop("up_a_001", "up_b_001", "up_a_0001", "up_b_0001")
+    s = T.agg_pair_summary(Presence(fx).tables).drop("up_a_001", "up_b_001", "up_a_0001", "up_b_0001")
     return rounded(rounded(s, ["max_log2fc", "min_log2fc"]), ["min_fdr"], 8)
 
 
@@ -367,7 +375,8 @@ SELECT grp, chrom, r_start, r_end, round(MIN(fdr), 8) AS min_fdr, CASE WHEN MIN(
   WHEN MIN(fdr) < 0.01 THEN '**' WHEN MIN(fdr) < 0.05 THEN '*' ELSE '' END AS stars
 FROM tested_all GROUP BY 1, 2, 3, 4""")
 def _(fx):
-    return rounded(T.agg_min_fdr(Presence(fx).tested()), ["min_fdr"], 8)
+    p = Presence(fx)
+    return rounded(T.agg_min_fdr(p.stored, p.tables), ["min_fdr"], 8)
 
 
 @query("agg_pair_points", """
@@ -376,16 +385,15 @@ SELECT grp, a, b, chrom, r_start, r_end, neg AS neg_log10_fdr, round((pct_a + pc
 FROM (SELECT *, row_number() OVER (PARTITION BY grp, a, b ORDER BY neg DESC, chrom, r_start, r_end) AS rank
       FROM (SELECT *, round(-log10(greatest(fdr, 1e-300)), 7) + 0.0 AS neg FROM tested_all)) WHERE rank <= 8""")
 def _(fx):
-    pts = rounded(rounded(T.pair_points(Presence(fx).tested()), ["neg_log10_fdr"], 7), ["mean_presence"])
-    pts = pts.withColumn("neg_log10_fdr", F.col("neg_log10_fdr") + 0.0)
-    return P.win_topn_per_group(pts, T.PAIR, "neg_log10_fdr", 8, P.SPAN).select(
-        *T.PAIR, *P.SPAN, "neg_log10_fdr", "mean_presence", "rank")
+    p = Presence(fx)
+    pts = T.agg_pair_points(p.stored, p.sizes, p.tables, 8, places=7)
+    return rounded(pts, ["mean_presence"]).select(*T.PAIR, *P.SPAN, "neg_log10_fdr", "mean_presence", "rank")
 
 
 @query("agg_fdr_histogram", """
 SELECT grp, CAST(least(floor(round(fdr, 8) * 50), 49) AS INT) AS bin, COUNT(*) AS n FROM tested_all GROUP BY 1, 2""")
 def _(fx):
-    return T.agg_fdr_histogram(rounded(Presence(fx).tested(), ["fdr"], 8))
+    return T.agg_fdr_histogram(rounded(Presence(fx).tables, ["fdr"], 8))
 
 
 @query("agg_diff_spread", f"""
