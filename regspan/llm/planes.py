@@ -17,7 +17,7 @@ import os
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import islice
 
@@ -30,14 +30,14 @@ from regspan.llm.common import map_slices
 
 MAGIC = b"IDPLANE1"
 BLOCK_IDS, CONTAINER_IDS = 1 << 14, 1 << 17
-PLANE_BITS, ZSTD_LEVEL = 8, 3
+PLANE_BITS, ZSTD_LEVEL = 8, 1
 END_ID = 0
 #: Signs that may end a word; they hold neither letters nor digits nor white space.
 _SIGNS = "!\"#$%&()*+,-./:;=?@[]^_`{}~"
 #: Letters below this one are letters to every library alike.
 _LATIN_END = "\u0250"
 #: Words whose ids a process remembers.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 900_000
 _HEAD, _TAIL = struct.Struct("<8sBIQQQ"), struct.Struct("<QQ8s")
 
 
@@ -66,40 +66,59 @@ class Encoder:
         self.runs = re.compile(r"(\s{2,})").split
         self.written = byte_characters(ByteLevel.alphabet())
         self.merges = self.tok.model.tokenize
+        merged = set().union(*(t for t in self.tok.get_vocab() if len(t) > 1))
+        self.apart = next(c for c in self.written.values() if c not in merged)  # no merge joins it to anything
         self.known: dict[str, bytes] = {}  # a word with the blank before it, a line end and a word where it begins with one
         self.tails: dict[str, bytes] = {"": b"", "\n": self._exact("\n")}
 
-    def _merged(self, lead: str, core: str) -> bytes | None:
-        """Ids of a run of Latin letters, which go straight to the merges; nothing for other cores."""
-        if not core.isalpha() or max(core) >= _LATIN_END:
-            return None
-        written = core if core.isascii() else core.encode().decode("latin-1").translate(self.written)
-        ids = [t.id for t in self.merges(self.written[0x20] + written if lead else written)]
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _plain(self, lead: str, part: str) -> bytes:
-        """Ids of a stretch and the blank before it, if any; signs behind its letters are a pre-token of their own."""
-        core = part.rstrip(_SIGNS)
-        got = self.known.get(core) if lead and core else None
+    def _tail(self, signs: str) -> bytes:
+        got = self.tails.get(signs)
         if got is None:
-            got = self._merged(lead, core)
-            if got is None:
-                return self._exact(lead + part)
-            if lead and len(core) <= 60:
-                self.known[core] = got
-        tail = part[len(core):]
-        end = self.tails.get(tail)
-        if end is None:
-            end = self._exact(tail)
-            if len(tail) <= 8 and len(self.tails) < CACHE_WORDS:
-                self.tails[tail] = end
-        return got + end
-
-    def _word(self, word: str) -> bytes:
-        """Ids of a word and what stands before it: a line end that it begins with, else a blank."""
-        if word.startswith("\n"):
-            return self.tails["\n"] + (self._plain("", word[1:]) if len(word) > 1 else b"")
-        return self._plain(" ", word)
+            got = self._exact(signs)
+            if len(signs) <= 8 and len(self.tails) < CACHE_WORDS:
+                self.tails[signs] = got
+        return got
+
+    def _merged(self, cores: list[str]) -> list[bytes]:
+        """Ids of runs of letters that are written in the vocabulary's characters, all in one go."""
+        out: list[bytes] = []
+        run: list[int] = []
+        for t in self.merges(self.apart.join([*cores, ""])) if cores else []:
+            if t.value == self.apart:
+                out.append(struct.pack(f"<{len(run)}I", *run))
+                run = []
+            else:
+                run.append(t.id)
+        return out
+
+    def _learn(self, words: set[str]) -> None:
+        """Put the ids of words into ``known``. A word carries a line end that it begins with, else the blank before it.
+
+        Behind that come Latin letters, which go straight to the merges, and signs, a pre-token of their own; what is made
+        otherwise goes through the library.
+        """
+        known, blank, plain = self.known, self.written[0x20], {}
+        parts = []
+        for word in words:
+            line = word[:1] == "\n"
+            part = word[1:] if line else word
+            core = part.rstrip(_SIGNS)
+            if not core.isalpha() or max(core) >= _LATIN_END:
+                known[word] = (self.tails["\n"] + (self._exact(part) if part else b"")) if line else self._exact(" " + part)
+                continue
+            written = core if core.isascii() else core.encode().decode("latin-1").translate(self.written)
+            written = written if line else blank + written
+            plain[written] = known.get(core) if not line else None
+            parts.append((word, line, core, written, part[len(core):]))
+        todo = [w for w, got in plain.items() if got is None]
+        plain.update(zip(todo, self._merged(todo)))
+        for word, line, core, written, signs in parts:
+            got = plain[written]
+            if line:
+                known[word] = self.tails["\n"] + got + self._tail(signs)
+            else:
+                known[core] = got
+                known[word] = got + self._tail(signs)
 
     def _exact(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -107,13 +126,15 @@ class Encoder:
     def _stretch(self, text: str) -> bytes:
         """Ids of a stretch without white space of two characters or more."""
         first, *words = text.replace("\n", " \n").split(" ")
-        known, out = self.known, self._plain("", first) if first else b""
-        try:
-            return out + b"".join([known[w] for w in words])
-        except KeyError:
-            new = {w: self._word(w) for w in words if w not in known}
-        out += b"".join([known[w] if w in known else new[w] for w in words])
-        known.update((w, x) for w, x in new.items() if len(w) <= 60)
+        known, out = self.known, self._exact(first) if first else b""
+        new = set(words).difference(known)
+        if new:
+            self._learn(new)
+        out += b"".join(map(known.__getitem__, words))
+        for w in new:
+            if len(w) > 60:
+                known.pop(w, None)
+                known.pop(w.rstrip(_SIGNS), None)
         if len(known) > CACHE_WORDS:  # frequent words are met early and stay
             for w in list(islice(reversed(known), len(known) // 2)):
                 del known[w]
@@ -273,8 +294,8 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, block: int = BLOCK_
     map_slices(dealt, run, _STORED).write.option("compression", "none").parquet(folder)
 
 
-def read(spark: SparkSession, folder: str) -> DataFrame:
-    """(doc_id, start, ids) of every stored document: the ids before it in the corpus, and its own as little-endian unsigned 32-bit numbers.
+def _stored_documents(spark: SparkSession, folder: str, columns: Callable[[list[bytes]], list[pa.Array]], schema: str) -> DataFrame:
+    """(doc_id, start, and what ``columns`` makes of the ids) of every stored document.
 
     One number a partition reaches the driver; containers know their place within their partition.
     """
@@ -282,6 +303,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     sizes = {r["part"]: r["n"] for r in stored.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()}
     parts = sorted(sizes)
     before = dict(zip(parts, np.cumsum([0, *[sizes[p] for p in parts]]).tolist()))
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches):
         for b in batches:
@@ -293,9 +315,20 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                     some = rows[lo:lo + 512]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([r[0] for r in some], pa.int64()), pa.array([first + r[1] for r in some], pa.int64()),
-                         pa.array([box.ids(at, at + n) for _, at, n in some], pa.binary())], ["doc_id", "start", "ids"])
+                         *columns([box.ids(at, at + n) for _, at, n in some])], names)
+
+    return map_slices(stored.select("part", "data"), run, schema, rows=1)
+
+
+def read(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, start, ids) of every stored document: the ids before it in the corpus, and its own as little-endian unsigned 32-bit numbers."""
+    return _stored_documents(spark, folder, lambda ids: [pa.array(ids, pa.binary())], "doc_id bigint, start bigint, ids binary")
+
 
-    return map_slices(stored.select("part", "data"), run, "doc_id bigint, start bigint, ids binary", rows=1)
+def digests(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of every stored document, from the ids that are read back."""
+    made = lambda ids: [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(list(map(zlib.crc32, ids)), pa.int64())]
+    return _stored_documents(spark, folder, made, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def lookup(spark: SparkSession, folder: str, low: int, high: int) -> DataFrame:
@@ -311,16 +344,3 @@ def lookup(spark: SparkSession, folder: str, low: int, high: int) -> DataFrame:
                                                   pa.array([box.ids(at, at + n) for _, at, n in some], pa.binary())], ["doc_id", "ids"])
 
     return map_slices(near.select("data"), run, "doc_id bigint, ids binary", rows=1)
-
-
-def digests(documents: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of rows of ``read``."""
-
-    def run(batches):
-        for b in batches:
-            raw = b.column("ids").to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("start"), pa.array([len(x) // 4 for x in raw], pa.int64()), pa.array([zlib.crc32(x) for x in raw], pa.int64())],
-                ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return map_slices(documents, run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")

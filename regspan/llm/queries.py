@@ -97,7 +97,7 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "planes")
     planes.write(table(spark, sf_dir, "documents"), folder, tokenizer_path(BYTE_BPE_JSON))
-    return planes.digests(planes.read(spark, folder))
+    return planes.digests(spark, folder)
 
 
 def op13_lemp(spark: SparkSession, sf_dir: str) -> DataFrame:
