@@ -37,7 +37,7 @@ _SIGNS = "!\"#$%&()*+,-./:;=?@[]^_`{}~"
 #: Letters below this one are letters to every library alike.
 _LATIN_END = "\u0250"
 #: Words whose ids a process remembers.
-CACHE_WORDS = 900_000
+CACHE_WORDS = 1_100_000
 _HEAD, _TAIL = struct.Struct("<8sBIQQQ"), struct.Struct("<QQ8s")
 
 
@@ -103,10 +103,11 @@ class Encoder:
             line = word[:1] == "\n"
             part = word[1:] if line else word
             core = part.rstrip(_SIGNS)
-            if not core.isalpha() or max(core) >= _LATIN_END:
+            plain_ascii = core.isascii()
+            if not core.isalpha() or not plain_ascii and max(core) >= _LATIN_END:
                 known[word] = (self.tails["\n"] + (self._exact(part) if part else b"")) if line else self._exact(" " + part)
                 continue
-            written = core if core.isascii() else core.encode().decode("latin-1").translate(self.written)
+            written = core if plain_ascii else core.encode().decode("latin-1").translate(self.written)
             written = written if line else blank + written
             plain[written] = known.get(core) if not line else None
             parts.append((word, line, core, written, part[len(core):]))
@@ -125,12 +126,13 @@ class Encoder:
 
     def _stretch(self, text: str) -> bytes:
         """Ids of a stretch without white space of two characters or more."""
-        first, *words = text.replace("\n", " \n").split(" ")
-        known, out = self.known, self._exact(first) if first else b""
+        # a first word with nothing before it counts as one behind a line end, whose ids are then taken off
+        words = ("\n" + text.replace("\n", " \n")).split(" ")
+        known = self.known
         new = set(words).difference(known)
         if new:
             self._learn(new)
-        out += b"".join(map(known.__getitem__, words))
+        out = b"".join(map(known.__getitem__, words))[len(self.tails["\n"]):]
         for w in new:
             if len(w) > 60:
                 known.pop(w, None)
