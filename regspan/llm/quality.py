@@ -17,8 +17,8 @@ from regspan.llm.common import labelled_sample, map_rows, sigmoid
 
 CHUNK, HOP = 512, 448
 KERNEL, STRIDE, WIDTH, FILTERS = 8, 4, 8, 24
-#: Most labelled rows and most bytes of one of them that the fit reads; scoring reads whole texts.
-FIT_ROWS, FIT_BYTES = 2_500, 16_384
+#: Most labelled rows that the fit reads, and most chunks of one of them, spread evenly over it; scoring reads whole texts.
+FIT_ROWS, FIT_CHUNKS = 2_500, 36
 EPOCHS, GROUP, RATE = 10, 32, 0.01
 #: Chunks convolved at once.
 RUN = 64
@@ -66,8 +66,8 @@ def pooled(net: Net, codes: np.ndarray, where: bool = False) -> tuple[np.ndarray
     """(n, FILTERS) largest response of each filter per chunk, none below 0; and its position if asked for."""
     best, at = [], []
     for lo in range(0, len(codes), RUN):
-        x = windows(net, codes[lo:lo + RUN])
-        r = (np.ascontiguousarray(x).reshape(-1, KERNEL * WIDTH) @ net.filters).reshape(len(x), -1, FILTERS)
+        # one product of the same shape per chunk: how it rounds does not depend on the chunks beside it
+        r = np.matmul(np.ascontiguousarray(windows(net, codes[lo:lo + RUN])), net.filters)
         if where:
             a = r.argmax(axis=1)
             at.append(a)
@@ -90,7 +90,8 @@ def probabilities(net: Net, texts: list[str | None]) -> np.ndarray:
         codes = [chunks(raw) for raw in group]
         starts = np.cumsum([0, *map(len, codes)])[:-1]
         h, _ = pooled(net, np.concatenate(codes) if len(codes) > 1 else codes[0])
-        out.append(sigmoid((_combine(h, starts) @ net.out + net.out_bias).astype(np.float64)))
+        z = _combine(h, starts).astype(np.float64)
+        out.append(sigmoid((z * net.out.astype(np.float64)).sum(axis=1) + float(net.out_bias[0])))
     return np.concatenate(out) if out else np.zeros(0)
 
 
@@ -106,12 +107,17 @@ def _groups(raws: list[bytes], most: int = 1 << 18) -> Iterator[list[bytes]]:
         yield group
 
 
-def train(raws: list[bytes], y: np.ndarray, seed: int = 0, epochs: int = EPOCHS) -> Net:
-    """Fit by Adam on the log loss. The gradient of a maximum reaches only the position that gave it."""
+def spread_chunks(raw: bytes, most: int = FIT_CHUNKS) -> np.ndarray:
+    """At most ``most`` chunks of a text, the first and the last among them and the others at even distances."""
+    every = chunks(raw)
+    return every if len(every) <= most else every[np.linspace(0, len(every) - 1, most).round().astype(int)]
+
+
+def train(codes: list[np.ndarray], y: np.ndarray, seed: int = 0, epochs: int = EPOCHS) -> Net:
+    """Fit by Adam on the log loss; ``codes`` are the chunks of each text. The gradient of a maximum reaches only the position that gave it."""
     net, rng = Net.new(seed), np.random.default_rng(seed)
     names = [f.name for f in fields(Net)]
     moments = {n: [np.zeros_like(getattr(net, n)), np.zeros_like(getattr(net, n))] for n in names}
-    codes = [chunks(r) for r in raws]
     step = 0
     net.out_bias[0] = np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3)) if len(y) else 0.0
     for epoch in range(epochs):
@@ -149,19 +155,25 @@ def train(raws: list[bytes], y: np.ndarray, seed: int = 0, epochs: int = EPOCHS)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", divisor: int = 5, left_out: int = 0,
-        rows: int = FIT_ROWS, most_bytes: int = FIT_BYTES) -> Net:
-    """Learn from ``labels`` (doc_id, label) outside the left-out fold: ``rows`` of them, by hash of the id, in texts of ``most_bytes`` at most.
+        rows: int = FIT_ROWS, most_chunks: int = FIT_CHUNKS) -> Net:
+    """Learn from ``labels`` (doc_id, label) outside the left-out fold: ``rows`` of them, by hash of the id, ``most_chunks`` chunks of each.
 
-    What reaches the driver is bounded by ``rows`` times ``most_bytes``; that bound holds for the fit alone.
+    What reaches the driver is bounded by ``rows`` times ``most_chunks``; that bound holds for the fit alone. Long texts
+    teach by chunks from all over them.
     """
     known = labelled_sample(labels, "doc_id", label, divisor, left_out, 2 * rows)
     spark = docs.sparkSession
     ids = spark.createDataFrame([(int(k), y) for k, y in known.items()], "_id bigint, _y int")
-    short = docs.select(F.col("doc_id").cast("bigint").alias("_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(
-        F.octet_length("text") <= most_bytes)
-    got = short.join(F.broadcast(ids), "_id").dropDuplicates(["text"]).orderBy(F.xxhash64("_id"), "_id").limit(rows).toPandas()
-    got = got.sort_values("_id")
-    return train([t.encode() for t in got["text"]], got["_y"].to_numpy(np.float32))
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    first = texts.join(F.broadcast(ids), "_id").dropDuplicates(["text"]).orderBy(F.xxhash64("_id"), "_id").limit(rows).select("_id", "_y", "text")
+
+    def run(batches):
+        for b in batches:
+            codes = [spread_chunks(t.encode(), most_chunks).tobytes() for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_y"), pa.array(codes, pa.binary())], ["_id", "_y", "codes"])
+
+    got = map_rows(first, run, "_id bigint, _y int, codes binary").toPandas().sort_values("_id")
+    return train([np.frombuffer(c, np.int16).reshape(-1, CHUNK) for c in got["codes"]], got["_y"].to_numpy(np.float32))
 
 
 def score(docs: DataFrame, net: Net) -> DataFrame:

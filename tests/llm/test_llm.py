@@ -481,11 +481,27 @@ def test_chunks_cover_everything():
 def test_quality_gradient_goes_downhill():
     raws = [b"clean words " * 20 if i % 2 else b"$$%%!!## " * 20 for i in range(40)]
     y = np.array([i % 2 for i in range(40)], np.float32)
-    net = quality.train(raws, y, epochs=8)
+    net = quality.train([quality.chunks(r) for r in raws], y, epochs=8)
     p = quality.probabilities(net, [r.decode() for r in raws])
     assert ((p > 0.5) == (y == 1)).all()
 
 
+def test_equal_texts_score_alike_beside_any_others(real):
+    texts = [r["text"] for r in real[0].limit(120).collect()] + ["x" * 70_000, "", None]
+    net = quality.Net.new(3)
+    alone = [quality.probabilities(net, [t])[0] for t in texts]
+    assert alone == quality.probabilities(net, texts).tolist()
+    assert alone[::-1] == quality.probabilities(net, texts[::-1]).tolist()
+    assert alone[7] == quality.probabilities(net, [texts[7]] * 40)[39]
+
+
+def test_long_texts_teach_by_chunks_from_all_over():
+    raw = bytes(i // 1000 % 251 for i in range(200_000))
+    some = quality.spread_chunks(raw, 10)
+    assert len(some) == 10 and (some[0] == quality.chunks(raw)[0]).all() and (some[-1] == quality.chunks(raw)[-1]).all()
+    assert len(quality.spread_chunks(raw[:5000], 36)) == len(quality.chunks(raw[:5000]))
+
+
 def test_quality_held_out(spark, real):
     rows = queries.op10_quality(spark, SF).join(real[1], "doc_id").where("held_out").collect()
     assert sum(r["predicted"] == r["quality"] for r in rows) >= 0.9 * len(rows)
