@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from regspan.functions import recode as R
 from regspan.functions.coords import clean_number
+from regspan.operators.scale import numbered_names
 
 PEAK = ["chrom", "peak_start", "peak_end"]
 
@@ -55,10 +56,8 @@ def multilabel_stats(flags: DataFrame) -> DataFrame:
 
 
 def vocabulary(rows: DataFrame, col: str, name: str = "name") -> DataFrame:
-    """Sorted distinct names with a zero-based index; names are a dimension, so one window serves."""
-    d = rows.select(F.col(col).alias(name)).where(F.col(name).isNotNull()).distinct()
-    w = W.partitionBy(F.lit(0)).orderBy(name)
-    return d.select(name, (F.row_number().over(w) - 1).alias("idx"))
+    """Sorted distinct names with a zero-based index."""
+    return numbered_names(rows.select(F.col(col).alias(name)), name).select(name, F.col("idx").cast("int").alias("idx"))
 
 
 def join_tf_lookup(peaks: DataFrame, rows: DataFrame) -> DataFrame:

@@ -1,71 +1,102 @@
-"""Interval joins: both sides are cut into bins and joined on (chrom, bin).
-
-A pair that shares several bins is kept only in the first of them, so every
-pair comes out once. The right side is the reference side (annotation, genes,
-known regions). It is cut into as many bins as it covers, at most the length
-of a chromosome over the bin size, and repeated ``salts`` times, so that a
-locus which holds a large share of the left rows is spread over that many
-tasks.
+"""Interval joins: both sides are cut into nested bins and joined on (chrom, level, bin).
+
+Each level's bins are eight times as wide as those of the level below. A span belongs to the lowest level whose bins are
+as long as itself, so it lies in two of them at most, however long it is. Two spans meet on the higher one's level: a
+probe looks at its own level and at those above it that the other side has. A pair that shares two bins is kept in the
+first of them, so every pair comes out once.
+
+The right side is the reference side (annotation, genes, known regions). A bin that holds very many left rows is spread
+over tasks by salts that a histogram of the bins plans; only the right rows of such a bin are repeated.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from regspan.operators.scale import SALTS
+from regspan.operators.scale import HOT_ROWS, salted_join, spread_keys
 
 BIN = 1024
+#: Levels of nested bins; the widest of 1,024 * 8^7 bases hold any chromosome. 8 = 2^_STEP.
+LEVELS, _STEP = 8, 3
 POINT_BIN = 16384
 FAR = 300_000_000
 
 
-def _bins(lo: Column, hi: Column, width: int) -> Column:
-    first = F.floor(lo / F.lit(width)).cast("bigint")
-    last = F.floor(hi / F.lit(width)).cast("bigint")
-    return F.sequence(first, F.greatest(first, last))
+def _level(lo: Column, hi: Column, width: int, levels: int) -> Column:
+    level = F.lit(0)
+    for i in range(levels - 1):
+        level = level + (hi - lo + 1 > F.lit(width << _STEP * i)).cast("int")
+    return level
+
+
+def _wide(width: int, level: Column) -> Column:
+    return F.lit(width).cast("bigint") * F.element_at(F.array(*[F.lit(1 << _STEP * i).cast("bigint") for i in range(LEVELS)]), level + 1)
+
+
+def _spots(lo: Column, hi: Column, width: int, levels: Column, role: int) -> Column:
+    """The bins of some levels that a span touches, as (_key, _bin); _key holds the level and the role that the span has there."""
+
+    def of_level(level: Column) -> Column:
+        first, last = (F.floor(x / _wide(width, level)).cast("bigint") for x in (lo, hi))
+        return F.transform(F.sequence(first, F.greatest(first, last)), lambda b: F.struct((level * 2 + role).alias("_key"), b.alias("_bin")))
 
+    return F.flatten(F.transform(levels, of_level))
 
-def _binned(df: DataFrame, lo: Column, hi: Column, width: int) -> DataFrame:
-    return df.withColumn("_bin", F.explode(_bins(lo, hi, width)))
 
+def _present(df: DataFrame, level: Column) -> Column:
+    """The levels that ``df`` has, as an array that a subquery finds."""
+    return df.agg(F.array_sort(F.collect_set(level)).alias("levels")).scalar()
 
-def _salt_left(df: DataFrame, salts: int) -> DataFrame:
-    if salts == 1:
-        return df
-    # the partition id spreads exact copies of one row too
-    spread = F.xxhash64(*df.columns, F.spark_partition_id())
-    return df.withColumn("_salt", F.pmod(spread, F.lit(salts)).cast("int"))
 
+def _nested(left: DataFrame, right: DataFrame, left_span: tuple[Column, Column], right_span: tuple[Column, Column], width: int,
+            left_levels: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with (_key, _bin): equal keys and bins are where their spans may meet, with the first shared bin among them.
+
+    Role 0 of a level: the right side's own spans, met by left ones of that level and below. Role 1: the left side's own
+    spans, met by right ones from below. ``left_levels=1`` says that left spans are short; longer ones are then cut into
+    as many bins of the lowest level as they cover, and right spans have no role 1.
+    """
+    ours, theirs = _level(*left_span, width, left_levels), _level(*right_span, width, LEVELS)
+    a = left.withColumn("_levels", _present(right, theirs)).withColumn("_own", ours)
+    spots = _spots(*left_span, width, F.filter("_levels", lambda x: x >= F.col("_own")), 0)
+    b = right.withColumn("_own", theirs)
+    back = _spots(*right_span, width, F.array("_own"), 0)
+    if left_levels > 1:
+        below = F.filter(F.array("_own"), lambda x: F.exists("_levels", lambda y: y < x))
+        spots = F.concat(spots, _spots(*left_span, width, below, 1))
+        b = b.withColumn("_levels", _present(left, ours))
+        back = F.concat(back, _spots(*right_span, width, F.filter("_levels", lambda x: x > F.col("_own")), 1))
+    return (a.select(*left.columns, F.inline(spots)), b.select(*right.columns, F.inline(back)))
 
-def _salt_right(df: DataFrame, salts: int) -> DataFrame:
-    if salts == 1:
-        return df
-    return df.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+
+def _first_shared(lo: Column, other: Column, width: int) -> Column:
+    return F.floor(F.greatest(lo, other) / _wide(width, F.expr("_key div 2").cast("int")))
 
 
 def join_interval(left: DataFrame, right: DataFrame, left_span: tuple[str, str], right_span: tuple[str, str],
-                  bin_size: int = BIN, closed: bool = False, salts: int = SALTS) -> DataFrame:
+                  bin_size: int = BIN, closed: bool = False, hot_rows: int = HOT_ROWS, left_levels: int = LEVELS) -> DataFrame:
     """Pairs whose half-open spans overlap on the same ``chrom``.
 
     ``closed`` treats both ends as part of the span. Column names other than
-    ``chrom`` must differ between the sides.
+    ``chrom`` must differ between the sides. ``left_levels=1`` saves a look at
+    the left side's lengths where they are known to be short.
     """
     (ls, le), (rs, re) = left_span, right_span
     edge = 0 if closed else 1
-    a = _salt_left(_binned(left, F.col(ls), F.col(le) - edge, bin_size), salts)
-    b = _salt_right(_binned(right, F.col(rs), F.col(re) - edge, bin_size), salts)
-    j = a.join(b, ["chrom", "_bin"] + (["_salt"] if salts > 1 else []))
+    a, b = _nested(left, right, (F.col(ls), F.col(le) - edge), (F.col(rs), F.col(re) - edge), bin_size, left_levels)
+    key = ["chrom", "_key", "_bin"]
+    a, b = spread_keys(a, b, key, hot_rows)
     if closed:
         meet = (F.col(ls) <= F.col(re)) & (F.col(rs) <= F.col(le))
     else:
         meet = (F.col(ls) < F.col(re)) & (F.col(rs) < F.col(le))
-    first = F.floor(F.greatest(F.col(ls), F.col(rs)) / F.lit(bin_size))
-    return j.where(meet & (F.col("_bin") == first)).drop("_bin", "_salt")
+    j = a.join(b, [*key, "_salt"]).where(meet & (F.col("_bin") == _first_shared(F.col(ls), F.col(rs), bin_size)))
+    return j.select(*left.columns, *[c for c in right.columns if c != "chrom"])
 
 
 def join_interval_exists(left: DataFrame, right: DataFrame, left_span: tuple[str, str],
                          right_span: tuple[str, str], bin_size: int = BIN, keep: str = "left_semi",
-                         on: tuple[str, ...] = ("chrom",)) -> DataFrame:
+                         on: tuple[str, ...] = ("chrom",), left_levels: int = LEVELS) -> DataFrame:
     """Left rows that meet any right span with equal ``on`` columns.
 
     A right span that starts exactly where the left one ends counts as met, so
@@ -75,25 +106,28 @@ def join_interval_exists(left: DataFrame, right: DataFrame, left_span: tuple[str
     (ls, le), (rs, re) = left_span, right_span
     on = list(on)
     spans = left.select(*on, ls, le).distinct()
-    b = right.select(*on, F.col(rs).alias("_rs"), F.col(re).alias("_re")).distinct()
-    a = _binned(spans, F.col(ls), F.col(le), bin_size)
-    b = _binned(b, F.col("_rs"), F.greatest(F.col("_rs"), F.col("_re") - 1), bin_size)
-    met = a.join(b, [*on, "_bin"]).where(
+    refs = right.select(*on, F.col(rs).alias("_rs"), F.col(re).alias("_re")).distinct()
+    a, b = _nested(spans, refs, (F.col(ls), F.col(le)), (F.col("_rs"), F.greatest("_rs", F.col("_re") - 1)), bin_size, left_levels)
+    met = a.join(b, [*on, "_key", "_bin"]).where(
         (F.col("_rs") <= F.col(le)) & (F.col("_re") > F.col(ls))).select(*on, ls, le).distinct()
     return left.join(met, [*on, ls, le], keep)
 
 
 def point_in_interval(points: DataFrame, spans: DataFrame, pos: str, span: tuple[str, str],
-                      bin_size: int = POINT_BIN, how: str = "inner", salts: int = SALTS) -> DataFrame:
-    """Points with the spans (both ends included) that hold them; a point stays in one bin."""
+                      bin_size: int = POINT_BIN, how: str = "inner", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Points with the spans (both ends included) that hold them; a point stays in one bin.
+
+    Spans are a dimension (genes, or stretches that part a chromosome), so cutting them into flat bins gives few rows and
+    the points, which are many, are never repeated. A bin with very many points is spread by planned salts.
+    """
     lo, hi = span
     last = FAR // bin_size
-    p = _salt_left(points.withColumn("_bin", F.least(F.expr(f"{pos} div {bin_size}"), F.lit(last))), salts)
+    p = points.withColumn("_bin", F.least(F.expr(f"{pos} div {bin_size}"), F.lit(last)))
     cut = spans.withColumn("_bin", F.explode(F.sequence(
         F.least(F.expr(f"greatest({lo}, 0) div {bin_size}"), F.lit(last)),
         F.least(F.expr(f"greatest({hi}, 0) div {bin_size}"), F.lit(last)))))
-    s = _salt_right(cut, salts)
-    same = [p[c] == s[c] for c in ["chrom", "_bin"] + (["_salt"] if salts > 1 else [])]
+    p, s = spread_keys(p, cut, ["chrom", "_bin"], hot_rows)
+    same = [p[c] == s[c] for c in ("chrom", "_bin", "_salt")]
     inside = (p[pos] >= s[lo]) & (p[pos] <= s[hi])
     j = p.join(s, same + [inside], how)
     return j.select(*[p[c] for c in points.columns], *[s[c] for c in spans.columns if c != "chrom"])
@@ -143,12 +177,15 @@ def join_nearest_tss(points: DataFrame, genes: DataFrame, mid: str = "mid") -> D
 
 
 def join_gene_body(points: DataFrame, genes: DataFrame, mid: str = "mid") -> DataFrame:
-    """Gene whose body holds the point: protein-coding first, then the lowest TSS. Adds ``within_gene``."""
+    """Gene whose body holds the point: protein-coding first, then the lowest TSS. Adds ``within_gene``.
+
+    The gene is found once per place; every row of ``points`` gets it, equal rows included.
+    """
     g = with_tss(genes).select("chrom", "gene_start", "gene_end", "gene_name", "gene_type", "tss")
-    keys = points.columns
-    hit = point_in_interval(points, g, mid, ("gene_start", "gene_end"), how="left")
+    places = points.select("chrom", mid).distinct()
     rank = F.struct((F.col("gene_type") != "protein_coding").alias("np"), "tss", "gene_name")
-    return hit.groupBy(*keys).agg(F.min_by("gene_name", rank).alias("within_gene"))
+    hit = point_in_interval(places, g, mid, ("gene_start", "gene_end")).groupBy("chrom", mid).agg(F.min_by("gene_name", rank).alias("within_gene"))
+    return salted_join(points, hit, ["chrom", mid], "left").select(*points.columns, "within_gene")
 
 
 def join_locus_genes(loci: DataFrame, genes: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from regspan.functions.coords import tf_short
 from regspan.operators.scale import checked_broadcast
@@ -14,7 +14,8 @@ from regspan.session import durable
 
 SUB = ["grp", "subtype"]
 TOP_TF = 50
-MASK_BITS = 62
+#: TFs that one long of a bit pattern holds.
+WORD_BITS = 62
 #: Patterns of a subtype that one shard holds.
 SHARD_PATTERNS = 4096
 ZERO_LOW, ZERO_HIGH = 0.05, 0.95
@@ -31,8 +32,6 @@ def fim_informative(tf_pct: DataFrame, top: int = TOP_TF, low: float = ZERO_LOW,
     A TF that no nucleus of the subtype binds is unbound everywhere and drops out.
     ``idx`` is the place in variance order.
     """
-    if top > MASK_BITS:
-        raise ValueError(f"at most {MASK_BITS} TFs fit one bit pattern")
     held = tf_pct.where("pct > 0").groupBy(*SUB, "tf").agg(F.count("*").alias("held"))
     n = checked_broadcast(_nuclei(tf_pct))
     n_zero = F.col("n_cell") - F.col("held")
@@ -43,64 +42,73 @@ def fim_informative(tf_pct: DataFrame, top: int = TOP_TF, low: float = ZERO_LOW,
     return d.withColumn("idx", F.row_number().over(w) - 1).where(F.col("idx") < top)
 
 
-def zero_masks(tf_pct: DataFrame, informative: DataFrame) -> DataFrame:
-    """Distinct patterns of unbound informative TFs, as bits, with the number of nuclei that show each.
+def zero_masks(tf_pct: DataFrame, informative: DataFrame, top: int = TOP_TF) -> DataFrame:
+    """Distinct patterns of unbound informative TFs with the number of nuclei that show each.
 
-    Nuclei collapse to patterns before any set is counted.
+    A pattern is an array of longs, as many as ``top`` TFs need. Nuclei collapse to patterns before any set is counted.
     """
+    words = range(-(-top // WORD_BITS))
     inf = checked_broadcast(informative.select(*SUB, "tf", "idx"))
-    bound = tf_pct.where("pct > 0").join(inf, [*SUB, "tf"]).groupBy(*SUB, "nucleus").agg(
-        F.expr("bit_or(shiftleft(1L, idx))").alias("bits"))
+    bit = lambda w: F.when(F.expr(f"idx div {WORD_BITS}") == w, F.expr(f"shiftleft(1L, CAST(idx % {WORD_BITS} AS INT))"))
+    bound = tf_pct.where("pct > 0").join(inf, [*SUB, "tf"]).groupBy(*SUB, "nucleus").agg(*[F.bit_or(bit(w)).alias(f"bits{w}") for w in words])
     width = checked_broadcast(informative.groupBy(*SUB).agg(F.count("*").alias("k")))
     every = tf_pct.select(*SUB, "nucleus").distinct().join(width, SUB)
-    full = F.expr("shiftleft(1L, CAST(k AS INT)) - 1")
-    return every.join(bound, [*SUB, "nucleus"], "left").select(
-        *SUB, full.bitwiseAND(F.bitwise_not(F.coalesce("bits", F.lit(0).cast("bigint")))).alias("mask")).groupBy(
+
+    def unbound(w: int) -> Column:
+        here = f"CAST(least(greatest(k - {w * WORD_BITS}, 0), {WORD_BITS}) AS INT)"
+        return F.expr(f"shiftleft(1L, {here}) - 1").bitwiseAND(F.bitwise_not(F.coalesce(f"bits{w}", F.lit(0).cast("bigint"))))
+
+    return every.join(bound, [*SUB, "nucleus"], "left").select(*SUB, F.array(*map(unbound, words)).alias("mask")).groupBy(
         *SUB, "mask").agg(F.count("*").alias("w"))
 
 
-def _pairs_in(z: np.ndarray, w: np.ndarray, bit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _pairs_in(z: np.ndarray, w: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = (z * w[:, None]).T @ z
-    i, j = np.triu_indices(len(bit), 1)
-    return bit[i] | bit[j], n[i, j]
+    i, j = np.triu_indices(len(place), 1)
+    return np.stack([place[i], place[j]]), n[i, j]
 
 
-def _triples_in(z: np.ndarray, w: np.ndarray, bit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    sets, counts = [np.zeros(0, dtype=np.int64)], [np.zeros(0)]
-    for first in range(len(bit) - 2):
+def _triples_in(z: np.ndarray, w: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    sets, counts = [np.zeros((3, 0), dtype=np.int64)], [np.zeros(0)]
+    for first in range(len(place) - 2):
         rest = slice(first + 1, None)
-        pair, n = _pairs_in(z[:, rest], w * z[:, first], bit[rest])
-        sets.append(pair | bit[first])
+        pair, n = _pairs_in(z[:, rest], w * z[:, first], place[rest])
+        sets.append(np.vstack([np.full(pair.shape[1], place[first]), pair]))
         counts.append(n)
-    return np.concatenate(sets), np.concatenate(counts)
+    return np.concatenate(sets, axis=1), np.concatenate(counts)
+
+
+def _unpacked(masks: list) -> np.ndarray:
+    """Patterns as a 0/1 matrix, one column per place."""
+    words = np.array([list(m) for m in masks], dtype=np.int64)
+    return ((words[:, :, None] >> np.arange(WORD_BITS)) & 1).reshape(len(words), -1).astype(np.float64)
 
 
 def _count_sets(masks: DataFrame, size: int) -> DataFrame:
-    """Nuclei per set of two or three jointly unbound TFs.
+    """Nuclei per set (i, j) or (i, j, k) of jointly unbound TFs, by their places.
 
     Each task multiplies the bit matrix of its patterns and hands on one count
     per set (at most 19,600 of 50 TFs) and subtype; the counts are then added
     up. A task gets whole shards of a subtype, as many as its patterns ask for,
     so that counts handed on grow with the patterns and not with the cores.
     """
-    count = {2: _pairs_in, 3: _triples_in}[size]
+    count, names = {2: (_pairs_in, ["i", "j"]), 3: (_triples_in, ["i", "j", "k"])}[size]
 
     def in_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for (grp, subtype), part in batch.groupby(SUB, sort=False):
-                mask = part["mask"].to_numpy(dtype=np.int64)
-                place = np.arange(MASK_BITS, dtype=np.int64)
-                z = ((mask[:, None] >> place) & 1).astype(np.float64)
+                z = _unpacked(part["mask"].tolist())
                 used = np.flatnonzero(z.any(axis=0))
-                bits, n = count(z[:, used], part["w"].to_numpy(dtype=np.float64), np.int64(1) << place[used])
+                sets, n = count(z[:, used], part["w"].to_numpy(dtype=np.float64), used)
                 hit = n > 0
-                yield pd.DataFrame({"grp": grp, "subtype": subtype, "bits": bits[hit], "n": n[hit].astype(np.int64)})
+                yield pd.DataFrame({"grp": grp, "subtype": subtype, **dict(zip(names, sets[:, hit].astype(np.int32))), "n": n[hit].astype(np.int64)})
 
     shards = checked_broadcast(masks.groupBy(*SUB).agg(F.floor(F.count("*") / SHARD_PATTERNS + 1).alias("shards")))
     dealt = masks.join(shards, SUB).withColumn("shard", F.pmod(F.xxhash64("mask"), F.col("shards"))).repartition(
         *SUB, "shard").sortWithinPartitions(*SUB, "shard").select(*masks.columns)
-    return dealt.mapInPandas(in_batches, "grp string, subtype string, bits bigint, n bigint").groupBy(
-        *SUB, "bits").agg(F.sum("n").alias("support_count"))
+    typed = ", ".join(f"{c} int" for c in names)
+    return dealt.mapInPandas(in_batches, f"grp string, subtype string, {typed}, n bigint").groupBy(*SUB, *names).agg(
+        F.sum("n").alias("support_count"))
 
 
 def fim_cozero(tf_pct: DataFrame, top: int = TOP_TF) -> DataFrame:
@@ -111,18 +119,18 @@ def fim_cozero(tf_pct: DataFrame, top: int = TOP_TF) -> DataFrame:
     triples whose pairs are all frequent are named.
     """
     inf = durable(fim_informative(tf_pct, top))
-    masks = durable(zero_masks(tf_pct, inf))
+    masks = durable(zero_masks(tf_pct, inf, top))
     low = F.greatest(F.lit(MIN_SUPPORT_N), F.bround(F.col("n_cell") * MIN_SUPPORT_SHARE, 0).cast("bigint"))
     one = inf.withColumn("min_support", low).where("n_zero >= min_support")
-    item = lambda x: one.select(*SUB, F.col("idx").alias(x), F.col("tf").alias(f"t{x}"), F.expr(
-        "shiftleft(1L, idx)").alias(f"b{x}"), *(["n_cell", "min_support"] if x == "i" else []))
-    cand2 = item("i").join(item("j"), SUB).where("i < j").withColumn("bits", F.expr("bi | bj"))
-    pairs = durable(cand2.join(_count_sets(masks, 2), [*SUB, "bits"]).where("support_count >= min_support"))
-    right = pairs.select(*SUB, F.col("i").alias("j"), F.col("j").alias("k"), F.col("tj").alias("tk"), F.col("bj").alias("bk"))
+    item = lambda x: one.select(*SUB, F.col("idx").alias(x), F.col("tf").alias(f"t{x}"),
+                                *(["n_cell", "min_support"] if x == "i" else []))
+    cand2 = item("i").join(item("j"), SUB).where("i < j")
+    pairs = durable(cand2.join(_count_sets(masks, 2), [*SUB, "i", "j"]).where("support_count >= min_support"))
+    right = pairs.select(*SUB, F.col("i").alias("j"), F.col("j").alias("k"), F.col("tj").alias("tk"))
     close = pairs.select(*SUB, "i", F.col("j").alias("k"))
-    cand3 = pairs.select(*SUB, "i", "j", "ti", "tj", "n_cell", "min_support", F.col("bits").alias("b2")).join(
-        right, [*SUB, "j"]).join(close, [*SUB, "i", "k"], "left_semi").withColumn("bits", F.expr("b2 | bk"))
-    triples = cand3.join(_count_sets(masks, 3), [*SUB, "bits"]).where("support_count >= min_support")
+    cand3 = pairs.select(*SUB, "i", "j", "ti", "tj", "n_cell", "min_support").join(
+        right, [*SUB, "j"]).join(close, [*SUB, "i", "k"], "left_semi")
+    triples = cand3.join(_count_sets(masks, 3), [*SUB, "i", "j", "k"]).where("support_count >= min_support")
     names = lambda *t: F.array_join(F.array(*[tf_short(x) for x in t]), " + ")
     out = lambda df, size, *t: df.select(*SUB, F.lit(size).alias("size"), names(*t).alias("tfs"), "support_count",
                                          (F.col("support_count") * 100.0 / F.col("n_cell")).alias("support_pct"))
@@ -146,11 +154,10 @@ def fim_counts(items: DataFrame) -> DataFrame:
 def fim_pair_matrix(tf_pct: DataFrame, top: int = TOP_TF) -> DataFrame:
     """Percent of nuclei in which two informative TFs are both unbound; the diagonal is the zero rate."""
     inf = durable(fim_informative(tf_pct, top))
-    masks = zero_masks(tf_pct, inf)
+    masks = zero_masks(tf_pct, inf, top)
     item = lambda x: inf.select(*SUB, F.col("idx").alias(x), F.col("tf").alias(f"tf_{x}"), "n_cell", "n_zero")
-    cand = item("i").join(item("j").drop("n_cell", "n_zero"), SUB).where("i <= j").withColumn(
-        "bits", F.expr("shiftleft(1L, i) | shiftleft(1L, j)"))
+    cand = item("i").join(item("j").drop("n_cell", "n_zero"), SUB).where("i <= j")
     both = F.when(F.col("i") == F.col("j"), F.col("n_zero")).otherwise(F.coalesce("support_count", F.lit(0)))
-    return cand.join(_count_sets(masks, 2), [*SUB, "bits"], "left").select(
+    return cand.join(_count_sets(masks, 2), [*SUB, "i", "j"], "left").select(
         *SUB, tf_short("tf_i").alias("tf_i"), tf_short("tf_j").alias("tf_j"),
         (both * 100.0 / F.col("n_cell")).alias("cozero_pct"))

@@ -6,7 +6,7 @@ absent row is a zero. Subtypes are few (tens), so state per region is small.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from regspan.functions import recode as R
 from regspan.functions.coords import log2_ratio, stars
@@ -30,18 +30,46 @@ def group_sizes(cells: DataFrame) -> DataFrame:
                                       F.count("*").over(every).alias("n_subtypes")))
 
 
-def agg_presence_counts(source_tags: DataFrame, sizes: DataFrame) -> DataFrame:
+def numbered_cells(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``_no``, a whole number per cell; other ids than whole numbers are numbered within (grp, subtype)."""
+    if isinstance(rows.schema["cell_id"].dataType, T.IntegralType):
+        return rows.withColumn("_no", F.col("cell_id").cast("bigint"))
+    key = ["grp", "subtype", "cell_id"]
+    order = F.row_number().over(W.partitionBy("grp", "subtype").orderBy("cell_id"))
+    return rows.join(rows.select(*key).distinct().withColumn("_no", order.cast("bigint")), key)
+
+
+def presence_bitmaps(rows: DataFrame, *more: Column) -> DataFrame:
+    """The cells that hold a region, as bitmaps: one row per (region, subtype, bucket of cell numbers).
+
+    Repeated rows of a cell set the same bit, so nothing is made distinct first, and what crosses the shuffle is the
+    bitmaps of a task, not its cells.
+    """
+    no = numbered_cells(rows)
+    return no.groupBy(*REGION, "subtype", F.bitmap_bucket_number("_no").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("_no")).alias("bits"), *more)
+
+
+def agg_presence_counts(source_rows: DataFrame, sizes: DataFrame, region_tags: DataFrame | None = None) -> DataFrame:
     """Distinct cells per (region, subtype), count over all subtypes, percent, and the union of tags.
 
-    A cell may hold a region through several sources; it is counted once.
+    A cell may hold a region in several rows and through several sources; it is counted once. Tags stand in the rows, or
+    in ``region_tags`` (chrom, r_start, r_end, tag) where they belong to regions whatever the cell; a region without any
+    is then uncharacterized.
     """
-    held = source_tags.select("grp", "subtype", "cell_id", *SPAN).distinct()
-    cnt = held.groupBy(*REGION, "subtype").agg(F.count("*").alias("cnt"))
-    types = source_tags.select(*REGION, "tag").distinct().groupBy(*REGION).agg(
-        F.array_join(F.sort_array(F.collect_set("tag")), ";").alias("region_type"))
-    whole = cnt.withColumn("global_count", F.sum("cnt").over(W.partitionBy(*REGION)))
-    return whole.join(types, REGION).join(sizes.select("grp", "subtype", "n_cells"), ["grp", "subtype"]).withColumn(
-        "pct", F.col("cnt") * 100.0 / F.col("n_cells"))
+    tags = [F.collect_set("tag").alias("tags")] if region_tags is None else []
+    per = presence_bitmaps(source_rows, *tags).select(*REGION, "subtype", F.bitmap_count("bits").alias("n"), *["tags"] * len(tags))
+    # subtypes and buckets of a region are few: they travel as one short array, and a region is one row
+    entry = F.struct("subtype", "n")
+    named = [F.array_distinct(F.flatten(F.collect_list("tags"))).alias("tags")] if region_tags is None else []
+    region = per.groupBy(*REGION).agg(F.collect_list(entry).alias("e"), F.sum("n").alias("global_count"), *named)
+    if region_tags is not None:
+        types = region_tags.groupBy(*SPAN).agg(F.collect_set("tag").alias("tags"))
+        region = region.join(types, SPAN, "left").withColumn("tags", F.coalesce("tags", F.array(F.lit("uncharacterized"))))
+    add = lambda s: F.aggregate(F.filter("e", lambda x: x["subtype"] == s), F.lit(0).cast("bigint"), lambda n, x: n + x["n"])
+    held = F.transform(F.array_distinct(F.transform("e", lambda x: x["subtype"])), lambda s: F.struct(s.alias("subtype"), add(s).alias("cnt")))
+    whole = region.select(*REGION, "global_count", F.array_join(F.sort_array("tags"), ";").alias("region_type"), F.inline(held))
+    return whole.join(sizes.select("grp", "subtype", "n_cells"), ["grp", "subtype"]).withColumn("pct", F.col("cnt") * 100.0 / F.col("n_cells"))
 
 
 def filter_min_cells(counts: DataFrame, min_cells: int = MIN_CELLS) -> DataFrame:

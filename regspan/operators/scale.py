@@ -6,9 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from regspan.session import durable
+
 # A dimension is broadcast only when it is seen to hold no more rows than this.
 BROADCAST_ROWS = 20_000
-SALTS = 4
+#: Rows of one join key that a task takes; a key with more of them is spread over several.
+HOT_ROWS = 1 << 18
 
 
 def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -33,17 +36,35 @@ def each_of(df: DataFrame, names: DataFrame, col: str) -> DataFrame:
     return df.withColumn("_words", words).withColumn(col, F.explode("_words")).drop("_words")
 
 
+def hot_keys(big: DataFrame, on: Sequence[str], rows: int = HOT_ROWS) -> DataFrame:
+    """The keys with more than ``rows`` rows, and over how many tasks (``_salts``) each is to be spread.
+
+    At most one key per ``rows`` rows of ``big``, so the result is small whatever the data.
+    """
+    n = big.groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") > rows)
+    return n.select(*on, F.ceil(F.col("_n") / F.lit(rows)).cast("int").alias("_salts"))
+
+
+def spread_keys(big: DataFrame, small: DataFrame, on: Sequence[str], rows: int = HOT_ROWS,
+                spread: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``_salt``: rows of a hot key of ``big`` are dealt over as many salts as it needs, and only the rows
+    of ``small`` with that key are repeated. Keys that are not hot have salt 0 on both sides."""
+    hot = F.broadcast(hot_keys(big, on, rows))
+    # the partition id spreads exact copies of one row too
+    mix = F.xxhash64(*(spread or big.columns), F.spark_partition_id())
+    salts = F.coalesce("_salts", F.lit(1))
+    left = big.join(hot, list(on), "left").withColumn("_salt", F.pmod(mix, salts).cast("int")).drop("_salts")
+    right = small.join(hot, list(on), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    return left, right
+
+
 def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner",
-                salts: int = SALTS, spread: Sequence[str] | None = None) -> DataFrame:
+                rows: int = HOT_ROWS, spread: Sequence[str] | None = None) -> DataFrame:
     """Equi-join where one key of ``big`` may hold a large share of its rows.
 
-    The hot key is spread over ``salts`` tasks; ``small`` is repeated as often.
+    A histogram of the keys plans the salts: a hot key is spread in proportion to its rows, other keys join as they are.
     """
-    cols = list(spread or big.columns)
-    # the partition id spreads exact copies of one row too
-    spread_by = F.xxhash64(*cols, F.spark_partition_id())
-    left = big.withColumn("_salt", F.pmod(spread_by, F.lit(salts)).cast("int"))
-    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    left, right = spread_keys(big, small, on, rows, spread)
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
@@ -126,6 +147,20 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, points: dict[s
                               *[quantile(p).alias(name) for name, p in points.items()])
 
 
+def numbered_names(names: DataFrame, col: str, out: str = "idx") -> DataFrame:
+    """Distinct names in order, numbered from 0 by range buckets and their offsets; no task holds all of them.
+
+    The buckets are written once, so that the numbers stay what they are however often they are read.
+    """
+    one = names.select(col).where(F.col(col).isNotNull()).distinct()
+    dealt = durable(one.repartitionByRange(col).sortWithinPartitions(col).select(
+        col, F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_row")))
+    size = dealt.groupBy("_part").agg(F.count("*").alias("_m"), F.min("_row").alias("_first"))
+    before = W.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # one row a bucket
+    shift = size.select("_part", (F.coalesce(F.sum("_m").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    return dealt.join(shift, "_part").select(col, (F.col("_row") + F.col("_shift")).alias(out))
+
+
 def hashed_places(df: DataFrame, by: Sequence[str], mix: str, *tie: str, bucket: Column | None = None) -> DataFrame:
     """Zero-based ``place`` of each row in the order of a digest, within ``by``.
 

@@ -7,7 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from regspan.operators.presence import SPAN
-from regspan.operators.scale import checked_broadcast
+from regspan.operators.scale import checked_broadcast, salted_join, spread_keys
+from regspan.session import durable
 
 
 def set_membership(members: DataFrame, set_names: list[str], element: str = "element", name: str = "set") -> DataFrame:
@@ -99,3 +100,41 @@ def sim_jaccard_cells(peaks: DataFrame, by: str | None = "subtype", block_cells:
     out = pairs.join(side("cell_a", "na"), ["subtype", "cell_a"]).join(side("cell_b", "nb"), ["subtype", "cell_b"])
     union = F.col("na") + F.col("nb") - F.col("n_shared")
     return out.select("subtype", "cell_a", "cell_b", "n_shared", (F.col("n_shared") * 100.0 / union).alias("jaccard_pct"))
+
+
+def _ordered_sets(held: DataFrame) -> DataFrame:
+    """(subtype, cell_id, regions, n): each cell's regions from the rarest in its subtype to the most frequent."""
+    often = held.groupBy("subtype", "region").agg(F.count("*").alias("often"))
+    ranked = salted_join(held, often, ["subtype", "region"], spread=["cell_id"])
+    entry = F.struct("often", "region")
+    return ranked.groupBy("subtype", "cell_id").agg(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["region"]).alias("regions")).withColumn(
+        "n", F.size("regions"))
+
+
+def sim_jaccard_cells_least(peaks: DataFrame, least_pct: float, by: str | None = "subtype") -> DataFrame:
+    """Pairs of cells of a subtype with a Jaccard percent of ``least_pct`` or more, exactly.
+
+    With a share t, a set of n regions can only reach another one through its n - ceil(t n) + 1 rarest regions, so cells
+    meet on these alone; a set is repeated that often, whatever the number of cells. Sizes must lie within a factor of t,
+    and the places of the shared region must leave enough regions behind them for the overlap that t asks for. What is
+    left is compared whole.
+    """
+    t = least_pct / 100.0
+    if not 0 < t <= 1:
+        raise ValueError("the least percent lies above 0 and at most at 100")
+    held = peaks.select((F.col(by) if by else F.lit("ALL")).alias("subtype"), "cell_id", F.concat_ws(":", *SPAN).alias("region")).distinct()
+    sets = durable(_ordered_sets(held))
+    need = F.ceil(F.col("n") * t - 1e-9)
+    prefix = sets.select("subtype", "cell_id", "n", F.posexplode(F.slice("regions", F.lit(1), (F.col("n") - need + 1).cast("int"))).alias("at", "region"))
+    side = lambda c: prefix.select("subtype", "region", F.col("cell_id").alias(f"cell_{c}"), F.col("n").alias(f"n{c}"), F.col("at").alias(f"at{c}"))
+    a, b = spread_keys(side("a"), side("b"), ["subtype", "region"])
+    overlap = F.ceil((F.col("na") + F.col("nb")) * (t / (1 + t)) - 1e-9)
+    behind = F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb"))
+    near = (F.col("na") >= F.col("nb") * t - 1e-9) & (F.col("nb") >= F.col("na") * t - 1e-9) & (behind >= overlap)
+    met = a.join(b, ["subtype", "region", "_salt"]).where((F.col("cell_a") < F.col("cell_b")) & near).select("subtype", "cell_a", "cell_b").distinct()
+    whole = lambda c: sets.select("subtype", F.col("cell_id").alias(f"cell_{c}"), F.col("regions").alias(f"r{c}"))
+    both = salted_join(salted_join(met, whole("a"), ["subtype", "cell_a"], spread=["cell_b"]), whole("b"), ["subtype", "cell_b"], spread=["cell_a"])
+    shared = F.size(F.array_intersect("ra", "rb")).cast("bigint")
+    out = both.select("subtype", "cell_a", "cell_b", shared.alias("n_shared"), (F.size("ra") + F.size("rb")).alias("total"))
+    return out.select("subtype", "cell_a", "cell_b", "n_shared", (F.col("n_shared") * 100.0 / (F.col("total") - F.col("n_shared"))).alias(
+        "jaccard_pct")).where(F.col("jaccard_pct") >= least_pct)

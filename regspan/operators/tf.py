@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from regspan.functions.coords import tf_short
 from regspan.functions.stats import mann_whitney_p
@@ -21,7 +21,10 @@ from regspan.session import durable
 
 NUCLEUS = ["grp", "subtype", "nucleus"]
 SUB = ["grp", "subtype"]
-BIMODAL = 5.0 / 9.0
+#: Samples of the null distribution of a size, and the least difference that counts when a coefficient is compared with it.
+NULL_DRAWS, NULL_TIE = 999, 1e-9
+#: Factors that mix (place, sample, size), and those of the two rounds after it.
+NULL_MIX = (2654435761, 2246822519, 3266489917, 2246822507, 3266489909)
 
 
 def tf_names(tf_pct: DataFrame) -> DataFrame:
@@ -80,24 +83,73 @@ def win_divergence(tf_pct: DataFrame) -> DataFrame:
         0.0)).withColumn("tf_short", tf_short("tf"))
 
 
-def screen_bimodal(tf_pct: DataFrame, min_nuclei: int = 20) -> DataFrame:
-    """Sarle's bimodality coefficient of the rank per (subtype, TF), over all nuclei.
+def _sarle(n: Column, s1: Column, s2: Column, s3: Column, s4: Column) -> Column:
+    """Sarle's bimodality coefficient with sample corrections, from power sums about any one point."""
+    a = s1 / n
+    m2 = s2 / n - a ** 2
+    m3 = s3 / n - a * 3 * s2 / n + F.pow(a, F.lit(3)) * 2
+    m4 = s4 / n - a * 4 * s3 / n + F.pow(a, F.lit(2)) * 6 * s2 / n - F.pow(a, F.lit(4)) * 3
+    skew = m3 / F.pow(m2, F.lit(1.5)) * F.sqrt(n * (n - 1)) / (n - 2)
+    kurt = (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * (m4 / (m2 * m2) - 3) + 6)
+    return F.when(m2 > 1e-9, (skew ** 2 + 1) / (kurt + F.pow(n - 1, F.lit(2)) * 3 / ((n - 2) * (n - 3))))
+
+
+def null_values(n: int, draw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Seeded even values in [0, 1), one per (sample, place): three whole numbers mixed to 32 bits."""
+    low, step = np.uint64(0xFFFFFFFF), np.uint64
+    h = (at.astype(np.uint64)[None, :] * step(NULL_MIX[0]) + draw.astype(np.uint64)[:, None] * step(NULL_MIX[1]) + step(n * NULL_MIX[2])) & low
+    h ^= h >> step(16)
+    h = h * step(NULL_MIX[3]) & low
+    h ^= h >> step(13)
+    h = h * step(NULL_MIX[4]) & low
+    h ^= h >> step(16)
+    return h.astype(np.float64) / 2.0 ** 32
+
+
+def unimodal_null(sizes: DataFrame, draws: int = NULL_DRAWS) -> DataFrame:
+    """(n, null): for every size ``n`` of ``sizes``, the bimodality coefficients of ``draws`` seeded even samples of n values.
 
-    A screen of its own; not the dip test.
+    An even spread is the unimodal shape closest to two modes, the one that the dip test compares with as well. Samples
+    are drawn in tasks, some draws of one size at a time; a size keeps its sorted coefficients only.
+    """
+    per = 50
+
+    def run(batches):
+        for b in batches:
+            out_n, out_s = [], [[] for _ in range(4)]
+            for n, lo in zip(b.column("n").to_pylist(), b.column("lo").to_pylist()):
+                draw = np.arange(lo, min(lo + per, draws))
+                sums = np.zeros((4, len(draw)))
+                for at in range(0, n, 1 << 14):
+                    x = null_values(n, draw, np.arange(at, min(at + (1 << 14), n))) - 0.5
+                    sums += [(x ** k).sum(axis=1) for k in range(1, 5)]
+                out_n += [n] * len(draw)
+                for k in range(4):
+                    out_s[k] += sums[k].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(out_n, pa.int64()), *[pa.array(c, pa.float64()) for c in out_s]], ["n", "s1", "s2", "s3", "s4"])
+
+    blocks = F.explode(F.array(*[F.lit(lo) for lo in range(0, draws, per)])).alias("lo")
+    todo = sizes.select(F.col("n").cast("bigint").alias("n")).distinct().select("n", blocks)
+    drawn = todo.repartition("n", "lo").mapInArrow(run, "n bigint, s1 double, s2 double, s3 double, s4 double")
+    coef = _sarle(F.col("n").cast("double"), *[F.col(f"s{k}") for k in range(1, 5)])
+    return drawn.select("n", coef.alias("c")).groupBy("n").agg(F.array_sort(F.collect_list("c")).alias("null"))
+
+
+def screen_bimodal(tf_pct: DataFrame, min_nuclei: int = 20, draws: int = NULL_DRAWS, alpha: float = 0.05) -> DataFrame:
+    """Sarle's bimodality coefficient of the rank per (subtype, TF), its p, the FDR over the TFs of a subtype, and the flag.
+
+    p is the share of seeded unimodal samples of as many nuclei that reach the coefficient. TFs whose rank does not vary
+    and subtypes below ``min_nuclei`` have no coefficient and p = 1. A screen of its own; not the dip test.
     """
     s = _power_sums(tf_pct, tf_names(tf_pct), 4)
-    n = F.col("n_nuclei").cast("double")
-    a = F.col("s1") / n
-    m2 = F.col("s2") / n - a ** 2
-    m3 = F.col("s3") / n - a * 3 * F.col("s2") / n + F.pow(a, F.lit(3)) * 2
-    m4 = (F.col("s4") / n - a * 4 * F.col("s3") / n + F.pow(a, F.lit(2)) * 6 * F.col("s2") / n
-          - F.pow(a, F.lit(4)) * 3)
-    ok = (F.col("n_nuclei") >= min_nuclei) & (m2 > 1e-9)
-    skew = m3 / F.pow(m2, F.lit(1.5)) * F.sqrt(n * (n - 1)) / (n - 2)
-    kurt = (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * (m4 / (m2 * m2) - 3) + 6)
-    coef = (skew ** 2 + 1) / (kurt + F.pow(n - 1, F.lit(2)) * 3 / ((n - 2) * (n - 3)))
-    out = s.select(*SUB, "tf", "n_nuclei", F.when(ok, coef).alias("bimodality"))
-    return out.withColumn("bimodal", F.coalesce(F.col("bimodality") > BIMODAL, F.lit(False)))
+    coef = _sarle(F.col("n_nuclei").cast("double"), *[F.col(f"s{k}") for k in range(1, 5)])
+    found = durable(s.select(*SUB, "tf", "n_nuclei", F.when(F.col("n_nuclei") >= min_nuclei, coef).alias("bimodality")))
+    null = unimodal_null(found.where("bimodality IS NOT NULL").select(F.col("n_nuclei").alias("n")), draws)
+    # a size is one row of as many doubles as draws, and there are no more sizes than subtypes
+    reached = F.size(F.filter("null", lambda c: c >= F.col("bimodality") - NULL_TIE))
+    p = F.when(F.col("null").isNull() | F.col("bimodality").isNull(), 1.0).otherwise((reached + 1) / (draws + 1.0))
+    tested = found.join(checked_broadcast(null), found.n_nuclei == F.col("n"), "left").select(*SUB, "tf", "n_nuclei", "bimodality", p.alias("p_value"))
+    return fdr_bh(tested, "p_value", SUB).withColumn("bimodal", F.col("fdr") < alpha)
 
 
 def tf_subtype_summary(div: DataFrame, flags: DataFrame, n: int = 50) -> DataFrame:

@@ -7,29 +7,32 @@ from itertools import product
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel, Normalizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame, functions as F
 
 from regspan.functions.sequence import kmers
 from regspan.operators import evaluation as E
-from regspan.operators.scale import BROADCAST_ROWS
+from regspan.operators.scale import numbered_names, salted_join
 from regspan.session import durable
 
 TABULAR = ["max_motif_score", "max_fp_score", "mean_motif_score", "mean_fp_score", "n_tfs"]
 
 
-def _vocabulary(names: DataFrame, col: str) -> list[str]:
-    """A sorted vocabulary; more words than a dimension may hold is an error, not a cut."""
-    rows = names.select(col).distinct().limit(BROADCAST_ROWS + 1).collect()
-    if len(rows) > BROADCAST_ROWS:
-        raise ValueError(f"{col} has more than {BROADCAST_ROWS} values")
-    return sorted(r[0] for r in rows)
+def feat_tf_vector(peaks: DataFrame, tfs: str = "tfs", vocabulary: DataFrame | None = None) -> DataFrame:
+    """TF set as a sparse binary vector over the sorted vocabulary.
 
-
-def feat_tf_vector(peaks: DataFrame, tfs: str = "tfs", vocabulary: list[str] | None = None) -> DataFrame:
-    """TF set as a sparse binary vector over the sorted vocabulary."""
-    words = vocabulary or _vocabulary(peaks.select(F.explode(tfs).alias("tf")), "tf")
-    model = CountVectorizerModel.from_vocabulary(words, inputCol=tfs, outputCol="features")
-    return model.setBinary(True).setMinTF(1.0).transform(peaks)
+    Words are numbered as a table (tf, idx), joined to the exploded sets and gathered again, so a vocabulary of any size
+    serves and none of it passes through the driver but its length. ``vocabulary`` gives the table; words outside it have
+    no place.
+    """
+    rows = durable(peaks.withColumn("_row", F.monotonically_increasing_id()))  # written, so that the numbers stay
+    words = rows.select("_row", F.explode(F.array_distinct(tfs)).alias("tf"))
+    table = durable(numbered_names(words, "tf") if vocabulary is None else vocabulary)
+    size = table.agg(F.max("idx")).first()[0]
+    size = 0 if size is None else size + 1
+    at = salted_join(words, table, ["tf"], spread=["_row"]).groupBy("_row").agg(F.array_sort(F.collect_list(F.col("idx").cast("int"))).alias("_at"))
+    vector = F.udf(lambda places: Vectors.sparse(size, places or [], [1.0] * len(places or [])), VectorUDT())
+    return rows.join(at, "_row", "left").withColumn("features", vector("_at")).drop("_row", "_at")
 
 
 def feat_kmer_vector(seqs: DataFrame, seq: str = "sequence", k: int = 6) -> DataFrame:

@@ -15,7 +15,7 @@ from regspan.sources import bed as B, tables as S
 
 def _overlaps(fx):
     f = fx.footprints.withColumnRenamed("strand", "fp_strand")
-    return I.join_interval(f, fx.annotations, ("fp_start", "fp_end"), ("ann_start", "ann_end"))
+    return I.join_interval(f, fx.annotations, ("fp_start", "fp_end"), ("ann_start", "ann_end"), left_levels=1)
 
 
 # ---------------------------------------------------------------- scans and sinks
@@ -210,7 +210,7 @@ def _(fx):
         "chrom", text("peak_start", "peak_start"), text("peak_end", "peak_end"), "tf_motif", text("motif_score", "motif_score"),
         text("fp_score", "fp_score"))
     genes = fx.genes.select("chrom", (F.col("gene_start") - 1).alias("lo"), F.col("gene_end").alias("hi"))
-    gtf = I.join_interval(fx.footprints, genes, ("fp_start", "fp_end"), ("lo", "hi")).select(
+    gtf = I.join_interval(fx.footprints, genes, ("fp_start", "fp_end"), ("lo", "hi"), left_levels=1).select(
         F.col("chrom").alias("Chromosome"), text("peak_start", "Extra7"), text("peak_end", "Extra8"),
         F.col("tf_motif").alias("Extra3"), text("motif_score", "Extra4"), text("fp_score", "Extra16"))
     layouts = {"enhancer": enh, "regulome": reg, "promoter": promoter, "gtf": gtf}
@@ -358,7 +358,7 @@ SELECT DISTINCT p.chrom, p.r_start, p.r_end FROM (SELECT DISTINCT chrom, r_start
 WHERE EXISTS (SELECT 1 FROM annotations a WHERE a.chrom = p.chrom AND ann_start <= r_end AND ann_end > r_start)""")
 def _(fx):
     sites = fx.peaks.select("chrom", "r_start", "r_end").distinct()
-    return I.join_interval_exists(sites, fx.annotations, ("r_start", "r_end"), ("ann_start", "ann_end"))
+    return I.join_interval_exists(sites, fx.annotations, ("r_start", "r_end"), ("ann_start", "ann_end"), left_levels=1)
 
 
 ANNOTATED = """
@@ -482,7 +482,7 @@ def _(fx):
     g = fx.genes.select("chrom", "gene_start", "gene_end", "gene_name", F.col("strand").alias("gene_strand"),
                         (F.col("gene_start") - 1).alias("g0"))
     f = fx.footprints.withColumnRenamed("strand", "fp_strand")
-    o = I.join_interval(f, g, ("fp_start", "fp_end"), ("g0", "gene_end"))
+    o = I.join_interval(f, g, ("fp_start", "fp_end"), ("g0", "gene_end"), left_levels=1)
     return O.agg_overlap_gene(o, ["chrom", "gene_start", "gene_end", "gene_name", "gene_strand"])
 
 

@@ -301,8 +301,8 @@ SELECT chrom, peak_start, peak_end, rpad(substr(seq, CAST(greatest(l, 0) AS INT)
        - greatest(l, 0), 0) AS INT)), 512, 'N') AS sequence FROM ({WINDOW_SQL})"""
 
 
-def _sequences(fx, tile=G.TILE):
-    return G.seq_window(_windows(fx), G.tile_genome(fx.genome, tile), tile=tile)
+def _sequences(fx):
+    return G.seq_window(_windows(fx), G.tile_genome(fx.genome))
 
 
 @query("seq_window", SEQ_SQL)
@@ -312,7 +312,8 @@ def _(fx):
 
 @query("join_seq_window", SEQ_SQL)
 def _(fx):
-    return _sequences(fx, 1000).select("chrom", "peak_start", "peak_end", "sequence")
+    tiles = G.tile_pieces(G.genome_pieces(fx.genome, 777), 1000)
+    return G.seq_window(_windows(fx), tiles, tile=1000).select("chrom", "peak_start", "peak_end", "sequence")
 
 
 @query("seq_base_codes", f"""

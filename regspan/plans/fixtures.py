@@ -140,23 +140,31 @@ class Fixtures:
             F.regexp_replace(F.translate("text", src, dst), "[^ACGT]", "N").alias("seq"),
         )
 
+    @cached_property
+    def peak_rows(self) -> DataFrame:
+        """The peak of each footprint; a cell repeats a peak as often as it has footprints in it."""
+        return self.footprints.select("grp", "subtype", "sample", "cell_id", "chrom", F.col("peak_start").alias("r_start"),
+                                      F.col("peak_end").alias("r_end"))
+
     @cached_property
     def peaks(self) -> DataFrame:
         """Peaks seen in each cell, kept as a stage because many counts start from it."""
-        return durable(self.footprints.select(
-            "grp", "subtype", "sample", "cell_id", "chrom", F.col("peak_start").alias("r_start"),
-            F.col("peak_end").alias("r_end")).distinct())
+        return durable(self.peak_rows.distinct())
+
+    @cached_property
+    def region_tags(self) -> DataFrame:
+        return self.classified_peaks.withColumnRenamed("raw", "tag")
 
     @cached_property
     def classified_peaks(self) -> DataFrame:
         """Per-cell peaks with the raw class of each annotation or gene they touch."""
         from regspan.operators.intervals import join_interval
 
-        sites = self.peaks.select("chrom", "r_start", "r_end").distinct()
-        # sites are distinct, so no bin is hot
-        ann = join_interval(sites, self.annotations, ("r_start", "r_end"), ("ann_start", "ann_end"), salts=1)
+        sites = self.peak_rows.select("chrom", "r_start", "r_end").distinct()
+        # sites and footprints are short spans
+        ann = join_interval(sites, self.annotations, ("r_start", "r_end"), ("ann_start", "ann_end"), left_levels=1)
         gene = join_interval(sites, self.genes.select("chrom", (F.col("gene_start") - 1).alias("g0"), "gene_end"),
-                             ("r_start", "r_end"), ("g0", "gene_end"), salts=1)
+                             ("r_start", "r_end"), ("g0", "gene_end"), left_levels=1)
         key = ["chrom", "r_start", "r_end"]
         return durable(ann.select(*key, F.col("ann_class").alias("raw")).union(
             gene.select(*key, F.lit("gene_body").alias("raw"))).distinct())
@@ -197,9 +205,9 @@ class Fixtures:
 
         f = self.footprints.select("cell_id", "chrom", "fp_start", "fp_end", "peak_start", "peak_end", "tf_motif",
                                    "motif_score", "fp_score")
-        ann = join_interval(f, self.annotations, ("fp_start", "fp_end"), ("ann_start", "ann_end"))
+        ann = join_interval(f, self.annotations, ("fp_start", "fp_end"), ("ann_start", "ann_end"), left_levels=1)
         gene = join_interval(f, self.genes.select("chrom", (F.col("gene_start") - 1).alias("g0"), "gene_end"),
-                             ("fp_start", "fp_end"), ("g0", "gene_end"))
+                             ("fp_start", "fp_end"), ("g0", "gene_end"), left_levels=1)
         cols = ["chrom", "peak_start", "peak_end", "tf_motif", "motif_score", "fp_score"]
         return ann.select(*cols, R.recode_regulome("ann_class").alias("label")).unionByName(
             gene.select(*cols, F.lit("genic").alias("label")))

@@ -14,6 +14,9 @@ from regspan.session import scratch_path
 from regspan.sources.tables import sink_topn_exports
 
 
+_SARLE = ("(skewness({x}) ** 2 + 1) / (kurtosis({x}) + 3 * (COUNT(*) - 1.0::DOUBLE) ** 2 / ((COUNT(*) - 2.0::DOUBLE) * (COUNT(*) - 3)))")
+
+
 def _views(sfx: str, grp: str, sub: str) -> dict[str, str]:
     return {
         f"tfp{sfx}": f"SELECT {grp} AS grp, {sub} AS subtype, nucleus, tf, pct FROM tf_pct",
@@ -28,11 +31,25 @@ SELECT grp, subtype, tf, COUNT(*) AS n_nuclei, stddev_samp(r) AS divergence_std,
        AVG(CASE WHEN pct > 0 THEN 1.0::DOUBLE ELSE 0 END) AS occupancy, stddev_samp(r) / AVG(r) AS cv,
        split_part(tf, '_MA', 1) AS tf_short
 FROM tfrank{sfx} GROUP BY 1, 2, 3""",
+        f"tfb{sfx}": f"""
+SELECT grp, subtype, tf, COUNT(*) AS n_nuclei, CASE WHEN COUNT(*) >= 20 AND var_pop(r) > 1e-9 THEN {_SARLE.format(x='r')} END AS b
+FROM tfrank{sfx} GROUP BY 1, 2, 3""",
+        f"tfnull{sfx}": f"""
+SELECT n, d, {_SARLE.format(x='u')} AS c FROM (
+  SELECT n, d, xor(h, h >> 16) / 4294967296.0::DOUBLE AS u FROM (
+    SELECT n, d, CAST((xor(h, h >> 13)::HUGEINT * {T.NULL_MIX[4]}) % 4294967296 AS BIGINT) AS h FROM (
+      SELECT n, d, CAST((xor(h, h >> 16)::HUGEINT * {T.NULL_MIX[3]}) % 4294967296 AS BIGINT) AS h FROM (
+        SELECT n, d, (i * {T.NULL_MIX[0]} + d * {T.NULL_MIX[1]} + n * {T.NULL_MIX[2]}) % 4294967296 AS h FROM (
+          SELECT n, d, unnest(range(0, n)) AS i FROM (
+            SELECT n, unnest(range(0, {T.NULL_DRAWS})) AS d FROM (SELECT DISTINCT n_nuclei AS n FROM tfb{sfx} WHERE b IS NOT NULL))))))) GROUP BY n, d""",
         f"tfbim{sfx}": f"""
-SELECT grp, subtype, tf, n_nuclei, b AS bimodality, COALESCE(b > 5.0::DOUBLE / 9, FALSE) AS bimodal FROM (
-  SELECT grp, subtype, tf, COUNT(*) AS n_nuclei, CASE WHEN COUNT(*) >= 20 AND var_pop(r) > 1e-9 THEN
-    (skewness(r) ** 2 + 1) / (kurtosis(r) + 3 * (COUNT(*) - 1.0::DOUBLE) ** 2 / ((COUNT(*) - 2.0::DOUBLE) * (COUNT(*) - 3)))
-    END AS b FROM tfrank{sfx} GROUP BY 1, 2, 3)""",
+SELECT grp, subtype, tf, n_nuclei, bimodality, p_value, fdr, fdr < 0.05 AS bimodal FROM (
+  SELECT *, least(1.0, MIN(raw) OVER (PARTITION BY grp, subtype ORDER BY p_value DESC, rn DESC)) AS fdr FROM (
+    SELECT *, p_value * COUNT(*) OVER (PARTITION BY grp, subtype) / rn AS raw FROM (
+      SELECT *, row_number() OVER (PARTITION BY grp, subtype ORDER BY p_value) AS rn FROM (
+        SELECT grp, subtype, tf, n_nuclei, b AS bimodality, CASE WHEN b IS NULL THEN 1.0::DOUBLE ELSE
+               (1 + (SELECT COUNT(*) FROM tfnull{sfx} k WHERE k.n = t.n_nuclei AND k.c >= t.b - 1e-9)) / {T.NULL_DRAWS + 1}.0::DOUBLE END AS p_value
+        FROM tfb{sfx} t))))""",
     }
 
 
@@ -64,9 +81,10 @@ def _(fx):
 
 
 @query("screen_bimodal", """
-SELECT grp, subtype, tf, n_nuclei, round(bimodality, 6) AS bimodality, bimodal FROM tfbim_all""")
+SELECT grp, subtype, tf, n_nuclei, round(bimodality, 6) AS bimodality, round(p_value, 9) AS p_value, round(fdr, 9) AS fdr, bimodal
+FROM tfbim_all""")
 def _(fx):
-    return rounded(T.screen_bimodal(fx.one_group(fx.tf_pct)), ["bimodality"], 6)
+    return rounded(rounded(T.screen_bimodal(fx.one_group(fx.tf_pct)), ["bimodality"], 6), ["p_value", "fdr"])
 
 
 @query("tf_subtype_summary", """
@@ -378,6 +396,18 @@ def _(fx):
     return rounded(S.sim_jaccard_cells(fx.peaks, by=None), ["jaccard_pct"])
 
 
+@query("sim_jaccard_cells_least", """
+WITH h AS (SELECT DISTINCT cell_id, chrom, r_start, r_end FROM peaks),
+n AS (SELECT cell_id, COUNT(*) AS n FROM h GROUP BY 1)
+SELECT 'ALL' AS subtype, p.a AS cell_a, p.b AS cell_b, p.n_shared,
+       round(p.n_shared * 100.0::DOUBLE / (x.n + y.n - p.n_shared), 9) AS jaccard_pct
+FROM (SELECT u.cell_id AS a, v.cell_id AS b, COUNT(*) AS n_shared FROM h u JOIN h v
+        USING (chrom, r_start, r_end) WHERE u.cell_id < v.cell_id GROUP BY 1, 2) p
+JOIN n x ON x.cell_id = p.a JOIN n y ON y.cell_id = p.b WHERE p.n_shared * 100.0::DOUBLE / (x.n + y.n - p.n_shared) >= 5""")
+def _(fx):
+    return rounded(S.sim_jaccard_cells_least(fx.peaks, 5, by=None), ["jaccard_pct"])
+
+
 @query("tf_short_names", "SELECT tf_motif, split_part(tf_motif, '_MA', 1) AS tf, COUNT(*) AS n FROM footprints GROUP BY 1")
 def _(fx):
     return fx.footprints.groupBy("tf_motif", tf_short("tf_motif").alias("tf")).agg(F.count("*").alias("n"))

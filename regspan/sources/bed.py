@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import csv
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from regspan.functions.coords import number, whole
@@ -33,9 +36,31 @@ def scan_bed(spark: SparkSession, path: str | list[str], extra: int = 0) -> Data
     return raw.select(*cast, F.input_file_name().alias("path")).dropna(subset=needed)
 
 
+def csv_layouts(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
+    """Files by their header line, found by one job over all paths (files or folders); empty files have none.
+
+    One row a file reaches the driver, which held the list of paths before.
+    """
+    lines = spark.read.text(paths).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("row"))
+    first = lines.where("at = 0").groupBy("file").agg(F.min_by("value", "row").alias("header"))
+    layouts: dict[str, list[str]] = {}
+    for r in first.orderBy("file").collect():
+        layouts.setdefault(r["header"].removeprefix("\ufeff"), []).append(unquote(r["file"]))
+    return layouts
+
+
 def scan_csv_union(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Several CSV layouts as text, lined up by column name; missing columns are NULL."""
-    parts = [spark.read.option("header", True).option("mode", "PERMISSIVE").csv(p) for p in paths]
+    """CSV files of several layouts as text, lined up by column name; missing columns are NULL.
+
+    Files are grouped by their header, and each layout is one read: the plan grows with the layouts, not with the files.
+    """
+    parts = []
+    for header, files in csv_layouts(spark, paths).items():
+        schema = _text_schema(next(csv.reader([header])))
+        parts.append(spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("mode", "PERMISSIVE").csv(files))
+    if not parts:
+        raise ValueError("no file has a header")
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part, allowMissingColumns=True)
