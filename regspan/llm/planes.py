@@ -37,7 +37,7 @@ _SIGNS = "!\"#$%&()*+,-./:;=?@[]^_`{}~"
 #: Letters below this one are letters to every library alike.
 _LATIN_END = "\u0250"
 #: Words whose ids a process remembers.
-CACHE_WORDS = 1_100_000
+CACHE_WORDS = 700_000
 _HEAD, _TAIL = struct.Struct("<8sBIQQQ"), struct.Struct("<QQ8s")
 
 
