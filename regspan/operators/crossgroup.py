@@ -5,11 +5,13 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from regspan.functions import recode as R
 from regspan.operators.presence import SPAN, member_pairs, pattern_counts, win_topn_per_group
-from regspan.operators.scale import salted_join
+from regspan.operators.scale import numbered_names, salted_join
+from regspan.session import durable
 
 TOP_PER_GROUP = 500
 # ---- fixed values: classes whose diversity the presence form measures ----
@@ -187,30 +189,98 @@ def set_concordance(sig: DataFrame, by: str = "grp", element: list[str] | None =
     return half.unionByName(other)
 
 
+#: Members up to which their products are summed whole (32 MB); more are reduced without them, pass by pass.
+GRAM_MEMBERS, MOST_PASSES = 2048, 300
+
+
+def _member_rows(prof: DataFrame, names: DataFrame) -> DataFrame:
+    """One row per region: the places of the members that have it, and their percents."""
+    d = salted_join(prof.select("region_id", "member", "pct"), names, ["member"], spread=["region_id"])
+    return d.groupBy("region_id").agg(F.collect_list(F.struct("idx", "pct")).alias("e")).select(
+        F.col("e.idx").alias("at"), F.col("e.pct").alias("pct"))
+
+
+def _products(rows: DataFrame, k: int, q: np.ndarray | None = None) -> np.ndarray:
+    """X'X of the region x member matrix X, or X'(XQ); each task adds up its regions in blocks and hands on k short rows."""
+    wide = k if q is None else q.shape[1]
+
+    def run(batches):
+        total = np.zeros((k, wide))
+        for b in batches:
+            for lo in range(0, b.num_rows, 1024):
+                part = b.slice(lo, 1024)
+                x = np.zeros((part.num_rows, k))
+                for i, (at, pct) in enumerate(zip(part.column("at").to_pylist(), part.column("pct").to_pylist())):
+                    x[i, at] = pct
+                total += x.T @ (x if q is None else x @ q)
+        yield pa.RecordBatch.from_arrays([pa.array(range(k), pa.int64()), pa.array(list(total), pa.list_(pa.float64()))], ["i", "row"])
+
+    part = rows.mapInArrow(run, "i bigint, row array<double>")
+    add = F.aggregate(F.collect_list("row"), F.array_repeat(F.lit(0.0), wide), lambda x, y: F.zip_with(x, y, lambda u, v: u + v))
+    found = part.groupBy("i").agg(add.alias("row")).orderBy("i").toArrow()
+    out = np.zeros((k, wide))
+    for i, row in zip(found["i"].to_pylist(), found["row"].to_pylist()):
+        out[i] = row
+    return out
+
+
+def _eigen(rows: DataFrame, k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``n`` largest eigenvalues and vectors of the centred products of ``k`` members.
+
+    Up to ``GRAM_MEMBERS`` members these are summed in one pass. Beyond, a subspace of a few vectors more than ``n`` is
+    turned by one pass over the regions after another until its values stand still; k times that width is all that ever
+    leaves a task.
+    """
+    if k <= GRAM_MEMBERS:
+        gram = _products(rows, k)
+        centred = gram - gram.mean(axis=0) - gram.mean(axis=1)[:, None] + gram.mean()
+        val, vec = np.linalg.eigh((centred + centred.T) / 2)
+        order = np.argsort(val)[::-1][:n]
+        return val[order], vec[:, order]
+    rows = durable(rows)
+    q = np.linalg.qr(np.random.default_rng(0).normal(size=(k, min(k, 2 * n + 8))))[0]
+    last = np.zeros(0)
+    for _ in range(MOST_PASSES):
+        z = _products(rows, k, q - q.mean(axis=0))
+        z -= z.mean(axis=0)
+        val, turn = np.linalg.eigh((q.T @ z + z.T @ q) / 2)
+        order = np.argsort(val)[::-1]
+        now, vec = val[order][:n], q @ turn[:, order][:, :n]
+        if len(last) and np.all(np.abs(now - last) <= 1e-12 * max(now[0], 1e-300)):
+            return now, vec
+        last, q = now, np.linalg.qr(z)[0]
+    raise RuntimeError(f"principal components did not settle in {MOST_PASSES} passes")
+
+
 def reduce_pca(prof: DataFrame, members: DataFrame, n_components: int = 2) -> DataFrame:
-    """Principal coordinates of subtypes.
+    """Principal coordinates of subtypes, pc1 to pc<n>.
 
-    The region x subtype matrix stays in Spark; only the subtype x subtype
-    products (a few hundred squared) reach the driver. Each component is
-    signed so that its largest coordinate is positive.
+    The region x subtype matrix stays in Spark. Each component is signed so that its largest coordinate is positive.
     """
-    spark = prof.sparkSession
-    names = sorted(r[0] for r in members.select("member").distinct().collect())
-    bag = prof.groupBy("region_id").agg(F.collect_list(F.struct(F.col("member").alias("m"), "pct")).alias("bag"))
-    prod = F.flatten(F.transform("bag", lambda one_entry: F.transform("bag", lambda two_entry: F.struct(
-        one_entry["m"].alias("a"), two_entry["m"].alias("b"), (one_entry["pct"] * two_entry["pct"]).alias("x")))))
-    gram = np.zeros((len(names), len(names)))
-    at = {m: i for i, m in enumerate(names)}
-    for r in bag.select(F.inline(prod)).groupBy("a", "b").agg(F.sum("x").alias("x")).toLocalIterator():
-        gram[at[r["a"]], at[r["b"]]] = r["x"]
-    centre = np.eye(len(names)) - 1.0 / len(names)
-    val, vec = np.linalg.eigh(centre @ gram @ centre)
-    order = np.argsort(val)[::-1][:n_components]
-    co = vec[:, order] * np.sqrt(np.clip(val[order], 0, None))
-    co = co * np.where(co[np.abs(co).argmax(axis=0), range(co.shape[1])] < 0, -1.0, 1.0)
-    rows = [(m, *map(float, co[i])) for m, i in at.items()]
-    cols = ", ".join(f"pc{j + 1} double" for j in range(co.shape[1]))
-    return spark.createDataFrame(rows, f"member string, {cols}")
+    names = durable(numbered_names(members, "member"))
+    k = names.count()
+    n = min(n_components, k)
+    val, vec = _eigen(_member_rows(prof, names), k, n)
+    co = vec * np.sqrt(np.clip(val, 0, None))
+    co = co * np.where(co[np.abs(co).argmax(axis=0), range(co.shape[1])] < 0, -1.0, 1.0) if k else co
+    at = prof.sparkSession.createDataFrame([(i, *map(float, row)) for i, row in enumerate(co)], "idx bigint, " + ", ".join(f"pc{j + 1} double" for j in range(n)))
+    return names.join(at, "idx").drop("idx")
+
+
+def pca_distances(coords: DataFrame) -> DataFrame:
+    """Squared distance of each pair of members over all coordinates of ``reduce_pca``; with all components, that of their profiles."""
+    pcs = [c for c in coords.columns if c.startswith("pc")]
+    one = coords.select("member", F.array(*pcs).alias("x"))
+    other = one.select(F.col("member").alias("b"), F.col("x").alias("y"))
+    gap = F.aggregate(F.zip_with("x", "y", lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda total, d: total + d)
+    return one.join(other, F.col("member") < F.col("b")).select(F.col("member").alias("a"), "b", gap.alias("distance2"))
+
+
+def pca_variance(coords: DataFrame) -> DataFrame:
+    """Variance of each component, long (component, total): the sum of its squared coordinates."""
+    pcs = [c for c in coords.columns if c.startswith("pc")]
+    rows = F.array(*[F.struct(F.lit(c).alias("component"), F.pow(c, F.lit(2)).alias("x")) for c in pcs])
+    return coords.select(F.inline(rows)).groupBy("component").agg(F.sum("x").alias("total"))
 
 
 def group_centres(coords: DataFrame, groups: DataFrame) -> DataFrame:

@@ -349,6 +349,29 @@ def _(fx):
     return X.reduce_pca(j.prof, j.members).join(j.members.select("member", "grp"), "member")
 
 
+def _all_components(fx):
+    j = Joint(fx, "grp")
+    return X.reduce_pca(j.prof, j.members, j.members.count())
+
+
+@query("reduce_pca_distances", """
+WITH m AS (SELECT DISTINCT grp || '__' || subtype AS member FROM sizes_grp),
+own AS (SELECT m.member, COALESCE(SUM(pct * pct), 0) AS s FROM m LEFT JOIN prof_grp p ON p.member = m.member GROUP BY 1),
+met AS (SELECT x.member AS a, y.member AS b, SUM(x.pct * y.pct) AS s FROM prof_grp x JOIN prof_grp y USING (region_id) GROUP BY 1, 2)
+SELECT x.member AS a, y.member AS b, round(x.s + y.s - 2 * COALESCE(met.s, 0), 4) + 0.0 AS distance2
+FROM own x JOIN own y ON x.member < y.member LEFT JOIN met ON met.a = x.member AND met.b = y.member""")
+def _(fx):
+    return rounded(X.pca_distances(_all_components(fx)), ["distance2"], 4).withColumn("distance2", F.col("distance2") + 0.0)
+
+
+@query("reduce_pca_variance", """
+WITH m AS (SELECT COUNT(*) AS k FROM sizes_grp),
+region AS (SELECT region_id, SUM(pct) AS s, SUM(pct * pct) AS q FROM prof_grp GROUP BY 1)
+SELECT round(SUM(q - s * s / k), 4) AS total FROM region, m""")
+def _(fx):
+    return X.pca_variance(_all_components(fx)).agg(F.round(F.sum("total"), 4).alias("total"))
+
+
 @query("comp_class_pct", """
 SELECT s.grp, s.subtype, region_class, n, round(pct, 9) AS pct FROM sizes_grp s JOIN (
   SELECT grp, region_class, COUNT(*) AS n, COUNT(*) * 100.0::DOUBLE / SUM(COUNT(*)) OVER (PARTITION BY grp) AS pct
@@ -450,15 +473,46 @@ def _(fx):
     return rounded(X.win_cumulative_novel(Joint(fx, "grp").master), ["cumulative_novel_pct"])
 
 
-@query("sig_region_union", "SELECT DISTINCT grp, chrom, r_start, r_end FROM tested_grp WHERE p_value < 0.21")
+# ---------------------------------------------------------------- regions that tell deep cells from shallow ones
+
+DEEP, WIDE = 60, 10_000
+add_views({
+    "cells_dep": f"""
+SELECT k.grp, k.cell_id, CASE WHEN COALESCE(n, 0) >= {DEEP} THEN 'deep' ELSE 'shallow' END AS subtype
+FROM cells k LEFT JOIN (SELECT cell_id, COUNT(*) AS n FROM footprints GROUP BY 1) f ON f.cell_id = k.cell_id""",
+    "sizes_dep": """
+SELECT *, row_number() OVER (PARTITION BY grp ORDER BY subtype) AS ord, COUNT(*) OVER (PARTITION BY grp) AS n_subtypes
+FROM (SELECT grp, subtype, COUNT(*) AS n_cells FROM cells_dep GROUP BY 1, 2)""",
+    "kept_dep": f"""
+SELECT d.grp, d.subtype, chrom, peak_start // {WIDE} * {WIDE} AS r_start, peak_start // {WIDE} * {WIDE} + {WIDE} AS r_end,
+       'stretch' AS region_type, COUNT(DISTINCT f.cell_id) AS cnt
+FROM footprints f JOIN cells_dep d ON d.cell_id = f.cell_id GROUP BY 1, 2, 3, 4, 5, 6"""} | _test_views("_dep", "kept_dep"))
+
+
+class Depth:
+    """Cells with many footprints against cells with few, on wide stretches: presence that does differ."""
+
+    def __init__(self, fx):
+        n = fx.footprints.groupBy("cell_id").agg(F.count("*").alias("n"))
+        deep = F.when(F.coalesce("n", F.lit(0)) >= DEEP, "deep").otherwise("shallow")
+        cells = fx.cells.join(n, "cell_id", "left").select("grp", deep.alias("subtype"), "cell_id")
+        at = F.expr(f"peak_start div {WIDE} * {WIDE}")
+        rows = fx.footprints.select("cell_id", "chrom", at.alias("r_start"), (at + WIDE).alias("r_end"), F.lit("stretch").alias("tag")).join(cells, "cell_id")
+        self.sizes = P.group_sizes(cells)
+        self.counts = durable(P.agg_presence_counts(rows, self.sizes))
+        self.tables = T.fisher_pair_tables(self.counts, self.sizes)
+
+    def union(self):
+        return T.sig_region_union(self.counts, self.tables, 0.05)
+
+
+@query("sig_region_union", "SELECT DISTINCT grp, chrom, r_start, r_end FROM tested_dep WHERE fdr < 0.05")
 def _(fx):
-    t = Presence(fx, "grp").tested().withColumn("fdr", F.col("p_value"))
-    return T.sig_region_union(t, 0.21)
+    return Depth(fx).union()
 
 
 @query("set_concordance", """
-WITH s AS (SELECT DISTINCT grp, chrom, r_start, r_end FROM tested_grp WHERE p_value < 0.21)
+WITH s AS (SELECT DISTINCT grp, chrom, r_start, r_end FROM tested_dep WHERE fdr < 0.05)
 SELECT x.grp AS a, y.grp AS b, COUNT(*) AS n_shared FROM s x JOIN s y USING (chrom, r_start, r_end) GROUP BY 1, 2""")
 def _(fx):
-    t = Presence(fx, "grp").tested().withColumn("fdr", F.col("p_value"))
-    return X.set_concordance(T.sig_region_union(t, 0.21))
+    return X.set_concordance(Depth(fx).union())

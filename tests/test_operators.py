@@ -215,6 +215,21 @@ def test_pca_matches_the_svd(spark):
         assert mine[np.abs(mine).argmax()] > 0
 
 
+def test_pca_without_products_is_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    m = rng.uniform(0, 9, (9, 3)) @ rng.uniform(0, 1, (3, 40)) + rng.uniform(0, 0.1, (9, 40))
+    rows = [(f"m{i}", f"r{j}", float(m[i, j])) for i in range(9) for j in range(40)]
+    prof = spark.createDataFrame(rows, "member string, region_id string, pct double").repartition(3)
+    whole = {r.member: r for r in X.reduce_pca(prof, prof.select("member"), 9).collect()}
+    total = sum(r[c] ** 2 for r in whole.values() for c in r.__fields__[1:])
+    assert math.isclose(total, ((m - m.mean(axis=0)) ** 2).sum(), rel_tol=1e-9)
+    for r in X.pca_distances(spark.createDataFrame([*whole.values()])).collect():
+        assert math.isclose(r.distance2, ((m[int(r.a[1:])] - m[int(r.b[1:])]) ** 2).sum(), rel_tol=1e-9)
+    monkeypatch.setattr(X, "GRAM_MEMBERS", 4)
+    for r in X.reduce_pca(prof, prof.select("member"), 2).collect():
+        assert np.allclose((r.pc1, r.pc2), (whole[r.member].pc1, whole[r.member].pc2), atol=1e-5)
+
+
 def test_consensus_ties_and_rebinning(spark):
     rows = [("g", "s", 1, "chr1", 0, 200, 0.9, 0.1, 1, "enhancer"), ("g", "s", 1, "chr1", 300, 500, 0.1, 0.9, 2, "silencer"),
             ("g", "s", 2, "chr1", 100, 1700, 0.1, 0.1, 3, "neither")]
