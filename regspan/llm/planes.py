@@ -37,7 +37,7 @@ _SIGNS = "!\"#$%&()*+,-./:;=?@[]^_`{}~"
 #: Letters below this one are letters to every library alike.
 _LATIN_END = "\u0250"
 #: Words whose ids a process remembers.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 800_000
 _HEAD, _TAIL = struct.Struct("<8sBIQQQ"), struct.Struct("<QQ8s")
 
 
@@ -68,6 +68,7 @@ class Encoder:
         self.merges = self.tok.model.tokenize
         merged = set().union(*(t for t in self.tok.get_vocab() if len(t) > 1))
         self.apart = next(c for c in self.written.values() if c not in merged)  # no merge joins it to anything
+        self.apart_id = self.tok.token_to_id(self.apart)
         self.known: dict[str, bytes] = {}  # a word with the blank before it, a line end and a word where it begins with one
         self.tails: dict[str, bytes] = {"": b"", "\n": self._exact("\n")}
 
@@ -79,17 +80,14 @@ class Encoder:
                 self.tails[signs] = got
         return got
 
-    def _merged(self, cores: list[str]) -> list[bytes]:
-        """Ids of runs of letters that are written in the vocabulary's characters, all in one go."""
-        out: list[bytes] = []
-        run: list[int] = []
-        for t in self.merges(self.apart.join([*cores, ""])) if cores else []:
-            if t.value == self.apart:
-                out.append(struct.pack(f"<{len(run)}I", *run))
-                run = []
-            else:
-                run.append(t.id)
-        return out
+    def _merged(self, cores: list[str], lead: str) -> list[bytes]:
+        """Ids of runs of letters, each behind ``lead`` (a character of the vocabulary, or nothing), all in one go."""
+        if not cores:
+            return []
+        written = [lead + (c if c.isascii() else c.encode().decode("latin-1").translate(self.written)) for c in cores]
+        ids = np.array([t.id for t in self.merges(self.apart.join([*written, ""]))], "<u4")
+        raw, ends = ids.tobytes(), (4 * np.flatnonzero(ids == self.apart_id)).tolist()
+        return [raw[a:b] for a, b in zip([0, *[e + 4 for e in ends]], ends)]
 
     def _learn(self, words: set[str]) -> None:
         """Put the ids of words into ``known``. A word carries a line end that it begins with, else the blank before it.
@@ -97,29 +95,30 @@ class Encoder:
         Behind that come Latin letters, which go straight to the merges, and signs, a pre-token of their own; what is made
         otherwise goes through the library.
         """
-        known, blank, plain = self.known, self.written[0x20], {}
-        parts = []
+        known, line = self.known, self.tails["\n"]
+        whole, signed, lines = [], [], []  # words of letters, those with signs behind, and those behind a line end
         for word in words:
-            line = word[:1] == "\n"
-            part = word[1:] if line else word
-            core = part.rstrip(_SIGNS)
-            plain_ascii = core.isascii()
-            if not core.isalpha() or not plain_ascii and max(core) >= _LATIN_END:
-                known[word] = (self.tails["\n"] + (self._exact(part) if part else b"")) if line else self._exact(" " + part)
+            core = word.rstrip(_SIGNS)
+            if core.isalpha() and (core.isascii() or max(core) < _LATIN_END):
+                if len(core) == len(word):
+                    whole.append(word)
+                else:
+                    signed.append((word, core))
                 continue
-            written = core if plain_ascii else core.encode().decode("latin-1").translate(self.written)
-            written = written if line else blank + written
-            plain[written] = known.get(core) if not line else None
-            parts.append((word, line, core, written, part[len(core):]))
-        todo = [w for w, got in plain.items() if got is None]
-        plain.update(zip(todo, self._merged(todo)))
-        for word, line, core, written, signs in parts:
-            got = plain[written]
-            if line:
-                known[word] = self.tails["\n"] + got + self._tail(signs)
+            behind = word[1:] if word[:1] == "\n" else None
+            core = behind.rstrip(_SIGNS) if behind else ""
+            if core.isalpha() and (core.isascii() or max(core) < _LATIN_END):
+                lines.append((word, core, behind[len(core):]))
+            elif behind is None:
+                known[word] = self._exact(" " + word)
             else:
-                known[core] = got
-                known[word] = got + self._tail(signs)
+                known[word] = line + (self._exact(behind) if behind else b"")
+        whole += {core for _, core in signed}.difference(known, whole)
+        known.update(zip(whole, self._merged(whole, self.written[0x20])))
+        for word, core in signed:
+            known[word] = known[core] + self._tail(word[len(core):])
+        for (word, _, signs), ids in zip(lines, self._merged([core for _, core, _ in lines], "")):
+            known[word] = line + ids + self._tail(signs)
 
     def _exact(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
