@@ -8,6 +8,8 @@ pair, its difference to the zero rank of its nucleus.
 
 from __future__ import annotations
 
+from hashlib import md5
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -248,67 +250,127 @@ def test_mwu_tf(div: DataFrame, in_subtypes: list[str], ref_subtypes: list[str])
 
 # ---------------------------------------------------------------- permutation test
 
-#: Nuclei whose ranks a task holds at once, and permutations it passes on at once.
-NUCLEI_HELD, PERMS_HELD = 4096, 25
+#: Nuclei whose ranks a task holds at once, and permutations that it orders, passes on and adds up at once.
+NUCLEI_HELD, PERM_BLOCK, PERMS_HELD, PERMS_ADDED = 4096, 100, 25, 16
 
 
-def permuted_labels(nuclei: DataFrame, perms: int, seed: int) -> DataFrame:
-    """Subtype numbers of every nucleus as an array: its own first, then the shuffled one of every permutation.
+def _label_bytes(nuclei: DataFrame, perms: int, seed: int) -> DataFrame:
+    """(grp, nucleus, labels, n_grp): subtype numbers of every nucleus as little-endian 16-bit numbers, its own first, then
+    the shuffled one of every permutation.
 
-    Subtype sizes are kept. Nuclei of a group are put in an order that depends on a hash of nucleus, permutation and
-    seed; the first places take the first label, and so on. Places are found inside buckets of the hash, as many as the
-    size of the group asks for, so no task orders all nuclei of a large group. ``n_grp`` is that size.
+    Subtype sizes are kept. Nuclei of a group are put in the order of a hash of nucleus, permutation and seed; the first
+    places take the first label, and so on. A task gets the ids of a group and orders them for a block of permutations, so
+    nuclei never become one row per permutation.
     """
     size = nuclei.groupBy("grp", "subtype").agg(F.count("*").alias("n"))
     upto = W.partitionBy("grp").orderBy("subtype").rowsBetween(W.unboundedPreceding, 0)
     bounds = checked_broadcast(size.select("grp", "subtype", F.sum("n").over(upto).alias("hi")).groupBy("grp").agg(
         F.sort_array(F.collect_list("hi")).alias("bounds"), F.max("hi").alias("n_grp"),
         F.sort_array(F.collect_list("subtype")).alias("subtypes")))
-    own = nuclei.join(bounds, "grp").select(
-        "grp", "nucleus", F.lit(0).alias("perm"), (F.array_position("subtypes", F.col("subtype")) - 1).cast("int").alias("label"))
-    digest = F.md5(F.concat_ws("|", F.col("nucleus").cast("string"), F.col("perm").cast("string"), F.lit(str(seed))))
-    # 60 bits of the digest order like the digest itself; only narrow rows are shuffled
-    spread = nuclei.join(bounds.select("grp", "n_grp"), "grp").select(
-        "grp", "nucleus", "n_grp", F.explode(F.sequence(F.lit(1), F.lit(perms))).alias("perm")).withColumn(
-        "mix", F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint"))
-    part = F.floor(F.shiftright("mix", 44) * (F.col("n_grp") / F.lit(float(NUCLEI_HELD))) / 65536).cast("int")
-    d = hashed_places(spread.withColumn("part", part).drop("n_grp"), ["grp", "perm"], "mix", "nucleus", bucket=F.col("part"))
-    label = F.size(F.filter("bounds", lambda upper_bound: upper_bound <= F.col("place")))
-    mixed = d.join(bounds.select("grp", "bounds"), "grp").select("grp", "nucleus", "perm", label.alias("label"))
-    row = F.sort_array(F.collect_list(F.struct("perm", "label")))["label"]
-    return own.unionByName(mixed).groupBy("grp", "nucleus").agg(row.alias("labels")).join(
-        bounds.select("grp", "n_grp"), "grp")
+    own = nuclei.join(bounds.select("grp", "subtypes"), "grp").select(
+        "grp", F.struct("nucleus", (F.array_position("subtypes", F.col("subtype")) - 1).cast("int").alias("label")).alias("x"))
+    roster = own.groupBy("grp").agg(F.array_sort(F.collect_list("x")).alias("x")).join(bounds.select("grp", "bounds"), "grp")
+    starts = list(range(1, perms + 1, PERM_BLOCK)) or [1]
+    todo = roster.select("grp", "bounds", F.col("x.nucleus").alias("ids"), F.col("x.label").alias("own"),
+                         F.explode(F.array(*map(F.lit, starts))).alias("lo")).repartition(8 * len(starts), "grp", "lo")
+    kind = nuclei.schema["nucleus"].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            for grp, bounds, ids, own, lo in zip(*[b.column(c).to_pylist() for c in ("grp", "bounds", "ids", "own", "lo")]):
+                heads = [f"{x}|".encode() for x in ids]
+                rows = [np.array(own, "<u2")] if lo == 1 else []
+                for perm in range(lo, min(lo + PERM_BLOCK, perms + 1)):
+                    tail = f"{perm}|{seed}".encode()
+                    mix = np.frombuffer(b"".join([md5(h + tail).digest() for h in heads]), ">u8")[::2] >> np.uint64(4)
+                    place = np.empty(len(ids), np.int64)
+                    place[np.argsort(mix, kind="stable")] = np.arange(len(ids))
+                    rows.append(np.searchsorted(bounds, place, side="right").astype("<u2"))
+                each = np.ascontiguousarray(np.array(rows, "<u2").T)
+                for at in range(0, len(ids), NUCLEI_HELD):
+                    part = each[at:at + NUCLEI_HELD]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.repeat(grp, len(part)), pa.array(ids[at:at + NUCLEI_HELD], b.schema.field("ids").type.value_type),
+                         pa.array(np.full(len(part), lo, np.int32)), pa.array([x.tobytes() for x in part], pa.binary())], ["grp", "nucleus", "lo", "part"])
+
+    parts = todo.mapInArrow(run, f"grp string, nucleus {kind}, lo int, part binary")
+    whole = parts.groupBy("grp", "nucleus").agg(*[F.max(F.when(F.col("lo") == lo, F.col("part"))).alias(f"p{lo}") for lo in starts])
+    return whole.select("grp", "nucleus", F.concat(*[f"p{lo}" for lo in starts]).alias("labels")).join(bounds.select("grp", "n_grp"), "grp")
+
+
+def permuted_labels(nuclei: DataFrame, perms: int, seed: int) -> DataFrame:
+    """``_label_bytes`` with the labels as an array of numbers."""
+    kind = nuclei.schema["nucleus"].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            labels = [np.frombuffer(x, "<u2").astype(np.int32) for x in b.column("labels").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("grp"), b.column("nucleus"), pa.array(labels, pa.list_(pa.int32())), b.column("n_grp")],
+                                             ["grp", "nucleus", "labels", "n_grp"])
+
+    return _label_bytes(nuclei, perms, seed).select("grp", "nucleus", "labels", "n_grp").mapInArrow(
+        run, f"grp string, nucleus {kind}, labels array<int>, n_grp bigint")
 
 
 def _sums_by_label(n_tf: int):
-    """Sums of the ranks and their squares per permutation, label and TF of the nuclei that a task holds."""
+    """Sums of the ranks and their squares of the nuclei that a task holds: one row per permutation and label, TFs as an array."""
 
-    def of_group(grp: str, rows: pa.RecordBatch):
-        n = rows.num_rows
-        at, rank, labels = (rows.column(c) for c in ("at", "rank", "labels"))
-        ranks = np.repeat(rows.column("z").to_numpy()[:, None], n_tf, axis=1)
-        ranks[np.repeat(np.arange(n), at.value_lengths().to_numpy()), at.flatten().to_numpy()] = rank.flatten().to_numpy()
+    def of_group(grp: str, rows: list[pa.RecordBatch]):
+        cols = {c: pa.chunked_array([r.column(c) for r in rows]).combine_chunks() for c in ("z", "at", "rank", "labels")}
+        n = len(cols["z"])
+        ranks = np.repeat(cols["z"].to_numpy()[:, None], n_tf, axis=1)
+        ranks[np.repeat(np.arange(n), cols["at"].value_lengths().to_numpy()), cols["at"].flatten().to_numpy()] = cols["rank"].flatten().to_numpy()
         both = np.hstack([ranks, ranks * ranks])
-        label = labels.flatten().to_numpy().reshape(n, -1)
+        label = np.frombuffer(b"".join(cols["labels"].to_pylist()), "<u2").reshape(n, -1)
         numbers = np.arange(label.max() + 1)
         for lo in range(0, label.shape[1], PERMS_HELD):
             member = (label[:, lo:lo + PERMS_HELD].T[:, None, :] == numbers[None, :, None]).astype(float).reshape(-1, n)
             sums, held = member @ both, member.sum(axis=1).astype(np.int64)
             here = np.flatnonzero(held)
-            pairs = np.repeat(here, n_tf)
             yield pa.RecordBatch.from_arrays([
-                pa.repeat(grp, len(pairs)), pa.array((lo + pairs // len(numbers)).astype(np.int32)),
-                pa.array((pairs % len(numbers)).astype(np.int32)), pa.array(np.tile(np.arange(n_tf, dtype=np.int32), len(here))),
-                pa.array(held[pairs]), pa.array(sums[here, :n_tf].ravel()), pa.array(sums[here, n_tf:].ravel())],
-                ["grp", "perm", "label", "at", "n", "s1", "s2"])
+                pa.repeat(grp, len(here)), pa.array((lo + here // len(numbers)).astype(np.int32)),
+                pa.array((here % len(numbers)).astype(np.int32)), pa.array(held[here]),
+                pa.array(list(sums[here]), pa.list_(pa.float64()))], ["grp", "perm", "label", "n", "sums"])
 
     def run(batches):
+        held: list[pa.RecordBatch] = []  # rows of one group, over the borders of batches
         for b in batches:
             grp = b.column("grp").to_pylist()
             cuts = [i for i in range(1, len(grp)) if grp[i] != grp[i - 1]]
             for lo, hi in zip([0, *cuts], [*cuts, len(grp)]):
-                for at in range(lo, hi, NUCLEI_HELD):
-                    yield from of_group(grp[lo], b.slice(at, min(NUCLEI_HELD, hi - at)))
+                if held and held[0].column("grp")[0].as_py() != grp[lo]:
+                    yield from of_group(held[0].column("grp")[0].as_py(), held)
+                    held = []
+                while lo < hi:
+                    take = min(hi - lo, NUCLEI_HELD - sum(r.num_rows for r in held))
+                    held.append(b.slice(lo, take))
+                    lo += take
+                    if sum(r.num_rows for r in held) == NUCLEI_HELD:
+                        yield from of_group(grp[lo - 1], held)
+                        held = []
+        if held:
+            yield from of_group(held[0].column("grp")[0].as_py(), held)
+
+    return run
+
+
+def _spread_of_sds(n_tf: int):
+    """T per permutation and TF, from the sums of a group's nuclei, block of permutations by block."""
+
+    def run(table: pa.Table) -> pa.Table:
+        perm, label = table.column("perm").to_numpy(), table.column("label").to_numpy()
+        perms, p = np.unique(perm, return_inverse=True)
+        k = label.max() + 1
+        n = np.zeros((len(perms), k))
+        sums = np.zeros((len(perms), k, 2 * n_tf))
+        np.add.at(n, (p, label), table.column("n").to_numpy())
+        np.add.at(sums, (p, label), table.column("sums").combine_chunks().flatten().to_numpy().reshape(len(p), -1))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            var = (sums[:, :, n_tf:] - sums[:, :, :n_tf] ** 2 / n[:, :, None]) / np.maximum(n - 1, 1)[:, :, None]
+        sd = np.sqrt(np.maximum(var, 0.0))
+        t = np.array([sd[i, n[i] > 0].std(axis=0, ddof=1) if (n[i] > 0).sum() > 1 else np.full(n_tf, np.nan) for i in range(len(perms))])
+        return pa.table({"grp": pa.repeat(table.column("grp")[0].as_py(), len(perms)), "perm": pa.array(perms.astype(np.int32)),
+                         "t": pa.array(list(t), pa.list_(pa.float64()))})
 
     return run
 
@@ -332,15 +394,14 @@ def test_permutation(tf_pct: DataFrame, perms: int = 2000, seed: int = 1, alpha:
     lists = zero.join(held, ["grp", "nucleus"], "left").select(
         "grp", "nucleus", "z", F.coalesce("held.at", F.array().cast("array<int>")).alias("at"),
         F.coalesce(F.transform("held", lambda x: x["rank"] - F.col("mid")), F.array().cast("array<double>")).alias("rank"))
-    labels = permuted_labels(zero, perms, seed)
+    labels = _label_bytes(zero, perms, seed)
     shard = F.pmod(F.xxhash64("nucleus"), F.floor(F.col("n_grp") / NUCLEI_HELD) + 1)
     rows = lists.join(labels, ["grp", "nucleus"]).withColumn("shard", shard).repartition("grp", "shard").sortWithinPartitions(
         "grp", "shard").select("grp", "z", "at", "rank", "labels")
-    sums = rows.mapInArrow(_sums_by_label(len(words)), "grp string, perm int, label int, at int, n bigint, s1 double, s2 double")
-    whole = sums.groupBy("grp", "perm", "label", "at").agg(*[F.sum(c).alias(c) for c in ("n", "s1", "s2")])
-    var = (F.col("s2") - F.col("s1") ** 2 / F.col("n")) / F.greatest(F.col("n") - 1, F.lit(1))
-    spread = durable(whole.withColumn("sd", F.sqrt(F.greatest(var, F.lit(0.0)))).groupBy("grp", "perm", "at").agg(
-        F.stddev_samp("sd").alias("t")))
+    sums = rows.mapInArrow(_sums_by_label(len(words)), "grp string, perm int, label int, n bigint, sums array<double>")
+    each = sums.withColumn("_block", F.expr(f"perm div {PERMS_ADDED}")).groupBy("grp", "_block").applyInArrow(
+        _spread_of_sds(len(words)), "grp string, perm int, t array<double>")
+    spread = durable(each.select("grp", "perm", F.posexplode("t").alias("at", "t")).withColumn("t", F.nanvl("t", F.lit(None).cast("double"))))
     observed = spread.where("perm = 0").select("grp", "at", F.col("t").alias("t_obs"))
     d = spread.where("perm > 0").join(observed, ["grp", "at"]).groupBy("grp", "at", "t_obs").agg(
         F.count_if(F.col("t") >= F.col("t_obs") - 1e-9).alias("n_ge"), F.avg("t").alias("null_mean"),
