@@ -39,8 +39,8 @@ TELLING = ("ads", "adserver", "banner", "bet", "bets", "betting", "casino", "jac
 BROADCAST_TOKENS, SALTS = 20_000, 8
 #: Longest word that segmentation looks for; a longer stretch is split.
 LONGEST = 24
-#: Assumed share of urls to block among those that no rule decides, and the pseudo-count of a token.
-PRIOR, SMOOTH = 0.1, 1.0
+#: Pseudo-count of a token.
+SMOOTH = 1.0
 _TAG = re.compile(r"<script.*?</script>|<style.*?</style>|<[^>]*>", re.S | re.I)
 _WORD = re.compile(r"[a-z]+")
 #: Counted words a task holds before it passes them on.
@@ -142,11 +142,18 @@ class Bayes:
     rest: DataFrame | None  # (token, odds) of all others, or None without any
 
 
-def _tokens(words: list[str] | None, path: str, skip: frozenset) -> list[str]:
-    found = re.findall(r"[a-z]+|[0-9]+", path.lower())
+def _tokens(words: list[str] | None, path: str, skip: frozenset, depth: int) -> list[str]:
+    """Host words, and words and numbers of the path below its first ``depth`` segments."""
+    below = path.lower().split("/")[depth + 1:] if depth else [path.lower()]
+    found = re.findall(r"[a-z]+|[0-9]+", "/".join(below))
     return [f"h:{w}" for w in words or [] if w not in skip] + [f"p:{'#' if t.isdigit() else t}" for t in found if t not in skip]
 
 
+def rule_depth(rules: tuple[Rule, ...]) -> int:
+    """Path segments that the rules look at. They decide which urls teach allow, so what stands there is no evidence."""
+    return max((len([x for x in r.path.split("/") if x]) for r in rules), default=0)
+
+
 def rule_words(rules: tuple[Rule, ...]) -> frozenset:
     """Words that the rules themselves name: they decide the labels, so they are no evidence beyond them."""
     return frozenset(w for r in rules for w in re.findall(r"[a-z]+", r.name))
@@ -156,9 +163,10 @@ def fit(rows: DataFrame, rules: tuple[Rule, ...] = RULES, telling: tuple[str, ..
     """Multinomial naive Bayes from ``rows`` (path, rule_verdict, words).
 
     A telling word in the host teaches block; without one, a rule that allows teaches allow. What a rule blocks for its
-    domain alone says nothing about words and teaches nothing.
+    domain alone says nothing about words and teaches nothing. The prior is the share of telling hosts among the urls that
+    no rule decides, at most one half: a url without evidence is never blocked.
     """
-    skip, marks = rule_words(rules), frozenset(telling)
+    skip, marks, depth = rule_words(rules), frozenset(telling), rule_depth(rules)
 
     def run(batches):
         sums = (Counter(), Counter())
@@ -174,7 +182,7 @@ def fit(rows: DataFrame, rules: tuple[Rule, ...] = RULES, telling: tuple[str, ..
             for path, verdict, words in zip(*(b.column(c).to_pylist() for c in ("path", "rule_verdict", "words"))):
                 marked = bool(marks.intersection(words or ()))
                 if marked or verdict == "allow":
-                    sums[marked].update(_tokens(words, path, skip))
+                    sums[marked].update(_tokens(words, path, skip, depth))
             if sum(map(len, sums)) > HELD:
                 yield out()
         yield out()
@@ -187,16 +195,18 @@ def fit(rows: DataFrame, rules: tuple[Rule, ...] = RULES, telling: tuple[str, ..
     odds = counts.select("token", (F.col("n0") + F.col("n1")).alias("n"), F.log(share("n1", all1) / share("n0", all0)).alias("odds"))
     top = {r["token"]: r["odds"] for r in odds.orderBy(F.desc("n"), "token").limit(BROADCAST_TOKENS).collect()}
     rest = odds.select("token", "odds") if size > len(top) else None
-    return Bayes(top, float(np.log(PRIOR / (1 - PRIOR))), rest)
+    told = F.arrays_overlap(F.coalesce("words", F.array().cast("array<string>")), F.array(*map(F.lit, telling or ("",))))
+    free, block = rows.where("rule_verdict IS NULL").agg(F.count("*"), F.coalesce(F.count_if(told), F.lit(0))).first()
+    return Bayes(top, min(0.0, float(np.log((block + SMOOTH) / (free - block + SMOOTH)))), rest)
 
 
-def _rest_odds(rows: DataFrame, model: Bayes, skip: frozenset) -> DataFrame:
+def _rest_odds(rows: DataFrame, model: Bayes, skip: frozenset, depth: int) -> DataFrame:
     """(_row, rest): summed odds of the tokens of ``rows`` (_row, path, words) that are not broadcast; absent without any."""
 
     def run(batches):
         for b in batches:
             out = [(row, t, n) for row, path, words in zip(*(b.column(c).to_pylist() for c in ("_row", "path", "words")))
-                   for t, n in Counter(_tokens(words, path, skip)).items() if t not in model_odds]
+                   for t, n in Counter(_tokens(words, path, skip, depth)).items() if t not in model_odds]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else ((), (), ()), (pa.int64(), pa.string(), pa.int64()))],
                                              ["_row", "token", "n"])
 
@@ -218,16 +228,16 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, telling: tuple[str,
         "page_id", "host", "path", by_rule(rules, "name").alias("rule"), by_rule(rules, "verdict").alias("rule_verdict"))
     words = durable(host_words(parsed.select("host").distinct(), durable(word_counts(urls))))
     rows = durable(parsed.join(words, "host", "left").withColumn("_row", F.monotonically_increasing_id()))
-    model, skip = fit(rows, rules, telling), rule_words(rules)
+    model, skip, depth = fit(rows, rules, telling), rule_words(rules), rule_depth(rules)
     if model.rest is None:
         rows = rows.withColumn("rest", F.lit(0.0))
     else:
-        rows = rows.join(_rest_odds(rows, model, skip), "_row", "left").withColumn("rest", F.coalesce("rest", F.lit(0.0)))
+        rows = rows.join(_rest_odds(rows, model, skip, depth), "_row", "left").withColumn("rest", F.coalesce("rest", F.lit(0.0)))
     top, prior = model.odds, model.prior
 
     def run(batches):
         for b in batches:
-            odds = [prior + rest + sum(top.get(t, 0.0) for t in _tokens(w, p, skip)) for w, p, rest in
+            odds = [prior + rest + sum(top.get(t, 0.0) for t in _tokens(w, p, skip, depth)) for w, p, rest in
                     zip(*(b.column(c).to_pylist() for c in ("words", "path", "rest")))]
             names = b.schema.names[:-1]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(odds, pa.float64())], [*names, "odds"])
