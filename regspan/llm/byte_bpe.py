@@ -157,7 +157,9 @@ def codec(path: str, pattern: str) -> Codec:
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, ids: binary, little-endian unsigned 32-bit) of every row of ``docs`` (doc_id, text).
 
-    Null texts count as empty and have no ids. Null and repeated doc_ids are kept; other columns are ignored.
+    Null texts count as empty and have no ids. Null and repeated doc_ids are kept; other columns are ignored. A very long text
+    is encoded in bounded stretches that end where a pre-token ends; among merges of equal rank the leftmost comes first, and
+    an empty table gives no rows.
     """
 
     def run(batches):

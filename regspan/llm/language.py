@@ -302,7 +302,8 @@ def predict(docs: DataFrame, field: Field | None) -> DataFrame:
     """(doc_id, lang_pred, score, shares: map of language to share of words) of every row of ``docs`` (doc_id, text).
 
     A null text, or one without a letter, is ``und`` with score 0 and no shares; so is every text without a fitted field.
-    Null and repeated doc_ids are kept; other columns are ignored.
+    Null and repeated doc_ids are kept; other columns are ignored. A long text is many chains of words; of languages with
+    equal shares the first by name is predicted. An empty table gives no rows.
     """
 
     def run(batches):
@@ -321,7 +322,8 @@ def predict(docs: DataFrame, field: Field | None) -> DataFrame:
 def keep_told(docs: DataFrame, field: Field | None, least: float = 0.3) -> DataFrame:
     """The rows of ``docs`` whose text has a language that holds more than ``least`` of its words, with all their columns.
 
-    Without a fitted field, as nothing could be learned, rows with a letter in their text stay.
+    Without a fitted field, as nothing could be learned, rows with a letter in their text stay. Rows that repeat stay or go
+    together, and an empty table stays empty.
     """
     at_text = docs.columns.index("text")
 

@@ -81,7 +81,11 @@ def pair_codes(bins: np.ndarray) -> np.ndarray:
 
 
 def with_media(docs: DataFrame) -> DataFrame:
-    """Every row of ``docs`` (doc_id, text) as doc_id, n_bytes, media (a WAV file). Null texts count as empty."""
+    """Every row of ``docs`` (doc_id, text) as doc_id, n_bytes, media (a WAV file).
+
+    Null texts count as empty and give one block of blanks. Rows that repeat and null doc_ids are kept, equal texts have equal
+    files, a very long text makes one long file, other columns are ignored, and an empty table gives no rows.
+    """
 
     def run(batches):
         for b in batches:

@@ -177,8 +177,8 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = SIZE) -> DataFrame:
     """Every piece of ``docs`` (doc_id, text) with its sequence and its place there.
 
     A text's ids are followed by id 0; only what is longer than ``size`` is cut. Null texts count as empty and give one
-    piece of one id. Null and repeated doc_ids are kept as they are. Other columns are ignored. An empty table gives no
-    rows.
+    piece of one id. Null and repeated doc_ids are kept as they are. Other columns are ignored. Pieces of one length are
+    interchangeable, so which of them takes which place follows the tasks that made them. An empty table gives no rows.
     """
     pieces = durable(cut(docs, tokenizer_path, size))
     by_task = durable(pieces.groupBy("length", "task").agg(F.count("*").alias("n")))

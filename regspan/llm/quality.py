@@ -179,7 +179,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", divisor: int
 def score(docs: DataFrame, net: Net) -> DataFrame:
     """(doc_id, score) of every row of ``docs`` (doc_id, text), over whole texts.
 
-    Null texts count as empty, which is one empty chunk. Null and repeated doc_ids are kept; other columns are ignored.
+    Null texts count as empty, which is one empty chunk. Null and repeated doc_ids are kept; other columns are ignored. A very
+    long text is read in runs of chunks, equal texts have equal scores beside any others, and an empty table gives no rows.
     """
 
     def run(batches):

@@ -245,7 +245,8 @@ def spans(text: str | None, threshold: float = THRESHOLD) -> list[Span]:
 def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, spans: array of kind, start, end) of every row of ``docs`` (doc_id, text).
 
-    Null and empty texts have no spans. Null and repeated doc_ids are kept; other columns are ignored.
+    Null and empty texts have no spans. Null and repeated doc_ids are kept; other columns are ignored. A text is scanned whole
+    whatever its length; spans that begin at one place are ordered by kind. An empty table gives no rows.
     """
     kind = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 

@@ -203,7 +203,8 @@ def near_groups(docs: DataFrame, words: int = 4, radius: int = 4, second: bool =
     Fingerprints link within ``radius`` bits; with ``second``, fingerprints under another seed must also lie within twice
     as many. ``component_id`` is the smallest doc_id reachable. Copies share a fingerprint and are one node from the start.
     Null and empty texts have fingerprint 0 and are linked like any other. Repeated rows stay repeated. A row without a
-    doc_id is kept and has no component. An empty table gives no rows.
+    doc_id is kept and has no component. A very long text is hashed in bounded stretches; a bit that exactly half of the
+    hashes set is 0. An empty table gives no rows.
     """
     fps = durable(fingerprints(docs, words, second))
     nodes = durable(fps.where("doc_id IS NOT NULL").groupBy("fp", "second").agg(F.min("doc_id").alias("id")))

@@ -277,7 +277,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score, passages: array of start, end, surprise) of every row of ``docs`` (doc_id, text).
 
     Null and empty texts have no passages and the score of no evidence. Null and repeated doc_ids are kept; other columns
-    are ignored.
+    are ignored. A text is scored whole whatever its length, and equal texts alike. An empty table gives no rows.
     """
     kind = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("surprise", pa.float64())])
 
@@ -295,7 +295,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that score below ``threshold``, with all their columns."""
+    """The rows of ``docs`` that score below ``threshold``, with all their columns.
+
+    A null text counts as empty and stays where no evidence means clean. Rows that repeat stay or go together.
+    """
     at_text = docs.columns.index("text")
 
     def run(batches):
