@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -42,6 +44,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_SETTING} to a folder all executors share")
     folder = tempfile.mkdtemp(prefix="regspan-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)  # made here, so it goes with this process
     spark.conf.set(CHECKPOINT_SETTING, folder)
     return folder
 

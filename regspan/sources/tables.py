@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from regspan.functions import recode as R
 from regspan.functions.coords import coord, number, whole
+from regspan.session import durable
 
 # ---- fixed values: where each overlap layout keeps the common fields ----
 COMMON_FIELDS = {
@@ -96,14 +97,13 @@ def incr_skip_done(cells: DataFrame, ledger: DataFrame, key: list[str]) -> DataF
 
 
 def dataset_info(corpus: DataFrame, rows: DataFrame) -> DataFrame:
-    """Long summary: totals, vocabulary sizes and rows per class."""
-    total = corpus.agg(F.count("*").alias("n"))
-    one = lambda name, df: df.select(F.lit(name).alias("item"), F.col("n").cast("bigint"))
-    tfs = rows.agg(F.count_distinct("tf_motif").alias("n"))
-    labels = rows.agg(F.count_distinct("label").alias("n"))
-    per = corpus.groupBy("primary_label").agg(F.count("*").alias("n")).select(
-        F.concat(F.lit("class:"), "primary_label").alias("item"), "n")
-    return one("n_regions", total).union(one("n_tfs", tfs)).union(one("n_classes", labels)).union(per)
+    """Long summary: totals, vocabulary sizes and rows per class, from one pass over each side."""
+    per = durable(corpus.groupBy("primary_label").agg(F.count("*").alias("n")))
+    total = per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).select(F.lit("n_regions").alias("item"), "n")
+    sizes = rows.agg(F.count_distinct("tf_motif").alias("tfs"), F.count_distinct("label").alias("labels"))
+    words = sizes.select(F.inline(F.array(*[F.struct(F.lit(name).alias("item"), F.col(c).cast("bigint").alias("n"))
+                                            for name, c in (("n_tfs", "tfs"), ("n_classes", "labels"))])))
+    return total.union(words).union(per.select(F.concat(F.lit("class:"), "primary_label").alias("item"), "n"))
 
 
 def sort_corpus(corpus: DataFrame) -> DataFrame:
