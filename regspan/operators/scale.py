@@ -12,6 +12,8 @@ from regspan.session import durable
 BROADCAST_ROWS = 20_000
 #: Rows of one join key that a task takes; a key with more of them is spread over several.
 HOT_ROWS = 1 << 18
+#: Rows that a task of a planned shuffle takes; what a task holds in hash maps then does not grow with the input.
+TASK_ROWS = 1 << 18
 
 
 def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -26,6 +28,16 @@ def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFram
     return F.broadcast(df.sparkSession.createDataFrame(head, schema=df.schema))
 
 
+def tasks_for(rows: int, task_rows: int = TASK_ROWS) -> int:
+    """Tasks that ``rows`` rows are dealt over."""
+    return max(1, -(-rows // task_rows))
+
+
+def dealt(df: DataFrame, tasks: int | None, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` over ``tasks`` tasks, which adaptive execution leaves as they are; unchanged where one or none is asked for."""
+    return df.repartition(tasks, *keys) if tasks and tasks > 1 else df
+
+
 def each_of(df: DataFrame, names: DataFrame, col: str) -> DataFrame:
     """Every row once per value of a vocabulary, nulls left out, as an explode of one array that an aggregate gathers.
 

@@ -7,6 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from regspan.functions import recode as R
+from regspan.operators.scale import dealt, tasks_for
 from regspan.session import durable
 
 
@@ -31,11 +32,17 @@ class Fixtures:
             F.col("c_custkey").alias("cell_id"),
         )
 
+    @cached_property
+    def tasks(self) -> int:
+        """Tasks that footprints are dealt over, from the rows that the table's files state."""
+        return tasks_for(self.table("lineitem").count())
+
     @cached_property
     def footprints(self) -> DataFrame:
         li, o = self.table("lineitem"), self.table("orders")
-        rows = li.join(o.select("o_orderkey", F.col("o_custkey").alias("cell_id")),
-                       li.l_orderkey == F.col("o_orderkey")).join(self.cells, "cell_id")
+        placed = li.join(o.select("o_orderkey", F.col("o_custkey").alias("cell_id")),
+                         li.l_orderkey == F.col("o_orderkey"))
+        rows = dealt(placed, self.tasks, "cell_id").join(dealt(self.cells, self.tasks, "cell_id"), "cell_id")
         base = F.expr("1000 + (l_partkey div 22) * 700")
         tf = (F.col("l_suppkey") % 40)
         return rows.select(
