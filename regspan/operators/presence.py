@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 
 from regspan.functions import recode as R
 from regspan.functions.coords import log2_ratio, stars
-from regspan.operators.scale import checked_broadcast, salted_join
+from regspan.operators.scale import checked_broadcast, dealt, salted_join
 
 SPAN = ["chrom", "r_start", "r_end"]
 REGION = ["grp", *SPAN]
@@ -39,36 +39,38 @@ def numbered_cells(rows: DataFrame) -> DataFrame:
     return rows.join(rows.select(*key).distinct().withColumn("_no", order.cast("bigint")), key)
 
 
-def presence_bitmaps(rows: DataFrame, *more: Column) -> DataFrame:
-    """The cells that hold a region, as bitmaps: one row per (region, subtype, bucket of cell numbers).
+def presence_bitmaps(rows: DataFrame, *more: Column, tasks: int | None = None) -> DataFrame:
+    """The cells that hold a region, as words of 64 bits: one row per (region, subtype, 64 cell numbers with a holder).
 
-    Repeated rows of a cell set the same bit, so nothing is made distinct first, and what crosses the shuffle is the
-    bitmaps of a task, not its cells.
+    Repeated rows of a cell set the same bit, so nothing is made distinct first. A word is a number, so it is summed in
+    hash maps and is never longer than the row it came from, however few cells share a region. ``tasks`` deals the rows
+    over that many tasks; one region goes to several.
     """
-    no = numbered_cells(rows)
-    return no.groupBy(*REGION, "subtype", F.bitmap_bucket_number("_no").alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("_no")).alias("bits"), *more)
+    no = numbered_cells(rows).withColumn("word", F.shiftright("_no", 6))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("_no").bitwiseAND(F.lit(63)).cast("int"))
+    key = [*REGION, "subtype", "word"]
+    return dealt(no, tasks, *key).groupBy(*key).agg(F.bit_or(bit).alias("bits"), *more)
 
 
-def agg_presence_counts(source_rows: DataFrame, sizes: DataFrame, region_tags: DataFrame | None = None) -> DataFrame:
+def agg_presence_counts(source_rows: DataFrame, sizes: DataFrame, region_tags: DataFrame | None = None,
+                        tasks: int | None = None) -> DataFrame:
     """Distinct cells per (region, subtype), count over all subtypes, percent, and the union of tags.
 
     A cell may hold a region in several rows and through several sources; it is counted once. Tags stand in the rows, or
     in ``region_tags`` (chrom, r_start, r_end, tag) where they belong to regions whatever the cell; a region without any
-    is then uncharacterized.
+    is then uncharacterized. ``tasks`` is the number of tasks that rows and regions are dealt over (Spark's own if None).
     """
     tags = [F.collect_set("tag").alias("tags")] if region_tags is None else []
-    per = presence_bitmaps(source_rows, *tags).select(*REGION, "subtype", F.bitmap_count("bits").alias("n"), *["tags"] * len(tags))
-    # subtypes and buckets of a region are few: they travel as one short array, and a region is one row
-    entry = F.struct("subtype", "n")
     named = [F.array_distinct(F.flatten(F.collect_list("tags"))).alias("tags")] if region_tags is None else []
-    region = per.groupBy(*REGION).agg(F.collect_list(entry).alias("e"), F.sum("n").alias("global_count"), *named)
+    words = dealt(presence_bitmaps(source_rows, *tags, tasks=tasks), tasks, *REGION)
+    held = F.coalesce(F.bit_count("bits"), F.lit(0)).cast("bigint")
+    per = words.groupBy(*REGION, "subtype").agg(F.sum(held).alias("cnt"), *named)
+    # subtypes of a region are few: they travel as one short array, and a region is one row
+    region = per.groupBy(*REGION).agg(F.collect_list(F.struct("subtype", "cnt")).alias("held"), F.sum("cnt").alias("global_count"), *named)
     if region_tags is not None:
         types = region_tags.groupBy(*SPAN).agg(F.collect_set("tag").alias("tags"))
         region = region.join(types, SPAN, "left").withColumn("tags", F.coalesce("tags", F.array(F.lit("uncharacterized"))))
-    add = lambda s: F.aggregate(F.filter("e", lambda x: x["subtype"] == s), F.lit(0).cast("bigint"), lambda n, x: n + x["n"])
-    held = F.transform(F.array_distinct(F.transform("e", lambda x: x["subtype"])), lambda s: F.struct(s.alias("subtype"), add(s).alias("cnt")))
-    whole = region.select(*REGION, "global_count", F.array_join(F.sort_array("tags"), ";").alias("region_type"), F.inline(held))
+    whole = region.select(*REGION, "global_count", F.array_join(F.sort_array("tags"), ";").alias("region_type"), F.inline("held"))
     return whole.join(sizes.select("grp", "subtype", "n_cells"), ["grp", "subtype"]).withColumn("pct", F.col("cnt") * 100.0 / F.col("n_cells"))
 
 

@@ -119,7 +119,7 @@ class Presence:
 
     @cached_property
     def counts(self):
-        return P.agg_presence_counts(self.pick(self.fx.peak_rows), self.sizes, self.fx.region_tags)
+        return P.agg_presence_counts(self.pick(self.fx.peak_rows), self.sizes, self.fx.region_tags, self.fx.tasks)
 
     @cached_property
     def kept(self):
@@ -233,7 +233,7 @@ SELECT subtype AS grp, chrom, r_start, r_end, region_type, subtype, cnt,
 FROM presence_all WHERE cnt >= 4""")
 def _(fx):
     alone = lambda d: d.withColumn("grp", F.col("subtype"))
-    counts = P.agg_presence_counts(alone(fx.peak_rows), P.group_sizes(alone(fx.cells)), fx.region_tags)
+    counts = P.agg_presence_counts(alone(fx.peak_rows), P.group_sizes(alone(fx.cells)), fx.region_tags, fx.tasks)
     m = P.agg_single_group_master(P.filter_min_cells(counts, 4))
     return rounded(m, ["pct", "diff_pct"]).drop("max_pct", "min_pct", "max_subtype")
 
