@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from regspan.operators.presence import SPAN
-from regspan.operators.scale import checked_broadcast, salted_join, spread_keys
+from regspan.operators.scale import checked_broadcast, dealt, salted_join, tasks_for
 from regspan.session import durable
 
 
@@ -51,10 +51,15 @@ def set_majority(flags: DataFrame, rosters: DataFrame, element: str = "tf") -> D
     return c.join(checked_broadcast(n), "grp").where(F.col("n_flagged") >= need).drop("k")
 
 
+#: A region with up to so many cells gives its pairs directly; the pairs of cells that one task counts.
+DIRECT_CELLS, TASK_PAIRS = 4096, 1 << 21
+
+
 def _shared_in_block(pdf: pd.DataFrame) -> pd.DataFrame:
     """Shared regions of every pair of cells in one block pair and one shard of regions."""
-    cells, ci = np.unique(pdf["cell_id"].to_numpy(), return_inverse=True)
+    cells, first, ci = np.unique(pdf["cell_id"].to_numpy(), return_index=True, return_inverse=True)
     _, ri = np.unique(pdf["region"].to_numpy(), return_inverse=True)
+    size = pdf["n"].to_numpy()[first]
     block = np.zeros(len(cells), dtype=np.int64)
     block[ci] = pdf["block"].to_numpy()
     x = np.zeros((len(cells), ri.max() + 1), dtype=np.float32)
@@ -65,22 +70,16 @@ def _shared_in_block(pdf: pd.DataFrame) -> pd.DataFrame:
     a, b = np.nonzero(shared)
     keep = left[a] < right[b] if lo == hi else np.ones(len(a), dtype=bool)
     a, b, n = left[a[keep]], right[b[keep]], shared[a[keep], b[keep]]
-    return pd.DataFrame({"subtype": pdf["subtype"].iloc[0], "x": cells[a], "y": cells[b], "n": n.astype("int64")})
+    return pd.DataFrame({"subtype": pdf["subtype"].iloc[0], "x": cells[a], "nx": size[a], "y": cells[b], "ny": size[b], "k": n.astype("int64")})
 
 
-def sim_jaccard_cells(peaks: DataFrame, by: str | None = "subtype", block_cells: int = 256,
-                      shard_regions: int = 8192) -> DataFrame:
-    """Jaccard percent between cells of a subtype (all cells with ``by=None``) that share a region.
+def _pairs_by_blocks(held: DataFrame, block_cells: int, shard_regions: int) -> DataFrame:
+    """Pairs of cells over regions that very many cells hold, as rows of ``_pairs_by_regions`` with one other cell each.
 
-    A region held by very many cells would give their square in pairs, so
-    cells are cut into blocks and regions into shards: each task multiplies two
-    small blocks and hands on counts per pair of cells, never per region. The
-    number of shards follows the rows of a block, not of the subtype, so a task
-    stays near ``2 * block_cells`` cells times ``2 * shard_regions`` regions and
-    more cells give more pairs of blocks only. Pairs that share nothing have no row.
+    Cells are cut into blocks and regions into shards: each task multiplies two small blocks and hands on counts per pair
+    of cells, never per region. The number of shards follows the rows of a block, not of the subtype, so a task stays
+    near ``2 * block_cells`` cells times ``2 * shard_regions`` regions and more cells give more pairs of blocks only.
     """
-    held = peaks.select((F.col(by) if by else F.lit("ALL")).alias("subtype"), "cell_id",
-                        F.concat_ws(":", *SPAN).alias("region")).distinct()
     size = held.groupBy("subtype", "cell_id").agg(F.count("*").alias("n_regions"))
     plan = size.groupBy("subtype").agg(
         F.ceil(F.count("*") / block_cells).alias("blocks"),
@@ -89,17 +88,71 @@ def sim_jaccard_cells(peaks: DataFrame, by: str | None = "subtype", block_cells:
         "block": F.pmod(F.xxhash64("cell_id"), F.col("blocks")),
         "shard": F.pmod(F.xxhash64("region"), F.col("shards"))})
     other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
-    d = d.withColumn("other", other).select("subtype", "cell_id", "region", "block", "shard",
+    d = d.withColumn("other", other).select("subtype", "cell_id", "n", "region", "block", "shard",
                                             F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
     kind = held.schema["cell_id"].dataType.simpleString()
     part = d.groupBy("subtype", "lo", "hi", "shard").applyInPandas(
-        _shared_in_block, f"subtype string, x {kind}, y {kind}, n bigint")
-    pairs = part.groupBy("subtype", F.least("x", "y").alias("cell_a"), F.greatest("x", "y").alias("cell_b")).agg(
-        F.sum("n").alias("n_shared"))
-    side = lambda c, n: size.select("subtype", F.col("cell_id").alias(c), F.col("n_regions").alias(n))
-    out = pairs.join(side("cell_a", "na"), ["subtype", "cell_a"]).join(side("cell_b", "nb"), ["subtype", "cell_b"])
-    union = F.col("na") + F.col("nb") - F.col("n_shared")
-    return out.select("subtype", "cell_a", "cell_b", "n_shared", (F.col("n_shared") * 100.0 / union).alias("jaccard_pct"))
+        _shared_in_block, f"subtype string, x {kind}, nx bigint, y {kind}, ny bigint, k bigint")
+    x, y = F.struct(F.col("x").alias("c"), F.col("nx").alias("n")), F.struct(F.col("y").alias("c"), F.col("ny").alias("n"))
+    pair = part.select("subtype", F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), "k")
+    return pair.select("subtype", F.col("a.c").alias("cell_a"), F.col("a.n").alias("na"), F.array("b.c").alias("cells"),
+                       F.array("b.n").alias("sizes"), "k")
+
+
+def _pairs_by_regions(held: DataFrame) -> DataFrame:
+    """(subtype, cell_a, na, cells, sizes, k): per region and cell, the later cells of the region, as plain arrays."""
+    one = held.groupBy("subtype", "region").agg(F.sort_array(F.collect_list(F.struct("cell_id", "n"))).alias("e")).where("size(e) > 1")
+    each = one.select("subtype", F.col("e.cell_id").alias("c"), F.col("e.n").alias("s"), F.posexplode("e").alias("at", "a")).where("at + 1 < size(c)")
+    later = lambda c: F.slice(c, F.col("at") + 2, F.size(c))
+    return each.select("subtype", F.col("a.cell_id").alias("cell_a"), F.col("a.n").alias("na"), later("c").alias("cells"),
+                       later("s").alias("sizes"), F.lit(1).cast("bigint").alias("k"))
+
+
+def _shared_counts(held: DataFrame, block_cells: int, shard_regions: int, direct_cells: int, near: Column | None = None) -> DataFrame:
+    """(subtype, cell_a, na, cell_b, nb, k): pairs of cells and the number of regions they share, from distinct (subtype, cell_id, n, region).
+
+    ``held`` is read several times. A region with up to ``direct_cells`` cells sends each of its cells one array of the
+    later ones, to the task that counts all pairs of that cell; a pair is neither a row of a shuffle nor shuffled again,
+    and the number of tasks follows the number of pairs. Regions with more cells go by blocks. ``near`` (over na, nb)
+    drops pairs before they are counted.
+    """
+    often = held.groupBy("subtype", "region").agg(F.count("*").alias("m"))
+    many = often.where(F.col("m") > direct_cells).drop("m")
+    m = F.when(F.col("m") <= direct_cells, F.col("m"))
+    pairs, n_many = often.agg(F.sum(m * (m - 1) / 2), F.count_if(F.col("m") > direct_cells)).first()
+    if n_many:
+        many = checked_broadcast(many)
+        rows = _pairs_by_regions(held.join(many, ["subtype", "region"], "left_anti")).unionByName(
+            _pairs_by_blocks(held.join(many, ["subtype", "region"], "left_semi"), block_cells, shard_regions))
+    else:
+        rows = _pairs_by_regions(held)
+    rows = dealt(rows, tasks_for(int(pairs or 0), TASK_PAIRS), "subtype", "cell_a")
+    each = rows.select("subtype", "cell_a", "na", "k", F.explode(F.arrays_zip("cells", "sizes")).alias("b")).select(
+        "subtype", "cell_a", "na", "k", F.col("b.cells").alias("cell_b"), F.col("b.sizes").alias("nb"))
+    each = each if near is None else each.where(near)
+    return each.groupBy("subtype", "cell_a", "cell_b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("k").alias("k"))
+
+
+def _held(peaks: DataFrame, by: str | None) -> DataFrame:
+    """Distinct (subtype, cell_id, region); a row without cell or subtype pairs with nothing."""
+    return peaks.select((F.col(by) if by else F.lit("ALL")).alias("subtype"), "cell_id", F.concat_ws(":", *SPAN).alias("region")).where(
+        "cell_id IS NOT NULL AND subtype IS NOT NULL").distinct()
+
+
+def sim_jaccard_cells(peaks: DataFrame, by: str | None = "subtype", block_cells: int = 256,
+                      shard_regions: int = 8192, direct_cells: int = DIRECT_CELLS) -> DataFrame:
+    """Jaccard percent between cells of a subtype (all cells with ``by=None``) that share a region.
+
+    The work follows the pairs that share a region, not the pairs of cells. A region held by very many cells would give
+    their square once more each, so regions with more than ``direct_cells`` cells are multiplied block by block
+    (``block_cells`` cells, ``shard_regions`` regions). Pairs that share nothing have no row.
+    """
+    held = durable(_held(peaks, by))
+    size = held.groupBy("subtype", "cell_id").agg(F.count("*").alias("n"))
+    sized = durable(salted_join(held, size, ["subtype", "cell_id"], spread=["region"]))
+    union = F.col("na") + F.col("nb") - F.col("k")
+    return _shared_counts(sized, block_cells, shard_regions, direct_cells).select(
+        "subtype", "cell_a", "cell_b", F.col("k").alias("n_shared"), (F.col("k") * 100.0 / union).alias("jaccard_pct"))
 
 
 def _ordered_sets(held: DataFrame) -> DataFrame:
@@ -108,30 +161,35 @@ def _ordered_sets(held: DataFrame) -> DataFrame:
     ranked = salted_join(held, often, ["subtype", "region"], spread=["cell_id"])
     entry = F.struct("often", "region")
     return ranked.groupBy("subtype", "cell_id").agg(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["region"]).alias("regions")).withColumn(
-        "n", F.size("regions"))
+        "n", F.size("regions").cast("bigint"))
+
 
+def _met_cells(sets: DataFrame, t: float, direct_cells: int = DIRECT_CELLS) -> DataFrame:
+    """Pairs of ``_ordered_sets`` that can reach the share ``t``, from the regions their prefixes share.
 
-def sim_jaccard_cells_least(peaks: DataFrame, least_pct: float, by: str | None = "subtype") -> DataFrame:
+    A region that two sets share outside both prefixes lies behind the prefix that ends first, where the set has only
+    ceil(t n) - 1 regions; so the regions shared in the prefixes and the longer of the two rests bound the overlap.
+    """
+    need = lambda n: F.ceil(F.col(n) * t - 1e-9)
+    prefix = sets.select("subtype", "cell_id", "n", F.explode(F.slice("regions", F.lit(1), (F.col("n") - need("n") + 1).cast("int"))).alias("region"))
+    near = (F.col("na") >= F.col("nb") * t - 1e-9) & (F.col("nb") >= F.col("na") * t - 1e-9)
+    overlap = F.ceil((F.col("na") + F.col("nb")) * (t / (1 + t)) - 1e-9)
+    shared = _shared_counts(prefix, 256, 8192, direct_cells, near)
+    return shared.where(F.col("k") + F.greatest(need("na"), need("nb")) - 1 >= overlap).select("subtype", "cell_a", "cell_b")
+
+
+def sim_jaccard_cells_least(peaks: DataFrame, least_pct: float, by: str | None = "subtype", direct_cells: int = DIRECT_CELLS) -> DataFrame:
     """Pairs of cells of a subtype with a Jaccard percent of ``least_pct`` or more, exactly.
 
     With a share t, a set of n regions can only reach another one through its n - ceil(t n) + 1 rarest regions, so cells
-    meet on these alone; a set is repeated that often, whatever the number of cells. Sizes must lie within a factor of t,
-    and the places of the shared region must leave enough regions behind them for the overlap that t asks for. What is
-    left is compared whole.
+    meet on these alone. Sizes must lie within a factor of t, and what two cells share there must leave the overlap that
+    t asks for within reach of what is behind it. Only pairs that pass are compared whole.
     """
     t = least_pct / 100.0
     if not 0 < t <= 1:
         raise ValueError("the least percent lies above 0 and at most at 100")
-    held = peaks.select((F.col(by) if by else F.lit("ALL")).alias("subtype"), "cell_id", F.concat_ws(":", *SPAN).alias("region")).distinct()
-    sets = durable(_ordered_sets(held))
-    need = F.ceil(F.col("n") * t - 1e-9)
-    prefix = sets.select("subtype", "cell_id", "n", F.posexplode(F.slice("regions", F.lit(1), (F.col("n") - need + 1).cast("int"))).alias("at", "region"))
-    side = lambda c: prefix.select("subtype", "region", F.col("cell_id").alias(f"cell_{c}"), F.col("n").alias(f"n{c}"), F.col("at").alias(f"at{c}"))
-    a, b = spread_keys(side("a"), side("b"), ["subtype", "region"])
-    overlap = F.ceil((F.col("na") + F.col("nb")) * (t / (1 + t)) - 1e-9)
-    behind = F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb"))
-    near = (F.col("na") >= F.col("nb") * t - 1e-9) & (F.col("nb") >= F.col("na") * t - 1e-9) & (behind >= overlap)
-    met = a.join(b, ["subtype", "region", "_salt"]).where((F.col("cell_a") < F.col("cell_b")) & near).select("subtype", "cell_a", "cell_b").distinct()
+    sets = durable(_ordered_sets(durable(_held(peaks, by))))
+    met = durable(_met_cells(sets, t, direct_cells))
     whole = lambda c: sets.select("subtype", F.col("cell_id").alias(f"cell_{c}"), F.col("regions").alias(f"r{c}"))
     both = salted_join(salted_join(met, whole("a"), ["subtype", "cell_a"], spread=["cell_b"]), whole("b"), ["subtype", "cell_b"], spread=["cell_a"])
     shared = F.size(F.array_intersect("ra", "rb")).cast("bigint")

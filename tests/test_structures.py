@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from regspan.operators import corpus as K, itemsets as M, presence as P, scale as C, sequence as G, sets as S, tf as T, training as L
+from regspan.plans.fixtures import Fixtures
 from regspan.sources import bed as B
 
 
@@ -34,6 +35,34 @@ def test_presence_by_bitmaps_counts_distinct_cells(spark, kind):
     assert named == {0: "w;x", 10: "uncharacterized", 20: "uncharacterized", 30: "uncharacterized"}
 
 
+def test_presence_words_are_numbers_and_dealt(spark):
+    """A bitmap of 4 KB per region, subtype and bucket was sorted in one task where few cells share a region."""
+    rows = [("g", "s", c, "chr1", r, r + 1) for c, r in [(-1, 0), (-64, 0), (-65, 0), (0, 0), (63, 0), (64, 0), (63, 0), (5, 1), (None, 1), (None, 2)]]
+    df = spark.createDataFrame(rows, "grp string, subtype string, cell_id long, chrom string, r_start long, r_end long")
+    sizes, tags = P.group_sizes(df), df.selectExpr("chrom", "r_start", "r_end", "'t' tag")
+    for tasks in (None, 3):
+        assert P.presence_bitmaps(df, tasks=tasks).schema["bits"].dataType.simpleString() == "bigint"
+        got = {r.r_start: (r.cnt, r.global_count, r.region_type) for r in P.agg_presence_counts(df, sizes, tags, tasks).collect()}
+        assert got == {0: (6, 6, "t"), 1: (1, 1, "t"), 2: (0, 0, "t")}
+
+
+def test_footprints_are_dealt_by_their_number(spark, tmp_path):
+    """Tasks grow with the rows of lineitem, so that the maps of one task do not."""
+    cells = [(c, c % 5, "AB"[c % 2]) for c in range(40)]
+    spark.createDataFrame(cells, "c_custkey long, c_nationkey int, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(n, n % 3, f"N{n}") for n in range(5)], "n_nationkey int, n_regionkey int, n_name string").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.createDataFrame([(o, o % 40) for o in range(100)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    lines = [(i % 100, i % 30, i % 9, i % 7, 1.0, 0.1 * (i % 9), 0.01 * (i % 5), "R", "F") for i in range(600)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_discount double, "
+                          "l_tax double, l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    one, many = Fixtures(spark, str(tmp_path)), Fixtures(spark, str(tmp_path))
+    assert one.tasks == 1 and C.tasks_for(600, 100) == 6 and C.tasks_for(0) == 1
+    many.tasks = 37
+    plan = many.predictions._jdf.queryExecution().toString()
+    assert "37), REPARTITION_BY_NUM" in plan
+    assert sorted(many.predictions.collect()) == sorted(one.predictions.collect())
+
+
 def test_prefix_join_is_the_whole_table_above_the_least_percent(spark):
     rng = random.Random(2)
     base = [rng.sample(range(200), 30) for _ in range(12)]
@@ -54,6 +83,29 @@ def test_prefix_join_is_the_whole_table_above_the_least_percent(spark):
         S.sim_jaccard_cells_least(df, 0)
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_cells_that_share_few_regions_meet_by_region(spark, monkeypatch, kind):
+    """Every row went to every block of cells, and every pair with a shared region was compared whole."""
+    rng = random.Random(3)
+    held = {c if kind == "long" else f"c{c}": {(c + 7 * i) % 997 for i in range(rng.randint(1, 20))} | ({5000} if c % 2 else set()) for c in range(150)}
+    rows = [("ALL", c, "chr1", r, r + 1) for c, m in held.items() for r in m] + [("ALL", None, "chr1", 5000, 5001)]
+    df = spark.createDataFrame(rows, f"subtype string, cell_id {kind}, chrom string, r_start long, r_end long")
+    want = {(a, b): len(held[a] & held[b]) for a, b in combinations(sorted(held), 2) if held[a] & held[b]}
+    pct = {(a, b): 100 * n / len(held[a] | held[b]) for (a, b), n in want.items()}
+    monkeypatch.setattr(S, "TASK_PAIRS", 2000)
+    for direct in (2, 20) if kind == "long" else (20,):  # most regions by blocks, one
+        got = S.sim_jaccard_cells(df, "subtype", 16, 64, direct).collect()
+        assert {(r.cell_a, r.cell_b): r.n_shared for r in got} == want and len(got) == len(want)
+        assert all(math.isclose(r.jaccard_pct, pct[r.cell_a, r.cell_b]) for r in got)
+        got = {(r.cell_a, r.cell_b) for r in S.sim_jaccard_cells_least(df, 20, "subtype", direct).collect()}
+        assert got == {k for k, v in pct.items() if v >= 20}
+    monkeypatch.setattr(S, "_pairs_by_blocks", None)  # not asked for where no region has many cells
+    assert S.sim_jaccard_cells(df).count() == len(want)
+    sets = S._ordered_sets(S._held(df, "subtype"))
+    met = S._met_cells(sets, 0.6).count()
+    assert sum(v >= 60 for v in pct.values()) <= met < len(want) / 2
+
+
 def test_kmers_over_pieces(spark, monkeypatch):
     monkeypatch.setattr(G, "PIECE", 50)
     rng = random.Random(1)
