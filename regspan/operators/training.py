@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from itertools import product
-
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import CountVectorizerModel, Normalizer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame, functions as F
 
-from regspan.functions.sequence import kmers
 from regspan.operators import evaluation as E
-from regspan.operators.scale import numbered_names, salted_join
+from regspan.operators.scale import dealt, numbered_names, salted_join
+from regspan.operators.sequence import kmer_codes
 from regspan.session import durable
 
 TABULAR = ["max_motif_score", "max_fp_score", "mean_motif_score", "mean_fp_score", "n_tfs"]
@@ -36,11 +36,29 @@ def feat_tf_vector(peaks: DataFrame, tfs: str = "tfs", vocabulary: DataFrame | N
 
 
 def feat_kmer_vector(seqs: DataFrame, seq: str = "sequence", k: int = 6) -> DataFrame:
-    """k-mer frequencies as a sparse vector of 4^k places, in alphabetical order of the k-mers."""
-    words = ["".join(w) for w in product("ACGT", repeat=k)]
-    model = CountVectorizerModel.from_vocabulary(words, inputCol="_kmers", outputCol="_counts")
-    counts = model.setMinTF(1.0).transform(seqs.withColumn("_kmers", kmers(seq, k)))
-    return Normalizer(p=1.0, inputCol="_counts", outputCol="features").transform(counts).drop("_kmers", "_counts")
+    """k-mer frequencies as a sparse vector of 4^k places, in alphabetical order of the k-mers.
+
+    Letters other than A, C, G, T are read as A. k-mers are counted as integer codes, which rise as their names do.
+    """
+    cells = 4 ** k
+
+    @F.arrow_udf(VectorUDT())
+    def frequencies(texts: pa.Array) -> pa.Array:
+        places, shares = [np.zeros(0, np.int32)], [np.zeros(0)]
+        for text in texts:
+            n = np.bincount(kmer_codes(text.as_py(), k), minlength=cells)
+            found = np.flatnonzero(n)
+            places.append(found.astype(np.int32))
+            shares.append(n[found] / max(n.sum(), 1))
+        ends = pa.array(np.cumsum([len(x) for x in places]), pa.int32())
+        rows = len(texts)
+        return pa.StructArray.from_arrays(
+            [pa.array(np.zeros(rows, np.int8)), pa.array(np.full(rows, cells, np.int32)),
+             pa.ListArray.from_arrays(ends, pa.array(np.concatenate(places))), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(shares)))],
+            ["type", "size", "indices", "values"])
+
+    ascii_only = F.when(F.octet_length(seq) == F.length(seq), F.col(seq)).otherwise(F.regexp_replace(seq, "[^\\x00-\\x7F]", "N"))
+    return seqs.withColumn("features", frequencies(ascii_only.cast("binary")))
 
 
 def balanced_weight(df: DataFrame, label: str) -> DataFrame:
@@ -59,19 +77,18 @@ def train_logistic(data: DataFrame, labels: list[str], key: list[str], train: st
                    test: str = "split = 'test'", max_iter: int = 100, most_iter: int = 3200) -> DataFrame:
     """One weighted logistic regression per label; returns long test scores.
 
-    A fit that used up its iterations is repeated with twice as many; not converging within ``most_iter`` is an error.
+    ``max_iter`` is doubled as often as ``most_iter`` allows; not converging within that is an error.
     """
     out = None
+    while max_iter * 2 <= most_iter:
+        max_iter *= 2
     data = durable(data)  # the optimiser reads it many times
     for label in labels:
-        rows, limit = balanced_weight(data.where(train), label), max_iter
+        rows = balanced_weight(data.where(train), label)
         lr = LogisticRegression(featuresCol="features", labelCol=label, weightCol="weight", regParam=1e-6)
-        model = lr.setMaxIter(limit).fit(rows)
-        while model.hasSummary and model.summary.totalIterations >= limit:
-            limit *= 2
-            if limit > most_iter:
-                raise RuntimeError(f"{label}: no convergence in {most_iter} iterations")
-            model = lr.setMaxIter(limit).fit(rows)
+        model = lr.setMaxIter(max_iter).fit(rows)
+        if model.hasSummary and model.summary.totalIterations >= max_iter:
+            raise RuntimeError(f"{label}: no convergence in {most_iter} iterations")
         part = _scores(model, data.where(test), label, key)
         out = part if out is None else out.unionByName(part)
     return out
@@ -82,8 +99,9 @@ def train_logistic_tf(peaks: DataFrame, labels: list[str], key: list[str], **kw)
 
 
 def train_logistic_kmer(seqs: DataFrame, labels: list[str], key: list[str], seq: str = "sequence", k: int = 6,
-                        **kw) -> DataFrame:
-    return train_logistic(feat_kmer_vector(seqs, seq, k).drop(seq), labels, key, **kw)
+                        tasks: int | None = None, **kw) -> DataFrame:
+    """Logistic regression on k-mer frequencies; ``tasks`` deals the sequences over that many tasks before k-mers are counted."""
+    return train_logistic(feat_kmer_vector(dealt(seqs, tasks, *key), seq, k).drop(seq), labels, key, **kw)
 
 
 def train_gbt(peaks: DataFrame, labels: list[str], key: list[str], trees: int = 20, depth: int = 5) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from regspan.functions import sequence as Q, recode as R
 from regspan.functions.coords import clean_number, coord, parse_coord
 from regspan.operators import corpus as K, evaluation as E, sequence as G, training as L
+from regspan.operators.scale import tasks_for
 from regspan.plans.corpus_queries import CALL_SQL, CLASSES, CLASS_SQL, FLAGS_SQL, class_scores
 from regspan.plans.presence_queries import rounded
 from regspan.plans.registry import query
@@ -387,13 +388,18 @@ def _(fx):
     return L.score_metrics(L.train_gbt(_labelled_peaks(fx), E.SHARED_HEADS, K.PEAK))
 
 
+#: Sequences that a task counts k-mers of.
+SEQUENCES = 1 << 13
+
+
 @query("train_logistic_kmer")
 def _(fx):
     y = fx.table("labels").select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("chrom"),
                                   F.col("quality").cast("double").alias("is_enhancer"),
                                   F.when(F.col("doc_id") % 4 == 0, "test").otherwise("train").alias("split"))
     seqs = fx.genome.join(y, "chrom").withColumnRenamed("seq", "sequence")
-    return L.score_metrics(L.train_logistic_kmer(seqs, ["is_enhancer"], ["chrom"]))
+    tasks = tasks_for(y.count(), SEQUENCES)
+    return L.score_metrics(L.train_logistic_kmer(seqs, ["is_enhancer"], ["chrom"], tasks=tasks))
 
 
 # ---------------------------------------------------------------- stream of cells
