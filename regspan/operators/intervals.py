@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from regspan.operators.scale import HOT_ROWS, salted_join, spread_keys
+from regspan.operators.scale import HOT_ROWS, dealt, salted_join, spread_keys
 
 BIN = 1024
 #: Levels of nested bins; the widest of 1,024 * 8^7 bases hold any chromosome. 8 = 2^_STEP.
@@ -74,12 +74,14 @@ def _first_shared(lo: Column, other: Column, width: int) -> Column:
 
 
 def join_interval(left: DataFrame, right: DataFrame, left_span: tuple[str, str], right_span: tuple[str, str],
-                  bin_size: int = BIN, closed: bool = False, hot_rows: int = HOT_ROWS, left_levels: int = LEVELS) -> DataFrame:
+                  bin_size: int = BIN, closed: bool = False, hot_rows: int = HOT_ROWS, left_levels: int = LEVELS,
+                  tasks: int | None = None) -> DataFrame:
     """Pairs whose half-open spans overlap on the same ``chrom``.
 
     ``closed`` treats both ends as part of the span. Column names other than
     ``chrom`` must differ between the sides. ``left_levels=1`` saves a look at
-    the left side's lengths where they are known to be short.
+    the left side's lengths where they are known to be short. ``tasks`` is the
+    number of tasks that both sides are dealt over (Spark's own if None).
     """
     (ls, le), (rs, re) = left_span, right_span
     edge = 0 if closed else 1
@@ -90,27 +92,30 @@ def join_interval(left: DataFrame, right: DataFrame, left_span: tuple[str, str],
         meet = (F.col(ls) <= F.col(re)) & (F.col(rs) <= F.col(le))
     else:
         meet = (F.col(ls) < F.col(re)) & (F.col(rs) < F.col(le))
+    a, b = (dealt(x, tasks, *key, "_salt") for x in (a, b))
     j = a.join(b, [*key, "_salt"]).where(meet & (F.col("_bin") == _first_shared(F.col(ls), F.col(rs), bin_size)))
     return j.select(*left.columns, *[c for c in right.columns if c != "chrom"])
 
 
 def join_interval_exists(left: DataFrame, right: DataFrame, left_span: tuple[str, str],
                          right_span: tuple[str, str], bin_size: int = BIN, keep: str = "left_semi",
-                         on: tuple[str, ...] = ("chrom",), left_levels: int = LEVELS) -> DataFrame:
+                         on: tuple[str, ...] = ("chrom",), left_levels: int = LEVELS,
+                         tasks: int | None = None) -> DataFrame:
     """Left rows that meet any right span with equal ``on`` columns.
 
     A right span that starts exactly where the left one ends counts as met, so
     the left side is binned up to and including its end. ``keep="left_anti"``
-    gives the rows that meet none.
+    gives the rows that meet none. ``tasks`` as in ``join_interval``.
     """
     (ls, le), (rs, re) = left_span, right_span
     on = list(on)
     spans = left.select(*on, ls, le).distinct()
     refs = right.select(*on, F.col(rs).alias("_rs"), F.col(re).alias("_re")).distinct()
     a, b = _nested(spans, refs, (F.col(ls), F.col(le)), (F.col("_rs"), F.greatest("_rs", F.col("_re") - 1)), bin_size, left_levels)
+    a, b = (dealt(x, tasks, *on, "_key", "_bin") for x in (a, b))
     met = a.join(b, [*on, "_key", "_bin"]).where(
-        (F.col("_rs") <= F.col(le)) & (F.col("_re") > F.col(ls))).select(*on, ls, le).distinct()
-    return left.join(met, [*on, ls, le], keep)
+        (F.col("_rs") <= F.col(le)) & (F.col("_re") > F.col(ls))).select(*on, ls, le)
+    return dealt(left, tasks, *on, ls, le).join(dealt(met, tasks, *on, ls, le).distinct(), [*on, ls, le], keep)
 
 
 def point_in_interval(points: DataFrame, spans: DataFrame, pos: str, span: tuple[str, str],

@@ -9,7 +9,7 @@ from regspan.functions.coords import log2_ratio, midpoint, region_id
 from regspan.operators.intervals import join_interval_exists
 from regspan.operators.pairwise import contingency, member_counts, pair_rows, tested_tables, with_tests
 from regspan.operators.presence import MIN_CELLS, PSEUDO, REGION, agg_pct_metrics
-from regspan.operators.scale import salted_join
+from regspan.operators.scale import dealt, salted_join
 
 BIN = 1000
 JOINT = [*REGION, "basket", "region_class"]
@@ -24,12 +24,12 @@ def _leading(counts: dict[str, str]):
     return F.array_max(F.array(*marks))["name"]
 
 
-def agg_bin_consensus(predictions: DataFrame, sizes: DataFrame, bin_size: int = BIN) -> DataFrame:
+def agg_bin_consensus(predictions: DataFrame, sizes: DataFrame, bin_size: int = BIN, tasks: int | None = None) -> DataFrame:
     """Novel loci per subtype: peaks merged on the bin of their midpoint.
 
     A cell counts once per locus; categories and probabilities count every
     peak. Rows are first summed per cell, so the final group sees one row per
-    cell and bin.
+    cell and bin; ``tasks`` is the number of tasks that these are dealt over.
     """
     keys = ["grp", "subtype", "chrom", "bin"]
     p = predictions.withColumn("bin", F.expr(f"((peak_start + peak_end) div 2) div {bin_size}"))
@@ -37,7 +37,7 @@ def agg_bin_consensus(predictions: DataFrame, sizes: DataFrame, bin_size: int =
         *[F.count_if(F.col("category") == cat).alias(c) for cat, c in COUNTS.items()],
         F.sum("p_enhancer").alias("se"), F.sum("p_silencer").alias("ss"), F.sum("n_tfs").alias("st"),
         F.min("peak_start").alias("lo"), F.max("peak_end").alias("hi"))
-    loci = cell.groupBy(*keys).agg(
+    loci = dealt(cell, tasks, *keys[1:]).groupBy(*keys).agg(
         F.count("*").alias("n_cells"), *[F.sum(c).alias(c) for c in COUNTS.values()],
         F.sum("se").alias("se"), F.sum("ss").alias("ss"), F.sum("st").alias("st"),
         F.min("lo").alias("r_start"), F.max("hi").alias("r_end"))
@@ -59,15 +59,16 @@ def _rebinned(loci: DataFrame, min_cells: int, bin_size: int) -> DataFrame:
 
 
 def agg_novel_merge(loci: DataFrame, sizes: DataFrame, how: str = "max", min_cells: int = MIN_CELLS,
-                    bin_size: int = BIN) -> DataFrame:
+                    bin_size: int = BIN, tasks: int | None = None) -> DataFrame:
     """Novel loci across the subtypes of a group, long: one row per (locus, subtype).
 
     Probabilities are weighted by cells, the category is the one with most
     cells. ``how="max"`` keeps the largest percent of a subtype, ``"sum"`` adds
-    cell counts (which may exceed the cells of the subtype).
+    cell counts (which may exceed the cells of the subtype). ``tasks`` is the
+    number of tasks that loci are dealt over.
     """
-    d = _rebinned(loci, min_cells, bin_size)
     key = ["grp", "chrom", "bin"]
+    d = dealt(_rebinned(loci, min_cells, bin_size), tasks, *key[1:])
     means = ["mean_p_enhancer", "mean_p_silencer", "mean_n_tfs"]
     w = F.col("n_cells")
     votes = [F.sum(F.when(F.col("consensus_category") == cat, w).otherwise(0)).alias(c) for cat, c in COUNTS.items()]
@@ -96,9 +97,9 @@ def join_known_novel(known: DataFrame, novel: DataFrame) -> DataFrame:
     return k.unionByName(n, allowMissingColumns=True)
 
 
-def joint_master(joint: DataFrame, sizes: DataFrame) -> DataFrame:
+def joint_master(joint: DataFrame, sizes: DataFrame, tasks: int | None = None) -> DataFrame:
     """One row per joint region with percent metrics and its id."""
-    m = agg_pct_metrics(joint, sizes, PSEUDO, JOINT).drop("exclusive_subtype")
+    m = agg_pct_metrics(joint, sizes, PSEUDO, JOINT, tasks).drop("exclusive_subtype")
     return m.withColumn("region_id", region_id("region_class", "chrom", "r_start", "r_end"))
 
 
@@ -114,13 +115,13 @@ def agg_composition(master: DataFrame) -> DataFrame:
     return n.select("*", share.alias("pct_of_group"))
 
 
-def agg_rediscovery(master: DataFrame) -> DataFrame:
+def agg_rediscovery(master: DataFrame, tasks: int | None = None) -> DataFrame:
     """Share of novel regulatory regions of a group that meet a known region of the same group."""
     novel = master.where((F.col("basket") == "novel") & F.col("region_class").isin(REGULATORY)).select(
         "grp", "chrom", "r_start", "r_end")
     known = master.where("basket = 'known'").select("grp", "chrom", F.col("r_start").alias("ks"),
                                                     F.col("r_end").alias("ke"))
-    met = join_interval_exists(novel, known, ("r_start", "r_end"), ("ks", "ke"), on=("grp", "chrom"))
+    met = join_interval_exists(novel, known, ("r_start", "r_end"), ("ks", "ke"), on=("grp", "chrom"), tasks=tasks)
     total = novel.groupBy("grp").agg(F.count("*").alias("n_novel_regulatory"))
     hit = met.groupBy("grp").agg(F.count("*").alias("n_overlapping_known"))
     has_known = known.select("grp").distinct()

@@ -44,12 +44,13 @@ def presence_bitmaps(rows: DataFrame, *more: Column, tasks: int | None = None) -
 
     Repeated rows of a cell set the same bit, so nothing is made distinct first. A word is a number, so it is summed in
     hash maps and is never longer than the row it came from, however few cells share a region. ``tasks`` deals the rows
-    over that many tasks; one region goes to several.
+    over that many tasks; one region goes to several. ``grp`` takes no part in that: where it is a constant, Spark drops it
+    from the groups and would shuffle once more.
     """
     no = numbered_cells(rows).withColumn("word", F.shiftright("_no", 6))
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("_no").bitwiseAND(F.lit(63)).cast("int"))
     key = [*REGION, "subtype", "word"]
-    return dealt(no, tasks, *key).groupBy(*key).agg(F.bit_or(bit).alias("bits"), *more)
+    return dealt(no, tasks, *key[1:]).groupBy(*key).agg(F.bit_or(bit).alias("bits"), *more)
 
 
 def agg_presence_counts(source_rows: DataFrame, sizes: DataFrame, region_tags: DataFrame | None = None,
@@ -62,13 +63,14 @@ def agg_presence_counts(source_rows: DataFrame, sizes: DataFrame, region_tags: D
     """
     tags = [F.collect_set("tag").alias("tags")] if region_tags is None else []
     named = [F.array_distinct(F.flatten(F.collect_list("tags"))).alias("tags")] if region_tags is None else []
-    words = dealt(presence_bitmaps(source_rows, *tags, tasks=tasks), tasks, *REGION)
+    # by span, so that regions meet their tags without another shuffle
+    words = dealt(presence_bitmaps(source_rows, *tags, tasks=tasks), tasks, *SPAN)
     held = F.coalesce(F.bit_count("bits"), F.lit(0)).cast("bigint")
     per = words.groupBy(*REGION, "subtype").agg(F.sum(held).alias("cnt"), *named)
     # subtypes of a region are few: they travel as one short array, and a region is one row
     region = per.groupBy(*REGION).agg(F.collect_list(F.struct("subtype", "cnt")).alias("held"), F.sum("cnt").alias("global_count"), *named)
     if region_tags is not None:
-        types = region_tags.groupBy(*SPAN).agg(F.collect_set("tag").alias("tags"))
+        types = dealt(region_tags, tasks, *SPAN).groupBy(*SPAN).agg(F.collect_set("tag").alias("tags"))
         region = region.join(types, SPAN, "left").withColumn("tags", F.coalesce("tags", F.array(F.lit("uncharacterized"))))
     whole = region.select(*REGION, "global_count", F.array_join(F.sort_array("tags"), ";").alias("region_type"), F.inline("held"))
     return whole.join(sizes.select("grp", "subtype", "n_cells"), ["grp", "subtype"]).withColumn("pct", F.col("cnt") * 100.0 / F.col("n_cells"))
@@ -111,15 +113,16 @@ def agg_presence_sample(peaks: DataFrame) -> DataFrame:
 
 
 def agg_pct_metrics(counts: DataFrame, sizes: DataFrame, pseudo: float = PSEUDO,
-                    key: list[str] | None = None) -> DataFrame:
+                    key: list[str] | None = None, tasks: int | None = None) -> DataFrame:
     """Max, min, difference, log2 ratio, leading and exclusive subtype of each region.
 
     Subtypes without a row are zeros: the minimum is zero as soon as one is
     absent. Equal leaders give the first subtype in order. ``key`` names the
-    region columns when there are more than the usual ones.
+    region columns when there are more than the usual ones. The leader is found
+    by sorting; ``tasks`` deals the rows over that many tasks before it.
     """
     k = sizes.select("grp", "subtype", "ord", "n_subtypes")
-    d = counts.join(k, ["grp", "subtype"])
+    d = dealt(counts, tasks, *SPAN).join(k, ["grp", "subtype"])
     key = key or [*REGION, "region_type"]
     m = d.groupBy(*key).agg(
         F.max("pct").alias("max_pct"),

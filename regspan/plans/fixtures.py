@@ -40,8 +40,8 @@ class Fixtures:
     @cached_property
     def footprints(self) -> DataFrame:
         li, o = self.table("lineitem"), self.table("orders")
-        placed = li.join(o.select("o_orderkey", F.col("o_custkey").alias("cell_id")),
-                         li.l_orderkey == F.col("o_orderkey"))
+        owner = dealt(o.select("o_orderkey", F.col("o_custkey").alias("cell_id")), self.tasks, "o_orderkey")
+        placed = dealt(li, self.tasks, "l_orderkey").join(owner, li.l_orderkey == F.col("o_orderkey"))
         rows = dealt(placed, self.tasks, "cell_id").join(dealt(self.cells, self.tasks, "cell_id"), "cell_id")
         base = F.expr("1000 + (l_partkey div 22) * 700")
         tf = (F.col("l_suppkey") % 40)
@@ -167,14 +167,15 @@ class Fixtures:
         """Per-cell peaks with the raw class of each annotation or gene they touch."""
         from regspan.operators.intervals import join_interval
 
-        sites = self.peak_rows.select("chrom", "r_start", "r_end").distinct()
+        key = ["chrom", "r_start", "r_end"]
+        # a stage, because the joins read the sites several times
+        sites = durable(dealt(self.peak_rows.select(*key), self.tasks, *key).distinct())
         # sites and footprints are short spans
-        ann = join_interval(sites, self.annotations, ("r_start", "r_end"), ("ann_start", "ann_end"), left_levels=1)
+        ann = join_interval(sites, self.annotations, ("r_start", "r_end"), ("ann_start", "ann_end"), left_levels=1, tasks=self.tasks)
         gene = join_interval(sites, self.genes.select("chrom", (F.col("gene_start") - 1).alias("g0"), "gene_end"),
-                             ("r_start", "r_end"), ("g0", "gene_end"), left_levels=1)
-        key = ["chrom", "r_start", "r_end"]
-        return durable(ann.select(*key, F.col("ann_class").alias("raw")).union(
-            gene.select(*key, F.lit("gene_body").alias("raw"))).distinct())
+                             ("r_start", "r_end"), ("g0", "gene_end"), left_levels=1, tasks=self.tasks)
+        raw = ann.select(*key, F.col("ann_class").alias("raw")).union(gene.select(*key, F.lit("gene_body").alias("raw")))
+        return durable(dealt(raw, self.tasks, *key).distinct())
 
     def source_rows(self) -> dict[str, DataFrame]:
         """The five per-cell sources that presence counting reads."""

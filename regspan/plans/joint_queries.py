@@ -105,10 +105,10 @@ class Joint(Presence):
 
     @cached_property
     def loci(self):
-        return J.agg_bin_consensus(self.predictions, self.sizes)
+        return J.agg_bin_consensus(self.predictions, self.sizes, tasks=self.fx.tasks)
 
     def novel(self, how="sum"):
-        return J.agg_novel_merge(self.loci, self.sizes, how, self.min_cells)
+        return J.agg_novel_merge(self.loci, self.sizes, how, self.min_cells, tasks=self.fx.tasks)
 
     @cached_property
     def joint(self):
@@ -116,7 +116,7 @@ class Joint(Presence):
 
     @cached_property
     def master(self):
-        return durable(J.joint_master(self.joint, self.sizes))
+        return durable(J.joint_master(self.joint, self.sizes, self.fx.tasks))
 
     @cached_property
     def top(self):
@@ -187,7 +187,7 @@ FROM (SELECT n.*, EXISTS (SELECT 1 FROM jmaster_grp k WHERE k.basket = 'known' A
       FROM jmaster_grp n WHERE basket = 'novel' AND region_class <> 'novel|nonregulatory') n
 WHERE n.grp IN (SELECT grp FROM jmaster_grp WHERE basket = 'known') GROUP BY 1""")
 def _(fx):
-    return rounded(J.agg_rediscovery(Joint(fx, "grp").master), ["pct_rediscovered"])
+    return rounded(J.agg_rediscovery(Joint(fx, "grp").master, fx.tasks), ["pct_rediscovered"])
 
 
 @query("win_topn_novel", """
