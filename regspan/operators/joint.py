@@ -156,18 +156,21 @@ def test_fisher_novel(novel: DataFrame, sizes: DataFrame, pseudo: float = PSEUDO
     return _unsigned(rows.drop("global_fdr", "odds_ratio"), pseudo)
 
 
-def region_bins(master: DataFrame, bin_size: int = BIN) -> DataFrame:
-    """Bins a region touches, known before novel when a bin has both."""
+def region_bins(master: DataFrame, bin_size: int = BIN, tasks: int | None = None) -> DataFrame:
+    """Bins a region touches, known before novel when a bin has both. ``tasks`` is the number of tasks that bins are dealt over."""
     b = master.select("grp", "chrom", "basket", F.explode(F.sequence(
         F.expr(f"r_start div {bin_size}"), F.expr(f"r_end div {bin_size}"))).alias("bin"))
-    return b.groupBy("grp", "chrom", "bin").agg(F.min("basket").alias("basket"))
+    return dealt(b, tasks, "chrom", "bin").groupBy("grp", "chrom", "bin").agg(F.min("basket").alias("basket"))
 
 
-def join_bin_class(predictions: DataFrame, master: DataFrame, bin_size: int = BIN) -> DataFrame:
-    """Regulatory peaks of each cell that lie in a bin of the tested regions, as known or novel."""
+def join_bin_class(predictions: DataFrame, master: DataFrame, bin_size: int = BIN, tasks: int | None = None) -> DataFrame:
+    """Regulatory peaks of each cell that lie in a bin of the tested regions, as known or novel.
+
+    ``tasks`` is the number of tasks that peaks and bins are dealt over (Spark's own if None).
+    """
     reg = predictions.where(F.col("category") != "neither").withColumn(
         "bin", F.floor(midpoint("peak_start", "peak_end") / F.lit(bin_size)).cast("bigint"))
-    return salted_join(reg, region_bins(master, bin_size), ["grp", "chrom", "bin"])
+    return salted_join(reg, region_bins(master, bin_size, tasks), ["grp", "chrom", "bin"], tasks=tasks)
 
 
 def percell_novel_burden(classified: DataFrame, min_peaks: int = 5) -> DataFrame:

@@ -48,35 +48,38 @@ def each_of(df: DataFrame, names: DataFrame, col: str) -> DataFrame:
     return df.withColumn("_words", words).withColumn(col, F.explode("_words")).drop("_words")
 
 
-def hot_keys(big: DataFrame, on: Sequence[str], rows: int = HOT_ROWS) -> DataFrame:
+def hot_keys(big: DataFrame, on: Sequence[str], rows: int = HOT_ROWS, tasks: int | None = None) -> DataFrame:
     """The keys with more than ``rows`` rows, and over how many tasks (``_salts``) each is to be spread.
 
-    At most one key per ``rows`` rows of ``big``, so the result is small whatever the data.
+    At most one key per ``rows`` rows of ``big``, so the result is small whatever the data. ``tasks`` deals the keys over
+    that many tasks while they are counted.
     """
-    n = big.groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") > rows)
+    n = dealt(big.select(*on), tasks, *on).groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") > rows)
     return n.select(*on, F.ceil(F.col("_n") / F.lit(rows)).cast("int").alias("_salts"))
 
 
 def spread_keys(big: DataFrame, small: DataFrame, on: Sequence[str], rows: int = HOT_ROWS,
-                spread: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
+                spread: Sequence[str] | None = None, tasks: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Both sides with ``_salt``: rows of a hot key of ``big`` are dealt over as many salts as it needs, and only the rows
-    of ``small`` with that key are repeated. Keys that are not hot have salt 0 on both sides."""
-    hot = F.broadcast(hot_keys(big, on, rows))
+    of ``small`` with that key are repeated. Keys that are not hot have salt 0 on both sides. ``tasks`` deals both sides
+    by key and salt over that many tasks (Spark's own if None)."""
+    hot = F.broadcast(hot_keys(big, on, rows, tasks))
     # the partition id spreads exact copies of one row too
     mix = F.xxhash64(*(spread or big.columns), F.spark_partition_id())
     salts = F.coalesce("_salts", F.lit(1))
     left = big.join(hot, list(on), "left").withColumn("_salt", F.pmod(mix, salts).cast("int")).drop("_salts")
     right = small.join(hot, list(on), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
-    return left, right
+    return dealt(left, tasks, *on, "_salt"), dealt(right, tasks, *on, "_salt")
 
 
 def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner",
-                rows: int = HOT_ROWS, spread: Sequence[str] | None = None) -> DataFrame:
+                rows: int = HOT_ROWS, spread: Sequence[str] | None = None, tasks: int | None = None) -> DataFrame:
     """Equi-join where one key of ``big`` may hold a large share of its rows.
 
     A histogram of the keys plans the salts: a hot key is spread in proportion to its rows, other keys join as they are.
+    ``tasks`` as in ``spread_keys``.
     """
-    left, right = spread_keys(big, small, on, rows, spread)
+    left, right = spread_keys(big, small, on, rows, spread, tasks)
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 

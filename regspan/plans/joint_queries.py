@@ -237,7 +237,7 @@ FROM predictions p JOIN k ON k.grp = p.grp AND k.chrom = p.chrom AND k.bin = (pe
 WHERE category <> 'neither'""")
 def _(fx):
     j = Joint(fx, "grp")
-    return J.join_bin_class(j.predictions, j.master).select(
+    return J.join_bin_class(j.predictions, j.master, tasks=fx.tasks).select(
         "grp", "subtype", "cell_id", "chrom", "peak_start", "peak_end", "category", "basket")
 
 
@@ -250,7 +250,7 @@ FROM predictions p JOIN k ON k.grp = p.grp AND k.chrom = p.chrom AND k.bin = (pe
 WHERE category <> 'neither' GROUP BY 1, 2, 3 HAVING COUNT(*) >= 5""")
 def _(fx):
     j = Joint(fx, "grp")
-    return rounded(J.percell_novel_burden(J.join_bin_class(j.predictions, j.master)), ["novel_pct"])
+    return rounded(J.percell_novel_burden(J.join_bin_class(j.predictions, j.master, tasks=fx.tasks)), ["novel_pct"])
 
 
 ROLL = "total_peaks, c_enh, c_sil, c_dual, c_neither"

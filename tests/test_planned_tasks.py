@@ -53,3 +53,19 @@ def test_interval_joins_by_planned_tasks(rows):
     met = I.join_interval_exists(left, right, ("r_start", "r_end"), ("a", "b"), tasks=5)
     assert met.rdd.getNumPartitions() == 5
     _same(I.join_interval_exists(left, right, ("r_start", "r_end"), ("a", "b")), met)
+
+
+def test_bin_class_stays_in_the_planned_tasks(rows, spark):
+    rows = rows.withColumn("grp", F.concat(F.lit("G"), (F.col("cell_id") % 2).cast("string")))
+    p = rows.withColumnsRenamed({"r_start": "peak_start", "r_end": "peak_end"}).withColumn("category", F.lit("enhancer"))
+    master = rows.where("r_start % 1400 = 0").select(
+        "grp", "chrom", "r_start", "r_end", F.lit("known").alias("basket"))
+    plain = J.join_bin_class(p, master)
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        planned = J.join_bin_class(p, master, tasks=11)
+        assert planned.rdd.getNumPartitions() == 11
+        _same(plain, planned)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
