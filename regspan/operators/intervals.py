@@ -119,11 +119,13 @@ def join_interval_exists(left: DataFrame, right: DataFrame, left_span: tuple[str
 
 
 def point_in_interval(points: DataFrame, spans: DataFrame, pos: str, span: tuple[str, str],
-                      bin_size: int = POINT_BIN, how: str = "inner", hot_rows: int = HOT_ROWS) -> DataFrame:
+                      bin_size: int = POINT_BIN, how: str = "inner", hot_rows: int = HOT_ROWS,
+                      tasks: int | None = None) -> DataFrame:
     """Points with the spans (both ends included) that hold them; a point stays in one bin.
 
     Spans are a dimension (genes, or stretches that part a chromosome), so cutting them into flat bins gives few rows and
     the points, which are many, are never repeated. A bin with very many points is spread by planned salts.
+    ``tasks`` is the number of tasks that both sides are dealt over (Spark's own if None).
     """
     lo, hi = span
     last = FAR // bin_size
@@ -131,7 +133,7 @@ def point_in_interval(points: DataFrame, spans: DataFrame, pos: str, span: tuple
     cut = spans.withColumn("_bin", F.explode(F.sequence(
         F.least(F.expr(f"greatest({lo}, 0) div {bin_size}"), F.lit(last)),
         F.least(F.expr(f"greatest({hi}, 0) div {bin_size}"), F.lit(last)))))
-    p, s = spread_keys(p, cut, ["chrom", "_bin"], hot_rows)
+    p, s = spread_keys(p, cut, ["chrom", "_bin"], hot_rows, tasks=tasks)
     same = [p[c] == s[c] for c in ("chrom", "_bin", "_salt")]
     inside = (p[pos] >= s[lo]) & (p[pos] <= s[hi])
     j = p.join(s, same + [inside], how)
@@ -164,11 +166,12 @@ def with_tss(genes: DataFrame) -> DataFrame:
     return genes.withColumn("tss", F.when(F.col("strand") == "+", F.col("gene_start")).otherwise(F.col("gene_end")))
 
 
-def join_nearest_tss(points: DataFrame, genes: DataFrame, mid: str = "mid") -> DataFrame:
+def join_nearest_tss(points: DataFrame, genes: DataFrame, mid: str = "mid", tasks: int | None = None) -> DataFrame:
     """Nearest TSS over all genes and over protein-coding genes, with signed distance ``mid - tss``.
 
     Each TSS owns the stretch of chromosome nearest to it, so the search is a
     point-in-interval join and needs no ordered window over the points.
+    ``tasks`` as in ``point_in_interval``.
     """
     g = with_tss(genes)
     out = points
@@ -176,21 +179,23 @@ def join_nearest_tss(points: DataFrame, genes: DataFrame, mid: str = "mid") -> D
         t = tss_territories(side).select(
             "chrom", "_lo", "_hi", F.col("near_gene").alias(f"{prefix}nearest_gene"),
             F.col("near_tss").alias("_tss"), F.col("near_type").alias(f"{prefix}nearest_type"))
-        out = point_in_interval(out, t, mid, ("_lo", "_hi"), how="left").withColumn(
+        out = point_in_interval(out, t, mid, ("_lo", "_hi"), how="left", tasks=tasks).withColumn(
             f"{prefix}dist_to_tss", F.col(mid) - F.col("_tss")).drop("_tss", "_lo", "_hi")
     return out.drop("pc_nearest_type")
 
 
-def join_gene_body(points: DataFrame, genes: DataFrame, mid: str = "mid") -> DataFrame:
+def join_gene_body(points: DataFrame, genes: DataFrame, mid: str = "mid", tasks: int | None = None) -> DataFrame:
     """Gene whose body holds the point: protein-coding first, then the lowest TSS. Adds ``within_gene``.
 
-    The gene is found once per place; every row of ``points`` gets it, equal rows included.
+    The gene is found once per place; every row of ``points`` gets it, equal rows included. ``tasks`` as in
+    ``point_in_interval``.
     """
     g = with_tss(genes).select("chrom", "gene_start", "gene_end", "gene_name", "gene_type", "tss")
-    places = points.select("chrom", mid).distinct()
+    places = dealt(points.select("chrom", mid), tasks, "chrom", mid).distinct()
     rank = F.struct((F.col("gene_type") != "protein_coding").alias("np"), "tss", "gene_name")
-    hit = point_in_interval(places, g, mid, ("gene_start", "gene_end")).groupBy("chrom", mid).agg(F.min_by("gene_name", rank).alias("within_gene"))
-    return salted_join(points, hit, ["chrom", mid], "left").select(*points.columns, "within_gene")
+    met = dealt(point_in_interval(places, g, mid, ("gene_start", "gene_end"), tasks=tasks), tasks, "chrom", mid)
+    hit = met.groupBy("chrom", mid).agg(F.min_by("gene_name", rank).alias("within_gene"))
+    return salted_join(points, hit, ["chrom", mid], "left", tasks=tasks).select(*points.columns, "within_gene")
 
 
 def join_locus_genes(loci: DataFrame, genes: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from regspan.functions import recode as R
 from regspan.functions.coords import log2_ratio
 from regspan.operators.intervals import join_gene_body, join_nearest_tss
 from regspan.operators.pairwise import fdr_bh
-from regspan.operators.scale import checked_broadcast, exact_quantiles
+from regspan.operators.scale import checked_broadcast, dealt, exact_quantiles
 from regspan.operators.tf import mann_whitney
 from regspan.session import durable
 
@@ -30,9 +30,13 @@ DISSECTION_LABELS = {
 
 # ---------------------------------------------------------------- region contrasts
 
-def region_side_stats(joint: DataFrame, inside: list[str], ref: list[str], presence: float = PRESENCE) -> DataFrame:
-    """Means, difference and present shares of both sides, for regions present in at least one subtype."""
-    d = joint.where(F.col("subtype").isin(inside + ref)).withColumn("inside", F.col("subtype").isin(inside))
+def region_side_stats(joint: DataFrame, inside: list[str], ref: list[str], presence: float = PRESENCE,
+                      tasks: int | None = None) -> DataFrame:
+    """Means, difference and present shares of both sides, for regions present in at least one subtype.
+
+    ``tasks`` is the number of tasks that regions are dealt over (Spark's own if None).
+    """
+    d = dealt(joint, tasks, *RKEY).where(F.col("subtype").isin(inside + ref)).withColumn("inside", F.col("subtype").isin(inside))
     n1, n2 = len(inside), len(ref)
     i = F.col("inside")
     s = d.groupBy(*RKEY).agg(
@@ -45,9 +49,9 @@ def region_side_stats(joint: DataFrame, inside: list[str], ref: list[str], prese
         "delta_pct", F.col("in_mean") - F.col("ref_mean"))
 
 
-def _tested(joint: DataFrame, chosen: DataFrame, inside: list[str], ref: list[str], by: list[str]) -> DataFrame:
+def _tested(joint: DataFrame, chosen: DataFrame, inside: list[str], ref: list[str], by: list[str], tasks: int | None = None) -> DataFrame:
     """Mann-Whitney p and FDR within ``by`` for the chosen regions."""
-    d = joint.where(F.col("subtype").isin(inside + ref)).join(chosen.select(*RKEY), RKEY, "left_semi").select(
+    d = dealt(joint, tasks, *RKEY).where(F.col("subtype").isin(inside + ref)).join(chosen.select(*RKEY), RKEY, "left_semi").select(
         *RKEY, "pct", F.col("subtype").isin(inside).alias("inside"))
     p = mann_whitney(d, RKEY, "inside", "pct", len(inside), len(ref)).select(*RKEY, "mwu_p")
     out = durable(chosen.join(p, RKEY))
@@ -55,14 +59,17 @@ def _tested(joint: DataFrame, chosen: DataFrame, inside: list[str], ref: list[st
 
 
 def test_mwu_contrast(joint: DataFrame, inside: list[str], ref: list[str], presence: float = PRESENCE,
-                      frac_in: float = FRAC_IN, frac_out: float = FRAC_OUT) -> DataFrame:
-    """Regions present in the in-group and not in the reference (``specific``) or the reverse (``absent``)."""
-    s = region_side_stats(joint, inside, ref, presence)
+                      frac_in: float = FRAC_IN, frac_out: float = FRAC_OUT, tasks: int | None = None) -> DataFrame:
+    """Regions present in the in-group and not in the reference (``specific``) or the reverse (``absent``).
+
+    ``tasks`` as in ``region_side_stats``.
+    """
+    s = region_side_stats(joint, inside, ref, presence, tasks)
     spec = (F.col("in_frac") >= frac_in) & (F.col("ref_frac") <= frac_out)
     absent = (F.col("ref_frac") >= frac_in) & (F.col("in_frac") <= frac_out)
     both = F.array_compact(F.array(F.when(spec, "specific"), F.when(absent, "absent")))
     chosen = s.withColumn("direction", F.explode(both))
-    return _tested(joint, chosen, inside, ref, ["direction"])
+    return _tested(joint, chosen, inside, ref, ["direction"], tasks)
 
 
 def rank_silencers(joint: DataFrame, inside: list[str], ref: list[str], presence: float = PRESENCE) -> DataFrame:
@@ -71,12 +78,17 @@ def rank_silencers(joint: DataFrame, inside: list[str], ref: list[str], presence
     return _tested(joint, s.withColumn("direction", F.lit("silencer")), inside, ref, ["direction"])
 
 
-def annotate_regions(regions: DataFrame, genes: DataFrame) -> DataFrame:
-    """Nearest genes, signed distances and the containing gene at the midpoint of each region."""
+def annotate_regions(regions: DataFrame, genes: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Nearest genes, signed distances and the containing gene at the midpoint of each region.
+
+    ``tasks`` is the number of tasks that regions are dealt over (Spark's own if None).
+    """
     d = regions.withColumn("mid", F.expr("(r_start + r_end) div 2"))
-    mids = d.select("chrom", "mid").distinct()
-    ann = join_nearest_tss(mids, genes).join(join_gene_body(mids, genes), ["chrom", "mid"])
-    return d.join(ann, ["chrom", "mid"])
+    at = ["chrom", "mid"]
+    mids = dealt(d.select(*at), tasks, *at).distinct()
+    near, body = join_nearest_tss(mids, genes, tasks=tasks), join_gene_body(mids, genes, tasks=tasks)
+    ann = dealt(near, tasks, *at).join(dealt(body, tasks, *at), at)
+    return dealt(d, tasks, *at).join(ann, at)
 
 
 def with_coord(regions: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from regspan.operators import intervals as I, joint as J, presence as P
+from regspan.operators import intervals as I, joint as J, presence as P, rna as N
 
 
 @pytest.fixture(scope="module")
@@ -69,3 +69,25 @@ def test_bin_class_stays_in_the_planned_tasks(rows, spark):
         _same(plain, planned)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_contrast_and_genes_stay_in_the_planned_tasks(rows, spark):
+    joint = rows.select("grp", "chrom", "r_start", "r_end", "subtype", (F.col("cell_id") + 30.0).alias("pct"),
+                        F.concat(F.lit("b"), (F.col("r_start") % 3).cast("string")).alias("basket"),
+                        F.concat(F.lit("c"), (F.col("r_start") % 2).cast("string")).alias("region_class")).distinct()
+    genes = spark.range(40).select(
+        F.concat(F.lit("chr"), (F.col("id") % 7).cast("string")).alias("chrom"), (F.col("id") * 150).alias("gene_start"),
+        (F.col("id") * 150 + 400).alias("gene_end"), F.concat(F.lit("g"), F.col("id").cast("string")).alias("gene_name"),
+        F.lit("+").alias("strand"), F.when(F.col("id") % 2 == 0, "protein_coding").otherwise("lncRNA").alias("gene_type"))
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        side = N.region_side_stats(joint, ["s0"], ["s1", "s2"], tasks=11)
+        assert side.rdd.getNumPartitions() == 11
+        _same(N.region_side_stats(joint, ["s0"], ["s1", "s2"]), side)
+        planned = N.annotate_regions(side, genes, 11)
+        assert planned.rdd.getNumPartitions() == 11
+        _same(N.annotate_regions(side, genes), planned)
+        assert I.join_nearest_tss(side.withColumn("mid", F.col("r_start")), genes, tasks=11).rdd.getNumPartitions() == 11
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
