@@ -18,20 +18,16 @@ def filter_std_chroms(df: DataFrame, chrom: str = "chrom") -> DataFrame:
 def agg_peak_corpus(rows: DataFrame) -> DataFrame:
     """One row per peak: labels, the label of highest priority, TF count, score maxima and means.
 
-    Rows are first summed per (peak, TF, label), so a peak seen in very many
-    cells reaches the final group as at most TFs x labels partial rows.
+    One grouping, so that rows are shuffled once at most: a task hands on one row per peak it holds, with the peak's TFs
+    and labels as sets, however many cells the peak is seen in.
     """
-    part = rows.groupBy(*PEAK, "tf_motif", "label").agg(
-        F.max("motif_score").alias("mx"), F.max("fp_score").alias("fx"),
-        F.sum("motif_score").alias("ms"), F.sum("fp_score").alias("fs"),
-        F.count("motif_score").alias("mn"), F.count("fp_score").alias("fn"))
-    return part.groupBy(*PEAK).agg(
+    return rows.groupBy(*PEAK).agg(
         F.sort_array(F.collect_set("label")).alias("all_labels"),
         R.priority_label(F.min(R.priority_rank("label"))).alias("primary_label"),
-        F.count_distinct("tf_motif").alias("n_tfs"),
-        F.max("mx").alias("max_motif_score"), F.max("fx").alias("max_fp_score"),
-        F.try_divide(F.sum("ms"), F.sum("mn")).alias("mean_motif_score"),
-        F.try_divide(F.sum("fs"), F.sum("fn")).alias("mean_fp_score"))
+        F.size(F.collect_set("tf_motif")).cast("bigint").alias("n_tfs"),
+        F.max("motif_score").alias("max_motif_score"), F.max("fp_score").alias("max_fp_score"),
+        F.try_divide(F.sum("motif_score"), F.count("motif_score")).alias("mean_motif_score"),
+        F.try_divide(F.sum("fp_score"), F.count("fp_score")).alias("mean_fp_score"))
 
 
 def agg_class_distribution(corpus: DataFrame) -> DataFrame:

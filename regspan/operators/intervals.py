@@ -75,19 +75,22 @@ def _first_shared(lo: Column, other: Column, width: int) -> Column:
 
 def join_interval(left: DataFrame, right: DataFrame, left_span: tuple[str, str], right_span: tuple[str, str],
                   bin_size: int = BIN, closed: bool = False, hot_rows: int = HOT_ROWS, left_levels: int = LEVELS,
-                  tasks: int | None = None) -> DataFrame:
+                  tasks: int | None = None, seen: DataFrame | None = None) -> DataFrame:
     """Pairs whose half-open spans overlap on the same ``chrom``.
 
     ``closed`` treats both ends as part of the span. Column names other than
     ``chrom`` must differ between the sides. ``left_levels=1`` saves a look at
     the left side's lengths where they are known to be short. ``tasks`` is the
     number of tasks that both sides are dealt over (Spark's own if None).
+    Salts are planned from a pass over ``left``, or over ``seen`` where that is
+    cheaper: the spans of about the same rows; what comes out is the same.
     """
     (ls, le), (rs, re) = left_span, right_span
     edge = 0 if closed else 1
-    a, b = _nested(left, right, (F.col(ls), F.col(le) - edge), (F.col(rs), F.col(re) - edge), bin_size, left_levels)
+    spans = (F.col(ls), F.col(le) - edge), (F.col(rs), F.col(re) - edge)
+    a, b = _nested(left, right, *spans, bin_size, left_levels)
     key = ["chrom", "_key", "_bin"]
-    a, b = spread_keys(a, b, key, hot_rows)
+    a, b = spread_keys(a, b, key, hot_rows, seen=None if seen is None else _nested(seen, right, *spans, bin_size, left_levels)[0])
     if closed:
         meet = (F.col(ls) <= F.col(re)) & (F.col(rs) <= F.col(le))
     else:

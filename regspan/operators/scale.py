@@ -59,11 +59,13 @@ def hot_keys(big: DataFrame, on: Sequence[str], rows: int = HOT_ROWS, tasks: int
 
 
 def spread_keys(big: DataFrame, small: DataFrame, on: Sequence[str], rows: int = HOT_ROWS,
-                spread: Sequence[str] | None = None, tasks: int | None = None) -> tuple[DataFrame, DataFrame]:
+                spread: Sequence[str] | None = None, tasks: int | None = None,
+                seen: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Both sides with ``_salt``: rows of a hot key of ``big`` are dealt over as many salts as it needs, and only the rows
     of ``small`` with that key are repeated. Keys that are not hot have salt 0 on both sides. ``tasks`` deals both sides
-    by key and salt over that many tasks (Spark's own if None)."""
-    hot = F.broadcast(hot_keys(big, on, rows, tasks))
+    by key and salt over that many tasks (Spark's own if None). Keys are counted in ``big``, or in ``seen`` if given: other
+    counts make other salts, never other pairs."""
+    hot = F.broadcast(hot_keys(big if seen is None else seen, on, rows, tasks))
     # the partition id spreads exact copies of one row too
     mix = F.xxhash64(*(spread or big.columns), F.spark_partition_id())
     salts = F.coalesce("_salts", F.lit(1))

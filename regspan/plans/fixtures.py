@@ -4,13 +4,38 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from regspan.functions import recode as R
 from regspan.operators.scale import dealt, tasks_for
 from regspan.session import durable
 
 
+def _sites() -> list[Column]:
+    """Chromosome, start and end of a line's footprint."""
+    base = F.expr("1000 + (l_partkey div 22) * 700")
+    return [F.concat(F.lit("chr"), (F.col("l_partkey") % 22 + 1).cast("string")).alias("chrom"),
+            (base + F.col("l_linenumber") * 20).cast("bigint").alias("fp_start"),
+            (base + F.col("l_linenumber") * 21 + 10).cast("bigint").alias("fp_end")]
+
+
+def _as_footprints(rows: DataFrame) -> DataFrame:
+    """Lines with their cells as footprints."""
+    base = F.expr("1000 + (l_partkey div 22) * 700")
+    tf = (F.col("l_suppkey") % 40)
+    return rows.select(
+        "grp", "subtype", "sample", "cell_id", *_sites(),
+        F.concat(F.lit("TF"), tf.cast("string"), F.lit("_MA"), (tf + 1000).cast("string")).alias("tf_motif"),
+        F.col("l_quantity").alias("motif_score"),
+        F.when(F.col("l_linestatus") == "F", "+").otherwise("-").alias("strand"),
+        base.cast("bigint").alias("peak_start"),
+        (base + 200 + F.col("l_partkey") % 100).cast("bigint").alias("peak_end"),
+        F.col("l_discount").alias("fp_score"),
+        F.col("l_returnflag").alias("flag"),
+        F.col("l_tax").alias("tax"),
+    )
+
+
 class Fixtures:
     """Lazy DataFrames over one folder of tables."""
 
@@ -42,23 +67,17 @@ class Fixtures:
         li, o = self.table("lineitem"), self.table("orders")
         owner = dealt(o.select("o_orderkey", F.col("o_custkey").alias("cell_id")), self.tasks, "o_orderkey")
         placed = dealt(li, self.tasks, "l_orderkey").join(owner, li.l_orderkey == F.col("o_orderkey"))
-        rows = dealt(placed, self.tasks, "cell_id").join(dealt(self.cells, self.tasks, "cell_id"), "cell_id")
-        base = F.expr("1000 + (l_partkey div 22) * 700")
-        tf = (F.col("l_suppkey") % 40)
-        return rows.select(
-            "grp", "subtype", "sample", "cell_id",
-            F.concat(F.lit("chr"), (F.col("l_partkey") % 22 + 1).cast("string")).alias("chrom"),
-            (base + F.col("l_linenumber") * 20).cast("bigint").alias("fp_start"),
-            (base + F.col("l_linenumber") * 21 + 10).cast("bigint").alias("fp_end"),
-            F.concat(F.lit("TF"), tf.cast("string"), F.lit("_MA"), (tf + 1000).cast("string")).alias("tf_motif"),
-            F.col("l_quantity").alias("motif_score"),
-            F.when(F.col("l_linestatus") == "F", "+").otherwise("-").alias("strand"),
-            base.cast("bigint").alias("peak_start"),
-            (base + 200 + F.col("l_partkey") % 100).cast("bigint").alias("peak_end"),
-            F.col("l_discount").alias("fp_score"),
-            F.col("l_returnflag").alias("flag"),
-            F.col("l_tax").alias("tax"),
-        )
+        return _as_footprints(dealt(placed, self.tasks, "cell_id").join(dealt(self.cells, self.tasks, "cell_id"), "cell_id"))
+
+    @cached_property
+    def footprints_by_order(self) -> DataFrame:
+        """The rows of ``footprints`` where nothing asks for a cell's rows together: orders find their cells first, so that
+        lines are dealt once."""
+        li, o = self.table("lineitem"), self.table("orders")
+        owner = dealt(o.select("o_orderkey", F.col("o_custkey").alias("cell_id")), self.tasks, "cell_id").join(
+            dealt(self.cells, self.tasks, "cell_id"), "cell_id")
+        return _as_footprints(dealt(li, self.tasks, "l_orderkey").join(
+            dealt(owner, self.tasks, "o_orderkey"), li.l_orderkey == F.col("o_orderkey")))
 
     @cached_property
     def annotations(self) -> DataFrame:
@@ -208,14 +227,18 @@ class Fixtures:
         return df.withColumn("subtype", F.concat("grp", F.lit("__"), "subtype")).withColumn("grp", F.lit("ALL"))
 
     def peak_labels(self) -> DataFrame:
-        """Overlap rows of footprint peaks with typed annotations and genes, in the corpus schema."""
+        """Overlap rows of footprint peaks with typed annotations and genes, in the corpus schema.
+
+        Annotations and genes are one reference side, so footprints go through one shuffle of the interval join; its salts
+        are planned from the lines as they are read, without joins.
+        """
         from regspan.operators.intervals import join_interval
 
-        f = self.footprints.select("cell_id", "chrom", "fp_start", "fp_end", "peak_start", "peak_end", "tf_motif",
-                                   "motif_score", "fp_score")
-        ann = join_interval(f, self.annotations, ("fp_start", "fp_end"), ("ann_start", "ann_end"), left_levels=1)
-        gene = join_interval(f, self.genes.select("chrom", (F.col("gene_start") - 1).alias("g0"), "gene_end"),
-                             ("fp_start", "fp_end"), ("g0", "gene_end"), left_levels=1)
         cols = ["chrom", "peak_start", "peak_end", "tf_motif", "motif_score", "fp_score"]
-        return ann.select(*cols, R.recode_regulome("ann_class").alias("label")).unionByName(
-            gene.select(*cols, F.lit("genic").alias("label")))
+        f = self.footprints_by_order.select("fp_start", "fp_end", *cols)
+        ann = self.annotations.select("chrom", F.col("ann_start").alias("ref_start"), F.col("ann_end").alias("ref_end"),
+                                      R.recode_regulome("ann_class").alias("label"))
+        gene = self.genes.select("chrom", (F.col("gene_start") - 1).alias("ref_start"), F.col("gene_end").alias("ref_end"),
+                                 F.lit("genic").alias("label"))
+        return join_interval(f, ann.unionByName(gene), ("fp_start", "fp_end"), ("ref_start", "ref_end"), left_levels=1,
+                             tasks=self.tasks, seen=self.table("lineitem").select(*_sites())).select(*cols, "label")
