@@ -12,7 +12,7 @@ from regspan.plans.corpus_queries import CALL_SQL, CLASSES, CLASS_SQL, FLAGS_SQL
 from regspan.plans.presence_queries import rounded
 from regspan.plans.registry import query
 from regspan.plans.views import add_views
-from regspan.session import scratch_path
+from regspan.session import durable, scratch_path
 from regspan.streaming.incremental import incr_new_cells, read_counts
 
 add_views({
@@ -260,7 +260,7 @@ d AS (SELECT i AS draw, ('0x' || substr(md5(i || '|class|0'), 1, 8))::BIGINT AS
 SELECT draw, pool.primary_label, chrom, peak_start, peak_end FROM d JOIN cls ON c = a % k
 JOIN pool ON pool.primary_label = cls.primary_label AND pos = b % n""")
 def _(fx):
-    c = K.agg_peak_corpus(fx.peak_labels()).select(*K.PEAK, "primary_label")
+    c = durable(K.agg_peak_corpus(fx.peak_labels()).select(*K.PEAK, "primary_label"))  # read four times
     return E.sample_balanced(c, "primary_label", K.PEAK, c.count()).select("draw", "primary_label", *K.PEAK)
 
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from regspan.operators import corpus as K, intervals as I
+from regspan.plans import corpus_queries, eval_queries, registry  # noqa: F401
 from regspan.plans.fixtures import Fixtures
 
 
@@ -72,3 +73,8 @@ def test_a_peak_is_grouped_in_one_shuffle(spark):
     assert got["chr1"].all_labels == ["TFBS", "genic"] and got["chr1"].primary_label == "TFBS" and got["chr1"].n_tfs == 3
     assert got["chr1"].mean_motif_score == pytest.approx(sum(scores) / len(scores)) and got["chr1"].max_motif_score == max(scores)
     assert got["chr2"].n_tfs == 0 and got["chr2"].mean_motif_score is None and got[None].mean_fp_score == 0.5
+
+
+@pytest.mark.parametrize("name", ["sample_balanced"])
+def test_rows_that_are_read_twice_are_a_stage(fx, name):
+    assert "lineitem.parquet" not in _plan(registry.QUERIES[name](fx))
