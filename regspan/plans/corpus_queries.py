@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from regspan.functions import coords as C, recode as R
 from regspan.operators import corpus as K, intervals as I, overlap as O
 from regspan.plans.registry import query
-from regspan.session import scratch_path
+from regspan.session import durable, scratch_path
 from regspan.sources import bed as B, tables as S
 
 
@@ -163,7 +163,7 @@ UNION ALL SELECT 'n_tfs', COUNT(DISTINCT tf_motif) FROM corpus_rows
 UNION ALL SELECT 'n_classes', COUNT(DISTINCT label) FROM corpus_rows
 UNION ALL SELECT 'class:' || primary_label, COUNT(*) FROM corpus GROUP BY primary_label""")
 def _(fx):
-    rows = fx.peak_labels()
+    rows = durable(fx.peak_labels())  # read twice
     return S.dataset_info(K.agg_peak_corpus(rows), rows)
 
 

@@ -75,6 +75,6 @@ def test_a_peak_is_grouped_in_one_shuffle(spark):
     assert got["chr2"].n_tfs == 0 and got["chr2"].mean_motif_score is None and got[None].mean_fp_score == 0.5
 
 
-@pytest.mark.parametrize("name", ["sample_balanced"])
+@pytest.mark.parametrize("name", ["sample_balanced", "dataset_info"])
 def test_rows_that_are_read_twice_are_a_stage(fx, name):
     assert "lineitem.parquet" not in _plan(registry.QUERIES[name](fx))
