@@ -58,8 +58,7 @@ def vocabulary(rows: DataFrame, col: str, name: str = "name") -> DataFrame:
 
 def join_tf_lookup(peaks: DataFrame, rows: DataFrame) -> DataFrame:
     """TF set of each peak. The chromosome is part of the key."""
-    tf = rows.select(*PEAK, "tf_motif").distinct().groupBy(*PEAK).agg(
-        F.sort_array(F.collect_set("tf_motif")).alias("tfs"))
+    tf = rows.groupBy(*PEAK).agg(F.sort_array(F.collect_set("tf_motif")).alias("tfs"))
     return peaks.join(tf, PEAK, "left")
 
 

@@ -279,10 +279,10 @@ SELECT tf, category, round(log2((f + 1e-6) / (o + 1e-6)), 8) AS log2fc,
 
 @query("agg_tf_enrichment", ENRICH_SQL)
 def _(fx):
-    rows = fx.peak_labels()
+    rows = durable(fx.peak_labels())  # read twice, and so is what is made of them
     flags = K.multilabel_flags(K.agg_peak_corpus(rows))
     cat = flags.withColumn("category", R.categorize_2head("is_enhancer", "is_silencer"))
-    return rounded(E.agg_tf_enrichment(K.join_tf_lookup(cat, rows)), ["log2fc", "score"], 8)
+    return rounded(E.agg_tf_enrichment(durable(K.join_tf_lookup(cat, rows))), ["log2fc", "score"], 8)
 
 
 # ---------------------------------------------------------------- sequences

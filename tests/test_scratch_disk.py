@@ -73,8 +73,12 @@ def test_a_peak_is_grouped_in_one_shuffle(spark):
     assert got["chr1"].all_labels == ["TFBS", "genic"] and got["chr1"].primary_label == "TFBS" and got["chr1"].n_tfs == 3
     assert got["chr1"].mean_motif_score == pytest.approx(sum(scores) / len(scores)) and got["chr1"].max_motif_score == max(scores)
     assert got["chr2"].n_tfs == 0 and got["chr2"].mean_motif_score is None and got[None].mean_fp_score == 0.5
+    tfs = {r.chrom: r.tfs for r in K.join_tf_lookup(c.select(*K.PEAK), df).collect()}
+    assert tfs["chr1"] == ["TF0", "TF1", "TF2"] and tfs["chr2"] == []
+    assert _plan(K.join_tf_lookup(spark.createDataFrame([("chr1", 1, 2)], "chrom string, peak_start long, peak_end long"), df)).count(
+        "HashAggregate") == 2  # no second grouping for distinct TFs
 
 
-@pytest.mark.parametrize("name", ["sample_balanced", "dataset_info"])
+@pytest.mark.parametrize("name", ["sample_balanced", "dataset_info", "agg_tf_enrichment"])
 def test_rows_that_are_read_twice_are_a_stage(fx, name):
     assert "lineitem.parquet" not in _plan(registry.QUERIES[name](fx))
