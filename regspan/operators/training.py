@@ -11,7 +11,7 @@ from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame, functions as F
 
 from regspan.operators import evaluation as E
-from regspan.operators.scale import dealt, numbered_names, salted_join
+from regspan.operators.scale import checked_broadcast, dealt, numbered_names, salted_join
 from regspan.operators.sequence import kmer_codes
 from regspan.session import durable
 
@@ -22,15 +22,17 @@ def feat_tf_vector(peaks: DataFrame, tfs: str = "tfs", vocabulary: DataFrame | N
     """TF set as a sparse binary vector over the sorted vocabulary.
 
     Words are numbered as a table (tf, idx), joined to the exploded sets and gathered again, so a vocabulary of any size
-    serves and none of it passes through the driver but its length. ``vocabulary`` gives the table; words outside it have
-    no place.
+    serves. One that proves small is broadcast, so that the words of a row stay in its task; otherwise words go to their
+    places in a shuffle. ``vocabulary`` gives the table; words outside it have no place.
     """
     rows = durable(peaks.withColumn("_row", F.monotonically_increasing_id()))  # written, so that the numbers stay
     words = rows.select("_row", F.explode(F.array_distinct(tfs)).alias("tf"))
     table = durable(numbered_names(words, "tf") if vocabulary is None else vocabulary)
     size = table.agg(F.max("idx")).first()[0]
     size = 0 if size is None else size + 1
-    at = salted_join(words, table, ["tf"], spread=["_row"]).groupBy("_row").agg(F.array_sort(F.collect_list(F.col("idx").cast("int"))).alias("_at"))
+    small = checked_broadcast(table)
+    placed = salted_join(words, table, ["tf"], spread=["_row"]) if small is table else words.join(small, "tf")
+    at = placed.groupBy("_row").agg(F.array_sort(F.collect_list(F.col("idx").cast("int"))).alias("_at"))
     vector = F.udf(lambda places: Vectors.sparse(size, places or [], [1.0] * len(places or [])), VectorUDT())
     return rows.join(at, "_row", "left").withColumn("features", vector("_at")).drop("_row", "_at")
 

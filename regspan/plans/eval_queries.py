@@ -371,8 +371,8 @@ def _(fx):
 
 
 def _labelled_peaks(fx):
-    rows = fx.peak_labels()
-    c = K.agg_peak_corpus(rows)
+    rows = durable(fx.peak_labels())  # read twice, and so is the corpus
+    c = durable(K.agg_peak_corpus(rows))
     flags = K.multilabel_flags(c)
     d = K.join_tf_lookup(c.join(flags, K.PEAK), rows).withColumn("split", E.split_chrom())
     return d.withColumns({"is_enhancer": F.col("is_enhancer").cast("double"), "is_silencer": F.col("is_silencer").cast("double")})

@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from regspan.operators import corpus as K, intervals as I
+from regspan.operators import corpus as K, intervals as I, training as L
 from regspan.plans import corpus_queries, eval_queries, registry  # noqa: F401
 from regspan.plans.fixtures import Fixtures
 
@@ -82,3 +82,18 @@ def test_a_peak_is_grouped_in_one_shuffle(spark):
 @pytest.mark.parametrize("name", ["sample_balanced", "dataset_info", "agg_tf_enrichment"])
 def test_rows_that_are_read_twice_are_a_stage(fx, name):
     assert "lineitem.parquet" not in _plan(registry.QUERIES[name](fx))
+
+
+def test_peaks_for_training_are_a_stage(fx):
+    assert "lineitem.parquet" not in _plan(eval_queries._labelled_peaks(fx))
+
+
+def test_words_of_a_small_vocabulary_stay_with_their_row(spark, monkeypatch):
+    peaks = spark.createDataFrame([(1, ["b", "a", "a"]), (2, []), (3, None), (4, ["c", "b"])], "id int, tfs array<string>")
+    by_join = {r.id: r.features for r in L.feat_tf_vector(peaks).collect()}
+    monkeypatch.setattr(L, "salted_join", None)
+    assert {r.id: r.features for r in L.feat_tf_vector(peaks).collect()} == by_join
+    monkeypatch.undo()
+    monkeypatch.setattr(L, "checked_broadcast", lambda df: df)
+    assert {r.id: r.features for r in L.feat_tf_vector(peaks).collect()} == by_join
+    assert by_join[1].indices.tolist() == [0, 1] and by_join[3].indices.tolist() == []
