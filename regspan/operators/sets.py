@@ -108,48 +108,75 @@ def _pairs_by_regions(held: DataFrame) -> DataFrame:
                        later("s").alias("sizes"), F.lit(1).cast("bigint").alias("k"))
 
 
+def _narrow(held: DataFrame) -> tuple[str, str]:
+    """The smallest types that hold every cell number and every ``n``: an array takes as many bytes a member as its type has.
+    Cells that are no numbers keep their type."""
+    kind = held.schema["cell_id"].dataType.simpleString()
+    numbers = kind in ("bigint", "int", "smallint", "tinyint")
+    cells = [F.min("cell_id"), F.max("cell_id")] if numbers else [F.lit(None), F.lit(None)]
+    low, high, most = held.agg(*cells, F.max("n")).first()
+
+    def least(low: int, high: int, own: str) -> str:
+        return next((x for x, bits in (("tinyint", 7), ("smallint", 15), ("int", 31)) if -(1 << bits) <= low and high < 1 << bits), own)
+
+    return kind if low is None else least(low, high, kind), "bigint" if most is None else least(0, most, "bigint")
+
+
 def _shared_counts(held: DataFrame, block_cells: int, shard_regions: int, direct_cells: int, near: Column | None = None) -> DataFrame:
     """(subtype, cell_a, na, cell_b, nb, k): pairs of cells and the number of regions they share, from distinct (subtype, cell_id, n, region).
 
     ``held`` is read several times. A region with up to ``direct_cells`` cells sends each of its cells one array of the
     later ones, to the task that counts all pairs of that cell; a pair is neither a row of a shuffle nor shuffled again,
-    and the number of tasks follows the number of pairs. Regions with more cells go by blocks. ``near`` (over na, nb)
+    and the number of tasks follows the number of pairs. Arrays hold cells and sizes in the smallest types that fit. Regions with more cells go by blocks. ``near`` (over na, nb)
     drops pairs before they are counted.
     """
     often = held.groupBy("subtype", "region").agg(F.count("*").alias("m"))
     many = often.where(F.col("m") > direct_cells).drop("m")
     m = F.when(F.col("m") <= direct_cells, F.col("m"))
     pairs, n_many = often.agg(F.sum(m * (m - 1) / 2), F.count_if(F.col("m") > direct_cells)).first()
+    kind, slim, slim_n = held.schema["cell_id"].dataType.simpleString(), *_narrow(held)
+    held = held.withColumns({"cell_id": F.col("cell_id").cast(slim), "n": F.col("n").cast(slim_n)})
     if n_many:
         many = checked_broadcast(many)
         rows = _pairs_by_regions(held.join(many, ["subtype", "region"], "left_anti")).unionByName(
-            _pairs_by_blocks(held.join(many, ["subtype", "region"], "left_semi"), block_cells, shard_regions))
+            _pairs_by_blocks(held.join(many, ["subtype", "region"], "left_semi"), block_cells, shard_regions).withColumns(
+                {"na": F.col("na").cast(slim_n), "sizes": F.col("sizes").cast(f"array<{slim_n}>")}))
     else:
         rows = _pairs_by_regions(held)
     rows = dealt(rows, tasks_for(int(pairs or 0), TASK_PAIRS), "subtype", "cell_a")
     each = rows.select("subtype", "cell_a", "na", "k", F.explode(F.arrays_zip("cells", "sizes")).alias("b")).select(
-        "subtype", "cell_a", "na", "k", F.col("b.cells").alias("cell_b"), F.col("b.sizes").alias("nb"))
+        "subtype", "cell_a", F.col("na").cast("bigint").alias("na"), "k", F.col("b.cells").alias("cell_b"),
+        F.col("b.sizes").cast("bigint").alias("nb"))
     each = each if near is None else each.where(near)
-    return each.groupBy("subtype", "cell_a", "cell_b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("k").alias("k"))
+    # cells get their own type back after the grouping, which is by the columns that rows were dealt by
+    counted = each.groupBy("subtype", "cell_a", "cell_b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("k").alias("k"))
+    return counted.withColumns({c: F.col(c).cast(kind) for c in ("cell_a", "cell_b")})
 
 
-def _held(peaks: DataFrame, by: str | None) -> DataFrame:
-    """Distinct (subtype, cell_id, region); a row without cell or subtype pairs with nothing."""
+def _regions_of_cells(peaks: DataFrame, by: str | None) -> DataFrame:
+    """(subtype, cell_id, region); a row without cell or subtype pairs with nothing."""
     return peaks.select((F.col(by) if by else F.lit("ALL")).alias("subtype"), "cell_id", F.concat_ws(":", *SPAN).alias("region")).where(
-        "cell_id IS NOT NULL AND subtype IS NOT NULL").distinct()
+        "cell_id IS NOT NULL AND subtype IS NOT NULL")
+
+
+def _held(peaks: DataFrame, by: str | None) -> DataFrame:
+    """Distinct (subtype, cell_id, region)."""
+    return _regions_of_cells(peaks, by).distinct()
 
 
 def sim_jaccard_cells(peaks: DataFrame, by: str | None = "subtype", block_cells: int = 256,
-                      shard_regions: int = 8192, direct_cells: int = DIRECT_CELLS) -> DataFrame:
+                      shard_regions: int = 8192, direct_cells: int = DIRECT_CELLS, tasks: int | None = None) -> DataFrame:
     """Jaccard percent between cells of a subtype (all cells with ``by=None``) that share a region.
 
     The work follows the pairs that share a region, not the pairs of cells. A region held by very many cells would give
     their square once more each, so regions with more than ``direct_cells`` cells are multiplied block by block
-    (``block_cells`` cells, ``shard_regions`` regions). Pairs that share nothing have no row.
+    (``block_cells`` cells, ``shard_regions`` regions). Pairs that share nothing have no row. Rows are dealt by cell, over
+    ``tasks`` tasks (Spark's own if None), and find their cell's regions and their number there.
     """
-    held = durable(_held(peaks, by))
-    size = held.groupBy("subtype", "cell_id").agg(F.count("*").alias("n"))
-    sized = durable(salted_join(held, size, ["subtype", "cell_id"], spread=["region"]))
+    cell = ["subtype", "cell_id"] if by else ["cell_id"]  # Spark drops a constant from the keys of a join and then deals rows anew
+    held = _regions_of_cells(peaks, by)
+    held = (held.repartition(tasks, *cell) if tasks else held.repartition(*cell)).distinct()
+    sized = durable(held.join(held.groupBy(*cell).agg(F.count("*").alias("n")), cell))
     union = F.col("na") + F.col("nb") - F.col("k")
     return _shared_counts(sized, block_cells, shard_regions, direct_cells).select(
         "subtype", "cell_a", "cell_b", F.col("k").alias("n_shared"), (F.col("k") * 100.0 / union).alias("jaccard_pct"))

@@ -5,9 +5,10 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from regspan.operators import corpus as K, intervals as I, training as L
+from regspan.operators import corpus as K, intervals as I, sets as S, training as L
 from regspan.plans import corpus_queries, eval_queries, registry  # noqa: F401
 from regspan.plans.fixtures import Fixtures
+from regspan.session import SHUFFLE_CLEANUP, durable
 
 
 def _same(a, b):
@@ -97,3 +98,47 @@ def test_words_of_a_small_vocabulary_stay_with_their_row(spark, monkeypatch):
     monkeypatch.setattr(L, "checked_broadcast", lambda df: df)
     assert {r.id: r.features for r in L.feat_tf_vector(peaks).collect()} == by_join
     assert by_join[1].indices.tolist() == [0, 1] and by_join[3].indices.tolist() == []
+
+
+def _shuffle_files(spark):
+    blocks = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllBlocks()
+    return {str(blocks.apply(i)) for i in range(blocks.size()) if "shuffle" in str(blocks.apply(i))}
+
+
+def test_a_written_stage_leaves_no_shuffle_files(spark):
+    df = spark.range(5000, numPartitions=4).selectExpr("id % 700 k").repartition(3, "k").groupBy("k").count()
+    before, setting = _shuffle_files(spark), spark.conf.get(SHUFFLE_CLEANUP, None)
+    stage = durable(df)
+    assert _shuffle_files(spark) <= before
+    assert stage.count() == df.count() == durable(df).count() == 700
+    assert spark.conf.get(SHUFFLE_CLEANUP, None) == setting
+
+
+def test_cells_of_regions_travel_in_the_smallest_types(spark):
+    frame = lambda cells, n: spark.createDataFrame([("t", c, n, "r") for c in cells], "subtype string, cell_id long, n long, region string")
+    assert S._narrow(frame([-128, 127], 127)) == ("tinyint", "tinyint")
+    assert S._narrow(frame([-129, 32767], 32767)) == ("smallint", "smallint")
+    assert S._narrow(frame([-5, 32768], 32768)) == ("int", "int")
+    assert S._narrow(frame([-(1 << 31) - 1, 1], 1 << 31)) == ("bigint", "bigint")
+    assert S._narrow(frame([], 1)) == ("bigint", "bigint")
+    assert S._narrow(frame([1], 200).withColumn("cell_id", F.lit("c"))) == ("string", "smallint")
+
+
+@pytest.mark.parametrize("far", [0, 1 << 20, 1 << 40])
+def test_jaccard_of_narrow_and_wide_cell_numbers(spark, far):
+    held = {far * (c % 2) + c: {(c * k) % 17 for k in range(1, 6)} for c in range(30)}
+    rows = [("t", c, "chr1", r, r + 1) for c, m in held.items() for r in m] * 2 + [("t", None, "chr1", 1, 2), (None, 3, "chr1", 1, 2)]
+    df = spark.createDataFrame(rows, "subtype string, cell_id long, chrom string, r_start long, r_end long")
+    want = {(a, b): len(held[a] & held[b]) for a in held for b in held if a < b and held[a] & held[b]}
+    for got in (S.sim_jaccard_cells(df, tasks=3), S.sim_jaccard_cells(df, direct_cells=6), S.sim_jaccard_cells(df.where("subtype = 't'"), by=None)):
+        assert dict(got.dtypes)["cell_a"] == dict(got.dtypes)["cell_b"] == "bigint"
+        assert {(r.cell_a, r.cell_b): r.n_shared for r in got.collect()} == want and got.count() == len(want)
+
+
+def test_cells_are_dealt_once(spark, monkeypatch):
+    stages = []
+    monkeypatch.setattr(S, "durable", lambda df: stages.append(_plan(df)) or durable(df))
+    df = spark.createDataFrame([("t", c, "chr1", c % 3, c % 3 + 1) for c in range(9)], "subtype string, cell_id long, chrom string, r_start long, r_end long")
+    for by in ("subtype", None):
+        S.sim_jaccard_cells(df, by=by, tasks=3).count()
+    assert len(stages) == 2 and all(x.count("Exchange") == 2 and x.count("REPARTITION") == 2 for x in stages)  # the same one on both sides
